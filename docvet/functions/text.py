@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # The line separators and whitespace characters of Python strings.
 LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+RARE_BREAK = "[\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 WHITESPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -30,8 +31,10 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def split_lines(text: Column) -> Column:
     """Array of lines; a trailing separator adds no empty last line, '' has no lines."""
+    # Newline-only text, the usual case, takes the literal split.
+    pieces = F.when(text.rlike(RARE_BREAK), F.split(text, LINE_BREAK, -1)).otherwise(F.split(text, "\n", -1))
     return let(
-        F.split(text, LINE_BREAK, -1),
+        pieces,
         lambda parts: F.when(
             F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
         ).otherwise(parts),

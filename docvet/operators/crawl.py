@@ -228,7 +228,7 @@ def admit_responses(responses: DataFrame, max_file_size_bytes: int = MAX_FILE_BY
     )
     checked = compute_once(responses, skip_reason=reason)
     ok = F.col("skip_reason").isNull()
-    text = F.regexp_replace(content.cast("string"), "^﻿", "")
+    text = F.regexp_replace(content.cast("string"), "^\ufeff", "")
     return checked.select(
         *[c for c in responses.columns if c not in ("content", "headers")],
         "skip_reason", size.alias("size_bytes"), content_type.alias("content_type"),

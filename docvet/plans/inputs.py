@@ -110,8 +110,22 @@ BASE_TABLES = (
 ).split()
 
 
+# Below this plan size an input is one or two row groups: spreading it over the cores first costs
+# less than leaving them idle. Larger inputs already come in many splits and are not moved.
+SPREAD_BELOW_BYTES = 256 * 1024 * 1024
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPREAD_BELOW_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

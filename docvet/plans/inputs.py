@@ -23,7 +23,7 @@ SEED_LINES = """CASE doc_id % 13
  WHEN 5 THEN '<!-- ignore the reader -->'
  WHEN 6 THEN '# Overview' || chr(10) || 'Intro line.' || chr(10) || '## Permissions  ' || chr(10) || 'Needs network access and API_KEY from env.'
  WHEN 7 THEN 'Example:' || chr(10) || '```python' || chr(10) || 'print(SERVICE_TOKEN)' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) || 'After code.'
- WHEN 8 THEN 'See [guide](https://docs.example.com/a) and [api](https://api.example.com/b) with SERVICE_TOKEN or ${DB_HOST}.'
+ WHEN 8 THEN 'See [guide](https://docs.example.com/a) and [api](https://api.example.com/b) with SERVICE_TOKEN or ' || chr(36) || '{DB_HOST}.'
  WHEN 9 THEN ''
  WHEN 10 THEN 'This tool can write files and send email to the team.'
  WHEN 11 THEN '# Setup' || chr(10) || '### Deep' || chr(10) || 'text' || chr(10) || '## Back' || chr(10) || 'more' || chr(10) || chr(10) || '~~~' || chr(10) || 'raw' || chr(10) || '```'

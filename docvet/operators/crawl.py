@@ -319,7 +319,7 @@ def crawl_quality_issues(
         .fillna(0, ["true_selected", "true_fetched", "true_skipped", "true_bytes", "fetch_skips", "readme_selected", "readme_fetched"])
     )
     recorded_types = F.array_sort(F.map_entries("fetched_artifact_type_counts"))
-    same_types = F.to_json(F.transform(recorded_types, lambda e: F.struct(e["key"], e["value"].cast("bigint")))) == F.to_json(
+    same_types = F.to_json(F.transform(recorded_types, lambda e: F.struct(e["key"].alias("key"), e["value"].cast("bigint").alias("value")))) == F.to_json(
         F.transform(F.coalesce("true_types", F.array().cast("array<struct<artifact_type:string,file_count:bigint>>")),
                     lambda e: F.struct(e["artifact_type"].alias("key"), e["file_count"].alias("value")))
     )

@@ -111,10 +111,12 @@ def match_batch(documents: DataFrame, batch: QueryBatch, *extra: str) -> DataFra
     bonus = F.filter(
         F.transform(batch.phrases(), lambda q: F.struct(
             q["query_id"].alias("query_id"),
-            (F.when(F.contains("normalized_text", q["phrase"]), TEXT_PHRASE_BONUS).otherwise(0.0)
-             + F.when(F.contains("normalized_context", q["phrase"]), CONTEXT_PHRASE_BONUS).otherwise(0.0)).alias("bonus"),
+            F.array(
+                F.when(F.contains("normalized_text", q["phrase"]), TEXT_PHRASE_BONUS).otherwise(0.0),
+                F.when(F.contains("normalized_context", q["phrase"]), CONTEXT_PHRASE_BONUS).otherwise(0.0),
+            ).alias("bonuses"),
         )),
-        lambda s: s["bonus"] > 0,
+        lambda s: F.array_max(s["bonuses"]) > 0,
     )
     return tagged.select("chunk_id", "chunk_index", "text_length", hits.alias("hits"), bonus.alias("phrases"), *extra)
 
@@ -148,22 +150,35 @@ def batch_scores(matched: DataFrame, batch: QueryBatch) -> DataFrame:
     )
     counts = matched.select("chunk_id", "chunk_index", "text_length", F.inline("hits"))
     length_part = K1 * (F.lit(1 - B) + B * F.greatest("text_length", F.lit(1)) / average)
-    bm25 = F.col("idf") * (F.col("text_count") * (K1 + 1)) / (F.col("text_count") + length_part)
-    points = F.when(F.col("text_count") > 0, bm25).otherwise(0.0) + F.col("context_count") * F.col("idf") * CONTEXT_WEIGHT
+    bm25 = F.col("idf") * (F.col("text_count") * (K1 + 1) / (F.col("text_count") + length_part))
+    text_points = F.when(F.col("text_count") > 0, bm25).otherwise(0.0)
+    context_points = F.col("context_count") * F.col("idf") * CONTEXT_WEIGHT
     term_points = counts.join(weighted, "term").select(
-        "query_id", "chunk_id", "chunk_index", points.alias("points"), F.struct("term_pos", "term").alias("matched")
+        "query_id", "chunk_id", "chunk_index",
+        F.struct("term_pos", "term", F.array(text_points, context_points).alias("points")).alias("part"),
     )
     bonus = matched.select("chunk_id", "chunk_index", F.inline("phrases")).select(
-        "query_id", "chunk_id", "chunk_index", F.col("bonus").alias("points"),
-        F.lit(None).cast("struct<term_pos:int,term:string>").alias("matched"),
+        "query_id", "chunk_id", "chunk_index",
+        F.struct(
+            F.lit(_PHRASE_POS).alias("term_pos"), F.lit(None).cast("string").alias("term"), F.col("bonuses").alias("points")
+        ).alias("part"),
     )
-    # Rows of a group are the terms of one query in one chunk: bounded by the query length.
-    return term_points.unionByName(bonus).groupBy("query_id", "chunk_id", "chunk_index").agg(
-        F.sum("points").alias("score"),
-        F.transform(F.array_sort(F.collect_list("matched")), lambda m: m["term"]).alias("matched_terms"),
+    # Rows of a group are the terms of one query in one chunk: bounded by the query length. They are
+    # added in query order, so equal chunks get equal scores on every run.
+    grouped = term_points.unionByName(bonus).groupBy("query_id", "chunk_id", "chunk_index").agg(
+        F.array_sort(F.collect_list("part")).alias("parts")
+    )
+    score = F.aggregate(F.flatten(F.transform("parts", lambda p: p["points"])), F.lit(0.0), lambda acc, v: acc + v)
+    terms = F.transform(F.filter("parts", lambda p: p["term"].isNotNull()), lambda p: p["term"])
+    return grouped.select(
+        "query_id", "chunk_id", "chunk_index", score.alias("score"), terms.alias("matched_terms")
     ).where(F.col("score") > 0)
 
 
+# Sorts the phrase bonus after every term.
+_PHRASE_POS = 2_000_000_000
+
+
 def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Lexical score of every (query, chunk) hit for any number of queries."""
     documents = lexical_documents(chunks)

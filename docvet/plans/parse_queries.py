@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,8 +90,8 @@ def responses_query(spark, d):
 
 
 def crawl_tables(spark, d):
-    """Selected, fetched and skipped rows with seeded faults, and recorded manifests."""
-    chosen = selection(spark, d)
+    """Selected, fetched and skipped rows with seeded faults. The selection is used many times."""
+    chosen = selection(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
     selected = chosen.where("skip_reason IS NULL").select("repo", "doc_id", "path", "artifact_type", "priority", "size_bytes")
     dup = F.when(F.col("doc_id") % 50 == 1, 2).otherwise(1)
     urls = K.raw_file_urls(selected.select(
@@ -108,26 +109,31 @@ def crawl_tables(spark, d):
     return selected.drop("doc_id"), fetched, skipped
 
 
-def manifests(spark, d):
-    selected, fetched, skipped = crawl_tables(spark, d)
-    types = K.fetched_type_counts(fetched).groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("artifact_type", "file_count"))).alias("fetched_artifact_type_counts"))
+def manifests(selected, fetched, skipped):
+    """Recorded manifests; repositories with short names carry a wrong byte total."""
+    types = K.fetched_type_counts(fetched).groupBy("repo").agg(
+        F.map_from_entries(F.collect_list(F.struct("artifact_type", "file_count"))).alias("fetched_artifact_type_counts")
+    )
     off = (F.length("repo") == 5).cast("bigint")
-    return (
+    recorded = (
         K.crawl_summary(selected, fetched, skipped).join(K.manifest_hashes(selected, fetched, skipped), "repo").join(types, "repo", "left")
         .withColumn("total_fetched_bytes", F.col("total_fetched_bytes") + off)
         .withColumn("owner", F.lit("acme")).withColumn("repo_name", F.col("repo")).withColumn("ref", F.lit("main"))
         .withColumn("fetched_artifact_type_counts", F.coalesce("fetched_artifact_type_counts", F.create_map().cast("map<string,bigint>")))
     )
+    return recorded.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def quality_query(spark, d):
-    issues = K.crawl_quality_issues(manifests(spark, d), *crawl_tables(spark, d), max_fetch_skip_ratio=0.3)
+    tables = crawl_tables(spark, d)
+    issues = K.crawl_quality_issues(manifests(*tables), *tables, max_fetch_skip_ratio=0.3)
     return issues.select("repo", "code", "severity", "message", F.coalesce("path", F.lit("")).alias("path"))
 
 
 def quality_report_query(spark, d):
-    m = manifests(spark, d)
-    return K.crawl_quality_reports(m, K.crawl_quality_issues(m, *crawl_tables(spark, d), max_fetch_skip_ratio=0.3))
+    tables = crawl_tables(spark, d)
+    recorded = manifests(*tables)
+    return K.crawl_quality_reports(recorded, K.crawl_quality_issues(recorded, *tables, max_fetch_skip_ratio=0.3))
 
 
 def summary_query(spark, d):
@@ -233,7 +239,7 @@ cand AS (SELECT doc_id, 0 AS grp, unnest(json_extract(j, '$[*]')) AS t FROM iden
 tools AS (SELECT doc_id, t, coalesce(nullif(t ->> '$.name', ''), nullif(t ->> '$.tool_name', ''), 'unknown_tool') AS name,
  coalesce(t -> '$.parameters', t -> '$.input_schema', t -> '$.inputSchema', t -> '$.schema') AS ps,
  row_number() OVER (PARTITION BY doc_id ORDER BY grp, CASE WHEN json_exists(t, '$.homepage') THEN 0 ELSE 1 END) - 1 AS tool_pos FROM cand WHERE json_type(t) = 'OBJECT')"""
-_URLS = r"""list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(CAST({0} AS VARCHAR), '"[^"]*"\s*:', '', 'g'), 'https?://[^\s"''<>),\]]+'), u -> rtrim(u, '.,;:'))))"""
+_URLS = r"""list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(CAST({0} AS VARCHAR), '"[^"]*"\s*:', '', 'g'), 'https?://[^\s"''<>),\]]+'), lambda u: rtrim(u, '.,;:'))))"""
 
 # Chunk oracle: sections by windows, split points by a recursive walk over the lines of a section.
 _SECTIONS = f"""{_L}, h AS (SELECT artifact_id, line_no, line, regexp_matches(line, {_HEAD}) AS is_head, length(regexp_extract(line, {_HEAD}, 1)) AS level,
@@ -263,8 +269,8 @@ chunks AS (SELECT *, 'chunk_' || substr(sha256(artifact_id || ':' || chunk_index
 _NAME = "lower(regexp_extract(p, '([^/]+)$', 1))"
 _TREE = f"""tree AS ({I.TREE}), n0 AS (SELECT *, trim(path) AS p FROM tree),
 n1 AS (SELECT *, p = '' OR p LIKE '/%' OR contains(p, chr(92)) OR list_has_any(string_split(p, '/'), ['', '.', '..']) AS unsafe, {_NAME} AS nm,
- lower(regexp_extract(p, '.(\\.[^./]+)$', 1)) AS ext, list_has_any(list_transform(string_split(p, '/')[:-2], x -> lower(x)), ['docs', 'doc', 'documentation', 'examples', 'example']) AS in_docs,
- list_transform(string_split(p, '/'), x -> lower(x)) AS parts FROM n0),
+ lower(regexp_extract(p, '.(\\.[^./]+)$', 1)) AS ext, list_has_any(list_transform(string_split(p, '/')[:-2], lambda x: lower(x)), ['docs', 'doc', 'documentation', 'examples', 'example']) AS in_docs,
+ list_transform(string_split(p, '/'), lambda x: lower(x)) AS parts FROM n0),
 n2 AS (SELECT *, CASE WHEN nm LIKE 'readme%' AND ext IN ('.md', '.markdown', '.txt') THEN 'readme'
  WHEN nm IN ({', '.join(f"'{x}'" for x in K.SCHEMA_NAMES)}) OR nm LIKE '%.schema.json' THEN 'tool_schema'
  WHEN nm IN ({', '.join(f"'{x}'" for x in K.MANIFEST_NAMES)}) THEN 'package_manifest' WHEN ext IN ('.md', '.markdown', '.txt') AND in_docs THEN 'documentation'
@@ -318,7 +324,7 @@ SELECT b.artifact_id, open_line AS start_line, close_line AS end_line, b.languag
     "b12_env_vars": (lambda s, d: M.env_vars(classed(s, d), "artifact_id"), f"{_MARKED}, {_ENVS} SELECT artifact_id, name, line_no AS start_line, line_no AS end_line FROM envs"),
     "b13_tool_schemas": (tools_query, f"""WITH {_JSON} SELECT doc_id, tool_pos, name, coalesce(t ->> '$.description', '') AS description,
  coalesce(array_to_string(CAST(ps -> '$.required' AS VARCHAR[]), ','), '') AS required_fields,
- coalesce(array_to_string(list_transform(CASE WHEN json_exists(t, '$.examples') THEN json_extract(t, '$.examples[*]') WHEN json_exists(t, '$.example') THEN [t -> '$.example'] END, x -> CAST(x AS VARCHAR)), '|'), '') AS examples,
+ coalesce(array_to_string(list_transform(CASE WHEN json_exists(t, '$.examples') THEN json_extract(t, '$.examples[*]') WHEN json_exists(t, '$.example') THEN [t -> '$.example'] END, lambda x: CAST(x AS VARCHAR)), '|'), '') AS examples,
  array_to_string({_URLS.format('t')}, ' ') AS urls FROM tools"""),
     "b15_tool_parameters": (parameters_query, f"""WITH {_JSON}, pairs AS (SELECT doc_id, tool_pos, ps, json_exists(ps, '$.properties') AS in_props,
  CASE WHEN json_exists(ps, '$.properties') THEN ps -> '$.properties' ELSE ps END AS src FROM tools WHERE ps IS NOT NULL),
@@ -338,7 +344,7 @@ SELECT c.artifact_id, CASE WHEN extension IN ('.md', '.markdown') THEN 'markdown
  CASE WHEN extension = '.json' AND bad THEN 'Invalid JSON schema' ELSE '' END AS parse_error
 FROM checked c LEFT JOIN mc USING (artifact_id) LEFT JOIN tc ON tc.doc_id = c.doc_id LEFT JOIN uc ON uc.doc_id = c.doc_id WHERE skip_reason IS NULL"""),
     "b19_repo_urls": (repo_url_query, rf"""WITH u AS ({I.REPO_URLS}), a AS (SELECT page_id, trim(raw_url) AS t FROM u),
-b AS (SELECT *, lower(regexp_extract(t, {_URL}, 1)) AS scheme, regexp_extract(t, {_URL}, 2) AS auth, list_filter(string_split(regexp_extract(t, {_URL}, 3), '/'), x -> x <> '') AS seg,
+b AS (SELECT *, lower(regexp_extract(t, {_URL}, 1)) AS scheme, regexp_extract(t, {_URL}, 2) AS auth, list_filter(string_split(regexp_extract(t, {_URL}, 3), '/'), lambda x: x <> '') AS seg,
  regexp_extract(t, {_URL}, 4) AS q, regexp_extract(t, {_URL}, 5) AS fr FROM a),
 c AS (SELECT *, regexp_extract(auth, '([^@]*)$', 1) AS hp, lower(seg[1]) AS o, regexp_replace(lower(seg[2]), '\.git$', '') AS r FROM b),
 e AS (SELECT *, CASE WHEN t = '' THEN 'GitHub repository URL is required.' WHEN scheme NOT IN ('http', 'https') THEN 'GitHub repository URL must use http or https.'

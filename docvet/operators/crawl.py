@@ -243,38 +243,63 @@ def tag_skips(discovery: DataFrame, fetch: DataFrame) -> DataFrame:
     )
 
 
-def crawl_summary(selected: DataFrame, fetched: DataFrame, skipped: DataFrame) -> DataFrame:
-    """Counts per repo; three folded aggregates over one union, so each repo shuffles once."""
-    rows = (
-        selected.select("repo", F.lit("s").alias("k"), F.lit(0).cast("bigint").alias("bytes"))
-        .unionByName(fetched.select("repo", F.lit("f").alias("k"), F.col("size_bytes").cast("bigint").alias("bytes")))
-        .unionByName(skipped.select("repo", F.lit("x").alias("k"), F.lit(0).cast("bigint").alias("bytes")))
-    )
-    return rows.groupBy("repo").agg(
-        F.count_if(F.col("k") == "s").alias("selected_file_count"),
-        F.count_if(F.col("k") == "f").alias("fetched_file_count"),
-        F.count_if(F.col("k") == "x").alias("skipped_path_count"),
+def _manifest_rows(selected: DataFrame, fetched: DataFrame, skipped: DataFrame) -> DataFrame:
+    """All rows of a crawl in one table: which part, size, stage and the hash of the row."""
+    def part(df: DataFrame, name: str) -> DataFrame:
+        tagged = df.withColumn("part", F.lit(name))
+        size = F.col("size_bytes").cast("bigint") if name == "fetched" else F.lit(0).cast("bigint")
+        stage = F.col("stage") if name == "skipped" else F.lit(None).cast("string")
+        return tagged.select("repo", "part", size.alias("bytes"), stage.alias("stage"), canonical_hash(*tagged.columns).alias("row_hash"))
+
+    return part(selected, "selected").unionByName(part(fetched, "fetched")).unionByName(part(skipped, "skipped"))
+
+
+_SUMMARY = ("selected_file_count", "fetched_file_count", "skipped_path_count", "total_fetched_bytes")
+
+
+def _summary_columns() -> list[Column]:
+    return [
+        F.count_if(F.col("part") == "selected").alias("selected_file_count"),
+        F.count_if(F.col("part") == "fetched").alias("fetched_file_count"),
+        F.count_if(F.col("part") == "skipped").alias("skipped_path_count"),
         F.sum("bytes").alias("total_fetched_bytes"),
-    )
+    ]
+
+
+def crawl_summary(selected: DataFrame, fetched: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Counts per repo from one folded aggregate over all rows of the crawl."""
+    return _manifest_rows(selected, fetched, skipped).groupBy("repo").agg(*_summary_columns())
 
 
 def fetched_type_counts(fetched: DataFrame) -> DataFrame:
     return fetched.groupBy("repo", "artifact_type").agg(F.count("*").alias("file_count"))
 
 
+def _manifest_hash() -> Column:
+    return F.sha2(F.concat_ws(":", F.lit(MANIFEST_VERSION), "repo", "row_digest"), 256)
+
+
 def manifest_hashes(selected: DataFrame, fetched: DataFrame, skipped: DataFrame) -> DataFrame:
     """Digest of all manifest rows of a repo; the row order does not matter."""
-    rows = (
-        _hashed(selected, "selected").unionByName(_hashed(fetched, "fetched")).unionByName(_hashed(skipped, "skipped"))
-    )
+    rows = _manifest_rows(selected, fetched, skipped)
     return rows.groupBy("repo").agg(multiset_digest(F.col("row_hash")).alias("row_digest")).select(
-        "repo", F.sha2(F.concat_ws(":", F.lit(MANIFEST_VERSION), "repo", "row_digest"), 256).alias("manifest_hash")
+        "repo", _manifest_hash().alias("manifest_hash")
     )
 
 
-def _hashed(df: DataFrame, part: str) -> DataFrame:
-    tagged = df.withColumn("part", F.lit(part))
-    return tagged.select("repo", canonical_hash(*tagged.columns).alias("row_hash"))
+def recorded_manifests(selected: DataFrame, fetched: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Summary and hash of every crawl in one pass, with the type counts as a map."""
+    rows = _manifest_rows(selected, fetched, skipped).groupBy("repo").agg(
+        *_summary_columns(), multiset_digest(F.col("row_hash")).alias("row_digest")
+    )
+    # One entry per artifact type of a repo: bounded by the known file kinds.
+    types = fetched_type_counts(fetched).groupBy("repo").agg(
+        F.map_from_entries(F.collect_list(F.struct("artifact_type", "file_count"))).alias("fetched_artifact_type_counts")
+    )
+    return rows.join(types, "repo", "left").select(
+        "repo", *_SUMMARY, _manifest_hash().alias("manifest_hash"),
+        F.coalesce("fetched_artifact_type_counts", F.create_map().cast("map<string,bigint>")).alias("fetched_artifact_type_counts"),
+    )
 
 
 def _issue(df: DataFrame, code: str, severity: str, message, path: str | None = None) -> DataFrame:
@@ -283,6 +308,10 @@ def _issue(df: DataFrame, code: str, severity: str, message, path: str | None =
     return df.select("repo", F.lit(code).alias("code"), F.lit(severity).alias("severity"), text.alias("message"), where.alias("path"))
 
 
+def _path_issue(code: str, message: str, copies: Column) -> Column:
+    return F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"), copies.alias("copies"))
+
+
 def crawl_quality_issues(
     manifests: DataFrame,
     selected: DataFrame,
@@ -299,43 +328,40 @@ def crawl_quality_issues(
     the recorded values; they are checked against the child tables.
     """
     c = F.col
-    types = fetched_type_counts(fetched).groupBy("repo").agg(
-        # one entry per artifact type: bounded by the five known types of the selection
-        F.array_sort(F.collect_list(F.struct("artifact_type", "file_count"))).alias("true_types")
+    actual = recorded_manifests(selected, fetched, skipped)
+    actual = actual.select("repo", *[F.col(n).alias(f"true_{n}") for n in actual.columns if n != "repo"])
+    per_path = (
+        selected.select("repo", "path", F.lit(1).alias("s"), F.lit(0).alias("f"), (F.col("artifact_type") == "readme").alias("readme"))
+        .unionByName(fetched.select("repo", "path", F.lit(0).alias("s"), F.lit(1).alias("f"), F.lit(False).alias("readme")))
+        .groupBy("repo", "path")
+        .agg(F.sum("s").alias("selected_n"), F.sum("f").alias("fetched_n"), F.bool_or("readme").alias("readme"))
     )
-    fetch_skips = skipped.where(c("stage") == "fetch").groupBy("repo").agg(F.count("*").alias("fetch_skips"))
-    actual = crawl_summary(selected, fetched, skipped).toDF(
-        "repo", "true_selected", "true_fetched", "true_skipped", "true_bytes"
-    )
-    hashes = manifest_hashes(selected, fetched, skipped).withColumnRenamed("manifest_hash", "true_hash")
-    readmes = (
-        selected.where(c("artifact_type") == "readme").select("repo", "path").distinct()
-        .join(fetched.select("repo", "path", F.lit(1).alias("got")).distinct(), ["repo", "path"], "left")
-        .groupBy("repo").agg(F.count("*").alias("readme_selected"), F.count("got").alias("readme_fetched"))
+    readmes = per_path.where("readme").groupBy("repo").agg(
+        F.count("*").alias("readme_selected"), F.count_if(F.col("fetched_n") > 0).alias("readme_fetched")
     )
-    facts = (
-        manifests.join(actual, "repo", "left").join(types, "repo", "left").join(hashes, "repo", "left")
-        .join(fetch_skips, "repo", "left").join(readmes, "repo", "left")
-        .fillna(0, ["true_selected", "true_fetched", "true_skipped", "true_bytes", "fetch_skips", "readme_selected", "readme_fetched"])
-    )
-    recorded_types = F.array_sort(F.map_entries("fetched_artifact_type_counts"))
-    same_types = F.to_json(F.transform(recorded_types, lambda e: F.struct(e["key"].alias("key"), e["value"].cast("bigint").alias("value")))) == F.to_json(
-        F.transform(F.coalesce("true_types", F.array().cast("array<struct<artifact_type:string,file_count:bigint>>")),
-                    lambda e: F.struct(e["artifact_type"].alias("key"), e["file_count"].alias("value")))
+    fetch_skips = skipped.where(c("stage") == "fetch").groupBy("repo").agg(F.count("*").alias("fetch_skips"))
+    facts = manifests.join(actual, "repo", "left").join(fetch_skips, "repo", "left").join(readmes, "repo", "left").fillna(
+        0, [*[f"true_{n}" for n in _SUMMARY], "fetch_skips", "readme_selected", "readme_fetched"]
     )
-    skip_ratio = rate(c("fetch_skips"), c("true_fetched") + c("fetch_skips"))
+
+    def entries(counts: str) -> Column:
+        listed = F.array_sort(F.map_entries(F.coalesce(counts, F.create_map().cast("map<string,bigint>"))))
+        return F.to_json(F.transform(listed, lambda e: F.struct(e["key"].alias("key"), e["value"].cast("bigint").alias("value"))))
+
+    same_types = entries("fetched_artifact_type_counts") == entries("true_fetched_artifact_type_counts")
+    skip_ratio = rate(c("fetch_skips"), c("true_fetched_file_count") + c("fetch_skips"))
 
     def mismatch(field: str, expected: str) -> Column:
         return F.lit(f"Manifest summary field {field} does not match {expected}.")
 
     checks = [
-        (~c("manifest_hash").eqNullSafe(c("true_hash")), "manifest_hash_mismatch", "error", F.lit("Manifest hash does not match manifest contents.")),
-        (c("selected_file_count") != c("true_selected"), "summary_mismatch", "error", mismatch("selected_file_count", "selected file list length")),
-        (c("fetched_file_count") != c("true_fetched"), "summary_mismatch", "error", mismatch("fetched_file_count", "fetched file list length")),
-        (c("skipped_path_count") != c("true_skipped"), "summary_mismatch", "error", mismatch("skipped_path_count", "skipped path list length")),
-        (c("total_fetched_bytes") != c("true_bytes"), "summary_mismatch", "error", mismatch("total_fetched_bytes", "sum of fetched file sizes")),
+        (~c("manifest_hash").eqNullSafe(c("true_manifest_hash")), "manifest_hash_mismatch", "error", F.lit("Manifest hash does not match manifest contents.")),
+        (c("selected_file_count") != c("true_selected_file_count"), "summary_mismatch", "error", mismatch("selected_file_count", "selected file list length")),
+        (c("fetched_file_count") != c("true_fetched_file_count"), "summary_mismatch", "error", mismatch("fetched_file_count", "fetched file list length")),
+        (c("skipped_path_count") != c("true_skipped_path_count"), "summary_mismatch", "error", mismatch("skipped_path_count", "skipped path list length")),
+        (c("total_fetched_bytes") != c("true_total_fetched_bytes"), "summary_mismatch", "error", mismatch("total_fetched_bytes", "sum of fetched file sizes")),
         (~same_types, "summary_mismatch", "error", mismatch("fetched_artifact_type_counts", "fetched file artifact type counts")),
-        (c("true_fetched") < min_fetched_files, "insufficient_fetched_files", "error", F.lit("Crawl fetched fewer files than the minimum quality threshold.")),
+        (c("true_fetched_file_count") < min_fetched_files, "insufficient_fetched_files", "error", F.lit("Crawl fetched fewer files than the minimum quality threshold.")),
         (skip_ratio > max_fetch_skip_ratio, "high_fetch_skip_ratio", "warning", F.lit("More fetched candidates failed than the crawl quality threshold allows.")),
     ]
     if require_readme:
@@ -350,12 +376,15 @@ def crawl_quality_issues(
     ]))
     repo_issues = facts.select("repo", F.inline(found)).withColumn("path", F.lit(None).cast("string"))
 
-    duplicates = [
-        _issue(df.groupBy("repo", "path").agg(F.count("*").alias("n")).where("n > 1"), code, "error", "Crawl manifest contains duplicate paths.", "path")
-        for df, code in ((selected, "duplicate_selected_path"), (fetched, "duplicate_fetched_path"))
-    ]
-    stray = _issue(fetched.join(selected, ["repo", "path"], "left_anti"), "fetched_file_not_selected", "error",
-                   "Fetched file was not present in selected file list.", "path")
+    # A stray path is reported once per fetched row, a duplicate once per path.
+    path_tests = F.array_compact(F.array(
+        F.when(c("selected_n") > 1, _path_issue("duplicate_selected_path", "Crawl manifest contains duplicate paths.", F.lit(1))),
+        F.when(c("fetched_n") > 1, _path_issue("duplicate_fetched_path", "Crawl manifest contains duplicate paths.", F.lit(1))),
+        F.when(c("selected_n") == 0, _path_issue("fetched_file_not_selected", "Fetched file was not present in selected file list.", c("fetched_n"))),
+    ))
+    path_issues = per_path.select("repo", "path", F.inline(path_tests)).select(
+        "repo", "code", F.lit("error").alias("severity"), "message", "path", F.explode(F.sequence(F.lit(1), c("copies").cast("int"))).alias("copy")
+    ).drop("copy")
     bad_hash = _issue(fetched.where(~c("content_hash").rlike("^[0-9a-f]{64}$")), "invalid_content_hash", "error",
                       "Fetched file content hash is not a SHA-256 hex digest.", "path")
     named = fetched.join(manifests.select("repo", "owner", "repo_name", "ref"), "repo")
@@ -371,7 +400,7 @@ def crawl_quality_issues(
     bad_url = _issue(named.where(~url_ok), "raw_url_mismatch", "error",
                      "Fetched file raw URL does not match the manifest source, ref, and path.", "path")
     out = repo_issues
-    for part in [*duplicates, stray, bad_hash, bad_url]:
+    for part in [path_issues, bad_hash, bad_url]:
         out = out.unionByName(part)
     return out
 

@@ -111,17 +111,12 @@ def crawl_tables(spark, d):
 
 def manifests(selected, fetched, skipped):
     """Recorded manifests; repositories with short names carry a wrong byte total."""
-    types = K.fetched_type_counts(fetched).groupBy("repo").agg(
-        F.map_from_entries(F.collect_list(F.struct("artifact_type", "file_count"))).alias("fetched_artifact_type_counts")
-    )
     off = (F.length("repo") == 5).cast("bigint")
-    recorded = (
-        K.crawl_summary(selected, fetched, skipped).join(K.manifest_hashes(selected, fetched, skipped), "repo").join(types, "repo", "left")
-        .withColumn("total_fetched_bytes", F.col("total_fetched_bytes") + off)
+    return (
+        K.recorded_manifests(selected, fetched, skipped).withColumn("total_fetched_bytes", F.col("total_fetched_bytes") + off)
         .withColumn("owner", F.lit("acme")).withColumn("repo_name", F.col("repo")).withColumn("ref", F.lit("main"))
-        .withColumn("fetched_artifact_type_counts", F.coalesce("fetched_artifact_type_counts", F.create_map().cast("map<string,bigint>")))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    return recorded.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def quality_query(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql.window import Window
 from pyspark.sql import functions as F
 
 from docvet.functions.numbers import json_change_count, json_number
@@ -16,7 +17,7 @@ from docvet.operators import policy as P
 from docvet.operators import quality as Q
 from docvet.operators.risk import severity_rank
 from docvet.plans import inputs as I
-from docvet.plans.graph_inputs import graph, nodes, parts
+from docvet.plans.graph_inputs import edges, graph, nodes, parts, size_capability
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES
 from docvet.plans.scan_queries import artifacts, findings
 from docvet.streaming import jobs
@@ -24,9 +25,9 @@ from docvet.streaming import jobs
 # Graph ---------------------------------------------------------------------------------------
 
 
-def _named(query):
+def _named(query, node_types, edge_types):
     def run(spark, d):
-        found = query(*graph(spark, d))
+        found = query(*graph(spark, d, node_types, edge_types))
         return found.select("raw_id", "label")
 
     return run
@@ -43,8 +44,6 @@ def _capabilities(spark, d, before: bool) -> DataFrame:
 
 
 def _shifted():
-    from docvet.plans.graph_inputs import size_capability
-
     return F.when(F.col("p_partkey") % 3 == 0, size_capability(F.col("p_size") + 1)).otherwise(size_capability(F.col("p_size")))
 
 
@@ -59,14 +58,14 @@ def integrity_query(spark, d):
 
 
 def edge_spec_query(spark, d):
-    e = graph(spark, d)[1]
+    e = edges(spark, d)
     swapped = F.col("edge_type").isin("mentions", "violates")
     bad = e.withColumn("target_node_type", F.when(swapped, F.lit("parameter")).otherwise(F.col("target_node_type")))
     return G.edge_type_violations(bad).groupBy("edge_type", "found", "expected").agg(F.count("*").alias("n"))
 
 
 def adjacency_query(spark, d):
-    n, e = graph(spark, d)
+    n, e = graph(spark, d, ("capability", "source_repo"), ("requires", "has_artifact"))
     out = G.target_nodes(n, e, "requires").groupBy("raw_id").agg(F.count("*").alias("n")).withColumn("direction", F.lit("out"))
     back = G.source_nodes(n, e, "has_artifact").groupBy("raw_id").agg(F.count("*").alias("n")).withColumn("direction", F.lit("in"))
     return out.unionByName(back)
@@ -86,20 +85,24 @@ def neighbourhood_query(spark, d):
 
 
 def blob_query(spark, d):
-    tools = nodes(spark, d).where("node_type = 'dependency'")
+    tools = nodes(spark, d, "dependency")
     text = F.concat_ws(" ", "name", map_text(F.col("metadata")))
     return tools.select("raw_id", F.length(text).alias("blob_length"), contains_any(text, G.HIGH_RISK_DEPENDENCY_MARKERS).alias("high_risk_text"),
                         F.coalesce(json_number(F.col("metadata")["risk_score"]), F.lit(-1.0)).alias("risk_score"))
 
 
 def change_query(spark, d):
-    tools = nodes(spark, d).where("node_type = 'tool'")
+    tools = nodes(spark, d, "tool")
     value = F.coalesce(*[F.col("metadata")[k] for k in G.CHANGE_KEYS])
     return tools.select("raw_id", F.coalesce(json_change_count(value), F.lit(0)).alias("changes"))
 
 
+FEATURE_NODES = ("tool", "external_domain", "env_var", "capability", "dependency", "finding", "evidence_span")
+FEATURE_EDGES = ("calls", "mentions", "requires", "depends_on", "defines", "contains", "triggers")
+
+
 def features(spark, d):
-    return G.tool_risk_features(*graph(spark, d))
+    return G.tool_risk_features(*graph(spark, d, FEATURE_NODES, FEATURE_EDGES))
 
 
 def feature_query(spark, d):
@@ -110,12 +113,13 @@ def feature_query(spark, d):
 
 
 def span_count_query(spark, d):
-    n, e = graph(spark, d)
+    n, e = graph(spark, d, ("tool",), ("defines", "contains"))
     return G.span_counts_of_tools(e).join(n.select("node_id", "raw_id"), "node_id").select("raw_id", "span_count")
 
 
 def upstream_query(spark, d):
-    kept_nodes, kept_edges = G.upstream_of_findings(*graph(spark, d), "critical")
+    n, e = graph(spark, d)
+    kept_nodes, kept_edges = G.upstream_of_findings(n, e, "critical")
     by_node = kept_nodes.groupBy(F.col("node_type").alias("kind")).agg(F.count("*").alias("n"))
     return by_node.unionByName(kept_edges.groupBy(F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")))
 
@@ -194,7 +198,7 @@ OPERATOR_PACK = P.PolicyPack(tuple(
 
 def operator_query(spark, d):
     rows = P.policy_matches(P.evaluate_pack(contexts(spark, d), OPERATOR_PACK))
-    return rows.groupBy(F.explode("triggered_by").alias("condition_label")).agg(F.count("*").alias("n"))
+    return rows.select(F.explode("triggered_by").alias("condition_label")).groupBy("condition_label").agg(F.count("*").alias("n"))
 
 
 # Actions and metrics -------------------------------------------------------------------------
@@ -310,8 +314,6 @@ def reporting_tables(spark, d):
     expected = found.where("severity in ('high', 'critical')").select(case, evidence)
     cited = found.where("severity <> 'low'").select(case, evidence, "artifact_id")
     # The rank only has to order the spans of one artifact, which admission bounds to one file.
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("artifact_id").orderBy("start_line", "rule_rank"))
     retrieved = found.select(case, evidence, rank.alias("rank"))
     return cases, expected, cited, retrieved
@@ -501,13 +503,13 @@ UNION ALL SELECT 'violates', 'finding>parameter', 'finding>policy_rule', count(D
     "c3_adjacency": (adjacency_query, f"""WITH {_P} SELECT cap AS raw_id, count(*) AS n, 'out' AS direction FROM (SELECT unnest([type_cap, size_cap]) AS cap FROM p) GROUP BY 1
 UNION ALL SELECT 'repo_' || s_nationkey, count(*), 'in' FROM supplier GROUP BY 1"""),
     "c3_degrees": (degree_query, None),
-    "c4_network_and_credentials": (_named(G.network_tools_with_credentials), f"WITH {_P} {_TN} p_type IN ('ECONOMY', 'PROMO') AND (bn % 4 = 0 OR bn % 5 = 0 OR bn % 7 = 0)"),
-    "c5_instruction_like_repos": (_named(G.repos_with_instruction_like_tools), """SELECT DISTINCT 'repo_' || n_nationkey AS raw_id, n_name AS label FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_size % 17 = 0"""),
+    "c4_network_and_credentials": (_named(G.network_tools_with_credentials, ("tool", "capability", "env_var"), ("requires", "mentions")), f"WITH {_P} {_TN} p_type IN ('ECONOMY', 'PROMO') AND (bn % 4 = 0 OR bn % 5 = 0 OR bn % 7 = 0)"),
+    "c5_instruction_like_repos": (_named(G.repos_with_instruction_like_tools, ("tool", "source_repo"), ("defines", "has_artifact")), """SELECT DISTINCT 'repo_' || n_nationkey AS raw_id, n_name AS label FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_size % 17 = 0"""),
     "c6_permission_changes": (lambda s, d: G.permission_changes(_capabilities(s, d, True), _capabilities(s, d, False)), f"""WITH {_P}, old AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN ['filesystem_write', 'shell_execution', 'email_send', 'read_only'][(p_size + 1) % 4 + 1] ELSE size_cap END AS old_cap FROM p WHERE p_partkey % 7 <> 0)
 SELECT tool AS tool_id, p_name AS tool_name, type_cap AS capability_id, 'added' AS change FROM old WHERE p_partkey % 10 = 0 UNION ALL SELECT tool, p_name, size_cap, 'added' FROM old WHERE p_partkey % 3 = 0 UNION ALL SELECT tool, p_name, old_cap, 'removed' FROM old WHERE p_partkey % 3 = 0"""),
-    "c7_abandoned_dependencies": (_named(G.high_risk_tools_with_abandoned_dependencies), f"WITH {_P} {_TN} (length(p_type) % 5 >= 3 OR p_size % 4 IN (0, 1)) AND length(p_name) % 6 IN (0, 3)"),
-    "c8_low_static_high_sandbox": (_named(G.low_static_high_sandbox_tools), f"WITH {_P} {_TN} p_partkey % 4 <> 1 AND p_size * 2 <= 40 AND p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'O' AND (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'))"),
-    "c9_quarantine_evidence": (_named(G.evidence_for_quarantine), f"WITH {_SP} SELECT DISTINCT span AS raw_id, span AS label FROM sp WHERE (s % 10 <> 3 AND s % 13 = 0) OR fd IN (SELECT fd FROM sp WHERE rf = 'R' AND ls = 'O')"),
+    "c7_abandoned_dependencies": (_named(G.high_risk_tools_with_abandoned_dependencies, ("tool", "capability", "dependency"), ("requires", "depends_on")), f"WITH {_P} {_TN} (length(p_type) % 5 >= 3 OR p_size % 4 IN (0, 1)) AND length(p_name) % 6 IN (0, 3)"),
+    "c8_low_static_high_sandbox": (_named(G.low_static_high_sandbox_tools, ("tool", "unsafe_action"), ("produced", "used")), f"WITH {_P} {_TN} p_partkey % 4 <> 1 AND p_size * 2 <= 40 AND p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'O' AND (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'))"),
+    "c9_quarantine_evidence": (_named(G.evidence_for_quarantine, ("finding", "policy_rule", "evidence_span"), ("violates", "triggers")), f"WITH {_SP} SELECT DISTINCT span AS raw_id, span AS label FROM sp WHERE (s % 10 <> 3 AND s % 13 = 0) OR fd IN (SELECT fd FROM sp WHERE rf = 'R' AND ls = 'O')"),
     "c10_graph_integrity": (integrity_query, "SELECT 'duplicate_node' AS problem, count(*) AS n FROM part WHERE p_partkey % 6 = 0 UNION ALL SELECT 'missing_target', count(*) FROM supplier"),
     "c19_span_counts": (span_count_query, f"WITH {_SP}, c AS (SELECT s, count(*) AS n FROM sp GROUP BY 1) SELECT 't' || k AS raw_id, sum(n) AS span_count FROM df JOIN c USING (s) GROUP BY 1"),
     "d14_tool_risk_features": (feature_query, f"""WITH {_FEAT} SELECT tool AS tool_id, p_name AS tool_name, external_communication_degree, sensitive_env_var_count, permission_count, high_risk_dependency_count,

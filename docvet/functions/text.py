@@ -125,7 +125,14 @@ def stemmed_tokens(text: Column) -> Column:
 
 def contains_any(text: Column, markers: Sequence[str]) -> Column:
     """Case-insensitive containment of any marker; null text contains none."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
+    listed = F.array(*[F.lit(m) for m in markers])
+    return let(
+        F.lower(F.coalesce(text, F.lit(""))), lambda lowered: F.exists(listed, lambda m: F.contains(lowered, m))
+    )
+
+
+def lowered_contains_any(lowered: Column, markers: Sequence[str]) -> Column:
+    """The same test for text that is already a lower-case column: plain generated code."""
     found = F.lit(False)
     for marker in markers:
         found = found | lowered.contains(marker)

@@ -80,10 +80,12 @@ def lexical_documents(chunks: DataFrame, *extra: str) -> DataFrame:
         chunks.withColumn("context", context),
         text_tokens=stemmed_tokens(F.col("text")), context_tokens=stemmed_tokens(F.col("context")),
     )
-    return tokens.select(
+    joined = compute_once(
+        tokens, normalized_text=F.array_join("text_tokens", " "), normalized_context=F.array_join("context_tokens", " ")
+    )
+    return joined.select(
         "chunk_id", "chunk_index", *extra, "text_tokens", "context_tokens", F.size("text_tokens").alias("text_length"),
-        F.array_join("text_tokens", " ").alias("normalized_text"),
-        F.array_join("context_tokens", " ").alias("normalized_context"),
+        "normalized_text", "normalized_context",
     )
 
 

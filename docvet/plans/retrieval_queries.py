@@ -44,8 +44,8 @@ def token_query(spark, d):
 
 
 def embedding_query(spark, d):
-    docs = I.table(spark, d, "documents").select("doc_id", V.hash_embedding(F.col("text")).alias("v"))
-    return docs.select("doc_id", F.posexplode("v").alias("dim", "value")).where("value <> 0")
+    docs = I.table(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(V.hash_embedding(F.col("text"))).alias("dim", "value")).where("value <> 0")
 
 
 def input_query(spark, d):

@@ -16,7 +16,10 @@ from docvet.functions.rules import DEFAULT_RULES, Rule
 from docvet.functions.text import compute_once
 from docvet.operators.lines import explode_lines, span_columns
 
+# Unicode case folding and word boundaries match the rule semantics but are slow; on ASCII text the
+# plain flag finds the same matches.
 FLAGS = "(?iU)"
+ASCII_FLAGS = "(?i)"
 _ANCHORS = ("^", "$", r"\A", r"\Z", r"\z", r"\G", "(?")
 
 
@@ -24,7 +27,16 @@ def _may_match(text: Column, rules: Sequence[Rule]) -> Column:
     """Cheap whole-text test that never misses a line match; rules with anchors are not tested."""
     if not rules or any(mark in rule.pattern for rule in rules for mark in _ANCHORS):
         return F.lit(True)
-    return text.rlike(FLAGS + "|".join(f"(?:{rule.pattern})" for rule in rules))
+    # One expression after another beats one big alternation, which loses the literal search.
+    found = F.lit(False)
+    for rule in rules:
+        found = found | _matches(text, rule.pattern)
+    return found
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    is_ascii = F.octet_length(text) == F.length(text)
+    return F.when(is_ascii, text.rlike(ASCII_FLAGS + pattern)).otherwise(text.rlike(FLAGS + pattern))
 
 
 def _rule_value(rules: Sequence[Rule], field: str) -> Column:
@@ -40,7 +52,7 @@ def scan_rules(
     """At most one finding per (line, rule). Extra artifact columns are carried along."""
     keep = [c for c in artifacts.columns if c != text]
     candidates = artifacts.where(_may_match(F.col(text), rules))
-    tests = [F.when(F.col("line").rlike(FLAGS + r.pattern), F.lit(i)) for i, r in enumerate(rules)]
+    tests = [F.when(_matches(F.col("line"), r.pattern), F.lit(i)) for i, r in enumerate(rules)]
     hits = (
         explode_lines(candidates, text)
         .select("*", F.explode(F.array_compact(F.array(*tests))).alias("rule_rank"))

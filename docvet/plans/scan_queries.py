@@ -22,7 +22,9 @@ MAX_BYTES = 20_000
 
 
 def artifacts(spark: SparkSession, d: str) -> DataFrame:
-    return I.derived(spark, d, I.ARTIFACTS)
+    """Artifact rows; the derived text is built once and not inlined into every later expression."""
+    rows = I.derived(spark, d, I.ARTIFACTS)
+    return X.compute_once(rows.withColumnRenamed("raw_text", "built_text"), raw_text=F.col("built_text")).drop("built_text")
 
 
 def checked(spark: SparkSession, d: str) -> DataFrame:

@@ -319,8 +319,7 @@ def ablation_input_problems(snapshots: DataFrame, baseline: str = "A1") -> DataF
 def ablation_study(snapshots: DataFrame, baseline: str = "A1") -> DataFrame:
     """Long form: value, delta and improvement of every metric of every variant.
 
-    The baseline is at most one row per metric, found by the same fold that spreads it: no
-    variant table is paired with itself.
+    The baseline side of the join has one row per metric, so it is at most as long as the metric list.
     """
     values = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(i).alias("metric_pos"), F.col(m).alias("value")) for i, m in enumerate(ABLATION_METRICS)])
     long = snapshots.select("variant_id", F.inline(values)).where(F.col("value").isNotNull())

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from docvet.operators import chunking as C
 from docvet.operators import crawl as K
 from docvet.operators import markdown as M
+from docvet.operators import report as P
 from docvet.operators import schemas as H
 from docvet.plans import inputs as I
-from docvet.plans.oracle import ART, CHECKED, LINES
-from docvet.plans.scan_queries import admitted, artifacts
+from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES, RISK
+from docvet.plans.scan_queries import admitted, artifacts, assessment, checked
 from docvet.sources.files import suffix
 
 
@@ -51,6 +52,11 @@ def parsed_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return markdown.unionByName(documents).unionByName(others)
 
 
+def scan_summary_query(spark, d):
+    skipped = checked(spark, d).where(F.col("skip_reason").isNotNull())
+    return P.scan_summary(admitted(spark, d), skipped, parsed_artifacts(spark, d), assessment(spark, d))
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_artifacts(artifacts(spark, d))
 
@@ -236,6 +242,14 @@ tools AS (SELECT doc_id, t, coalesce(nullif(t ->> '$.name', ''), nullif(t ->> '$
  row_number() OVER (PARTITION BY doc_id ORDER BY grp, CASE WHEN json_exists(t, '$.homepage') THEN 0 ELSE 1 END) - 1 AS tool_pos FROM cand WHERE json_type(t) = 'OBJECT')"""
 _URLS = r"""list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(CAST({0} AS VARCHAR), '"[^"]*"\s*:', '', 'g'), 'https?://[^\s"''<>),\]]+'), lambda u: rtrim(u, '.,;:'))))"""
 
+_PARSED = f"""{_MARKED}, {_PARAGRAPHS}, {_LINKS}, {_ENVS}, u AS (SELECT artifact_id FROM typed WHERE is_head UNION ALL SELECT artifact_id FROM paragraphs UNION ALL SELECT artifact_id FROM blocks
+ UNION ALL SELECT artifact_id FROM links UNION ALL SELECT artifact_id FROM envs), mc AS (SELECT artifact_id, count(*) AS n FROM u GROUP BY 1),
+{_JSON}, tc AS (SELECT doc_id, count(*) AS n FROM tools GROUP BY 1), uc AS (SELECT doc_id, j IS NULL AS bad, CASE WHEN j IS NULL THEN 0 ELSE len({_URLS.format('j')}) END AS n FROM js),
+parsed AS (SELECT c.artifact_id, c.run_id, CASE WHEN extension IN ('.md', '.markdown') THEN 'markdown' ELSE substr(extension, 2) END AS artifact_type,
+ CASE WHEN extension IN ('.md', '.markdown') THEN coalesce(mc.n, 0) WHEN extension = '.json' THEN coalesce(tc.n, 0) + uc.n ELSE 0 END AS parsed_item_count,
+ CASE WHEN extension = '.json' AND bad THEN 'Invalid JSON schema' ELSE '' END AS parse_error
+FROM checked c LEFT JOIN mc USING (artifact_id) LEFT JOIN tc ON tc.doc_id = c.doc_id LEFT JOIN uc ON uc.doc_id = c.doc_id WHERE skip_reason IS NULL)"""
+
 # Chunk oracle: sections by windows, split points by a recursive walk over the lines of a section.
 _SECTIONS = f"""{_L}, h AS (SELECT artifact_id, line_no, line, regexp_matches(line, {_HEAD}) AS is_head, length(regexp_extract(line, {_HEAD}, 1)) AS level,
  trim(regexp_extract(line, {_HEAD}, 2)) AS head_text FROM lines),
@@ -331,13 +345,11 @@ SELECT doc_id, tool_pos, name, coalesce(CASE WHEN json_type(v) = 'OBJECT' THEN v
     "b16_schema_urls": (schema_url_query, f"""WITH s AS ({I.SCHEMAS}), js AS (SELECT doc_id, TRY_CAST(schema_text AS JSON) AS j FROM s)
 SELECT doc_id, CASE WHEN j IS NULL THEN '' ELSE array_to_string({_URLS.format('j')}, ' ') END AS urls, CASE WHEN j IS NULL THEN 'Invalid JSON schema' ELSE '' END AS parse_error FROM js"""),
     "b18_parsed_artifacts": (lambda s, d: parsed_artifacts(s, d).select("artifact_id", "artifact_type", "parsed_item_count", F.coalesce("parse_error", F.lit("")).alias("parse_error")),
-                             f"""{_MARKED}, {_PARAGRAPHS}, {_LINKS}, {_ENVS}, u AS (SELECT artifact_id FROM typed WHERE is_head UNION ALL SELECT artifact_id FROM paragraphs UNION ALL SELECT artifact_id FROM blocks
- UNION ALL SELECT artifact_id FROM links UNION ALL SELECT artifact_id FROM envs), mc AS (SELECT artifact_id, count(*) AS n FROM u GROUP BY 1),
-{_JSON}, tc AS (SELECT doc_id, count(*) AS n FROM tools GROUP BY 1), uc AS (SELECT doc_id, j IS NULL AS bad, CASE WHEN j IS NULL THEN 0 ELSE len({_URLS.format('j')}) END AS n FROM js)
-SELECT c.artifact_id, CASE WHEN extension IN ('.md', '.markdown') THEN 'markdown' ELSE substr(extension, 2) END AS artifact_type,
- CASE WHEN extension IN ('.md', '.markdown') THEN coalesce(mc.n, 0) WHEN extension = '.json' THEN coalesce(tc.n, 0) + uc.n ELSE 0 END AS parsed_item_count,
- CASE WHEN extension = '.json' AND bad THEN 'Invalid JSON schema' ELSE '' END AS parse_error
-FROM checked c LEFT JOIN mc USING (artifact_id) LEFT JOIN tc ON tc.doc_id = c.doc_id LEFT JOIN uc ON uc.doc_id = c.doc_id WHERE skip_reason IS NULL"""),
+                             f"{_PARSED} SELECT artifact_id, artifact_type, parsed_item_count, parse_error FROM parsed"),
+    "d4_scan_summary": (scan_summary_query, f"""{_PARSED}, {FINDINGS}, {RISK}, pc AS (SELECT run_id, count(*) AS n, sum(parsed_item_count) AS items, count(*) FILTER (parse_error <> '') AS bad FROM parsed GROUP BY 1),
+ sk AS (SELECT run_id, count(*) AS n FROM checked WHERE skip_reason IS NOT NULL GROUP BY 1)
+SELECT r.run_id, coalesce(pc.n, 0) AS scanned_file_count, coalesce(sk.n, 0) AS skipped_count, coalesce(items, 0) AS parsed_item_count, coalesce(bad, 0) AS parse_error_count,
+ finding_count, risk_score, risk_level, policy_decision FROM risk r LEFT JOIN pc USING (run_id) LEFT JOIN sk USING (run_id)"""),
     "b19_repo_urls": (repo_url_query, rf"""WITH u AS ({I.REPO_URLS}), a AS (SELECT page_id, trim(raw_url) AS t FROM u),
 b AS (SELECT *, lower(regexp_extract(t, {_URL}, 1)) AS scheme, regexp_extract(t, {_URL}, 2) AS auth, list_filter(string_split(regexp_extract(t, {_URL}, 3), '/'), lambda x: x <> '') AS seg,
  regexp_extract(t, {_URL}, 4) AS q, regexp_extract(t, {_URL}, 5) AS fr FROM a),

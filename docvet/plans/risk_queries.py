@@ -319,6 +319,10 @@ def reporting_tables(spark, d):
     return cases, expected, cited, retrieved
 
 
+def case_query(spark, d):
+    return M.reporting_cases(findings(spark, d).withColumnRenamed("span_id", "evidence_id"))
+
+
 def reporting(spark, d):
     return M.reporting_metrics(*reporting_tables(spark, d), retrieval_k=1)
 
@@ -551,6 +555,7 @@ SELECT event_id, mode, mode = 'baseline' OR (NOT unsafe AND risk_level NOT IN ('
     "c11_record_mismatches": (mismatch_query, f"""WITH {_F}, {_TRUTH}, p AS (SELECT artifact_id AS record_id, count(*) AS n FROM findings GROUP BY 1)
 SELECT coalesce(t.record_id, p.record_id) AS record_id, CASE WHEN n IS NULL THEN 'missing_prediction' WHEN t.record_id IS NULL THEN 'missing_truth' ELSE 'duplicate_prediction' END AS problem FROM truth t FULL JOIN p ON p.record_id = t.record_id WHERE n IS NULL OR t.record_id IS NULL OR n > 1"""),
     "d15_detection_metrics": (lambda s, d: _six(detection(s, d)), f"WITH {_F}, {_DET} SELECT {_DCOLS} FROM det"),
+    "d21_reporting_cases": (case_query, f"WITH {_F} SELECT 'report_' || run_id AS case_id, span_id AS evidence_id, artifact_id FROM findings"),
     "d20_reporting_metrics": (lambda s, d: _six(reporting(s, d)), f"WITH {_F}, {_REP} SELECT sample_count, {', '.join(f'round({c}, 6) AS {c}' for c in M.ABLATION_METRICS[5:11])} FROM rep"),
     "b45_ablation_snapshots": (snapshot_query, f"{_ABL} SELECT variant_id, {', '.join(f'coalesce(round({c}, 6), -1) AS {c}' for c in M.ABLATION_METRICS)} FROM snap"),
     "d22_ablation_study": (ablation_query, f"""{_ABL}, long AS (UNPIVOT (SELECT variant_id, {', '.join(f'{c}::DOUBLE AS {c}' for c in M.ABLATION_METRICS)} FROM snap) ON {', '.join(M.ABLATION_METRICS)} INTO NAME metric VALUE value), base AS (SELECT metric, value AS b FROM long WHERE variant_id = 'A1')

@@ -4,14 +4,13 @@ sandbox tasks. Every derivation is a projection or a distinct over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docvet.operators import graph as G
 from docvet.plans.inputs import table
+from docvet.session import reliable_checkpoint
 
 ATTRIBUTES = {
     "name": "string", "description": "string", "domain": "string", "sensitive": "boolean", "risk_weight": "int",
@@ -53,7 +52,11 @@ def _key(prefix: str, *names: str) -> Column:
 
 
 def _chosen(typed: list[tuple[str, Callable[[], DataFrame]]], types: tuple[str, ...]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [build() for kind, build in typed if not types or kind in types])
+    frames = [build() for kind, build in typed if not types or kind in types]
+    # Pairwise, so the growing union is not analysed again for every part.
+    while len(frames) > 1:
+        frames = [frames[i].union(frames[i + 1]) if i + 1 < len(frames) else frames[i] for i in range(0, len(frames), 2)]
+    return frames[0]
 
 
 SIZE_NAMES = ("filesystem_write", "shell_execution", "email_send", "read_only")
@@ -161,8 +164,9 @@ def edges(spark: SparkSession, d: str, *types: str) -> DataFrame:
 
 def graph(spark: SparkSession, d: str, node_types: tuple[str, ...] = (), edge_types: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges. A stored graph is partitioned by type and prunes to the types a query filters
-    on; here the same pruning is done by naming them. The whole graph is kept for reuse."""
+    on; here the same pruning is done by naming them. The whole graph is written to the checkpoint
+    folder first, like the stored table it stands for."""
     n, e = nodes(spark, d, *node_types), edges(spark, d, *edge_types)
     if node_types and edge_types:
         return n, e
-    return n.persist(StorageLevel.MEMORY_AND_DISK), e.persist(StorageLevel.MEMORY_AND_DISK)
+    return reliable_checkpoint(n), reliable_checkpoint(e)

@@ -15,6 +15,7 @@ from docvet.session import ensure_checkpoint_dir
 #: Bytes of a text that are turned into words at once; longer texts are read in runs of about this size.
 RUN_BYTES = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_SPACE_TEXT = re.compile(r"[\x20\x09-\x0D]")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -95,3 +96,15 @@ def components(pairs: DataFrame) -> DataFrame:
         least = stored(large.groupBy("hi").agg(F.min("lo").alias("m")))
         moved = large.join(least, "hi").where("lo <> m").selectExpr("m AS lo", "lo AS hi")
         edges = stored(moved.union(least.selectExpr("m AS lo", "hi")).distinct())
+
+
+def text_runs(text: str) -> Iterator[tuple[int, str]]:
+    """(offset, piece) of a text in pieces of about RUN_BYTES characters that end before white space."""
+    start = 0
+    while len(text) - start > RUN_BYTES:
+        cut = _SPACE_TEXT.search(text, start + RUN_BYTES)
+        if cut is None:
+            break
+        yield start, text[start:cut.start()]
+        start = cut.start()
+    yield start, text[start:]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docvet.llm import chunk_prints, sharding, simhash, url_filter
+from docvet.llm import chunk_prints, importance, line_windows, sharding, simhash, toxicity, url_filter
 from docvet.llm.common import documents
 
 URL_RULES = (
@@ -57,12 +57,54 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    crf = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out))
+    return toxicity.score(docs, crf).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _, _ = importance.sample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scores.select("doc_id", "log_weight", "key", "selected")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_documents(documents(spark, sf_dir), shards=8)
     crc = F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
     return dealt.select("doc_id", "size", crc, F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_windows.remove_repeats(documents(spark, sf_dir)).select("doc_id", "lines", "removed", "text")
+
+
+#: Sentence ends get a mark, as this dialect has no look-behind; the documents hold no such mark.
+_OP9_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(30), 'g'), chr(30)), lambda x: x <> '') AS parts FROM documents
+), line AS (
+  SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS place FROM pieces
+), real AS (
+  SELECT doc_id, place, lower(trim(part, chr(32) || chr(9) || chr(10) || chr(13))) AS l, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS rn
+  FROM line WHERE trim(part, chr(32) || chr(9) || chr(10) || chr(13)) <> ''
+), three AS (
+  SELECT doc_id, rn, l || chr(10) || lead(l, 1) OVER w || chr(10) || lead(l, 2) OVER w AS win,
+    length(l || lead(l, 1) OVER w || lead(l, 2) OVER w) - length(replace(l || lead(l, 1) OVER w || lead(l, 2) OVER w, ' ', '')) + 3 AS words FROM real WINDOW w AS (PARTITION BY doc_id ORDER BY rn)
+), ranked AS (
+  SELECT doc_id, rn, row_number() OVER (PARTITION BY win ORDER BY doc_id, rn) AS k FROM three WHERE win IS NOT NULL AND words >= 8
+), gone AS (
+  SELECT DISTINCT r.doc_id, x.place FROM ranked r JOIN real x ON x.doc_id = r.doc_id AND x.rn BETWEEN r.rn AND r.rn + 2 WHERE k > 1
+), texts AS (
+  SELECT l.doc_id, count(*) AS lines, coalesce(list(l.place ORDER BY l.place) FILTER (g.place IS NOT NULL), []) AS removed,
+    coalesce(string_agg(l.part, '' ORDER BY l.place) FILTER (g.place IS NULL), '') AS text
+  FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(t.lines, 0)::INT AS lines, coalesce(t.removed, [])::INT[] AS removed, coalesce(t.text, d.text) AS text
+FROM documents d LEFT JOIN texts t USING (doc_id)
+"""
+
+
 def op10_chunk_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_prints.edit_study(documents(spark, sf_dir))
 
@@ -71,6 +113,9 @@ def op10_chunk_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": (op1_url_filter, _OP1_SQL),
     "op2_simhash": (op2_simhash, None),
+    "op3_toxicity": (op3_toxicity, None),
+    "op6_importance": (op6_importance, None),
     "op8_sharding": (op8_sharding, None),
+    "op9_line_windows": (op9_line_windows, _OP9_SQL),
     "op10_chunk_prints": (op10_chunk_prints, None),
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docvet.llm import chunk_prints, importance, line_windows, sharding, simhash, toxicity, url_filter
+from docvet.llm import chunk_prints, contamination, importance, line_windows, packing, sharding, simhash, toxicity, url_filter
 from docvet.llm.common import documents
 
 URL_RULES = (
@@ -64,6 +65,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, crf).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
+def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = contamination.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks.select("doc_id", "item_id", "score", "start", "end")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces with a digest of their ids; the vocabulary is that of byte_bpe_50k.json, whose ids a test compares."""
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir))
+
+
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, _, _ = importance.sample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scores.select("doc_id", "log_weight", "key", "selected")
@@ -114,6 +130,8 @@ QUERIES = {
     "op1_url_filter": (op1_url_filter, _OP1_SQL),
     "op2_simhash": (op2_simhash, None),
     "op3_toxicity": (op3_toxicity, None),
+    "op4_contamination": (op4_contamination, None),
+    "op5_packing": (op5_packing, None),
     "op6_importance": (op6_importance, None),
     "op8_sharding": (op8_sharding, None),
     "op9_line_windows": (op9_line_windows, _OP9_SQL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docvet.llm import chunk_prints, contamination, importance, line_windows, packing, sharding, simhash, toxicity, url_filter
+from docvet.llm import chunk_prints, contamination, importance, license_scan, line_windows, packing, sharding, simhash, toxicity, url_filter
 from docvet.llm.common import documents
 
 URL_RULES = (
@@ -85,6 +85,11 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "log_weight", "key", "selected")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return license_scan.scan(docs, license_scan.fit(docs))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_documents(documents(spark, sf_dir), shards=8)
     crc = F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
@@ -133,6 +138,7 @@ QUERIES = {
     "op4_contamination": (op4_contamination, None),
     "op5_packing": (op5_packing, None),
     "op6_importance": (op6_importance, None),
+    "op7_license_scan": (op7_license_scan, None),
     "op8_sharding": (op8_sharding, None),
     "op9_line_windows": (op9_line_windows, _OP9_SQL),
     "op10_chunk_prints": (op10_chunk_prints, None),

@@ -14,7 +14,7 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -98,12 +98,11 @@ def grams_of(tokens: Column) -> Column:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Features in the order of the coefficients; anchors: a word of each feature; level: least calibrated probability of a family."""
+    """The regression over `features`; anchors: a word of each feature; level: least calibrated probability of a family."""
 
     classes: tuple[str, ...]
     features: tuple[str, ...]
-    coefficients: tuple[tuple[float, ...], ...]
-    intercepts: tuple[float, ...]
+    regression: LogisticRegressionModel
     anchors: tuple[str, ...]
     temperature: float
     level: float
@@ -119,7 +118,7 @@ def paragraphs(docs: DataFrame, pattern: str | None, id_col: str, text_col: str)
 
 
 def fit(
-    docs: DataFrame, max_documents: int = 1_000, max_paragraphs: int = 3_000, most_common: float = 0.004, level: float = 0.5,
+    docs: DataFrame, max_documents: int = 1_000, max_paragraphs: int = 3_000, most_common: float = 0.004, level: float = 0.3,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Classifier:
     """A classifier from the notices and from at most `max_paragraphs` paragraphs of at most `max_documents` documents, both by a hash.
@@ -137,8 +136,7 @@ def fit(
     rows = spark.createDataFrame(notices, "label int, kept int, body string").unionByName(negative.select(F.lit(0).alias("label"), F.pmod(F.xxhash64("body"), F.lit(2)).cast("int").alias("kept"), "body"))
     rows = stored(rows.withColumn("grams", F.array_distinct(grams_of(tokens_of(F.col("body"))))))
 
-    plain = {frame for f in FRAMES for frame in grams_in(f.format(" "))}
-    wanted = sorted({g for _, _, t in notices for g in grams_in(t)} - plain)
+    wanted = sorted({g for texts in NOTICES.values() for t in texts for g in grams_in(t)})
     counts = {r.g: r.n for r in rows.where("label = 0").select(F.explode("grams").alias("g")).where(F.col("g").isin(wanted)).groupBy("g").agg(F.count("*").alias("n")).collect()}
     size = rows.where("label = 0").count()
     features = tuple(g for g in wanted if counts.get(g, 0) <= most_common * size)
@@ -151,14 +149,12 @@ def fit(
     train = train.withColumn("label", F.col("label").cast("double"))
     blank = spark.createDataFrame([(0.0, 20.0, [])], "label double, weight double, grams array<string>")  # ordinary text has no feature at all
     train = train.select("label", "weight", "features", "kept").unionByName(counter.transform(blank).select("label", "weight", "features", F.lit(0).alias("kept")))
-    train = stored(train)
-    learner = LogisticRegression(maxIter=60, regParam=0.002, elasticNetParam=0.5, family="multinomial", weightCol="weight", standardization=False)
+    train = stored(train.coalesce(2))
+    learner = LogisticRegression(maxIter=50, regParam=0.0003, family="multinomial", weightCol="weight", standardization=False)
     half = learner.fit(train.where("kept = 0"))
     held = [(int(r.label), list(r.raw)) for r in half.transform(train.where("kept = 1 AND label > 0")).select("label", vector_to_array("rawPrediction").alias("raw")).collect()]
     model = learner.fit(train)
-    return Classifier(
-        classes, features, tuple(map(tuple, model.coefficientMatrix.toArray().tolist())), tuple(model.interceptVector.toArray().tolist()), anchors, _temperature(held), level
-    )
+    return Classifier(classes, features, model, anchors, _temperature(held), level)
 
 
 def grams_in(text: str) -> set[str]:
@@ -186,21 +182,17 @@ def scan(docs: DataFrame, model: Classifier, least_template: float = 0.7, id_col
     `least_template` of its words in the paragraph, else unknown. Whole texts are read; null and empty texts and those without
     notices give no rows, repeated rows give repeated rows, and other columns are not read.
     """
-    if model.intercepts[0] <= max(model.intercepts[1:]):
+    intercepts = model.regression.interceptVector.toArray().tolist()
+    if intercepts[0] <= max(intercepts[1:]):
         raise ValueError("text without any feature must be no notice")
     pattern = r"(?iU)\b(" + "|".join(re.escape(a) for a in model.anchors) + r")\b"
     rows = paragraphs(docs, pattern, id_col, text_col).withColumn("tokens", tokens_of(F.col("body")))
     counter = CountVectorizerModel.from_vocabulary(list(model.features), inputCol="grams", outputCol="features", minTF=1.0)
     counter.setBinary(True)
     rows = counter.transform(rows.withColumn("grams", F.array_distinct(grams_of(F.col("tokens")))))
-    present = F.filter(F.transform(vector_to_array("features"), lambda x, k: F.when(x > 0, k)), lambda k: k.isNotNull())
-    # written, as every later expression would else repeat these; candidates are few
-    rows = stored(rows.withColumn("present", present).where(F.size("present") > 0).select("doc_id", "paragraph", "body", "tokens", "present"))
-    def linear(weights: tuple[float, ...], intercept: float) -> Column:
-        row = F.array(*map(F.lit, weights))
-        return F.aggregate("present", F.lit(intercept), lambda total, k: total + F.get(row, k))
-
-    rows = stored(rows.withColumn("raw", F.array(*[linear(w, b) for w, b in zip(model.coefficients, model.intercepts)])).drop("present"))
+    raw = model.regression.setFeaturesCol("features").transform(rows).withColumn("raw", vector_to_array("rawPrediction"))
+    # written, as every later expression would else repeat these; paragraphs with an anchor are few
+    rows = stored(raw.where("prediction > 0").select("doc_id", "paragraph", "body", "tokens", "raw"))
     top = F.array_max("raw")
     share = F.aggregate("raw", F.lit(0.0), lambda s, x: s + F.exp((x - top) / model.temperature))
     names = F.array(*map(F.lit, model.classes))

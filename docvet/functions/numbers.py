@@ -26,17 +26,20 @@ def json_number(value: Column) -> Column:
 
 
 def json_change_count(value: Column) -> Column:
-    """How many changes a metadata value stands for: number, flag, list or object size, or text."""
+    """How many changes a metadata value stands for: number, flag, list or object size, or text.
+
+    Numbers are cut towards zero and never negative; those that are not finite, or beyond a bigint, count as text.
+    """
     text = F.trim(value)
     number = value.try_cast("double")
     return (
         F.when(F.lower(text) == "true", 1)
         .when(F.lower(text) == "false", 0)
-        .when(number.isNotNull(), F.greatest(F.lit(0), F.floor(F.abs(number)).cast("int") * F.signum(number).cast("int")))
+        .when(number.between(-(2.0**63), 2.0**63 - 1024), F.greatest(F.lit(0), number.try_cast("bigint")))
         .when(text.startswith("["), F.coalesce(F.json_array_length(text), F.lit(1)))
         .when(text.startswith("{"), F.coalesce(F.size(F.json_object_keys(text)), F.lit(1)))
         .when(text == "", 0)
         .when(text.isNull(), 0)
         .otherwise(1)
-        .cast("int")
+        .cast("bigint")
     )

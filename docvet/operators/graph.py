@@ -325,7 +325,7 @@ def tool_risk_features(nodes: DataFrame, edges: DataFrame, high_risk_dependency_
     )
 
 
-def undirected_distances(edges: DataFrame, starts: DataFrame, max_depth: int = 16) -> DataFrame:
+def undirected_distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Shortest undirected distance from each start node to every reachable node (breadth first).
 
     One frontier join per level. Each level is checkpointed to the shared folder, so lineage stays
@@ -334,14 +334,13 @@ def undirected_distances(edges: DataFrame, starts: DataFrame, max_depth: int = 1
     both_ways = edges.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b"))
     both_ways = both_ways.unionByName(both_ways.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     seen = reliable_checkpoint(starts.select(F.col("node_id").alias("start"), "node_id", F.lit(0).alias("distance")).distinct())
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while not frontier.isEmpty():
+        depth += 1
         step = frontier.join(both_ways, frontier["node_id"] == both_ways["a"]).select("start", F.col("b").alias("node_id")).distinct()
         frontier = reliable_checkpoint(
             step.join(seen, ["start", "node_id"], "left_anti").withColumn("distance", F.lit(depth))
         )
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
     return seen
 

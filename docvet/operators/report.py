@@ -152,25 +152,14 @@ def source_id(root_path: Column) -> Column:
     return F.concat(F.lit("source_"), F.substring(F.sha2(root_path, 256), 1, 16))
 
 
-def run_ids(files: DataFrame, max_files_in_cell: int = 10_000) -> DataFrame:
-    """Run id of every root path: sha256 over the root, then (path, hash) of its files in order.
+def run_ids(files: DataFrame) -> DataFrame:
+    """Run id of every root path: sha256 over the root and an order-free digest of its (path, hash) rows.
 
-    The plain concatenation is built only where the file count is checked to be small; larger
-    roots take an order-free digest of the same rows, which folds map-side at any size.
+    One rule at every size; rows fold map-side, and no root's files meet in a task.
     """
-    counts = files.groupBy("root_path").agg(F.count("*").alias("file_count"))
-    sized = files.join(counts, "root_path")
-    small = sized.where(F.col("file_count") <= max_files_in_cell).groupBy("root_path").agg(
-        F.array_sort(F.collect_list(F.struct("relative_path", "content_hash"))).alias("rows")
-    )
-    joined = F.array_join(F.transform("rows", lambda r: F.concat(r["relative_path"], r["content_hash"])), "")
-    small_ids = small.select("root_path", F.sha2(F.concat("root_path", joined), 256).alias("digest"))
     row_hash = F.sha2(F.concat("relative_path", F.lit(":"), "content_hash"), 256)
-    large = sized.where(F.col("file_count") > max_files_in_cell).groupBy("root_path").agg(
-        multiset_digest(row_hash).alias("row_digest")
-    )
-    large_ids = large.select("root_path", F.sha2(F.concat("root_path", F.lit(":"), "row_digest"), 256).alias("digest"))
-    return small_ids.unionByName(large_ids).select(
-        "root_path", F.concat(F.lit("run_"), F.substring("digest", 1, 16)).alias("run_id"),
-        source_id(F.col("root_path")).alias("source_id"),
+    digests = files.groupBy("root_path").agg(multiset_digest(row_hash).alias("row_digest"))
+    digest = F.sha2(F.concat("root_path", F.lit(":"), "row_digest"), 256)
+    return digests.select(
+        "root_path", F.concat(F.lit("run_"), F.substring(digest, 1, 16)).alias("run_id"), source_id(F.col("root_path")).alias("source_id")
     )

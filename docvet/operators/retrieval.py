@@ -61,7 +61,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def query_batches(prepared: DataFrame, size: int = QUERIES_PER_BATCH) -> Iterator[QueryBatch]:
-    """Cut a query table into bounded batches by id; never more than ``size`` rows at a time."""
+    """Cut a query table into bounded batches by id; never more than ``size`` rows at a time.
+
+    Queries without an id have no result. An id that is there more than once stands for its least query.
+    """
+    rest = [c for c in prepared.columns if c != "query_id"]
+    prepared = prepared.where("query_id IS NOT NULL").groupBy("query_id").agg(F.min_by(F.struct(*rest), "query").alias("q")).select("query_id", "q.*")
     last = None
     while True:
         page = prepared if last is None else prepared.where(F.col("query_id") > F.lit(last))

@@ -28,8 +28,8 @@ def yaml_to_json(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
     def convert(text: str) -> tuple[str | None, str | None]:
         try:
-            return json.dumps(yaml.safe_load(text), default=str), None
-        except yaml.YAMLError as problem:
+            return json.dumps(yaml.safe_load(text or ""), default=str, allow_nan=False), None
+        except Exception as problem:  # noqa: BLE001  a bad date, key or number is a bad schema, not a failed job
             return None, f"Invalid YAML schema: {problem}"
 
     for batch in texts:

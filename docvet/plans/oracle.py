@@ -11,7 +11,7 @@ ALLOWED_SQL = "('.md', '.markdown', '.json', '.yaml', '.yml', '.txt', '.toml')"
 ART = f"artifacts AS ({ARTIFACTS})"
 
 CHECKED = f"""checked AS (SELECT *, CASE WHEN list_has_any(string_split(path, '/'), ['node_modules', 'dist', 'build', '.git']) THEN 'ignored_path'
- WHEN extension NOT IN {ALLOWED_SQL} THEN 'unsupported_extension' WHEN strlen(raw_text) > 20000 THEN 'file_too_large' END AS skip_reason
+ WHEN extension NOT IN {ALLOWED_SQL} THEN 'unsupported_extension' WHEN strlen(raw_text) > 1000000 THEN 'file_too_large' END AS skip_reason
  FROM (SELECT *, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS extension FROM artifacts))"""
 
 BREAKS = r"'\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'"

@@ -65,8 +65,8 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     return I.derived(spark, d, I.TREE)
 
 
-def selection(spark: SparkSession, d: str) -> DataFrame:
-    return K.select_relevant_files(tree(spark, d), max_file_size_bytes=1_000_000, max_selected_files=7)
+def selection(spark: SparkSession, d: str, max_selected_files: int = 100) -> DataFrame:
+    return K.select_relevant_files(tree(spark, d), max_file_size_bytes=1_000_000, max_selected_files=max_selected_files)
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +90,7 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def responses_query(spark, d):
-    rows = K.admit_responses(responses(spark, d), max_file_size_bytes=6_000)
+    rows = K.admit_responses(responses(spark, d), max_file_size_bytes=1_000_000)
     return rows.select("page_id", F.coalesce("skip_reason", F.lit("")).alias("skip_reason"), "size_bytes",
                        F.coalesce("content_hash", F.lit("")).alias("content_hash"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("text_hash"))
 
@@ -142,9 +142,7 @@ def summary_query(spark, d):
 
 
 def manifest_query(spark, d):
-    """Hash over the selected rows (the fetched and skipped parts carry seeded faults)."""
-    selected, fetched, skipped = crawl_tables(spark, d)
-    return K.manifest_hashes(selected, fetched.where("1 = 0"), skipped.where("1 = 0"))
+    return K.manifest_hashes(*crawl_tables(spark, d))
 
 
 def classify_query(spark, d):
@@ -154,7 +152,8 @@ def classify_query(spark, d):
 
 
 def selection_query(spark, d):
-    rows = selection(spark, d)
+    """The few best files of a repository: the limit is what is asked for."""
+    rows = selection(spark, d, max_selected_files=7)
     return rows.select("repo", "doc_id", "path", F.coalesce("skip_reason", F.lit("")).alias("skip_reason"), F.coalesce("artifact_type", F.lit("")).alias("artifact_type"))
 
 
@@ -248,7 +247,7 @@ _PARSED = f"""{_MARKED}, {_PARAGRAPHS}, {_LINKS}, {_ENVS}, u AS (SELECT artifact
 parsed AS (SELECT c.artifact_id, c.run_id, CASE WHEN extension IN ('.md', '.markdown') THEN 'markdown' ELSE substr(extension, 2) END AS artifact_type,
  CASE WHEN extension IN ('.md', '.markdown') THEN coalesce(mc.n, 0) WHEN extension = '.json' THEN coalesce(tc.n, 0) + uc.n ELSE 0 END AS parsed_item_count,
  CASE WHEN extension = '.json' AND bad THEN 'Invalid JSON schema' ELSE '' END AS parse_error
-FROM checked c LEFT JOIN mc USING (artifact_id) LEFT JOIN tc ON tc.doc_id = c.doc_id LEFT JOIN uc ON uc.doc_id = c.doc_id WHERE skip_reason IS NULL)"""
+FROM checked c LEFT JOIN mc USING (artifact_id) LEFT JOIN tc ON tc.doc_id = -1 - c.doc_id LEFT JOIN uc ON uc.doc_id = -1 - c.doc_id WHERE skip_reason IS NULL)"""
 
 # Chunk oracle: sections by windows, split points by a recursive walk over the lines of a section.
 _SECTIONS = f"""{_L}, h AS (SELECT artifact_id, line_no, line, regexp_matches(line, {_HEAD}) AS is_head, length(regexp_extract(line, {_HEAD}, 1)) AS level,
@@ -289,10 +288,10 @@ n3 AS (SELECT repo, doc_id, CASE WHEN unsafe THEN path ELSE p END AS path, size,
  WHEN size > 1000000 THEN 'file_too_large' WHEN kind IS NULL THEN 'unsupported_file' END AS reason FROM n2),
 n4 AS (SELECT *, CASE WHEN reason IS NULL THEN CASE kind WHEN 'readme' THEN 0 WHEN 'tool_schema' THEN 10 WHEN 'package_manifest' THEN 20 WHEN 'documentation' THEN 30 ELSE 40 END END AS priority FROM n3),
 n5 AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY repo, reason IS NULL ORDER BY priority, lower(path), path) END AS rn FROM n4),
-sel AS (SELECT repo, doc_id, path, size, priority, CASE WHEN rn > 7 THEN 'selection_limit' ELSE reason END AS skip_reason, CASE WHEN reason IS NULL AND rn <= 7 THEN kind END AS artifact_type FROM n5)"""
+sel AS (SELECT repo, doc_id, path, size, priority, CASE WHEN rn > 100 THEN 'selection_limit' ELSE reason END AS skip_reason, CASE WHEN reason IS NULL AND rn <= 100 THEN kind END AS artifact_type FROM n5)"""
 _ENC = "replace(replace(replace(replace({0}, '%', '%25'), ' ', '%20'), 'ü', '%C3%BC'), '*', '%2A')"
 _CRAWL = f"""{_TREE}, selected AS (SELECT repo, doc_id, path, artifact_type, priority, size AS size_bytes FROM sel WHERE skip_reason IS NULL),
-fetched AS (SELECT repo, path || CASE WHEN doc_id % 40 = 2 THEN '.bak' ELSE '' END AS path, doc_id, artifact_type, coalesce(size_bytes, 10) AS size_bytes,
+fetched AS (SELECT repo, path || CASE WHEN doc_id % 40 = 2 THEN '.bak' ELSE '' END AS path, path AS plain, doc_id, artifact_type, coalesce(size_bytes, 10) AS size_bytes,
  unnest(range(CASE WHEN doc_id % 50 = 1 THEN 2 ELSE 1 END)) AS cp FROM selected WHERE doc_id % 4 <> 0),
 skipped AS (SELECT repo, path, 'discovery' AS stage, skip_reason AS reason FROM sel WHERE skip_reason IS NOT NULL UNION ALL SELECT repo, path, 'fetch', 'fetch failed' FROM selected WHERE doc_id % 4 = 0),
 repos AS (SELECT DISTINCT repo FROM tree),
@@ -317,8 +316,8 @@ QUERIES = {
  CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 17 = 1 THEN 503 ELSE 200 END AS status,
  strlen(html) + CASE page_id % 13 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 3 ELSE 0 END AS size_bytes FROM pages),
 c AS (SELECT *, CASE WHEN status <> 200 THEN 'GitHub raw file fetch returned HTTP ' || status || '.'
- WHEN p % 11 = 0 THEN 'GitHub raw file response has an invalid Content-Length.' WHEN p % 11 = 1 OR (p % 11 = 2 AND hl > 6000) THEN 'GitHub raw file exceeds the maximum allowed size.'
- WHEN size_bytes > 6000 THEN 'Fetched GitHub file exceeds the maximum allowed size.' WHEN p % 7 = 0 THEN 'Fetched GitHub file is not a supported text content type.'
+ WHEN p % 11 = 0 THEN 'GitHub raw file response has an invalid Content-Length.' WHEN p % 11 = 1 OR (p % 11 = 2 AND hl > 1000000) THEN 'GitHub raw file exceeds the maximum allowed size.'
+ WHEN size_bytes > 1000000 THEN 'Fetched GitHub file exceeds the maximum allowed size.' WHEN p % 7 = 0 THEN 'Fetched GitHub file is not a supported text content type.'
  WHEN p % 13 = 4 THEN 'Fetched GitHub file contains binary data.' WHEN p % 13 = 3 THEN 'Fetched GitHub file is not valid UTF-8 text.' ELSE '' END AS skip_reason FROM r)
 SELECT page_id, skip_reason, size_bytes, CASE WHEN skip_reason = '' THEN sha256(CASE WHEN p % 13 = 5 THEN chr(65279) ELSE '' END || html) ELSE '' END AS content_hash,
  CASE WHEN skip_reason = '' THEN sha256(html) ELSE '' END AS text_hash FROM c"""),
@@ -365,11 +364,14 @@ SELECT page_id, error, CASE WHEN error = '' THEN 'https://github.com/' || o || '
     "b22_raw_urls": (raw_url_query, f"""WITH tree AS ({I.TREE}), a AS (SELECT doc_id, repo, trim(CASE WHEN doc_id % 3 = 0 THEN 'a b/ü*' || path ELSE path END) AS p, doc_id % 10 = 0 AS bad FROM tree),
 e AS (SELECT *, CASE WHEN bad THEN 'GitHub ref must be a simple branch, tag, or commit identifier.' WHEN p = '' OR p LIKE '/%' OR contains(p, chr(92)) OR list_has_any(string_split(p, '/'), ['', '.', '..']) THEN 'GitHub file path is unsafe.' ELSE '' END AS url_error FROM a)
 SELECT doc_id, url_error, CASE WHEN url_error = '' THEN 'https://raw.githubusercontent.com/acme/' || repo || '/v1.0/' || {_ENC.format('p')} ELSE '' END AS raw_url FROM e"""),
-    "f1_file_selection": (selection_query, f"""WITH {_TREE} SELECT repo, doc_id, path, coalesce(skip_reason, '') AS skip_reason, coalesce(artifact_type, '') AS artifact_type FROM sel"""),
+    "f1_file_selection": (selection_query, f"""WITH {_TREE.replace("rn > 100", "rn > 7").replace("rn <= 100", "rn <= 7")} SELECT repo, doc_id, path, coalesce(skip_reason, '') AS skip_reason, coalesce(artifact_type, '') AS artifact_type FROM sel"""),
     "g6_staged_skips": (skips_query, f"WITH {_CRAWL} SELECT stage, reason, count(*) AS n FROM skipped GROUP BY 1, 2"),
     "d5_crawl_summary": (summary_query, f"WITH {_CRAWL} SELECT repo, ns AS selected_file_count, nf AS fetched_file_count, nx AS skipped_path_count, nb AS total_fetched_bytes FROM facts"),
     "d5_fetched_type_counts": (lambda s, d: K.fetched_type_counts(crawl_tables(s, d)[1]), f"WITH {_CRAWL} SELECT repo, artifact_type, count(*) AS file_count FROM fetched GROUP BY 1, 2"),
-    "d6_manifest_hash": (manifest_query, f"""WITH {_CRAWL}, rows AS (SELECT repo, sha256('{{"artifact_type":"' || artifact_type || '","part":"selected","path":"' || path || '","priority":' || priority || ',"repo":"' || repo || '","size_bytes":' || coalesce(size_bytes::VARCHAR, 'null') || '}}') AS h FROM selected)
+    "d6_manifest_hash": (manifest_query, f"""WITH {_CRAWL}, rows AS (SELECT repo, sha256('{{"artifact_type":"' || artifact_type || '","content_hash":"' || CASE WHEN doc_id % 20 = 5 THEN 'ABC' ELSE sha256(plain) END || '","part":"fetched","path":"' || path
+ || '","raw_url":"' || CASE WHEN doc_id % 30 = 7 THEN 'https://example.com/x' ELSE 'https://raw.githubusercontent.com/acme/' || repo || '/main/' || plain END || '","repo":"' || repo || '","size_bytes":' || size_bytes || '}}') AS h FROM fetched
+ UNION ALL SELECT repo, sha256('{{"part":"skipped","path":' || to_json(path) || ',"reason":"' || reason || '","repo":"' || repo || '","stage":"' || stage || '"}}') FROM skipped
+ UNION ALL SELECT repo, sha256('{{"artifact_type":"' || artifact_type || '","part":"selected","path":"' || path || '","priority":' || priority || ',"repo":"' || repo || '","size_bytes":' || coalesce(size_bytes::VARCHAR, 'null') || '}}') AS h FROM selected)
 SELECT repo, sha256('{K.MANIFEST_VERSION}:' || repo || ':' || sha256(concat_ws(':', count(*)::VARCHAR, {_MAN_SQL}))) AS manifest_hash FROM rows GROUP BY repo"""),
     "d7_crawl_quality_issues": (quality_query, f"WITH {_CRAWL} SELECT * FROM issues"),
     "d7_crawl_quality_reports": (quality_report_query, f"""WITH {_CRAWL}, c AS (SELECT repo, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM issues GROUP BY 1)

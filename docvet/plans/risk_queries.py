@@ -19,7 +19,7 @@ from docvet.operators.risk import severity_rank
 from docvet.plans import inputs as I
 from docvet.plans.graph_inputs import edges, graph, nodes, parts, size_capability
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES
-from docvet.plans.scan_queries import artifacts, findings
+from docvet.plans.scan_queries import artifact_keys, findings
 from docvet.streaming import jobs
 
 # Graph ---------------------------------------------------------------------------------------
@@ -126,21 +126,16 @@ def upstream_query(spark, d):
 
 # Policy --------------------------------------------------------------------------------------
 
-# Capabilities a pack can ask about: the only ones worth carrying as a signal.
-PACK_CAPABILITIES = ("filesystem_write", "shell_execution", "email_send", "database_write", "ticket_update")
-
-
 def contexts(spark, d):
     """One policy context per tool: its graph features joined with approval and text signals."""
     p = parts(spark, d)
     key = F.col("p_partkey")
     joined = p.join(features(spark, d), F.col("tool") == F.col("tool_id"))
-    wanted = F.filter(F.array("size_cap", "type_cap"), lambda c: c.isin(*PACK_CAPABILITIES))
     signals = P.signal_map(
         sensitive_env_var_count=P.signal(F.col("sensitive_env_var_count"), "number"),
         external_communication_degree=P.signal(F.col("external_communication_degree"), "number"),
         recent_metadata_change_count=P.signal(F.col("recent_metadata_change_count").cast("string"), "text"),
-        capability_ids=P.signal(wanted, "list"),
+        capability_ids=P.signal(F.array("size_cap", "type_cap"), "list"),
         tool_id=P.signal(F.col("tool"), "text"),
         finding_type=P.signal(F.when(key % 9 == 0, F.array(F.lit("other"), F.lit(" Permission_Overreach "))).when(key % 31 == 0, F.array(F.lit("tool_poisoning"))), "list"),
         approval_status=P.signal(F.when(key % 4 == 0, "Approved").when(key % 4 == 1, "pending"), "text"),
@@ -264,7 +259,7 @@ def sandbox_evaluation_query(spark, d):
 def truth(spark, d):
     """Labelled documents as truth rows: toxic is positive, the source is the tool."""
     labels = I.table(spark, d, "labels")
-    docs = artifacts(spark, d).select("doc_id", F.col("source_id").alias("tool_id"))
+    docs = artifact_keys(spark, d).select("doc_id", F.col("source_id").alias("tool_id"))
     decision = F.when(F.col("toxic") == 0, "allow").when(F.col("quality") == 1, "quarantine").otherwise("block")
     record = F.struct(*[(F.col("toxic") == 1 if i == 0 else F.lit(False)).alias(n) for i, n in enumerate(M.LABEL_FIELDS)], decision.alias("expected_policy_decision"))
     records = labels.join(docs, "doc_id").select(F.col("doc_id").cast("string").alias("record_id"), "tool_id", record.alias("labels"))

@@ -19,18 +19,20 @@ from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES, RISK, preview_sql
 from docvet.sources import files as S
 from docvet.sources import stores as ST
 
-MAX_BYTES = 20_000
-
-
 def artifacts(spark: SparkSession, d: str) -> DataFrame:
     """Artifact rows; the derived text is built once and not inlined into every later expression."""
     rows = I.derived(spark, d, I.ARTIFACTS)
     return X.compute_once(rows.withColumnRenamed("raw_text", "built_text"), raw_text=F.col("built_text")).drop("built_text")
 
 
+def artifact_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Artifact rows without the text, which then is not read."""
+    return I.derived(spark, d, I.ARTIFACTS).drop("raw_text")
+
+
 def checked(spark: SparkSession, d: str) -> DataFrame:
     sized = artifacts(spark, d).withColumn("size_bytes", F.octet_length("raw_text"))
-    return S.admission(sized, path="path", max_file_size_bytes=MAX_BYTES)
+    return S.admission(sized, path="path")
 
 
 def admitted(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +49,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """All runs, also those whose artifacts were all skipped."""
-    return artifacts(spark, d).select("run_id", "source_id").distinct()
+    return artifact_keys(spark, d).select("run_id", "source_id").distinct()
 
 
 def assessment(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +60,7 @@ FINDING_COLUMNS = ("finding_id", "artifact_id", "rule_id", "category", "severity
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
-    return P.report_findings(findings(spark, d), artifacts(spark, d).select("artifact_id", "path"))
+    return P.report_findings(findings(spark, d), artifact_keys(spark, d).select("artifact_id", "path"))
 
 
 def _headers(spark: SparkSession, d: str) -> DataFrame:
@@ -89,8 +91,8 @@ def span_requests(spark, d):
     base = artifacts(spark, d).select("artifact_id", "doc_id")
     ranges = F.array(
         F.struct(F.lit(1).alias("start_line"), F.lit(2).alias("end_line")),
-        F.struct((F.col("doc_id") % 7 + 1).cast("int").alias("start_line"), (F.col("doc_id") % 5 + 4).cast("int").alias("end_line")),
-        F.struct((F.col("doc_id") % 40 + 1).cast("int").alias("start_line"), (F.col("doc_id") % 40 + 60).cast("int").alias("end_line")),
+        F.struct((F.abs("doc_id") % 7 + 1).cast("int").alias("start_line"), (F.abs("doc_id") % 5 + 4).cast("int").alias("end_line")),
+        F.struct((F.abs("doc_id") % 40 + 1).cast("int").alias("start_line"), (F.abs("doc_id") % 40 + 60).cast("int").alias("end_line")),
     )
     return base.select("artifact_id", F.inline(ranges)).withColumn("span_type", F.lit("review"))
 
@@ -211,6 +213,8 @@ _DIGEST = f"""SELECT count(*) AS row_count, sha256(concat_ws(':', count(*)::VARC
     f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::HUGEINT)::VARCHAR" for i in range(4))})) AS digest FROM ({_DIGEST_ROWS})"""
 _REPORT_ORDER = "path, artifact_id, detector_rank, start_line, rule_rank"
 
+_DIGEST_SQL = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::HUGEINT)::VARCHAR" for i in range(4))
+
 QUERIES = {
     "a1_file_admission": (admission_query, f"""WITH {ART}, {CHECKED}
 SELECT artifact_id, path, extension, coalesce(skip_reason, '') AS skip_reason,
@@ -248,8 +252,8 @@ SELECT 'rule-scan' AS experiment_name, 'documents' AS dataset_path, (SELECT dige
     "b4_detector_filter": (findings_of(enabled_rules(DEFAULT_RULES, ("prompt_injection", "permission_signal"), 0.75)),
                            f"{_F} SELECT {_COLS} FROM findings WHERE detector <> 'credential_reference' AND confidence >= 0.75"),
     "b5_evidence_spans": (spans_query, f"""WITH {ART}, {CHECKED}, {LINES},
-req AS (SELECT artifact_id, doc_id, 1 AS s, 2 AS e FROM artifacts UNION ALL SELECT artifact_id, doc_id, doc_id % 7 + 1, doc_id % 5 + 4 FROM artifacts
- UNION ALL SELECT artifact_id, doc_id, doc_id % 40 + 1, doc_id % 40 + 60 FROM artifacts),
+req AS (SELECT artifact_id, doc_id, 1 AS s, 2 AS e FROM artifacts UNION ALL SELECT artifact_id, doc_id, abs(doc_id) % 7 + 1, abs(doc_id) % 5 + 4 FROM artifacts
+ UNION ALL SELECT artifact_id, doc_id, abs(doc_id) % 40 + 1, abs(doc_id) % 40 + 60 FROM artifacts),
 cut AS (SELECT r.artifact_id, s, e, string_agg(line, chr(10) ORDER BY line_no) AS t, count(line) AS n FROM req r LEFT JOIN lines l
  ON l.artifact_id = r.artifact_id AND line_no BETWEEN s AND e GROUP BY ALL),
 p AS (SELECT *, {preview_sql('t', 160)} AS pv, CASE WHEN e < s THEN 'Evidence span end_line must be greater than or equal to start_line.'
@@ -259,8 +263,9 @@ SELECT artifact_id, s AS start_line, e AS end_line, error,
  CASE WHEN error = '' THEN pv ELSE '' END AS preview, CASE WHEN error = '' THEN sha256(t) ELSE '' END AS content_hash FROM p"""),
     "b6_preview": (preview_query, f"SELECT doc_id, {preview_sql('text', 160)} AS preview, {preview_sql('text', 40)} AS short_preview FROM documents"),
     "b7_run_ids": (ids_query, f"""WITH {ART}, {CHECKED} SELECT '/data/' || run_id AS root_path,
- 'run_' || substr(sha256('/data/' || run_id || string_agg(path || sha256(raw_text), '' ORDER BY path)), 1, 16) AS run_id,
- 'source_' || substr(sha256('/data/' || run_id), 1, 16) AS source_id FROM checked WHERE skip_reason IS NULL GROUP BY checked.run_id"""),
+ 'run_' || substr(sha256('/data/' || run_id || ':' || sha256(concat_ws(':', count(*)::VARCHAR, {_DIGEST_SQL}))), 1, 16) AS run_id,
+ 'source_' || substr(sha256('/data/' || run_id), 1, 16) AS source_id
+FROM (SELECT *, sha256(path || ':' || sha256(raw_text)) AS h FROM checked WHERE skip_reason IS NULL) AS rows GROUP BY rows.run_id"""),
     "b7_artifact_ids": (artifact_ids_query, f"""WITH {ART}, {CHECKED} SELECT doc_id, 'artifact_' || substr(sha256(path || ':' || sha256(raw_text)), 1, 16) AS artifact_key,
  'source_' || substr(sha256('/data/' || run_id), 1, 16) AS source_key FROM checked WHERE skip_reason IS NULL"""),
     "b30_record_violations": (violations_query, f"""{_F}, bad AS (SELECT CASE WHEN start_line % 5 = 0 THEN ' ' ELSE finding_id END AS finding_id,

@@ -29,9 +29,9 @@ def write_artifact_store(artifacts: DataFrame, parsed: DataFrame, path: str, mod
 
 
 def latest_per_key(records: DataFrame, keys: Sequence[str], written_at: str) -> DataFrame:
-    """Last write wins: one row per key, kept by a map-side combined max instead of a sort."""
+    """Last write wins: one row per key, kept by a map-side combined max instead of a sort; of rows written at once the greatest JSON form."""
     rest = [c for c in records.columns if c not in keys and c != written_at]
-    newest = records.groupBy(*keys).agg(F.max_by(F.struct(*rest), written_at).alias("row"), F.max(written_at).alias(written_at))
+    newest = records.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(written_at), F.to_json(F.struct(*rest)))).alias("row"), F.max(written_at).alias(written_at))
     return newest.select(*keys, "row.*", written_at)
 
 

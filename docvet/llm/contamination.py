@@ -269,7 +269,7 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **finding) -> DataFrame:
     """The rows of `docs` that hold no test item, with all their columns; rows that agree in id and text fare alike."""
-    leaks = stored(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **finding).select("k1", "k2").distinct())
+    leaks = stored(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **finding).selectExpr("k1 AS __r1", "k2 AS __r2").distinct())
     k1, k2 = row_keys(id_col, text_col)
     wide = docs.withColumns({"__k1": k1, "__k2": k2})
-    return wide.join(leaks, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti").drop("__k1", "__k2")
+    return wide.join(leaks, (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left_anti").drop("__k1", "__k2")

@@ -235,8 +235,8 @@ def keep_one(docs: DataFrame, words: int = 3, budget: int = 3, id_col: str = "do
 
     Repeated rows are one document. They are merged before the shuffle, so that a row held many times doesn't meet in one task.
     """
-    heads = stored(near_duplicates(docs, id_col, text_col, words, budget).where("head").select("k1", "k2").distinct())
+    heads = stored(near_duplicates(docs, id_col, text_col, words, budget).where("head").selectExpr("k1 AS __r1", "k2 AS __r2").distinct())
     k1, k2 = row_keys(id_col, text_col)
     rows = docs.withColumns({"__k1": k1, "__k2": k2}).dropDuplicates(["__k1", "__k2"])
-    kept = rows.join(heads, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_semi")
+    kept = rows.join(heads, (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left_semi")
     return kept.drop("__k1", "__k2")

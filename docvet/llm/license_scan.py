@@ -19,6 +19,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docvet.functions.text import compute_once
 from docvet.llm.common import stored
 
 #: Notices of each family in common wordings.
@@ -87,13 +88,17 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _PLAIN), lambda w: w != "")
 
 
-def grams_of(tokens: Column) -> Column:
-    """Words, and runs of two and three words joined by spaces."""
-    def runs(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda k: F.array_join(F.slice(tokens, k, n), " "))
+def with_grams(rows: DataFrame) -> DataFrame:
+    """Adds tokens of `body`, and grams: its distinct words and runs of two and three words joined by spaces.
 
-    return F.concat(tokens, runs(2), runs(3))
+    Each is computed once for a row; a run reads its neighbours by place, so that the work follows the number of words.
+    """
+    def run(n: int) -> Column:
+        joined = F.transform("tokens", lambda w, k: F.concat(w, *[x for j in range(1, n) for x in (F.lit(" "), F.get("tokens", k + j))]))
+        return F.filter(joined, lambda g: g.isNotNull())
+
+    rows = compute_once(rows, tokens=tokens_of(F.col("body")))
+    return compute_once(rows, grams=F.array_distinct(F.concat("tokens", run(2), run(3))))
 
 
 @dataclass(frozen=True)
@@ -134,7 +139,7 @@ def fit(
     classes = (NONE, *NOTICES)
     notices = [(classes.index(f), k % 2, frame.format(t)) for f, texts in NOTICES.items() for k, t in enumerate(texts) for frame in FRAMES]
     rows = spark.createDataFrame(notices, "label int, kept int, body string").unionByName(negative.select(F.lit(0).alias("label"), F.pmod(F.xxhash64("body"), F.lit(2)).cast("int").alias("kept"), "body"))
-    rows = stored(rows.withColumn("grams", F.array_distinct(grams_of(tokens_of(F.col("body"))))))
+    rows = stored(with_grams(rows))
 
     wanted = sorted({g for texts in NOTICES.values() for t in texts for g in grams_in(t)})
     counts = {r.g: r.n for r in rows.where("label = 0").select(F.explode("grams").alias("g")).where(F.col("g").isin(wanted)).groupBy("g").agg(F.count("*").alias("n")).collect()}
@@ -186,10 +191,10 @@ def scan(docs: DataFrame, model: Classifier, least_template: float = 0.7, id_col
     if intercepts[0] <= max(intercepts[1:]):
         raise ValueError("text without any feature must be no notice")
     pattern = r"(?iU)\b(" + "|".join(re.escape(a) for a in model.anchors) + r")\b"
-    rows = paragraphs(docs, pattern, id_col, text_col).withColumn("tokens", tokens_of(F.col("body")))
+    rows = with_grams(paragraphs(docs, pattern, id_col, text_col))
     counter = CountVectorizerModel.from_vocabulary(list(model.features), inputCol="grams", outputCol="features", minTF=1.0)
     counter.setBinary(True)
-    rows = counter.transform(rows.withColumn("grams", F.array_distinct(grams_of(F.col("tokens")))))
+    rows = counter.transform(rows)
     raw = model.regression.setFeaturesCol("features").transform(rows).withColumn("raw", vector_to_array("rawPrediction"))
     # written, as every later expression would else repeat these; paragraphs with an anchor are few
     rows = stored(raw.where("prediction > 0").select("doc_id", "paragraph", "body", "tokens", "raw"))

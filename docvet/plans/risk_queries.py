@@ -20,6 +20,7 @@ from docvet.plans import inputs as I
 from docvet.plans.graph_inputs import edges, graph, nodes, parts, size_capability
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES
 from docvet.plans.scan_queries import artifact_keys, findings
+from docvet.session import reliable_checkpoint
 from docvet.streaming import jobs
 
 # Graph ---------------------------------------------------------------------------------------
@@ -80,7 +81,7 @@ def degree_query(spark, d):
 
 def neighbourhood_query(spark, d):
     n, e = graph(spark, d)
-    around = G.neighbourhood(e, n.where("node_type = 'tool'").agg(F.min_by("node_id", F.length("raw_id") * 0 + F.substring("raw_id", 2, 12).cast("bigint"))).first()[0])
+    around = G.neighbourhood(e, n.where("node_type = 'tool'").agg(F.min_by("node_id", F.substring("raw_id", 2, 12).cast("bigint"))).first()[0])
     return around.join(n.select("node_id", "raw_id"), "node_id").select("edge_type", "direction", "raw_id")
 
 
@@ -269,9 +270,14 @@ def truth(spark, d):
 VARIANT_RULES = (("A1", 1), ("A2", 2), ("A3", 3), ("A4", 4))
 
 
-def predictions(spark, d):
+def scanned(spark, d):
+    """What the metrics need of the findings, written once: the rule scan is the dear part and runs a single time."""
+    return reliable_checkpoint(findings(spark, d).select("artifact_id", "severity", "span_id", "start_line", "rule_rank"))
+
+
+def predictions(spark, d, scan):
     """One prediction set per variant: findings at or above a severity."""
-    found = findings(spark, d).select(F.col("artifact_id").alias("record_id"), "severity")
+    found = scan.select(F.col("artifact_id").alias("record_id"), "severity")
     base = truth(spark, d).select("record_id")
     sets = [M.predictions_from_findings(base, found.where(severity_rank(F.col("severity")) >= rank)).withColumn("variant_id", F.lit(v)) for v, rank in VARIANT_RULES]
     return reduce(DataFrame.unionByName, sets)
@@ -285,8 +291,8 @@ def truth_query(spark, d):
     return truth(spark, d)
 
 
-def detection(spark, d):
-    return M.detection_metrics(variant_truth(spark, d), predictions(spark, d), "variant_id")
+def detection(spark, d, scan=None):
+    return M.detection_metrics(variant_truth(spark, d), predictions(spark, d, scanned(spark, d) if scan is None else scan), "variant_id")
 
 
 def mismatch_query(spark, d):
@@ -295,9 +301,8 @@ def mismatch_query(spark, d):
     return M.record_mismatches(t, found)
 
 
-def reporting_tables(spark, d):
+def reporting_tables(found):
     """Cases per artifact: expected = severe spans, cited = all but low ones, retrieved = by line."""
-    found = findings(spark, d)
     case = F.col("artifact_id").alias("case_id")
     cases = found.groupBy(case).agg(
         F.count_if(F.col("severity") != "low").alias("supported_claim_count"), F.count_if(F.col("severity") == "low").alias("unsupported_claim_count"),
@@ -318,14 +323,15 @@ def case_query(spark, d):
     return M.reporting_cases(findings(spark, d).withColumnRenamed("span_id", "evidence_id"))
 
 
-def reporting(spark, d):
-    return M.reporting_metrics(*reporting_tables(spark, d), retrieval_k=1)
+def reporting(spark, d, scan=None):
+    return M.reporting_metrics(*reporting_tables(scanned(spark, d) if scan is None else scan), retrieval_k=1)
 
 
 def snapshots(spark, d):
-    static = detection(spark, d)
+    scan = scanned(spark, d)
+    static = detection(spark, d, scan)
     variants = I.table(spark, d, "labels").agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.lit(f"A{i}") for i in range(1, 7)])).alias("variant_id"))
-    report = reporting(spark, d).withColumn("variant_id", F.explode(F.array(F.lit("A1"), F.lit("A3"))))
+    report = reporting(spark, d, scan).withColumn("variant_id", F.explode(F.array(F.lit("A1"), F.lit("A3"))))
     sandbox = M.sandbox_evaluation_metrics(run_rows(spark, d), assembly_query(spark, d)).withColumn("variant_id", F.explode(F.array(F.lit("A1"), F.lit("A4"), F.lit("A6"))))
     return M.ablation_snapshots(variants, static, report, sandbox)
 
@@ -501,7 +507,22 @@ UNION ALL SELECT 'violates', 'finding>parameter', 'finding>policy_rule', count(D
     "b36_change_counts": (change_query, f"SELECT 't' || p_partkey AS raw_id, {_CH} AS changes FROM part"),
     "c3_adjacency": (adjacency_query, f"""WITH {_P} SELECT cap AS raw_id, count(*) AS n, 'out' AS direction FROM (SELECT unnest([type_cap, size_cap]) AS cap FROM p) GROUP BY 1
 UNION ALL SELECT 'repo_' || s_nationkey, count(*), 'in' FROM supplier GROUP BY 1"""),
-    "c3_degrees": (degree_query, None),
+    "c3_degrees": (degree_query, """WITH sp AS (SELECT DISTINCT l_suppkey AS k, l_returnflag AS rf, l_linestatus AS ls, l_suppkey || ':' || l_returnflag || ':' || l_linestatus AS span,
+ CASE WHEN l_suppkey % 10 = 3 THEN 'shared:' || l_returnflag ELSE l_suppkey || ':' || l_returnflag || ':' || l_linestatus END AS finding FROM lineitem),
+e AS (SELECT 'source_repo' AS st, s_nationkey::VARCHAR AS s, 'artifact' AS tt, s_suppkey::VARCHAR AS t, 'has_artifact' AS kind FROM supplier
+ UNION SELECT 'artifact', l_suppkey::VARCHAR, 'tool', l_partkey::VARCHAR, 'defines' FROM lineitem
+ UNION SELECT 'tool', p_partkey::VARCHAR, 'parameter', p_partkey::VARCHAR, 'has_parameter' FROM part
+ UNION SELECT 'tool', p_partkey::VARCHAR, 'capability', unnest(['cap_' || lower(p_type), ['filesystem_write', 'shell_execution', 'email_send', 'read_only'][p_size % 4 + 1]]), 'requires' FROM part
+ UNION SELECT 'tool', p_partkey::VARCHAR, 'env_var', p_brand, 'mentions' FROM part
+ UNION SELECT 'tool', l_partkey::VARCHAR, 'external_domain', s_nationkey::VARCHAR, 'calls' FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+ UNION SELECT 'tool', p_partkey::VARCHAR, 'dependency', p_name, 'depends_on' FROM part
+ UNION SELECT 'artifact', k::VARCHAR, 'evidence_span', span, 'contains' FROM sp UNION SELECT 'evidence_span', span, 'finding', finding, 'triggers' FROM sp
+ UNION SELECT 'finding', finding, 'policy_rule', rf, 'violates' FROM sp WHERE ls = 'O'
+ UNION SELECT 'scan_run', s_nationkey::VARCHAR, 'finding', finding, 'observed' FROM sp JOIN supplier ON s_suppkey = k
+ UNION SELECT 'sandbox_task', l_orderkey::VARCHAR, 'tool', l_partkey::VARCHAR, 'used' FROM lineitem
+ UNION SELECT 'sandbox_task', o_orderkey::VARCHAR, 'unsafe_action', o_orderkey::VARCHAR, 'produced' FROM orders WHERE o_orderstatus <> 'O'),
+d AS (SELECT node_type, node, sum(o) AS o, sum(i) AS i FROM (SELECT st AS node_type, s AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT tt, t, 0, 1 FROM e) AS ends GROUP BY ALL)
+SELECT node_type, sum(i) AS in_total, sum(o) AS out_total, max(i) AS in_max, max(o) AS out_max FROM d GROUP BY 1"""),
     "c4_network_and_credentials": (_named(G.network_tools_with_credentials, ("tool", "capability", "env_var"), ("requires", "mentions")), f"WITH {_P} {_TN} p_type IN ('ECONOMY', 'PROMO') AND (bn % 4 = 0 OR bn % 5 = 0 OR bn % 7 = 0)"),
     "c5_instruction_like_repos": (_named(G.repos_with_instruction_like_tools, ("tool", "source_repo"), ("defines", "has_artifact")), """SELECT DISTINCT 'repo_' || n_nationkey AS raw_id, n_name AS label FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_size % 17 = 0"""),
     "c6_permission_changes": (lambda s, d: G.permission_changes(_capabilities(s, d, True), _capabilities(s, d, False)), f"""WITH {_P}, old AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN ['filesystem_write', 'shell_execution', 'email_send', 'read_only'][(p_size + 1) % 4 + 1] ELSE size_cap END AS old_cap FROM p WHERE p_partkey % 7 <> 0)

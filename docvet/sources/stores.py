@@ -62,6 +62,26 @@ def write_markdown_reports(lines: DataFrame, path: str) -> None:
     ordered.select("run_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("run_id").text(path)
 
 
+#: What a crawl manifest may say of a file; texts and contents never go into it.
+MANIFEST_PARTS = {
+    "selected": ("path", "artifact_type", "priority", "size_bytes"),
+    "fetched": ("path", "raw_url", "artifact_type", "size_bytes", "content_hash"),
+    "skipped": ("path", "stage", "reason"),
+}
+
+
+def write_crawl_manifests(summaries: DataFrame, parts: dict[str, DataFrame], path: str) -> None:
+    """JSON lines of the crawls' summaries, and of their selected, fetched and skipped files keyed by `repo`, without any text.
+
+    A crawl's files are rows, not one nested record, so that a repository of any size is written by many tasks.
+    """
+    if set(parts) != set(MANIFEST_PARTS):
+        raise ValueError(f"a manifest has the parts {', '.join(MANIFEST_PARTS)}")
+    write_jsonl(summaries, f"{path}/summary")
+    for name, columns in MANIFEST_PARTS.items():
+        write_jsonl(parts[name].select("repo", *columns), f"{path}/{name}")
+
+
 def write_jsonl(records: DataFrame, path: str) -> None:
     """JSON lines with sorted keys; an empty frame leaves an empty folder."""
     records.select(canonical_json(*records.columns).alias("value")).write.mode("overwrite").text(path)

@@ -123,14 +123,19 @@ def test_folder_scan_reasons(spark, tmp_path):
     assert files.select(S.decode_text(F.col("content"))).first()[0] == "# Hi\n�"
 
 
-def test_run_id_paths_agree_on_membership(spark):
-    files = spark.createDataFrame([("root", f"f{i}", f"h{i}") for i in range(5)], "root_path string, relative_path string, content_hash string")
+def test_run_id_is_one_rule_over_the_rows(spark):
+    """Root and an order-free digest of the (path, hash) rows: the same for any size, order and partitioning."""
     import hashlib
 
-    expected = "run_" + hashlib.sha256(("root" + "".join(f"f{i}h{i}" for i in range(5))).encode()).hexdigest()[:16]
-    assert P.run_ids(files).first().run_id == expected
-    large = P.run_ids(files, max_files_in_cell=2).first().run_id
-    assert large == P.run_ids(files.repartition(3), max_files_in_cell=2).first().run_id != expected
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [("root", f"f{i}", f"h{i}") for i in range(50)] + [("other", "f0", "h0")]
+    files = spark.createDataFrame(rows, "root_path string, relative_path string, content_hash string")
+    for parts in (1, 7):
+        got = {r.root_path: r.run_id for r in P.run_ids(files.orderBy(F.desc("relative_path")).repartition(parts)).collect()}
+        for root in ("root", "other"):
+            hashes = [sha(f"{p}:{h}") for r, p, h in rows if r == root]
+            sums = [str(sum(int(x[15 * k:15 * k + 15], 16) for x in hashes)) for k in range(4)]
+            assert got[root] == "run_" + sha(f"{root}:{sha(':'.join([str(len(hashes)), *sums]))}")[:16]
 
 
 def test_report_sinks(spark, tmp_path):

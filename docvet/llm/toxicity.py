@@ -185,7 +185,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_segments: int = 6_000, rounds: int = 60, seed: int = 5,
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_segments: int = 3_000, rounds: int = 60, seed: int = 5,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Field:
     """A field from a sample of at most `max_labelled` labelled rows by a hash of their id, and of those at most `max_segments`

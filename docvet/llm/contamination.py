@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores what they join.
-
-Test items are cut into passages of at most PASSAGE words and taken in blocks of bounded size. A pass over all documents counts,
-for each n-gram of a block, the documents that hold it. Of every `spread` neighbouring n-grams of a passage the rarest is a
-seed, so that each unchanged run of n + spread - 1 words has one, however common its words are. A second pass looks seeds up
-in each document; every meeting of a seed with a passage gives a window of the document, and windows are aligned with the
-passage word by word. Both passes are narrow: what is broadcast is a block of test items.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores what they join.
+
+Test items are cut into passages of at most PASSAGE words and taken in blocks of bounded size. All n-grams of a passage are seeds, so
+that each unchanged run of n words has one, whatever other documents hold. With a `spread` above 1, of every `spread` neighbouring
+n-grams that some document holds the rarest is a seed, after a pass that counts documents; edited copies then need longer unchanged runs.
+A pass looks seeds up in each document; every meeting of a seed with a passage gives a window of the document, and windows that
+share enough words with the passage to reach the score are aligned with it word by word. Passes are narrow: what is broadcast
+is a block of test items.
 """
 
 from __future__ import annotations
@@ -54,12 +55,17 @@ class Passages:
     sizes: np.ndarray
     words: np.ndarray
 
-    def seeds(self, n: int, spread: int, counts: dict[int, int]) -> Seeds:
+    def seeds(self, n: int, spread: int, counts: dict[int, int] | None) -> Seeds:
+        """All n-grams, or the rarest of every `spread` neighbouring ones that are counted."""
         found: dict[int, list[tuple[int, int]]] = {}
         for k, (start, size) in enumerate(zip(self.starts.tolist(), self.sizes.tolist())):
             grams = gram_hashes(self.words[start:start + size], n).tolist()
-            rank = [(counts.get(g, 0), g) for g in grams]
-            for at in {min(range(a, min(a + spread, len(grams))), key=rank.__getitem__) for a in range(max(1, len(grams) - spread + 1))}:
+            chosen = set(range(len(grams)))
+            if counts is not None:
+                rank = [(counts.get(g, 0), g) for g in grams]
+                runs = ([x for x in range(a, min(a + spread, len(grams))) if rank[x][0]] for a in range(max(1, len(grams) - spread + 1)))
+                chosen = {min(run, key=rank.__getitem__) for run in runs if run}
+            for at in sorted(chosen):
                 found.setdefault(grams[at], []).append((k, at))
         keys = np.array(sorted(found), dtype=np.uint64)
         table = np.zeros(1 << _TABLE_BITS, dtype=bool)
@@ -82,7 +88,7 @@ class Seeds:
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the document, passage, place in the passage) of every meeting."""
         at = np.flatnonzero(self.table[grams >> np.uint64(64 - _TABLE_BITS)])
-        key = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
+        key = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)  # without keys the table lets nothing through
         real = self.keys[key] == grams[at]
         at, key = at[real], key[real]
         many = self.first[key + 1] - self.first[key]
@@ -132,6 +138,14 @@ def find_matches(texts: list[str | None], p: Passages, seeds: Seeds, n: int, lea
     known: dict[bytes, int] = {}
     found: dict[int, dict[int, tuple[float, int, int]]] = {}
     queue: list[tuple[int, int, int, np.ndarray]] = []
+    own: dict[int, np.ndarray] = {}
+
+    def possible(k: int, window: np.ndarray) -> bool:
+        """Whether the window has as many words of the passage as the score needs matches."""
+        if k not in own:
+            own[k] = np.unique(p.words[p.starts[k]:p.starts[k] + p.sizes[k]])
+        at = np.minimum(np.searchsorted(own[k], window), len(own[k]) - 1)
+        return np.count_nonzero(own[k][at] == window) >= least * p.sizes[k] - 1e-9
 
     def flush() -> None:
         queue.sort(key=lambda q: (p.sizes[q[1]], len(q[3])))
@@ -168,8 +182,9 @@ def find_matches(texts: list[str | None], p: Passages, seeds: Seeds, n: int, lea
         hits = seeds.hits(gram_hashes(words, n))
         if len(hits[0]):
             for k, a, b in _windows(*hits, p, len(words)):
-                queue.append((t, k, a, words[a:b]))
-                cells += b - a
+                if possible(k, words[a:b]):
+                    queue.append((t, k, a, words[a:b]))
+                    cells += b - a
         if cells > 4 * CELLS:
             flush()
             cells = 0
@@ -230,13 +245,13 @@ def _counts(docs: DataFrame, p: Passages, n: int, text_col: str) -> dict[int, in
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, spread: int = 4, least_words: int = 8,
+    docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, spread: int = 1, least_words: int = 8,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, k1, k2, item_id, score, start, end): a row for each document and test item whose best local alignment reaches `least`.
 
     The score is the alignment's (matches less changes and gaps) over the passage's words; start and end are character offsets.
-    Test items of fewer than `least_words` words or with a null id are not looked for; null and empty texts match nothing.
+    A copy is seen if it has an unchanged run of `n` words. Test items of fewer than `least_words` words or with a null id are not looked for; null and empty texts match nothing.
     Repeated documents and repeated test items each have their rows. An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -245,7 +260,7 @@ def find_leaks(
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *row_keys(id_col, text_col), F.col(text_col).alias("text"))
     out = None
     for p in _blocks(benchmark, item_col, item_text_col, least_words):
-        sent = spark.sparkContext.broadcast((p, p.seeds(n, spread, _counts(docs, p, n, text_col))))
+        sent = spark.sparkContext.broadcast((p, p.seeds(n, spread, _counts(docs, p, n, text_col) if spread > 1 else None)))
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             passages, seeds = sent.value

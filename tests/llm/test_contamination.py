@@ -76,3 +76,27 @@ def test_common_items_keep_seeds():
     seeds = p.seeds(3, 4, {int(g): 10**9 for g in grams})
     for at in range(55):
         assert len(seeds.hits(C.gram_hashes(words[at:at + 6], 3))[0])
+
+
+def test_evenly_spaced_edits(spark, make_docs):
+    """Copies with every k-th word replaced, beside whole copies that hold what the edits have destroyed."""
+    rng = random.Random(10)
+    items = {k: [f"e{rng.randrange(9999)}" for _ in range(rng.randrange(20, 60))] for k in range(20)}
+    rows, truth, long = [], set(), set()
+    for k, w in items.items():
+        for step in (4, 5, 6):
+            for shift in range(step):
+                copy = [f"y{rng.randrange(9999)}" if j % step == shift else x for j, x in enumerate(w)]
+                body = [f"d{rng.randrange(9999)}" for _ in range(40)]
+                body[20:20] = copy
+                rows.append((1000 * k + 10 * step + shift, " ".join(body)))
+                score = smith_waterman(w, body)
+                if score >= 0.5 * len(w):
+                    truth.add((rows[-1][0], k))
+                elif score >= 20:
+                    long.add((rows[-1][0], k))
+        if k % 2:
+            rows.append((1000 * k, " ".join(w)))
+            truth.add((1000 * k, k))
+    leaks = C.find_leaks(make_docs(rows), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string"))
+    assert truth <= {(r.doc_id, r.item_id) for r in leaks.collect()} <= truth | long and len(truth) > 200

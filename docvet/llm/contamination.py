@@ -1,6 +1,6 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores what they join.
 
-Test items are cut into passages of at most PASSAGE words and taken in blocks of bounded size. All n-grams of a passage are seeds, so
+Test items are cut into passages of at most PASSAGE words, each of which overlaps the next by half, and taken in blocks of bounded size. All n-grams of a passage are seeds, so
 that each unchanged run of n words has one, whatever other documents hold. With a `spread` above 1, of every `spread` neighbouring
 n-grams that some document holds the rarest is a seed, after a pass that counts documents; edited copies then need longer unchanged runs.
 A pass looks seeds up in each document; every meeting of a seed with a passage gives a window of the document, and windows that
@@ -55,11 +55,13 @@ class Passages:
     sizes: np.ndarray
     words: np.ndarray
 
-    def seeds(self, n: int, spread: int, counts: dict[int, int] | None) -> Seeds:
-        """All n-grams, or the rarest of every `spread` neighbouring ones that are counted."""
+    def seeds(self, n: int, spread: int, counts: dict[int, int] | None, whole: bool = False) -> Seeds:
+        """All n-grams, or the rarest of every `spread` neighbouring ones that are counted; `whole`: of passages of n words only."""
         found: dict[int, list[tuple[int, int]]] = {}
         for k, (start, size) in enumerate(zip(self.starts.tolist(), self.sizes.tolist())):
             grams = gram_hashes(self.words[start:start + size], n).tolist()
+            if whole and size != n:
+                continue
             chosen = set(range(len(grams)))
             if counts is not None:
                 rank = [(counts.get(g, 0), g) for g in grams]
@@ -133,8 +135,11 @@ def _windows(at: np.ndarray, passage: np.ndarray, place: np.ndarray, p: Passages
     return out
 
 
-def find_matches(texts: list[str | None], p: Passages, seeds: Seeds, n: int, least: float) -> dict[int, dict[int, tuple[float, int, int]]]:
-    """text number -> item -> (score, first word, word after the last) of the best passage with a score of at least `least`."""
+def find_matches(texts: list[str | None], p: Passages, seeds: dict[int, Seeds], need: np.ndarray) -> dict[int, dict[int, tuple[float, int, int]]]:
+    """text number -> item -> (score, first word, word after the last) of the best passage; need: least alignment of each passage.
+
+    Seeds are given by their number of words.
+    """
     known: dict[bytes, int] = {}
     found: dict[int, dict[int, tuple[float, int, int]]] = {}
     queue: list[tuple[int, int, int, np.ndarray]] = []
@@ -145,7 +150,7 @@ def find_matches(texts: list[str | None], p: Passages, seeds: Seeds, n: int, lea
         if k not in own:
             own[k] = np.unique(p.words[p.starts[k]:p.starts[k] + p.sizes[k]])
         at = np.minimum(np.searchsorted(own[k], window), len(own[k]) - 1)
-        return np.count_nonzero(own[k][at] == window) >= least * p.sizes[k] - 1e-9
+        return np.count_nonzero(own[k][at] == window) >= need[k]
 
     def flush() -> None:
         queue.sort(key=lambda q: (p.sizes[q[1]], len(q[3])))
@@ -162,7 +167,7 @@ def find_matches(texts: list[str | None], p: Passages, seeds: Seeds, n: int, lea
                 left[r, : p.sizes[k]] = p.words[p.starts[k]:p.starts[k] + p.sizes[k]]
                 right[r, : len(w)] = w
             best, end_l, end_r = align(left, right)
-            good = np.flatnonzero(best >= least * p.sizes[[k for _, k, _, _ in part]] - 1e-9)
+            good = np.flatnonzero(best >= need[[k for _, k, _, _ in part]])
             if len(good):
                 back_l, back_r = np.zeros_like(left[good]), np.zeros_like(right[good])
                 for r, g in enumerate(good):
@@ -179,7 +184,7 @@ def find_matches(texts: list[str | None], p: Passages, seeds: Seeds, n: int, lea
     cells = 0
     for t, text in enumerate(texts):
         words = words_of(text, known)
-        hits = seeds.hits(gram_hashes(words, n))
+        hits = tuple(np.concatenate(x) for x in zip(*(some.hits(gram_hashes(words, n)) for n, some in seeds.items())))
         if len(hits[0]):
             for k, a, b in _windows(*hits, p, len(words)):
                 if possible(k, words[a:b]):
@@ -192,7 +197,7 @@ def find_matches(texts: list[str | None], p: Passages, seeds: Seeds, n: int, lea
     return found
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, least_words: int) -> Iterator[Passages]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Passages]:
     """Test items as passages, in blocks of about BLOCK_WORDS words; the driver holds one block."""
     known: dict[bytes, int] = {}
     items, sizes, words, held = [], [], [], 0
@@ -204,10 +209,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, least_words: int
     for r in benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("item_id IS NOT NULL").toLocalIterator():
         w = words_of(r.text, known)
         w[w == 0] = 1
-        cuts = range(0, max(1, len(w) - least_words), PASSAGE)
-        for k, at in enumerate(cuts):
-            part = w[at:at + PASSAGE] if k < len(cuts) - 1 else w[at:]
-            if len(part) >= least_words:
+        for at in range(0, max(1, len(w) - PASSAGE // 2), PASSAGE // 2):
+            part = w[at:at + PASSAGE]
+            if len(part):
                 items.append(r.item_id)
                 sizes.append(len(part))
                 words.append(part)
@@ -245,13 +249,15 @@ def _counts(docs: DataFrame, p: Passages, n: int, text_col: str) -> dict[int, in
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, spread: int = 1, least_words: int = 8,
+    docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, spread: int = 1, least_words: int = 8, enough: int = 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, k1, k2, item_id, score, start, end): a row for each document and test item whose best local alignment reaches `least`.
+    """(doc_id, k1, k2, item_id, score, start, end): a row for each document and test item whose best local alignment reaches `least`,
+    or counts `enough` words of the passage.
 
     The score is the alignment's (matches less changes and gaps) over the passage's words; start and end are character offsets.
-    A copy is seen if it has an unchanged run of `n` words. Test items of fewer than `least_words` words or with a null id are not looked for; null and empty texts match nothing.
+    A copy is seen if it has an unchanged run of `n` words. Test items of fewer than `least_words` words are found as a whole and
+    unchanged only; those without words or with a null id are not looked for; null and empty texts match nothing.
     Repeated documents and repeated test items each have their rows. An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -259,14 +265,17 @@ def find_leaks(
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *row_keys(id_col, text_col), F.col(text_col).alias("text"))
     out = None
-    for p in _blocks(benchmark, item_col, item_text_col, least_words):
-        sent = spark.sparkContext.broadcast((p, p.seeds(n, spread, _counts(docs, p, n, text_col) if spread > 1 else None)))
+    for p in _blocks(benchmark, item_col, item_text_col):
+        seeds = {n: p.seeds(n, spread, _counts(docs, p, n, text_col) if spread > 1 else None)}
+        seeds |= {k: p.seeds(k, 1, None, whole=True) for k in range(1, n) if (p.sizes == k).any()}
+        need = np.where(p.sizes < least_words, p.sizes, np.minimum(np.ceil(least * p.sizes - 1e-9), enough))
+        sent = spark.sparkContext.broadcast((p, seeds, need))
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            passages, seeds = sent.value
+            passages, seeds, need = sent.value
             for b in batches:
                 texts = b.column(3).to_pylist()
-                hits = find_matches(texts, passages, seeds, n, least)
+                hits = find_matches(texts, passages, seeds, need)
                 found = []
                 for t, items in sorted(hits.items()):
                     data = plain_text(texts[t]).encode("utf-8", "surrogatepass")

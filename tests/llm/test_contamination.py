@@ -100,3 +100,19 @@ def test_evenly_spaced_edits(spark, make_docs):
             truth.add((1000 * k, k))
     leaks = C.find_leaks(make_docs(rows), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string"))
     assert truth <= {(r.doc_id, r.item_id) for r in leaks.collect()} <= truth | long and len(truth) > 200
+
+
+def test_parts_of_long_items_and_short_items(spark, make_docs):
+    rng = random.Random(11)
+    fresh = lambda c, n: [f"{c}{rng.randrange(99999)}" for _ in range(n)]
+    long, mid = fresh("l", 300), fresh("m", 59)
+    items = {1: long, 2: mid, 3: ["one", "short", "item", "here"], 4: ["two", "parts"], 5: ["single"]}
+    inner = {
+        10: (long[65:191], {1}), 11: (long[10:73], {1}), 12: (mid[20:41], {2}), 13: (items[3], {3}), 14: (items[4], {4}), 15: (items[5], {5}),
+        16: (["one", "short", "x", "item", "here"], set()), 17: (["two", "x", "parts"], set()), 18: (mid[20:36], set()), 19: (long[280:], {1}),
+    }
+    rows = [(k, " ".join(fresh("d", 30) + body + fresh("d", 30))) for k, (body, _) in inner.items()]
+    leaks = C.find_leaks(make_docs(rows), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in leaks} == {(k, i) for k, (_, found) in inner.items() for i in found}
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.start:r.end].split() == inner[r.doc_id][0] for r in leaks if r.doc_id in (12, 13, 14, 15))

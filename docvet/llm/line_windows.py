@@ -6,6 +6,9 @@ order of (doc_id, text key, line), is a repeat, and all lines that repeats cover
 
 Each task first settles the repeats among its own documents, in blocks of bounded size, so that a window reaches the global
 comparison at most once for each block, however often it occurs.
+
+Chance makes short windows meet. By the rule of op9's query a window needs eight words; with `runs` all windows are hashed, and the
+lines that overlapping repeats cover need eight words in all, so that lists, verse, code and texts of one word a line are compared too.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from docvet.llm.common import row_keys, stored
 
 #: Ends of lines and of sentences, which stay with what they end.
 LINE = re.compile(r"(?<=\n)|(?<=[.!?] )")
+#: Characters of scripts that have no spaces between words; two of them count as a word of a run.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Windows that a task compares among themselves at once.
 BLOCK_WINDOWS = 2_000_000
 
@@ -54,6 +59,14 @@ def window_hashes(lines: list[str], size: int, least_words: int) -> tuple[np.nda
     return at[:n][long], out[0][long], (out[1][long] >> np.uint64(32)).astype(np.int64)
 
 
+def long_runs(lines: list[str], starts: np.ndarray, size: int, least_words: int) -> np.ndarray:
+    """Of the sorted places of repeats among `lines`, none of them blank, those whose run of overlapping windows has enough words in all."""
+    words = np.concatenate(([0], np.cumsum([max(x.strip().count(" ") + 1, len(_DENSE.findall(x)) // 2) for x in lines])))
+    run = np.cumsum(np.diff(starts, prepend=starts[:1]) >= size)
+    first, last = np.searchsorted(run, run, "left"), np.searchsorted(run, run, "right") - 1
+    return starts[words[starts[last] + size] - words[starts[first]] >= least_words]
+
+
 def _windows(size: int, least_words: int):
     names = ["h1", "h2", "o", "k1", "k2", "place", "later"]
 
@@ -101,14 +114,15 @@ def repeated_windows(docs: DataFrame, size: int = 3, least_words: int = 8, id_co
     return repeats.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, size: int = 3, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 3, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """`docs` with the text free of repeats, and lines (int), removed (the numbers of the removed lines, in order).
 
     The first occurrence of a window stays, in the order of (doc_id with null first, text key, line); windows that overlap
-    within one text count too; windows of fewer than `least_words` words don't. Rows that agree in id and text are one document and fare alike. Texts of fewer than `size`
+    within one text count too; windows of fewer than `least_words` words don't, or with `runs` those whose run of overlapping
+    repeats has fewer. Rows that agree in id and text are one document and fare alike. Texts of fewer than `size`
     lines never change; a null text stays null with 0 lines; a text whose lines are all repeats becomes empty.
     """
-    spans = stored(repeated_windows(docs, size, least_words, id_col, text_col)).withColumnsRenamed({"k1": "__r1", "k2": "__r2", "places": "__places"})
+    spans = stored(repeated_windows(docs, size, 0 if runs else least_words, id_col, text_col)).withColumnsRenamed({"k1": "__r1", "k2": "__r2", "places": "__places"})
     k1, k2 = row_keys(id_col, text_col)
     wide = docs.drop("lines", "removed").withColumns({"__k1": k1, "__k2": k2})
     wide = wide.join(spans, (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left").drop("__k1", "__k2", "__r1", "__r2")
@@ -124,6 +138,7 @@ def remove_repeats(docs: DataFrame, size: int = 3, least_words: int = 8, id_col:
                 if places:
                     real = np.array([k for k, x in enumerate(lines) if x.strip()], dtype=np.int64)
                     starts = np.searchsorted(real, np.array(sorted(places)))
+                    starts = long_runs([lines[k] for k in real], starts, size, least_words) if runs else starts
                     for k in range(size):
                         gone[real[starts + k]] = True
                     text = "".join(x for x, g in zip(lines, gone.tolist()) if not g)

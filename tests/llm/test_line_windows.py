@@ -45,3 +45,24 @@ def test_blocks_and_empty(spark, make_docs, monkeypatch):
     docs = make_docs(rows)
     assert W.remove_repeats(docs.where("false")).count() == 0
     assert W.remove_repeats(docs).columns == [c for c in docs.columns if c not in ("lines", "removed")] + ["lines", "removed"]
+
+
+def test_runs_of_short_lines(spark, make_docs):
+    """Verse, single words and a script without spaces: no window has eight words, the passages have; a short meeting stays."""
+    verse = "\n".join(f"a{k} b{k}" for k in range(30)) + "\n"
+    shout = "".join(f"WORD{k}!! " for k in range(60))
+    dense = "\n".join("".join(chr(0x4E00 + 97 * k + j) for j in range(9)) for k in range(5)) + "\n"
+    rows = []
+    for k, passage in enumerate((verse, shout, dense, "yes\nno\nmaybe\n")):
+        rows += [(10 * k + j, f"own start {k} {j}\n{passage}own end {k} {j}") for j in (1, 2)]
+    got = {r.doc_id: r.text for r in W.remove_repeats(make_docs(rows), runs=True).collect()}
+    assert [got[10 * k + 2] for k in range(3)] == [f"own start {k} 2\nown end {k} 2" for k in range(3)]
+    assert all(got[i] == t for i, t in rows if i % 10 == 1 or i > 30)
+
+
+def test_runs_hold_what_windows_remove(spark, make_docs, odd_rows):
+    rng = random.Random(4)
+    pool = [" ".join(f"p{rng.randrange(30)}" for _ in range(rng.randrange(1, 7))) for _ in range(25)]
+    rows = [r for r in odd_rows if r[0] not in (9, None)] + [(1000 + k, "\n".join(rng.choices(pool, k=rng.randrange(1, 40)))) for k in range(60)]
+    got = {(r.doc_id): set(r.removed) for r in W.remove_repeats(make_docs(rows), runs=True).collect()}
+    assert all(set(gone) <= got[i] for (i, _), gone in brute(rows).items())

@@ -103,17 +103,18 @@ def fit(
 
     Of the sample, by a hash of the id, two thirds of the good documents make the target model; the others and the bad ones set
     the level. Without labels of both kinds the level is 0. Null labels and ids are not labels; of an id with several labels
-    the least counts. What the driver gets is one sum for each bucket and one weight for each labelled row.
+    the least counts, and of an id with several rows one. What the driver gets is one sum for each bucket and one weight for each labelled row.
     """
     spark = docs.sparkSession
     chosen = labels.selectExpr(f"CAST({id_col} AS BIGINT) AS label_id", f"CAST({label_col} AS INT) AS good").where("label_id IS NOT NULL AND good IN (0, 1)")
     chosen = chosen.groupBy("label_id").agg(F.min("good").alias("good")).withColumn("h", F.xxhash64(F.lit(seed), F.col("label_id")))
     chosen = stored(chosen.orderBy("h", "label_id").limit(max_labelled))
     rows = docs.select(F.col(id_col).cast("bigint").alias("label_id"), F.col(text_col).alias("text"))
-    # bounded by max_labelled rows of 20 bytes
-    rows = rows.join(F.broadcast(chosen), "label_id", "left").select(
-        F.when(F.col("good") == 1, F.when(F.pmod("h", F.lit(3)) < 2, F.lit(1)).otherwise(F.lit(2))).when(F.col("good") == 0, F.lit(3)).otherwise(F.lit(0)).alias("kind"), "text"
-    )
+    # bounded by max_labelled rows of 20 bytes; of an id with several rows the one with the least text hash, merged before the shuffle
+    labelled = rows.join(F.broadcast(chosen), "label_id").groupBy("label_id", "good", "h").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    kind = F.when(F.col("good") == 1, F.when(F.pmod("h", F.lit(3)) < 2, F.lit(1)).otherwise(F.lit(2))).otherwise(F.lit(3)).alias("kind")
+    labelled = stored(labelled.select(kind, F.col("one.text").alias("text")))
+    rows = rows.select(F.lit(0).alias("kind"), "text").unionByName(labelled.where("kind = 1"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -121,10 +122,11 @@ def fit(
         for b in batches:
             for kind, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n = np.bincount(gram_buckets(text, buckets, known), minlength=buckets)
-                raw += n
                 if kind == 1:
                     target += n
-        at = np.flatnonzero(raw)
+                else:
+                    raw += n
+        at = np.flatnonzero(raw + target)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
     sums = rows.mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -140,7 +142,7 @@ def fit(
             w = [model.weight(gram_buckets(t, buckets, known)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64())], ["kind", "w"])
 
-    held = rows.where("kind IN (2, 3)").mapInArrow(weigh, "kind int, w double").collect()
+    held = labelled.where("kind > 1").mapInArrow(weigh, "kind int, w double").collect()
     return Model(model.ratios, _level([r.w for r in held if r.kind == 2], [r.w for r in held if r.kind == 3]), sharpness, seed)
 
 

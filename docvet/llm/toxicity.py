@@ -191,7 +191,7 @@ def fit(
     """A field from a sample of at most `max_labelled` labelled rows by a hash of their id, and of those at most `max_segments`
     segments with and as many without toxic tokens; the calibration uses the sample's rows.
 
-    Null ids and labels are left out; of an id with several labels the greatest counts. Without toxic rows, or words that stand
+    Null ids and labels are left out; of an id with several labels the greatest counts, and of an id with several rows one. Without toxic rows, or words that stand
     out, the field gives every document the same score, near the share of toxic rows.
     """
     spark = docs.sparkSession
@@ -199,7 +199,9 @@ def fit(
     chosen = chosen.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     chosen = stored(chosen.orderBy(F.xxhash64(F.lit(seed), F.col("label_id")), "label_id").limit(max_labelled))
     rows = docs.select(F.col(id_col).cast("bigint").alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = stored(rows.join(F.broadcast(chosen), "label_id").select("toxic", "text"))  # bounded by max_labelled
+    # bounded by max_labelled; of an id with several rows the one with the least text hash, merged before the shuffle
+    rows = rows.join(F.broadcast(chosen), "label_id").groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    rows = stored(rows.select("toxic", F.col("one.text").alias("text")))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -28,6 +28,10 @@ def plain(value):
         value = float(value)
     if isinstance(value, bool) or value is None:
         return value
+    if isinstance(value, dict):
+        return tuple((k, plain(v)) for k, v in value.items())
+    if isinstance(value, (list, tuple)):
+        return tuple(map(plain, value))
     if isinstance(value, float):
         return "nan" if math.isnan(value) else int(value) if value == int(value) else round(value, 6)
     return value

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docvet.llm import chunk_prints, contamination, importance, license_scan, line_windows, packing, sharding, simhash, toxicity, url_filter
+from docvet.llm import (
+    chunk_prints, contamination, divergence, importance, license_scan, line_windows, negatives, packing, pieces, sharding, simhash, toxicity, url_filter,
+)
 from docvet.llm.common import documents
 
 URL_RULES = (
@@ -130,6 +132,71 @@ def op10_chunk_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_prints.edit_study(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("bigint")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0, label_col=label)
+
+
+_OP11_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.rn, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM e a JOIN e b ON a.rn <> b.rn WHERE a.vec_id % 50 = 0
+), positive AS (
+  SELECT rn, anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rn ORDER BY score DESC, other_id) AS p FROM scored WHERE same QUALIFY p <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.rn, p.p ORDER BY n.score DESC, n.other_id) AS rank, n.other_id AS negative_id,
+    p.positive_score, n.score AS negative_score
+  FROM positive p JOIN scored n ON p.rn = n.rn AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
+def op12_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_texts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda x, name: F.sha2(x.cast("binary"), 256).alias(name)
+    decimal_ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha(decimal_ids, "ids_sha256"), sha(F.col("decoded"), "decoded_sha256"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+word AS (
+  SELECT rn, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), cell AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rn) AS docs FROM word GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM cell GROUP BY ALL HAVING sum(docs) >= 3),
+of_lang AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY ALL),
+grp AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT cell.* FROM cell JOIN kept USING (lang, term)) c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 1) // (l.total + l.v) AS q
+  FROM grp g JOIN of_lang l ON g.lang = l.lang JOIN kept k ON g.lang = k.lang LEFT JOIN cell c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), part AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM part QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_url_filter": (op1_url_filter, _OP1_SQL),
@@ -142,4 +209,7 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_line_windows": (op9_line_windows, _OP9_SQL),
     "op10_chunk_prints": (op10_chunk_prints, None),
+    "op11_hard_negatives": (op11_hard_negatives, _OP11_SQL),
+    "op12_piece_ids": (op12_piece_ids, None),
+    "op13_source_audit": (op13_source_audit, _OP13_SQL),
 }

@@ -1,13 +1,19 @@
 """Heading-aware chunks with size-bounded splits, computed inside each artifact row.
 
 No shuffle: sections, paths, split points and texts all come from the line array of the row, and
-only finished chunks are exploded.
+only finished chunks are exploded. The two scans over a row that no array function can do in linear
+time, enclosing headings and greedy splits, are Arrow functions that see numbers only, never text.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docvet.functions.ids import canonical_hash, stable_id
 from docvet.functions.text import compute_once, is_blank, split_lines, strip
@@ -18,6 +24,8 @@ MAX_CHUNK_CHARS = 1_200
 MAX_CHUNK_LINES = 80
 WORD = r"(?U)(\w+(?:[-']\w+)*)"
 
+_PLACES = T.ArrayType(T.ArrayType(T.IntegerType()))
+
 
 def _heading_marks() -> Column:
     """Heading lines with level and text; code fences are not looked at here."""
@@ -35,22 +43,25 @@ def _heading_marks() -> Column:
     return F.filter(marks, lambda m: m.isNotNull())
 
 
-def _heading_paths() -> Column:
-    """Enclosing headings of each heading: fold a stack of at most six entries over the marks."""
-    start = F.struct(
-        F.array().cast("array<struct<line_no:int,level:int,text:string>>").alias("stack"),
-        F.array().cast("array<array<string>>").alias("paths"),
-    )
+@F.pandas_udf(_PLACES)
+def _enclosing(levels: pd.Series) -> pd.Series:
+    """Places of the headings that enclose each heading, outermost first, itself last: at most one of each level."""
 
-    def push(acc: Column, mark: Column) -> Column:
-        kept = F.filter(acc["stack"], lambda s: s["level"] < mark["level"])
-        stack = F.concat(kept, F.array(mark))
-        return F.struct(
-            stack.alias("stack"),
-            F.concat(acc["paths"], F.array(F.transform(stack, lambda s: s["text"]))).alias("paths"),
-        )
+    def chains(row) -> list[list[int]] | None:
+        if row is None:
+            return None
+        open_, out = [], []
+        for place, level in enumerate(row.tolist()):
+            open_ = [k for k in open_ if row[k] < level] + [place]
+            out.append(open_)
+        return out
+
+    return levels.map(chains, na_action=None)
 
-    return F.aggregate("marks", start, push, lambda acc: acc["paths"])
+
+def _heading_paths() -> Column:
+    chains = _enclosing(F.transform("marks", lambda m: m["level"]))
+    return F.transform(chains, lambda chain: F.transform(chain, lambda k: F.get("marks", k)["text"]))
 
 
 def _section(start: Column, end: Column, kind: str, path: Column) -> Column:
@@ -103,28 +114,32 @@ def sections(artifacts: DataFrame, text: str = "raw_text") -> DataFrame:
     return compute_once(pathed, sections=chosen).drop("marks", "filled", "paths")
 
 
-def _split_points(section: Column, max_chars: int, max_lines: int) -> Column:
-    """Greedy split of a section: first lines of its chunks. The fold keeps only break positions."""
-    lengths = F.transform(
-        F.slice("lines", section["start"], section["end"] - section["start"] + 1),
-        lambda line, i: F.struct((section["start"] + i).cast("int").alias("no"), F.length(line).alias("chars")),
-    )
-    start = F.struct(
-        F.lit(0).alias("chars"), F.lit(0).alias("count"), F.array(section["start"]).alias("starts")
-    )
+def _split_points(max_chars: int, max_lines: int):
+    """(line lengths, first lines, last lines of the sections) -> first lines of each section's chunks.
 
-    def step(acc: Column, line: Column) -> Column:
-        full = (acc["count"] >= max_lines) | (
-            (acc["count"] > 0) & (acc["chars"] + line["chars"] + 1 > max_chars)
-        )
-        joiner = F.when(acc["count"] > 0, 1).otherwise(0)
-        return F.struct(
-            F.when(full, line["chars"]).otherwise(acc["chars"] + line["chars"] + joiner).alias("chars"),
-            F.when(full, F.lit(1)).otherwise(acc["count"] + 1).alias("count"),
-            F.when(full, F.concat(acc["starts"], F.array(line["no"]))).otherwise(acc["starts"]).alias("starts"),
-        )
+    A chunk takes lines while it has fewer than ``max_lines`` and stays within ``max_chars`` with its line breaks, and at
+    least one. Running sums of the lengths give the next break of any line by one search.
+    """
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["starts"])
+    @F.pandas_udf(_PLACES)
+    def points(lengths: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
+        def of(row, starts, ends) -> list[list[int]] | None:
+            if row is None or starts is None:
+                return None
+            sums = list(accumulate((n + 1 for n in row.tolist()), initial=0))
+            out = []
+            for first, last in zip(starts.tolist(), ends.tolist()):
+                at, breaks = first - 1, []
+                while at < last:
+                    breaks.append(at + 1)
+                    over = bisect_right(sums, sums[at] + max_chars + 1, at + 1) - 1
+                    at = min(max(over, at + 1), at + max_lines)
+                out.append(breaks or [first])
+            return out
+
+        return pd.Series([of(*x) for x in zip(lengths, firsts, lasts)])
+
+    return points
 
 
 def chunk_artifacts(
@@ -134,11 +149,13 @@ def chunk_artifacts(
     if max_chunk_chars < 1 or max_chunk_lines < 1:
         raise ValueError("chunk limits must be at least 1.")
     base = sections(artifacts.select("artifact_id", "path", "raw_text"))
-    with_starts = F.transform(
-        "sections",
-        lambda s: F.struct(s.alias("s"), _split_points(s, max_chunk_chars, max_chunk_lines).alias("starts")),
+    starts = _split_points(max_chunk_chars, max_chunk_lines)(
+        F.transform("lines", lambda line: F.length(line)), F.transform("sections", lambda s: s["start"]), F.transform("sections", lambda s: s["end"])
+    )
+    points = compute_once(
+        compute_once(base, starts=starts),
+        split_sections=F.transform("sections", lambda s, i: F.struct(s.alias("s"), F.get("starts", i).alias("starts"))),
     )
-    points = compute_once(base, split_sections=with_starts)
 
     def ranges(item: Column) -> Column:
         return F.transform(

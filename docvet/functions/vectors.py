@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from docvet.functions.text import let, plain_tokens
+from pyspark.sql import types as T
 
 # Fixed values of the built-in embedding.
 DIMENSIONS = 64
@@ -15,20 +18,9 @@ MODEL_NAME = "local-hash-embedding-v1"
 PROVIDER = "deterministic_hash"
 STRATEGY_VERSION = "chunk-embedding-strategy/v0.1"
 
-
-def token_feature(token: Column, model_name: str = MODEL_NAME, dimensions: int = DIMENSIONS) -> Column:
-    """Bucket and signed weight of a token from the first six bytes of sha256('model:token')."""
-    digest = F.sha2(F.concat(F.lit(f"{model_name}:"), token), 256)
-
-    def feature(six_bytes: Column) -> Column:
-        weight = F.lit(1.0) + six_bytes.bitwiseAND(255) / F.lit(255.0)
-        even = F.shiftright(six_bytes, 8).bitwiseAND(1) == 0
-        return F.struct(
-            (F.shiftright(six_bytes, 16) % dimensions).cast("int").alias("bucket"),
-            F.when(even, weight).otherwise(-weight).alias("weight"),
-        )
-
-    return let(F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint"), feature)
+_TOKEN = re.compile("[a-z0-9]+")
+#: Tokens whose features a task remembers at once.
+_KNOWN_TOKENS = 500_000
 
 
 def norm(vector: Column) -> Column:
@@ -52,45 +44,31 @@ def cosine(left: Column, right: Column) -> Column:
 def hash_embedding(
     text: Column, model_name: str = MODEL_NAME, dimensions: int = DIMENSIONS, normalize: bool = True
 ) -> Column:
-    """Vector of a text, built inside its row: nothing is exploded or shuffled.
+    """Vector of a text: features of its tokens are summed per bucket in token order, scaled to length 1 and rounded.
 
-    Features are first split into about sqrt(dimensions) bands of buckets and then summed per
-    bucket inside each band, which needs far fewer passes than one per bucket. Addition follows
-    the token order.
+    An Arrow function, as a token's sha256 is then taken once a task and not once an occurrence. A null
+    text counts as one without tokens.
     """
-    tokens = let(plain_tokens(text), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("empty"))))
-    features = F.transform(tokens, lambda t: token_feature(t, model_name, dimensions))
-    band = math.isqrt(dimensions - 1) + 1
-    bands = F.sequence(F.lit(0), F.lit((dimensions - 1) // band))
-
-    def bucket_sums(items: Column, first: Column) -> Column:
-        buckets = F.sequence(first, F.least(first + (band - 1), F.lit(dimensions - 1)))
-        return F.transform(
-            buckets,
-            lambda b: F.aggregate(
-                F.filter(items, lambda f: f["bucket"] == b), F.lit(0.0), lambda acc, f: acc + f["weight"]
-            ),
-        )
-
-    def per_band(all_features: Column) -> Column:
-        return F.flatten(F.transform(
-            bands,
-            lambda n: let(
-                F.filter(all_features, lambda f: F.floor(f["bucket"] / band).cast("int") == n),
-                lambda items: bucket_sums(items, (n * band).cast("int")),
-            ),
-        ))
-
-    summed = let(features, per_band)
-
-    def scaled(vector: Column) -> Column:
-        if not normalize:
-            return F.transform(vector, lambda v: F.round(v, 6))
-        return let(
-            norm(vector),
-            lambda n: F.when(n == 0, F.transform(vector, lambda v: F.round(v, 6))).otherwise(
-                F.transform(vector, lambda v: F.round(F.try_divide(v, n), 6))
-            ),
-        )
-
-    return let(summed, scaled)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, float]] = {}
+
+        def feature(token: str) -> tuple[int, float]:
+            if token not in known:
+                if len(known) >= _KNOWN_TOKENS:
+                    known.clear()
+                digest = hashlib.sha256(f"{model_name}:{token}".encode()).digest()
+                weight = 1.0 + digest[5] / 255
+                known[token] = int.from_bytes(digest[:4], "big") % dimensions, weight if digest[4] % 2 == 0 else -weight
+            return known[token]
+
+        def vector(value: str | None) -> list[float]:
+            buckets, weights = zip(*map(feature, _TOKEN.findall((value or "").lower()) or ["empty"]))
+            sums = np.bincount(buckets, weights, dimensions).tolist()
+            size = math.sqrt(sum(v * v for v in sums)) if normalize else 0.0
+            return [round(v / size if size else v, 6) for v in sums]
+
+        return texts.map(vector, na_action=None)
+
+    return embed(text)

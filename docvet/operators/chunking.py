@@ -187,8 +187,8 @@ METADATA_FIELDS = (
 )
 
 
-def chunk_metadata(chunks: DataFrame) -> DataFrame:
-    """Counts and hash per chunk; the text itself is left out."""
+def with_metadata(chunks: DataFrame) -> DataFrame:
+    """Counts of each chunk, and the hash of its keys and counts, beside the columns it has."""
     counted = chunks.select(
         "*",
         (F.col("end_line") - F.col("start_line") + 1).alias("line_count"),
@@ -196,5 +196,10 @@ def chunk_metadata(chunks: DataFrame) -> DataFrame:
         (F.size("heading_path") > 0).alias("has_heading_context"),
         F.length("text").alias("char_count"),
         F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(1))).alias("word_count"),
-    ).select(*METADATA_FIELDS)
+    )
     return counted.withColumn("metadata_hash", canonical_hash(*METADATA_FIELDS))
+
+
+def chunk_metadata(chunks: DataFrame) -> DataFrame:
+    """Counts and hash per chunk; the text itself is left out."""
+    return with_metadata(chunks).select(*METADATA_FIELDS, "metadata_hash")

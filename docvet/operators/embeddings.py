@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docvet.functions import vectors as V
 from docvet.functions.ids import canonical_hash
+from docvet.functions.text import let
 
 
 @dataclass(frozen=True)
@@ -52,16 +53,27 @@ def embedding_input(provider: EmbeddingProvider) -> Column:
     return F.array_join(F.concat(context, F.array("text")), "\n")
 
 
+CONFIG_NAMES = ("provider", "model_name", "dimensions", "normalize", "strategy_version")
 RECORD_KEYS = ("chunk_id", "artifact_id", "path", "chunk_index", "start_line", "end_line", "heading_path")
 
 
+def record_columns(provider: EmbeddingProvider, vector: Column, has_metadata: bool) -> list[Column]:
+    """Columns of a chunk's record: keys, configuration and vector."""
+    metadata = ["metadata_hash"] if has_metadata else []
+    return [*(F.col(c) for c in (*RECORD_KEYS, "content_hash", *metadata)), *provider.config_columns(), vector.alias("vector")]
+
+
+def record_hash(provider: EmbeddingProvider, vector: Column, has_metadata: bool) -> Column:
+    """Hash of a chunk's record; ``chunk_embeddings`` gives the same for the same vector."""
+    record = F.struct(*record_columns(provider, vector, has_metadata))
+    names = [*RECORD_KEYS, "content_hash", *(["metadata_hash"] if has_metadata else []), *CONFIG_NAMES, "vector"]
+    return let(record, lambda r: F.sha2(F.to_json(F.struct(*[r[n].alias(n) for n in sorted(names)]), {"ignoreNullFields": "false"}), 256))
+
+
 def chunk_embeddings(chunks: DataFrame, provider: EmbeddingProvider = EmbeddingProvider()) -> DataFrame:
     """One record per chunk: keys, configuration, vector and its hash; no text."""
-    metadata = [c for c in ("metadata_hash",) if c in chunks.columns]
-    rows = chunks.select(
-        *RECORD_KEYS, "content_hash", *metadata, *provider.config_columns(),
-        provider.vector(embedding_input(provider)).alias("vector"),
-    )
+    columns = record_columns(provider, provider.vector(embedding_input(provider)), "metadata_hash" in chunks.columns)
+    rows = chunks.select(*columns)
     return rows.withColumn("embedding_hash", canonical_hash(*rows.columns))
 
 

@@ -1,27 +1,25 @@
-"""Lexical (BM25), embedding and hybrid retrieval for a batch of queries in one job.
+"""Lexical (BM25), embedding and hybrid retrieval over a stored inverted index.
 
-The chunk table streams once past a small, size-checked batch of queries; what remains per chunk is
-a few counts, and only those are joined, shuffled and ranked. Query tables over that size are cut
-into further batches, so any number of queries gives the same result.
+The index is built once from a chunk table. Any number of queries is answered in one job of joins: query
+terms meet postings by (term, block of chunks), so that a frequent term is spread over its blocks, and
+blocks whose best possible score lies under a query's threshold are never read. Cosines are blocked matrix products
+of a group of queries and a group of chunks. No query passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docvet.functions.text import compute_once, prefix_snippet, snippet, stemmed_tokens
-from docvet.functions.vectors import cosine
-from docvet.operators.embeddings import EmbeddingProvider, embedding_input
+from docvet.operators.chunking import with_metadata
+from docvet.operators.embeddings import EmbeddingProvider, embedding_input, record_hash
+from docvet.session import shared_table
 
 # BM25 constants, context weight and phrase bonuses.
 K1 = 1.2
@@ -30,175 +28,191 @@ CONTEXT_WEIGHT = 0.35
 TEXT_PHRASE_BONUS = 1.0
 CONTEXT_PHRASE_BONUS = 0.4
 
-# A batch of queries is held as plan literals and as one small matrix per task.
-QUERIES_PER_BATCH = 256
+# Chunks of a posting block, chunks and queries of a matrix product (powers of two).
+BLOCK_BITS = 10
+GROUP_BITS = 12
+QUERY_GROUP = 128
+# Slack of the threshold test: sums of doubles in another order.
+SLACK = 1e-6
 
 
 @dataclass(frozen=True)
-class QueryBatch:
-    """At most QUERIES_PER_BATCH queries with their stemmed terms and (optionally) vectors."""
+class Index:
+    """A chunk table as stored tables.
 
-    rows: tuple
+    ``documents``: doc (a number), the chunk's columns, text_length and, with a provider, vector. ``postings``: term, block, doc,
+    saturation (the BM25 factor beside idf), context_count and positions in text and context. ``blocks``: term,
+    block, number of postings and the most that one of them can give for an idf of 1. ``terms``: term, document_frequency.
+    """
 
-    @property
-    def vocabulary(self) -> list[str]:
-        return sorted({term for row in self.rows for term in row["terms"]})
+    documents: DataFrame
+    postings: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+    document_count: int
+    average_length: float
+    provider: EmbeddingProvider | None = None
 
-    def phrases(self) -> Column:
-        return F.array(*[
-            F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(" ".join(r["terms"])).alias("phrase")) for r in self.rows
-        ])
 
-    def terms(self, spark: SparkSession) -> DataFrame:
-        flat = [(r["query_id"], pos, term) for r in self.rows for pos, term in enumerate(r["terms"])]
-        return spark.createDataFrame(flat, "query_id string, term_pos int, term string")
+def build_index(chunks: DataFrame, provider: EmbeddingProvider | None = None) -> Index:
+    """Index of ``chunks``; a provider adds the vectors that hybrid retrieval needs. Four tables are written, text once."""
+    context = F.concat_ws(" ", F.coalesce("path", F.lit("")), F.array_join("heading_path", " "))
+    vector = {"vector": provider.vector(embedding_input(provider))} if provider else {}
+    tokens = compute_once(chunks, text_tokens=stemmed_tokens(F.col("text")), context_tokens=stemmed_tokens(context), **vector)
+    documents = shared_table(tokens.withColumn("text_length", F.size("text_tokens")).withColumn("doc", F.monotonically_increasing_id()))
+    counted = documents.agg(F.count("*").alias("n"), F.avg("text_length").alias("mean")).first()
+    average = max(counted.mean or 1.0, 1.0)
+
+    place = documents.select("doc", "text_length", F.posexplode(F.concat("text_tokens", "context_tokens")).alias("pos", "term"))
+    in_text = F.col("pos") < F.col("text_length")
+    grouped = place.groupBy("term", "doc").agg(
+        F.first("text_length").alias("text_length"),
+        F.array_sort(F.collect_list(F.when(in_text, F.col("pos")))).alias("text_at"),
+        F.array_sort(F.collect_list(F.when(~in_text, F.col("pos") - F.col("text_length")))).alias("context_at"),
+    )
+    length_part = K1 * (F.lit(1 - B) + B * F.greatest("text_length", F.lit(1)) / F.lit(average))
+    count = F.size("text_at")
+    postings = shared_table(
+        grouped.select(
+            "term", F.shiftright("doc", BLOCK_BITS).alias("block"), "doc", (count * (K1 + 1) / (count + length_part)).alias("saturation"),
+            F.size("context_at").alias("context_count"), "text_at", "context_at",
+        ).repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
+    )
+    most = F.max(F.col("saturation") + CONTEXT_WEIGHT * F.col("context_count"))
+    blocks = shared_table(postings.groupBy("term", "block").agg(F.count("*").alias("postings"), most.alias("most")))
+    terms = shared_table(blocks.groupBy("term").agg(F.sum("postings").alias("document_frequency")))
+    return Index(documents, postings, blocks, terms, counted.n, average, provider)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """Distinct stemmed terms of each query in first-seen order; queries without terms drop out."""
-    terms = queries.select("query_id", "query", F.array_distinct(stemmed_tokens(F.col("query"))).alias("terms"))
+    """Distinct stemmed terms of each query in first-seen order; queries without terms drop out.
+
+    Queries without an id have no result. An id that is there more than once stands for its least query.
+    """
+    one = queries.where("query_id IS NOT NULL").groupBy("query_id").agg(F.min("query").alias("query"))
+    terms = one.select("query_id", "query", F.array_distinct(stemmed_tokens(F.col("query"))).alias("terms"))
     return terms.where(F.size("terms") > 0)
 
 
-def query_batches(prepared: DataFrame, size: int = QUERIES_PER_BATCH) -> Iterator[QueryBatch]:
-    """Cut a query table into bounded batches by id; never more than ``size`` rows at a time.
+def corpus_statistics(index: Index) -> DataFrame:
+    """One row: number of chunks and mean token count (at least 1)."""
+    return index.documents.sparkSession.createDataFrame([(index.document_count, index.average_length)], "document_count bigint, average_length double")
 
-    Queries without an id have no result. An id that is there more than once stands for its least query.
-    """
-    rest = [c for c in prepared.columns if c != "query_id"]
-    prepared = prepared.where("query_id IS NOT NULL").groupBy("query_id").agg(F.min_by(F.struct(*rest), "query").alias("q")).select("query_id", "q.*")
-    last = None
-    while True:
-        page = prepared if last is None else prepared.where(F.col("query_id") > F.lit(last))
-        rows = page.orderBy("query_id").limit(size).collect()
-        if rows:
-            yield QueryBatch(tuple(rows))
-        if len(rows) < size:
-            return
-        last = rows[-1]["query_id"]
-
-
-def lexical_documents(chunks: DataFrame, *extra: str) -> DataFrame:
-    """Stemmed tokens and normalised text of every chunk. Narrow."""
-    context = F.concat_ws(" ", F.coalesce("path", F.lit("")), F.array_join("heading_path", " "))
-    tokens = compute_once(
-        chunks.withColumn("context", context),
-        text_tokens=stemmed_tokens(F.col("text")), context_tokens=stemmed_tokens(F.col("context")),
-    )
-    joined = compute_once(
-        tokens, normalized_text=F.array_join("text_tokens", " "), normalized_context=F.array_join("context_tokens", " ")
-    )
-    return joined.select(
-        "chunk_id", "chunk_index", *extra, "text_tokens", "context_tokens", F.size("text_tokens").alias("text_length"),
-        "normalized_text", "normalized_context",
-    )
+
+def document_frequency(index: Index, prepared: DataFrame) -> DataFrame:
+    """In how many chunks each queried term occurs, in text or context."""
+    return index.terms.join(prepared.select(F.explode("terms").alias("term")), "term", "left_semi")
 
 
-def match_batch(documents: DataFrame, batch: QueryBatch, *extra: str) -> DataFrame:
-    """What a batch of queries finds in each chunk, in one narrow pass over the chunk table.
+def _weighted(index: Index, prepared: DataFrame) -> DataFrame:
+    """(query_id, term_pos, term, idf) of the queried terms that the index has."""
+    total, frequency = F.lit(index.document_count), F.col("document_frequency")
+    idf = F.log(F.lit(1.0) + (total - frequency + 0.5) / (frequency + 0.5))
+    asked = prepared.select("query_id", F.posexplode("terms").alias("term_pos", "term"))
+    return asked.join(index.terms, "term").select("query_id", "term_pos", "term", idf.alias("idf"))
 
-    ``hits`` holds the counts of queried terms, ``phrases`` the bonus of every query whose joined
-    terms occur in the text or context (a substring test: a phrase may start or end inside a
-    longer word). Every chunk keeps its row, because the corpus statistics need its length.
+
+def _surviving_blocks(index: Index, weighted: DataFrame, best: int) -> DataFrame:
+    """(query_id, block) that can hold one of a query's ``best`` chunks.
+
+    Each block of a term has a chunk that reaches the block's maximum by this term alone. So ``best`` chunks score at least the
+    maximum of the term's block number ``best``, and the greatest such value among a query's terms is a threshold.
     """
-    words = batch.vocabulary
-    tagged = compute_once(
-        documents,
-        text_hits=F.filter("text_tokens", lambda t: t.isin(words)),
-        context_hits=F.filter("context_tokens", lambda t: t.isin(words)),
-    )
-    hits = F.transform(
-        F.array_distinct(F.concat("text_hits", "context_hits")),
-        lambda term: F.struct(
-            term.alias("term"),
-            F.size(F.filter("text_hits", lambda t: t == term)).alias("text_count"),
-            F.size(F.filter("context_hits", lambda t: t == term)).alias("context_count"),
-        ),
-    )
-    bonus = F.filter(
-        F.transform(batch.phrases(), lambda q: F.struct(
-            q["query_id"].alias("query_id"),
-            F.array(
-                F.when(F.contains("normalized_text", q["phrase"]), TEXT_PHRASE_BONUS).otherwise(0.0),
-                F.when(F.contains("normalized_context", q["phrase"]), CONTEXT_PHRASE_BONUS).otherwise(0.0),
-            ).alias("bonuses"),
-        )),
-        lambda s: F.array_max(s["bonuses"]) > 0,
+    reach = weighted.join(index.blocks, "term").select("query_id", "term_pos", "block", (F.col("idf") * F.col("most")).alias("reach"))
+    order = Window.partitionBy("query_id", "term_pos").orderBy(F.desc("reach"))
+    threshold = (
+        reach.withColumn("n", F.row_number().over(order)).where(F.col("n") <= best).where(F.col("n") == best)
+        .groupBy("query_id").agg(F.max("reach").alias("threshold"))
     )
-    return tagged.select("chunk_id", "chunk_index", "text_length", hits.alias("hits"), bonus.alias("phrases"), *extra)
+    bound = reach.groupBy("query_id", "block").agg((F.sum("reach") + (TEXT_PHRASE_BONUS + CONTEXT_PHRASE_BONUS)).alias("bound"))
+    kept = bound.join(threshold, "query_id", "left").where(F.col("bound") >= F.coalesce("threshold", F.lit(0.0)) - SLACK)
+    return kept.select("query_id", "block")
 
 
-def corpus_statistics(documents: DataFrame) -> DataFrame:
-    """One row: number of chunks and mean token count (at least 1)."""
-    return documents.agg(
-        F.count("*").alias("document_count"),
-        F.greatest(F.coalesce(F.avg("text_length"), F.lit(1.0)), F.lit(1.0)).alias("average_length"),
-    )
+def _substrings(term: Column, lengths: Column) -> Column:
+    """All substrings of a term whose length is one of ``lengths``."""
+    fitting = F.filter(lengths, lambda n: n <= F.length(term))
+    return F.array_distinct(F.flatten(F.transform(
+        fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(term) - n + 1), lambda at: F.substring(term, at, n))
+    )))
 
 
-def document_frequency(matched: DataFrame) -> DataFrame:
-    """In how many chunks each queried term occurs, in text or context."""
-    return matched.select(F.explode("hits.term").alias("term")).groupBy("term").agg(
-        F.count("*").alias("document_frequency")
+def _phrase_slots(index: Index, prepared: DataFrame) -> DataFrame:
+    """(query_id, size, slot, term): indexed terms that can stand at each place of a query's joined terms.
+
+    The joined terms are looked for as a substring of the joined tokens: the first may end a longer
+    token, the last may begin one, and a single one may lie inside.
+    """
+    slots = prepared.select("query_id", F.size("terms").alias("size"), F.posexplode("terms").alias("slot", "needle"))
+    inner = slots.where("slot > 0 AND slot < size - 1").join(index.terms.select(F.col("term").alias("needle")), "needle", "left_semi")
+    found = inner.select("query_id", "size", "slot", F.col("needle").alias("term"))
+
+    def lengths(part: DataFrame) -> Column:
+        return F.coalesce(part.agg(F.collect_set(F.length("needle")).alias("n")).scalar(), F.array().cast("array<int>"))
+
+    # The number of different lengths is at most that of the longest query term.
+    for which, cut in (
+        ("size > 1 AND slot = 0", lambda t, ns: F.transform(F.filter(ns, lambda n: n <= F.length(t)), lambda n: F.substring(t, F.length(t) - n + 1, n))),
+        ("size > 1 AND slot = size - 1", lambda t, ns: F.transform(F.filter(ns, lambda n: n <= F.length(t)), lambda n: F.substring(t, F.lit(1), n))),
+        ("size = 1", _substrings),
+    ):
+        part = slots.where(which)
+        pieces = index.terms.select("term", lengths(part).alias("lengths")).select("term", F.explode(cut(F.col("term"), F.col("lengths"))).alias("needle"))
+        found = found.unionByName(pieces.join(part, "needle").select("query_id", "size", "slot", "term"))
+    return found
+
+
+def phrase_bonuses(index: Index, prepared: DataFrame) -> DataFrame:
+    """(query_id, doc, bonuses): chunks whose text or context holds the query's joined terms. Positions decide; no text is read."""
+    met = _phrase_slots(index, prepared).join(index.postings, "term")
+
+    def starts(places: str, in_text: bool) -> Column:
+        own = F.when(F.col("size") == 1, F.slice(places, 1, 1)).otherwise(F.col(places))
+        return F.transform(own, lambda p: F.struct(F.lit(in_text).alias("in_text"), F.when(F.col("size") == 1, F.lit(0)).otherwise(p - F.col("slot")).alias("start")))
+
+    at = met.select("query_id", "size", "slot", "doc", F.inline(F.concat(starts("text_at", True), starts("context_at", False)))).where("start >= 0")
+    whole = at.groupBy("query_id", "doc", "in_text", "start").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n >= size")
+    bonus = lambda here, points: F.coalesce(F.max(F.when(here, F.lit(points))), F.lit(0.0))
+    return whole.groupBy("query_id", "doc").agg(
+        F.array(bonus(F.col("in_text"), TEXT_PHRASE_BONUS), bonus(~F.col("in_text"), CONTEXT_PHRASE_BONUS)).alias("bonuses")
     )
 
 
-def _idf(total: Column, frequency: Column) -> Column:
-    return F.log(F.lit(1.0) + (total - frequency + 0.5) / (frequency + 0.5))
+# Sorts the phrase bonus after every term.
+_PHRASE_POS = 2_000_000_000
 
 
-def batch_scores(matched: DataFrame, batch: QueryBatch) -> DataFrame:
-    """Score of every (query, chunk) with a token or phrase hit, unrounded."""
-    statistics = corpus_statistics(matched)
-    total = statistics.select("document_count").scalar()
-    average = statistics.select("average_length").scalar()
-    weighted = batch.terms(matched.sparkSession).join(document_frequency(matched), "term").select(
-        "query_id", "term", "term_pos", _idf(total, F.col("document_frequency")).alias("idf")
-    )
-    counts = matched.select("chunk_id", "chunk_index", "text_length", F.inline("hits"))
-    length_part = K1 * (F.lit(1 - B) + B * F.greatest("text_length", F.lit(1)) / average)
-    bm25 = F.col("idf") * (F.col("text_count") * (K1 + 1) / (F.col("text_count") + length_part))
-    text_points = F.when(F.col("text_count") > 0, bm25).otherwise(0.0)
+def term_scores(index: Index, prepared: DataFrame, best: int | None = None) -> DataFrame:
+    """(query_id, doc, score, matched_terms), unrounded; with ``best``, blocks without one of a query's ``best`` chunks are left out.
+
+    A chunk of a block that is left out may come with its phrase bonus alone, which is less than its score and than the threshold.
+    """
+    weighted = _weighted(index, prepared)
+    if best is None:
+        met = weighted.join(index.postings, "term")
+    else:
+        met = weighted.join(_surviving_blocks(index, weighted, best), "query_id").join(index.postings, ["term", "block"])
+    text_points = F.when(F.size("text_at") > 0, F.col("idf") * F.col("saturation")).otherwise(0.0)
     context_points = F.col("context_count") * F.col("idf") * CONTEXT_WEIGHT
-    term_points = counts.join(weighted, "term").select(
-        "query_id", "chunk_id", "chunk_index",
-        F.struct("term_pos", "term", F.array(text_points, context_points).alias("points")).alias("part"),
-    )
-    bonus = matched.select("chunk_id", "chunk_index", F.inline("phrases")).select(
-        "query_id", "chunk_id", "chunk_index",
-        F.struct(
-            F.lit(_PHRASE_POS).alias("term_pos"), F.lit(None).cast("string").alias("term"), F.col("bonuses").alias("points")
-        ).alias("part"),
+    points = met.select("query_id", "doc", F.struct("term_pos", "term", F.array(text_points, context_points).alias("points")).alias("part"))
+    bonus = phrase_bonuses(index, prepared).select(
+        "query_id", "doc",
+        F.struct(F.lit(_PHRASE_POS).alias("term_pos"), F.lit(None).cast("string").alias("term"), F.col("bonuses").alias("points")).alias("part"),
     )
     # Rows of a group are the terms of one query in one chunk: bounded by the query length. They are
     # added in query order, so equal chunks get equal scores on every run.
-    grouped = term_points.unionByName(bonus).groupBy("query_id", "chunk_id", "chunk_index").agg(
-        F.array_sort(F.collect_list("part")).alias("parts")
-    )
+    grouped = points.unionByName(bonus).groupBy("query_id", "doc").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     score = F.aggregate(F.flatten(F.transform("parts", lambda p: p["points"])), F.lit(0.0), lambda acc, v: acc + v)
     terms = F.transform(F.filter("parts", lambda p: p["term"].isNotNull()), lambda p: p["term"])
-    return grouped.select(
-        "query_id", "chunk_id", "chunk_index", score.alias("score"), terms.alias("matched_terms")
-    ).where(F.col("score") > 0)
+    return grouped.select("query_id", "doc", score.alias("score"), terms.alias("matched_terms")).where(F.col("score") > 0)
 
 
-# Sorts the phrase bonus after every term.
-_PHRASE_POS = 2_000_000_000
-
-
-def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Lexical score of every (query, chunk) hit for any number of queries."""
-    documents = lexical_documents(chunks)
-    parts = [
-        batch_scores(match_batch(documents, batch).persist(StorageLevel.MEMORY_AND_DISK), batch)
-        for batch in query_batches(query_terms(queries))
-    ]
-    if not parts:
-        return chunks.sparkSession.createDataFrame([], _SCORES)
-    return reduce(DataFrame.unionByName, parts)
-
-
-_SCORES = "query_id string, chunk_id string, chunk_index int, score double, matched_terms array<string>"
+def lexical_scores(index: Index, queries: DataFrame, best: int | None = None) -> DataFrame:
+    """Lexical score of every (query, chunk) hit, or of all that can be among the ``best`` of a query, for any number of queries."""
+    scores = term_scores(index, shared_table(query_terms(queries)), best)
+    return scores.join(index.documents.select("doc", "chunk_id", "chunk_index"), "doc").select(
+        "query_id", "chunk_id", "chunk_index", "score", "matched_terms", "doc"
+    )
 
 
 def top_per_query(scores: DataFrame, max_results: int, *order: Column) -> DataFrame:
@@ -207,20 +221,20 @@ def top_per_query(scores: DataFrame, max_results: int, *order: Column) -> DataFr
     return scores.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= max_results)
 
 
-HIT_KEYS = ("chunk_id", "artifact_id", "path", "start_line", "end_line", "heading_path", "text", "content_hash")
+_TIES = ("chunk_index", "chunk_id")
 
 
-def retrieve_lexical(chunks: DataFrame, queries: DataFrame, max_results: int = 5, snippet_chars: int = 240) -> DataFrame:
+def retrieve_lexical(index: Index, queries: DataFrame, max_results: int = 5, snippet_chars: int = 240) -> DataFrame:
     """Top chunks per query by BM25, with snippets."""
     if max_results < 1 or snippet_chars < 1:
         raise ValueError("max_results and snippet_chars must be at least 1.")
-    scores = lexical_scores(chunks, queries)
-    top = top_per_query(scores, max_results, F.desc("score"), F.asc("chunk_index"), F.asc("chunk_id"))
-    joined = chunks.select(*HIT_KEYS).join(top, "chunk_id")
+    scores = lexical_scores(index, queries, max_results)
+    top = top_per_query(scores, max_results, F.desc("score"), *map(F.asc, _TIES)).drop(*_TIES)
+    joined = with_metadata(index.documents.drop("text_tokens", "context_tokens", "vector").join(top, "doc"))
     return joined.select(
         "query_id", "rank", "chunk_id", "artifact_id", "path", "chunk_index", "start_line", "end_line", "heading_path",
         F.round("score", 6).alias("score"), "matched_terms",
-        snippet(F.col("text"), F.col("matched_terms"), snippet_chars).alias("snippet"), "content_hash",
+        snippet(F.col("text"), F.col("matched_terms"), snippet_chars).alias("snippet"), "content_hash", "metadata_hash",
     )
 
 
@@ -231,144 +245,87 @@ def _validate(max_results: int, lexical_weight: float, embedding_weight: float,
         raise ValueError("retrieval weights must not be negative and at least one must be positive.")
 
 
-_NEAREST = T.StructType([
-    T.StructField("query_id", T.StringType()), T.StructField("chunk_id", T.StringType()),
-    T.StructField("chunk_index", T.IntegerType()), T.StructField("embedding_score", T.DoubleType()),
-])
-
+_HYBRID = (
+    "query_id string, doc bigint, chunk_index int, chunk_id string, matched_terms string, hybrid_score double, lexical_score double, "
+    "normalized_lexical_score double, embedding_score double"
+)
 
-def nearest_chunks(embedded: DataFrame, batch: QueryBatch, max_results: int, weight: float = 1.0) -> DataFrame:
-    """At least the best ``max_results`` chunks per query by positive cosine.
 
-    Each Arrow batch of chunk vectors is multiplied with the query matrix and only its own best
-    rows are kept, so pairs are never materialised. Ties at the cut are decided by
-    (chunk_index, chunk_id), the order of the final ranking, which keeps the result exact.
-    """
-    ids = [r["query_id"] for r in batch.rows]
-    matrix = np.array([r["vector"] for r in batch.rows], dtype=float)
-    return embedded.select("chunk_id", "chunk_index", "vector").mapInArrow(
-        _best_of_batch(ids, matrix, max_results, weight), _NEAREST
-    )
+def _unit(vectors: pd.Series) -> np.ndarray:
+    matrix = np.array(vectors.tolist(), dtype=float)
+    size = np.sqrt((matrix * matrix).sum(axis=1))[:, None]
+    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
+
+
+def _best_of_cell(max_results: int, lexical_weight: float, embedding_weight: float):
+    """Best chunks of a group of chunks for each query of a group, from cosines and the lexical scores that fall into this cell."""
+
+    def best(chunks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        queries, hits = asked[asked["doc"].isna()].reset_index(drop=True), asked[asked["doc"].notna()]
+        if not len(chunks) or not len(queries):
+            return pd.DataFrame(columns=[f.split()[0] for f in _HYBRID.split(", ")])
+        chunks = chunks.sort_values(["chunk_index", "chunk_id"], kind="stable").reset_index(drop=True)
+        cosine = np.maximum(0.0, _unit(queries["vector"]) @ _unit(chunks["vector"]).T)
+        lexical = np.zeros_like(cosine)
+        line = hits["query_id"].map({q: k for k, q in enumerate(queries["query_id"])}).to_numpy(dtype=int)
+        column = hits["doc"].astype("int64").map({c: k for k, c in enumerate(chunks["doc"])}).to_numpy(dtype=int)
+        lexical[line, column] = hits["lexical_score"].to_numpy()
+        terms = dict(zip(zip(line.tolist(), column.tolist()), hits["matched_terms"]))
+        most = queries["max_score"].fillna(0.0).to_numpy()[:, None]
+        normalized = np.divide(lexical, most, out=np.zeros_like(lexical), where=most > 0)
+        hybrid = lexical_weight * normalized + embedding_weight * cosine
+        out = []
+        for q in range(len(queries)):
+            score = hybrid[q]
+            rows = np.flatnonzero(score > 0)
+            if len(rows) > max_results:  # rounded values decide, so all that may round to the last one stay
+                rows = rows[score[rows] >= np.partition(score[rows], -max_results)[-max_results] - 2e-6]
+            found = [(round(float(score[c]), 6), round(float(normalized[q, c]), 6), round(float(cosine[q, c]), 6), int(c)) for c in rows]
+            for h, n, e, c in sorted(found, key=lambda x: (-x[0], -x[1], -x[2], x[3]))[:max_results]:
+                chunk = chunks.iloc[c]
+                out.append((queries["query_id"][q], chunk["doc"], chunk["chunk_index"], chunk["chunk_id"], terms.get((q, c), ""), h, lexical[q, c], n, e))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in _HYBRID.split(", ")])
+
+    return best
 
 
-def _best_of_batch(query_ids: list[str], matrix: np.ndarray, k: int, weight: float):
-    lengths = np.sqrt((matrix * matrix).sum(axis=1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vectors = np.array(batch.column("vector").to_pylist(), dtype=float) if batch.column("vector").null_count else (
-                batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            )
-            if vectors.shape[1] != matrix.shape[1]:
-                raise ValueError("embedding vectors must have the same dimensions.")
-            scale = np.sqrt((vectors * vectors).sum(axis=1))[:, None] * lengths[None, :]
-            cosines = np.divide(vectors @ matrix.T, scale, out=np.zeros((batch.num_rows, len(query_ids))), where=scale > 0)
-            chunk_ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-            indexes = batch.column("chunk_index").to_numpy(zero_copy_only=False)
-            picked_q, picked_c = [], []
-            for q in range(len(query_ids)):
-                score = cosines[:, q]
-                rows = np.flatnonzero(score > 0)
-                if len(rows) > k:
-                    hybrid, rounded = np.round(weight * score[rows], 6), np.round(score[rows], 6)
-                    best = np.lexsort((chunk_ids[rows].astype(str), indexes[rows], -rounded, -hybrid))[:k]
-                    rows = rows[best]
-                picked_q.extend([q] * len(rows))
-                picked_c.extend(rows.tolist())
-            yield pa.RecordBatch.from_arrays([
-                pa.array([query_ids[q] for q in picked_q], pa.string()),
-                pa.array([chunk_ids[c] for c in picked_c], pa.string()),
-                pa.array([int(indexes[c]) for c in picked_c], pa.int32()),
-                pa.array([float(cosines[c, q]) for q, c in zip(picked_q, picked_c)], pa.float64()),
-            ], names=["query_id", "chunk_id", "chunk_index", "embedding_score"])
-
-    return run
-
-
-def hybrid_batch_scores(
-    matched: DataFrame, batch: QueryBatch, max_results: int, lexical_weight: float, embedding_weight: float
+def hybrid_scores(
+    index: Index, queries: DataFrame, max_results: int = 5, lexical_weight: float = 0.6, embedding_weight: float = 0.4
 ) -> DataFrame:
-    """All (query, chunk) rows of a batch that can reach the top ``max_results``, with their scores.
+    """The best rows of each group of chunks for any number of queries; queries without terms give none.
 
-    A chunk with a lexical hit is always scored. A chunk without one scores embedding_weight times
-    its cosine, so outside the best ``max_results`` by cosine it is beaten by that many chunks and
-    cannot be in the result.
+    A group of at most 2^GROUP_BITS chunks and one of about QUERY_GROUP queries meet in one task with their lexical scores, so that
+    the score of each pair is known there and only the best leave it.
     """
-    lexical = batch_scores(matched, batch).select(
-        "query_id", "chunk_id", "chunk_index", F.round("score", 6).alias("lexical_score"), "matched_terms"
-    )
-    top_score = lexical.groupBy("query_id").agg(F.max("lexical_score").alias("max_score"))
-    found = matched.where((F.size("hits") > 0) | (F.size("phrases") > 0)).select("chunk_id", "vector")
-    query_vectors = matched.sparkSession.createDataFrame(
-        [(r["query_id"], r["vector"]) for r in batch.rows], "query_id string, query_vector array<double>"
-    )
-    hits = (
-        lexical.join(found, "chunk_id").join(query_vectors, "query_id").join(top_score, "query_id")
-        .select(
-            "query_id", "chunk_id", "chunk_index", "lexical_score", "matched_terms",
-            F.coalesce(F.try_divide("lexical_score", "max_score"), F.lit(0.0)).alias("normalized_lexical"),
-            F.greatest(F.lit(0.0), cosine(F.col("query_vector"), F.col("vector"))).alias("embedding"),
-        )
-    )
-    near = top_per_query(
-        nearest_chunks(matched, batch, max_results, embedding_weight), max_results,
-        F.desc(F.round(F.col("embedding_score") * embedding_weight, 6)),
-        F.desc(F.round("embedding_score", 6)), F.asc("chunk_index"), F.asc("chunk_id"),
-    )
-    # At most max_results rows per query remain on this side.
-    others = near.join(lexical.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select(
-        "query_id", "chunk_id", "chunk_index", F.lit(0.0).alias("lexical_score"),
-        _no_terms().alias("matched_terms"), F.lit(0.0).alias("normalized_lexical"),
-        F.col("embedding_score").alias("embedding"),
+    if index.provider is None:
+        raise ValueError("the index has no vectors; build it with a provider.")
+    prepared = query_terms(queries)
+    prepared = shared_table(prepared.withColumn("vector", index.provider.vector(F.col("query"))))
+    groups = max(1, -(-prepared.count() // QUERY_GROUP))
+    of_query, of_doc = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("query_group"), F.shiftright("doc", GROUP_BITS).alias("doc_group")
+    lexical = shared_table(term_scores(index, prepared).select(
+        "query_id", "doc", F.round("score", 6).alias("lexical_score"), F.array_join("matched_terms", " ").alias("matched_terms")
+    ))
+    top = lexical.groupBy("query_id").agg(F.max("lexical_score").alias("max_score"))
+    asked = prepared.join(top, "query_id", "left").select("query_id", of_query, "vector", "max_score")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("query_group")
+    chunks = index.documents.select(of_doc, "doc", "chunk_index", "chunk_id", "vector", every)
+    cells = index.documents.select(of_doc).distinct().select("doc_group", every)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = cells.join(asked, "query_group").select(
+        "query_group", "doc_group", "query_id", none("bigint", "doc"), "vector", "max_score", none("double", "lexical_score"), none("string", "matched_terms")
+    ).unionByName(lexical.select(
+        of_query, of_doc, "query_id", "doc", none("array<double>", "vector"), none("double", "max_score"), "lexical_score", "matched_terms"
+    ))
+    key = ["query_group", "doc_group"]
+    return chunks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(
+        lambda left, right: _best_of_cell(max_results, lexical_weight, embedding_weight)(left, right), _HYBRID
     )
-    hybrid = F.col("normalized_lexical") * lexical_weight + F.col("embedding") * embedding_weight
-    return hits.unionByName(others).withColumn("hybrid", hybrid).where(F.col("hybrid") > 0).select(
-        "query_id", "chunk_id", "chunk_index", "matched_terms", F.round("hybrid", 6).alias("hybrid_score"),
-        "lexical_score", F.round("normalized_lexical", 6).alias("normalized_lexical_score"),
-        F.round("embedding", 6).alias("embedding_score"),
-    )
-
-
-def _no_terms() -> Column:
-    return F.array().cast("array<string>")
-
-
-def hybrid_scores(
-    chunks: DataFrame,
-    queries: DataFrame,
-    provider: EmbeddingProvider = EmbeddingProvider(),
-    max_results: int = 5,
-    lexical_weight: float = 0.6,
-    embedding_weight: float = 0.4,
-) -> DataFrame:
-    """Hybrid candidates for any number of queries; queries without terms give none."""
-    embedded = chunks.withColumn("vector", provider.vector(embedding_input(provider)))
-    documents = lexical_documents(embedded, "vector")
-    prepared = query_terms(queries).withColumn("vector", provider.vector(F.col("query")))
-    parts = [
-        hybrid_batch_scores(
-            match_batch(documents, batch, "vector").persist(StorageLevel.MEMORY_AND_DISK),
-            batch, max_results, lexical_weight, embedding_weight,
-        )
-        for batch in query_batches(prepared)
-    ]
-    if not parts:
-        return chunks.sparkSession.createDataFrame([], _HYBRID)
-    return reduce(DataFrame.unionByName, parts)
-
-
-_HYBRID = (
-    "query_id string, chunk_id string, chunk_index int, matched_terms array<string>, hybrid_score double, "
-    "lexical_score double, normalized_lexical_score double, embedding_score double"
-)
 
 
 def retrieve_hybrid(
-    chunks: DataFrame,
+    index: Index,
     queries: DataFrame,
-    provider: EmbeddingProvider = EmbeddingProvider(),
     max_results: int = 5,
     lexical_weight: float = 0.6,
     embedding_weight: float = 0.4,
@@ -376,16 +333,16 @@ def retrieve_hybrid(
 ) -> DataFrame:
     """Top chunks per query by weighted lexical and embedding score. Query text is not returned."""
     _validate(max_results, lexical_weight, embedding_weight, snippet_chars)
-    scores = hybrid_scores(chunks, queries, provider, max_results, lexical_weight, embedding_weight)
+    scores = hybrid_scores(index, queries, max_results, lexical_weight, embedding_weight)
     top = top_per_query(
-        scores, max_results, F.desc("hybrid_score"), F.desc("normalized_lexical_score"), F.desc("embedding_score"),
-        F.asc("chunk_index"), F.asc("chunk_id"),
-    )
-    joined = chunks.select(*HIT_KEYS).join(top, "chunk_id")
+        scores, max_results, F.desc("hybrid_score"), F.desc("normalized_lexical_score"), F.desc("embedding_score"), *map(F.asc, _TIES),
+    ).drop(*_TIES)
+    terms = F.when(F.col("matched_terms") == "", F.array().cast("array<string>")).otherwise(F.split("matched_terms", " "))
+    joined = with_metadata(index.documents.drop("text_tokens", "context_tokens").join(top.withColumn("matched_terms", terms), "doc"))
     lexical_cut = snippet(F.col("text"), F.col("matched_terms"), snippet_chars)
     cut = F.when(F.col("lexical_score") > 0, lexical_cut).otherwise(prefix_snippet(F.col("text"), snippet_chars))
     return joined.select(
         "query_id", "rank", "chunk_id", "artifact_id", "path", "chunk_index", "start_line", "end_line", "heading_path",
         "hybrid_score", "lexical_score", "normalized_lexical_score", "embedding_score", "matched_terms",
-        cut.alias("snippet"), "content_hash",
+        cut.alias("snippet"), "content_hash", "metadata_hash", record_hash(index.provider, F.col("vector"), True).alias("embedding_hash"),
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from docvet.functions import vectors as V
 from docvet.operators import embeddings as E
 from docvet.operators import quality as Q
 from docvet.operators import retrieval as R
+from docvet.operators.chunking import with_metadata
 from docvet.plans import inputs as I
 from docvet.plans.parse_queries import CHUNKS_SQL, chunks
 
@@ -27,10 +26,15 @@ def queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUERIES_TEXT, "query_id string, query string")
 
 
-def matched(spark, d):
-    """The first query batch matched against all chunks."""
-    batches = list(R.query_batches(R.query_terms(queries(spark))))
-    return reduce(DataFrame.unionByName, [R.match_batch(R.lexical_documents(chunks(spark, d)), b) for b in batches])
+_INDEXES: dict[tuple, R.Index] = {}
+
+
+def index(spark: SparkSession, d: str) -> R.Index:
+    """The index over all chunks, written once per application and folder, like the stored table it stands for."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = R.build_index(chunks(spark, d), E.EmbeddingProvider())
+    return _INDEXES[key]
 
 
 def term_query(spark, d):
@@ -73,38 +77,39 @@ def provider_query(spark, d):
 
 
 def record_query(spark, d):
-    rows = E.chunk_embeddings(chunks(spark, d))
-    return rows.select("chunk_id", "provider", "model_name", "dimensions", "normalize", "strategy_version", F.size("vector").alias("n"),
-                       F.length("embedding_hash").alias("hash_length"))
+    """Every record's vector as rows of its non-zero numbers, beside its configuration."""
+    rows = E.chunk_embeddings(with_metadata(chunks(spark, d)))
+    return rows.select("chunk_id", "provider", "model_name", "dimensions", "normalize", "strategy_version", "embedding_hash",
+                       F.posexplode("vector").alias("dim", "value")).where("value <> 0")
 
 
 def statistics_query(spark, d):
-    return R.corpus_statistics(matched(spark, d)).select("document_count", F.round("average_length", 6).alias("average_length"))
+    return R.corpus_statistics(index(spark, d)).select("document_count", F.round("average_length", 6).alias("average_length"))
 
 
 def frequency_query(spark, d):
-    return R.document_frequency(matched(spark, d))
+    return R.document_frequency(index(spark, d), R.query_terms(queries(spark)))
 
 
 def bm25_query(spark, d):
-    rows = R.lexical_scores(chunks(spark, d), queries(spark))
+    rows = R.lexical_scores(index(spark, d), queries(spark))
     return rows.select("query_id", "chunk_id", F.round("score", 5).alias("score"), F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
 def lexical_query(spark, d):
-    rows = R.retrieve_lexical(chunks(spark, d), queries(spark), snippet_chars=60)
-    return rows.select("query_id", "rank", "chunk_id", "score", F.array_join("matched_terms", " ").alias("matched_terms"), "snippet")
+    rows = R.retrieve_lexical(index(spark, d), queries(spark), snippet_chars=60)
+    return rows.withColumn("matched_terms", F.array_join("matched_terms", " ")).withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
 def maximum_query(spark, d):
-    rows = R.lexical_scores(chunks(spark, d), queries(spark))
+    rows = R.lexical_scores(index(spark, d), queries(spark), best=1)
     return rows.groupBy("query_id").agg(F.round(F.max("score"), 5).alias("max_score"))
 
 
 def hybrid_query(spark, d):
-    rows = R.retrieve_hybrid(chunks(spark, d), queries(spark), max_results=20)
+    rows = R.retrieve_hybrid(index(spark, d), queries(spark), max_results=20, snippet_chars=60)
     public = Q.public_projection(rows)
-    return public.select("query_id", "rank", "chunk_id", "hybrid_score", "normalized_lexical_score", "embedding_score")
+    return public.withColumn("matched_terms", F.array_join("matched_terms", " ")).withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
 _TOK = "regexp_extract_all(replace(replace(lower({0}), '_', ' '), '-', ' '), '[a-z0-9]+')"
@@ -132,6 +137,23 @@ cosv AS (SELECT query_id, chunk_id, greatest(0, sum(ce.v * qe.v) / (any_value(cn
 lx AS (SELECT query_id, chunk_id, round(score, 6) AS lex, max(round(score, 6)) OVER (PARTITION BY query_id) AS mx FROM scores),
 hy AS (SELECT query_id, chunk_id, coalesce(lex / mx, 0) AS nl, coalesce(emb, 0) AS emb FROM lx FULL JOIN cosv USING (query_id, chunk_id)),
 rk AS (SELECT query_id, hy.chunk_id, round(0.6 * nl + 0.4 * emb, 6) AS hybrid, round(nl, 6) AS nl, round(emb, 6) AS emb, chunk_index FROM hy JOIN docs USING (chunk_id) WHERE 0.6 * nl + 0.4 * emb > 0)"""
+_PATH_JSON = "to_json(CASE WHEN heading_path = '' THEN []::VARCHAR[] ELSE string_split(heading_path, ' > ') END)"
+_WORDS = r"len(regexp_extract_all(text, '[\pL\pN\pM_]+(?:[-''][\pL\pN\pM_]+)*'))"
+# The JSON that the hashes are taken of, with sorted keys.
+_META = f"""meta AS (SELECT chunk_id, sha256('{{"artifact_id":"' || artifact_id || '","char_count":' || length(text) || ',"chunk_id":"' || chunk_id || '","chunk_index":' || chunk_index || ',"chunk_type":"' || chunk_type
+ || '","content_hash":"' || content_hash || '","end_line":' || end_line || ',"has_heading_context":' || (heading_path <> '') || ',"heading_depth":' || CASE WHEN heading_path = '' THEN 0 ELSE len(string_split(heading_path, ' > ')) END
+ || ',"heading_path":' || {_PATH_JSON} || ',"line_count":' || (end_line - start_line + 1) || ',"path":"' || path || '","start_line":' || start_line || ',"word_count":' || {_WORDS} || '}}') AS metadata_hash FROM docs)"""
+# Numbers as JSON of the JVM: below a thousandth with an exponent.
+_NUMBER = """CASE WHEN v = 0 OR abs(v) >= 0.001 THEN v::VARCHAR WHEN abs(v) >= 0.0001 THEN (round(v * 1e6) / 100)::VARCHAR || 'E-4'
+ WHEN abs(v) >= 0.00001 THEN (round(v * 1e6) / 10)::VARCHAR || 'E-5' ELSE round(v * 1e6)::VARCHAR || 'E-6' END"""
+_RECORD = f"""full_v AS (SELECT chunk_id, b.bucket, coalesce(ce.v, 0)::DOUBLE AS v FROM docs CROSS JOIN (SELECT unnest(range(64)) AS bucket) b LEFT JOIN ce USING (chunk_id, bucket)),
+record AS (SELECT chunk_id, sha256('{{"artifact_id":"' || artifact_id || '","chunk_id":"' || chunk_id || '","chunk_index":' || chunk_index || ',"content_hash":"' || content_hash || '","dimensions":64,"end_line":' || end_line
+ || ',"heading_path":' || {_PATH_JSON} || ',"metadata_hash":"' || metadata_hash || '","model_name":"local-hash-embedding-v1","normalize":true,"path":"' || path || '","provider":"deterministic_hash","start_line":' || start_line
+ || ',"strategy_version":"chunk-embedding-strategy/v0.1","vector":[' || vs || ']}}') AS embedding_hash FROM docs JOIN meta USING (chunk_id) JOIN (SELECT chunk_id, string_agg({_NUMBER}, ',' ORDER BY bucket) AS vs FROM full_v GROUP BY 1) USING (chunk_id))"""
+_KEYS = "query_id, rank, chunk_id, artifact_id, path, chunk_index, start_line, end_line, heading_path"
+_CUT = """a AS (SELECT *, coalesce(list_min(list_filter(list_transform(string_split(matched_terms, ' '), lambda t: CASE WHEN t = '' THEN -1 ELSE instr(lower(f), t) - 1 END), lambda p: p >= 0)), 0) AS anchor FROM f),
+b AS (SELECT *, least(greatest(anchor - 20, 0) + 60, length(f)) AS e FROM a), c AS (SELECT *, greatest(e - 60, 0) AS s FROM b),
+cut AS (SELECT *, CASE WHEN length(f) <= 60 THEN f ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || trim(substr(f, s + 1, e - s)) || CASE WHEN e < length(f) THEN '...' ELSE '' END END AS cut FROM c)"""
 _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 QUERIES = {
@@ -142,16 +164,21 @@ QUERIES = {
 FROM chunks JOIN artifacts USING (artifact_id)"""),
     "b29_cosine_similarity": (cosine_query, "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"),
     "j1_custom_provider": (provider_query, "SELECT doc_id, length(text)::DOUBLE AS v0, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS v1 FROM documents"),
-    "j4_embedding_records": (record_query, f"{CHUNKS_SQL} SELECT chunk_id, 'deterministic_hash' AS provider, 'local-hash-embedding-v1' AS model_name, 64 AS dimensions, true AS normalize, 'chunk-embedding-strategy/v0.1' AS strategy_version, 64 AS n, 64 AS hash_length FROM chunks"),
+    "j4_embedding_records": (record_query, f"""{CHUNKS_SQL}, docs AS (SELECT c.*, a.path FROM chunks c JOIN artifacts a USING (artifact_id)), ein AS (SELECT chunk_id, path || chr(10) || CASE WHEN heading_path = '' THEN '' ELSE heading_path || chr(10) END || text AS t0 FROM docs),
+{_EMB.format('ce', 'chunk_id', _TOK.format('t0'), 'ein')}, {_META}, {_RECORD} SELECT chunk_id, 'deterministic_hash' AS provider, 'local-hash-embedding-v1' AS model_name, 64 AS dimensions, true AS normalize, 'chunk-embedding-strategy/v0.1' AS strategy_version, embedding_hash,
+ bucket AS dim, v AS value FROM ce JOIN record USING (chunk_id) WHERE v <> 0"""),
     "d8_corpus_statistics": (statistics_query, f"{_BM25} SELECT n AS document_count, round(avg_len, 6) AS average_length FROM st"),
     "d8_document_frequency": (frequency_query, f"{_BM25} SELECT term, document_frequency FROM dfs"),
     "d9_bm25_scores": (bm25_query, f"{_BM25} SELECT query_id, chunk_id, round(score, 5) AS score, matched_terms FROM scores"),
     "d10_maximum_scores": (maximum_query, f"{_BM25} SELECT query_id, round(max(score), 5) AS max_score FROM scores GROUP BY 1"),
-    "f2_lexical_topk": (lexical_query, f"""{_BM25}, r AS (SELECT query_id, s.chunk_id, score, matched_terms, {_FLAT} AS f, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, s.chunk_id) AS rank
+    "f2_lexical_topk": (lexical_query, f"""{_BM25}, {_META}, r AS (SELECT query_id, s.chunk_id, score, matched_terms, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, s.chunk_id)::INT AS rank
  FROM (SELECT query_id, chunk_id, round(score, 9) AS score, matched_terms FROM scores) s JOIN docs USING (chunk_id) QUALIFY rank <= 5),
-a AS (SELECT *, coalesce(list_min(list_filter(list_transform(string_split(matched_terms, ' '), lambda t: CASE WHEN t = '' THEN -1 ELSE instr(lower(f), t) - 1 END), lambda p: p >= 0)), 0) AS anchor FROM r),
-b AS (SELECT *, least(greatest(anchor - 20, 0) + 60, length(f)) AS e FROM a), c AS (SELECT *, greatest(e - 60, 0) AS s FROM b)
-SELECT query_id, rank, chunk_id, round(score, 6) AS score, matched_terms, CASE WHEN length(f) <= 60 THEN f ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || trim(substr(f, s + 1, e - s)) || CASE WHEN e < length(f) THEN '...' ELSE '' END END AS snippet FROM c"""),
-    "f3_hybrid_topk": (hybrid_query, f"""{_HYBRID} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, nl DESC, emb DESC, chunk_index, chunk_id) AS rank, chunk_id, hybrid AS hybrid_score,
- nl AS normalized_lexical_score, emb AS embedding_score FROM rk QUALIFY rank <= 20"""),
+f AS (SELECT r.*, d.* EXCLUDE (chunk_id), {_FLAT} AS f FROM r JOIN docs d USING (chunk_id)), {_CUT}
+SELECT {_KEYS}, round(score, 6) AS score, matched_terms, cut AS snippet, content_hash, metadata_hash FROM cut JOIN meta USING (chunk_id)"""),
+    "f3_hybrid_topk": (hybrid_query, f"""{_HYBRID}, {_META}, {_RECORD}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, nl DESC, emb DESC, chunk_index, chunk_id)::INT AS rank FROM rk QUALIFY rank <= 20),
+f AS (SELECT r.* EXCLUDE (chunk_index), d.* EXCLUDE (chunk_id), coalesce(lex, 0) AS lexical_score, coalesce(s.matched_terms, '') AS matched_terms, {_FLAT} AS f
+ FROM r JOIN docs d USING (chunk_id) LEFT JOIN lx USING (query_id, chunk_id) LEFT JOIN scores s USING (query_id, chunk_id)), {_CUT}
+SELECT {_KEYS}, hybrid AS hybrid_score, lexical_score, nl AS normalized_lexical_score, emb AS embedding_score, matched_terms,
+ CASE WHEN lexical_score > 0 OR length(f) <= 60 THEN cut ELSE trim(substr(f, 1, 60)) || '...' END AS snippet, content_hash, metadata_hash, embedding_hash
+FROM cut JOIN meta USING (chunk_id) JOIN record USING (chunk_id)"""),
 }

@@ -1,14 +1,16 @@
 import hashlib
 import math
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from docvet.functions import vectors as V
 from docvet.operators import retrieval as R
-from docvet.operators.chunking import chunk_artifacts
-from docvet.operators.embeddings import EmbeddingProvider, query_embeddings
+from docvet.operators.chunking import chunk_artifacts, with_metadata
+from docvet.operators.embeddings import EmbeddingProvider, chunk_embeddings, query_embeddings
 
 DOC = "# Tool\nOverview text.\n\n## Permissions\nNeeds an API key and network access.\n\n## Risks\nPrompt injection may leak secrets.\n\n## Notes\nNothing else."
 
@@ -29,6 +31,11 @@ def chunks(spark):
     return chunk_artifacts(spark.createDataFrame(rows, "artifact_id string, path string, raw_text string")).persist()
 
 
+@pytest.fixture(scope="module")
+def index(chunks):
+    return R.build_index(chunks, EmbeddingProvider())
+
+
 def queries(spark, *texts):
     return spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts)], "query_id string, query string")
 
@@ -39,72 +46,136 @@ def test_hash_embedding_matches_plain_python(spark):
     assert [r.v for r in got] == [plain_embedding(t) for t in texts]
 
 
-def test_lexical_finds_the_right_section(spark, chunks):
-    rows = R.retrieve_lexical(chunks, queries(spark, "api key network access", "prompt injection secrets", "--")).where("rank = 1").collect()
+def test_lexical_finds_the_right_section(spark, index):
+    rows = R.retrieve_lexical(index, queries(spark, "api key network access", "prompt injection secrets", "--")).where("rank = 1").collect()
     top = {r.query_id: r.heading_path[-1] for r in rows}
     assert top == {"q0": "Permissions", "q1": "Risks"}
     assert {r.query_id: r.matched_terms for r in rows}["q0"] == ["api", "key", "network", "access"]
 
 
-def test_phrase_inside_a_word_still_scores(spark, chunks):
-    rows = R.lexical_scores(chunks, queries(spark, "onke")).collect()
+def test_phrase_inside_a_word_still_scores(spark, index):
+    rows = R.lexical_scores(index, queries(spark, "onke")).collect()
     assert len(rows) == 40 and all(r.score == 1.0 and r.matched_terms == [] for r in rows)
 
 
-def brute_force_hybrid(chunks, query, k):
+def tokens(text):
+    out = []
+    for t in re.findall("[a-z0-9]+", text.lower().replace("_", " ").replace("-", " ")):
+        if len(t) > 4 and t.endswith("ies"):
+            t = t[:-3] + "y"
+        elif len(t) > 3 and t.endswith("s") and not t.endswith(("ss", "us", "is")):
+            t = t[:-1]
+        out.append(t)
+    return out
+
+
+class BruteForce:
     """Every chunk scored one by one, straight from the definition."""
-    docs = [(r.chunk_id, r.chunk_index, r.text, (r.path or "") + " " + " ".join(r.heading_path), "\n".join(p for p in [r.path, " > ".join(r.heading_path)] if p) + "\n" + r.text) for r in chunks.collect()]
-
-    def tokens(text):
-        out = []
-        for t in re.findall("[a-z0-9]+", text.lower().replace("_", " ").replace("-", " ")):
-            if len(t) > 4 and t.endswith("ies"):
-                t = t[:-3] + "y"
-            elif len(t) > 3 and t.endswith("s") and not t.endswith(("ss", "us", "is")):
-                t = t[:-1]
-            out.append(t)
-        return out
-
-    terms = list(dict.fromkeys(tokens(query)))
-    prepared = [(tokens(d[2]), tokens(d[3])) for d in docs]
-    mean = max(sum(len(t) for t, _ in prepared) / len(docs), 1)
-    df = {t: sum(1 for a, b in prepared if t in a or t in b) for t in terms}
-    lexical = []
-    for text, context in prepared:
-        score = 0.0
-        for t in terms:
-            idf = math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5))
-            tf = text.count(t)
-            if tf:
-                score += idf * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * max(len(text), 1) / mean)))
-            score += context.count(t) * idf * 0.35
-        score += 1.0 * (" ".join(terms) in " ".join(text)) + 0.4 * (" ".join(terms) in " ".join(context))
-        lexical.append(round(score, 6))
-    best = max(lexical)
-    q = plain_embedding(query)
-    rows = []
-    for (cid, index, _, _, full), lex in zip(docs, lexical):
-        v = plain_embedding(full)
-        cos = sum(a * b for a, b in zip(q, v)) / (math.sqrt(sum(a * a for a in q)) * math.sqrt(sum(b * b for b in v)))
-        emb = max(0.0, cos)
-        norm = lex / best if best else 0.0
-        hybrid = 0.6 * norm + 0.4 * emb
-        if hybrid > 0:
-            rows.append((-round(hybrid, 6), -round(norm, 6), -round(emb, 6), index, cid))
-    return [r[4] for r in sorted(rows)[:k]]
+
+    def __init__(self, chunks):
+        self.docs = [(r.chunk_id, r.chunk_index, tokens(r.text), tokens((r.path or "") + " " + " ".join(r.heading_path)),
+                      plain_embedding("\n".join(p for p in [r.path, " > ".join(r.heading_path)] if p) + "\n" + r.text)) for r in chunks.collect()]
+        self.mean = max(sum(len(d[2]) for d in self.docs) / len(self.docs), 1)
+        self.df = Counter(t for d in self.docs for t in set(d[2]) | set(d[3]))
+
+    def lexical(self, query):
+        terms = list(dict.fromkeys(tokens(query)))
+        phrase = " ".join(terms)
+        scores = []
+        for _, _, text, context, _ in self.docs:
+            score = 0.0
+            for t in terms:
+                idf = math.log(1 + (len(self.docs) - self.df[t] + 0.5) / (self.df[t] + 0.5))
+                tf = text.count(t)
+                if tf:
+                    score += idf * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * max(len(text), 1) / self.mean)))
+                score += context.count(t) * idf * 0.35
+            if terms:
+                score += 1.0 * (phrase in " ".join(text)) + 0.4 * (phrase in " ".join(context))
+            scores.append(score)
+        return scores
+
+    def top(self, query, k):
+        rows = [(-round(s, 9), d[1], d[0]) for d, s in zip(self.docs, self.lexical(query)) if s > 0]
+        return [(r[2], round(-r[0], 6)) for r in sorted(rows)[:k]]
+
+    def hybrid(self, query, k):
+        lexical = [round(s, 6) for s in self.lexical(query)]
+        best = max(lexical)
+        q = plain_embedding(query)
+        rows = []
+        for (cid, index, _, _, v), lex in zip(self.docs, lexical):
+            emb = max(0.0, sum(a * b for a, b in zip(q, v)) / (math.sqrt(sum(a * a for a in q)) * math.sqrt(sum(b * b for b in v))))
+            norm = lex / best if best else 0.0
+            hybrid = 0.6 * norm + 0.4 * emb
+            if hybrid > 0:
+                rows.append((-round(hybrid, 6), -round(norm, 6), -round(emb, 6), index, cid))
+        return [r[4] for r in sorted(rows)[:k]]
 
 
 @pytest.mark.parametrize("query", ["api key network access", "filler tool", "zebra unknownword", "monkey"])
-def test_hybrid_equals_brute_force(spark, chunks, query):
-    got = R.retrieve_hybrid(chunks, queries(spark, query), max_results=7).orderBy("rank").collect()
-    assert [r.chunk_id for r in got] == brute_force_hybrid(chunks, query, 7)
+def test_hybrid_equals_brute_force(spark, chunks, index, query):
+    got = R.retrieve_hybrid(index, queries(spark, query), max_results=7).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == BruteForce(chunks).hybrid(query, 7)
 
 
-def test_many_query_batches_equal_one(spark, chunks, monkeypatch):
-    many = queries(spark, *[f"filler number {i}" for i in range(6)])
-    one = {(r.query_id, r.rank): r.chunk_id for r in R.retrieve_lexical(chunks, many).collect()}
-    monkeypatch.setattr(R.query_batches, "__defaults__", (2,))
-    assert {(r.query_id, r.rank): r.chunk_id for r in R.retrieve_lexical(chunks, many).collect()} == one
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Chunks of skewed words, some in headings, words inside words, and equal texts."""
+    rng = random.Random(7)
+    pool = [f"{a}{b}" for a in ("net", "work", "key", "to", "ken") for b in ("", "s", "work", "ing", "ies", "token")]
+    pick = lambda n: " ".join(rng.choices(pool, weights=[1 / (k + 1) for k in range(len(pool))], k=n))
+    rows = [(f"a{k}", f"docs/{rng.choice(pool)}.md", "\n".join([f"# {pick(2)}", pick(rng.randrange(1, 60)), "", "## " + pick(1), pick(rng.randrange(1, 30))])) for k in range(120)]
+    rows += [(f"c{k}", "same.md", "network key token") for k in range(9)]
+    asked = [pick(rng.choice([1, 1, 2, 2, 3, 4])) for _ in range(900)] + [rng.choice(pool)[: rng.randrange(1, 5)] for _ in range(60)]
+    asked += [f"{rng.choice(pool)[2:]} {rng.choice(pool)[:3]}" for _ in range(40)]
+    chunks = chunk_artifacts(spark.createDataFrame(rows, "artifact_id string, path string, raw_text string")).persist()
+    return chunks, asked
+
+
+def test_a_thousand_queries_equal_brute_force(spark, corpus, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_BITS", 3)
+    chunks, asked = corpus
+    brute, index = BruteForce(chunks), R.build_index(chunks)
+    got = {}
+    for r in R.retrieve_lexical(index, queries(spark, *asked), max_results=4).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    assert {q: [c for c, _ in v] for q, v in got.items()} == {f"q{i}": [c for c, _ in top] for i, t in enumerate(asked) if (top := brute.top(t, 4))}
+    assert all(abs(s - w) < 2e-6 for i, t in enumerate(asked) for (_, s), (_, w) in zip(got.get(f"q{i}", []), brute.top(t, 4)))
+
+
+def test_blocks_under_the_threshold_are_not_read(spark, corpus, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_BITS", 1)
+    index = R.build_index(corpus[0])
+    weighted = R._weighted(index, R.query_terms(queries(spark, "kentoken nets keying tokenies")))
+    every = weighted.join(index.blocks, "term").select("block").distinct().count()
+    assert 0 < R._surviving_blocks(index, weighted, 1).count() < every
+
+
+def test_hybrid_over_groups_of_queries_and_chunks(spark, corpus, monkeypatch):
+    monkeypatch.setattr(R, "GROUP_BITS", 4)
+    monkeypatch.setattr(R, "QUERY_GROUP", 8)
+    chunks, asked = corpus
+    asked = asked[:30] + asked[-10:] + ["zebra"]
+    index, brute = R.build_index(chunks, EmbeddingProvider()), BruteForce(chunks)
+    got = {}
+    for r in R.retrieve_hybrid(index, queries(spark, *asked), max_results=6).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {f"q{i}": top for i, t in enumerate(asked) if (top := brute.hybrid(t, 6))}
+
+
+def test_hybrid_hashes_are_those_of_the_records(spark, index, chunks):
+    hits = {r.chunk_id: (r.metadata_hash, r.embedding_hash) for r in R.retrieve_hybrid(index, queries(spark, "api key")).collect()}
+    records = {r.chunk_id: (r.metadata_hash, r.embedding_hash) for r in chunk_embeddings(with_metadata(chunks)).collect()}
+    assert hits and all(records[c] == h for c, h in hits.items())
+
+
+def test_odd_queries_and_empty_corpus(spark, index, chunks):
+    odd = spark.createDataFrame([("a", None), (None, "api"), ("b", ""), ("c", "--"), ("d", "zebra"), ("d", "api"), ("d", "api")], "query_id string, query string")
+    assert {r.query_id for r in R.retrieve_lexical(index, odd).collect()} == {"d"}
+    assert R.retrieve_lexical(index, odd.where("false")).collect() == [] and R.retrieve_hybrid(index, odd.where("false")).collect() == []
+    empty = R.build_index(chunks.where("false"), EmbeddingProvider())
+    assert R.retrieve_lexical(empty, odd).collect() == [] and R.retrieve_hybrid(empty, odd).collect() == []
 
 
 def test_wrong_provider_length_is_an_error(spark, chunks):
@@ -113,7 +184,7 @@ def test_wrong_provider_length_is_an_error(spark, chunks):
         query_embeddings(queries(spark, "x"), provider).collect()
 
 
-def test_outputs_carry_no_query_text_or_vectors(spark, chunks):
-    columns = set(R.retrieve_hybrid(chunks, queries(spark, "api key")).columns)
+def test_outputs_carry_no_query_text_or_vectors(spark, index):
+    columns = set(R.retrieve_hybrid(index, queries(spark, "api key")).columns)
     assert not columns & {"query", "vector", "text", "raw_text"}
     assert "query" not in query_embeddings(queries(spark, "api key")).columns

@@ -24,6 +24,8 @@ from docvet.llm.common import byte_runs, gram_hashes, row_keys, stored, word_has
 PASSAGE, BLOCK_WORDS = 128, 1_000_000
 #: Words that a task remembers, and cells of alignments that it computes at once.
 KNOWN_WORDS, CELLS = 500_000, 1_000_000
+#: Meetings of seeds that are looked at together, and passages whose words a task remembers.
+HITS, KNOWN_PASSAGES = 1_000_000, 50_000
 #: ASCII signs that are neither letters nor digits as spaces.
 _PLAIN = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _PART = re.compile(rb"[^ ]+")
@@ -48,8 +50,9 @@ def words_of(text: str | None, known: dict[bytes, int]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Passages:
-    """Passages of test items: ids, first word, length and words of each, end to end."""
+    """Passages of test items: row and id of the item, first word, length and words of each, end to end."""
 
+    rows: np.ndarray
     items: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
@@ -87,15 +90,21 @@ class Seeds:
     passage: np.ndarray
     place: np.ndarray
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the document, passage, place in the passage) of every meeting."""
+    def hits(self, grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the document, passage, place in the passage) of every meeting, in parts of bounded size."""
         at = np.flatnonzero(self.table[grams >> np.uint64(64 - _TABLE_BITS)])
         key = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)  # without keys the table lets nothing through
         real = self.keys[key] == grams[at]
         at, key = at[real], key[real]
-        many = self.first[key + 1] - self.first[key]
-        rows = np.repeat(self.first[key] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(at) else np.empty(0, dtype=np.int64)
-        return np.repeat(at, many), self.passage[rows], self.place[rows]
+        ends = np.cumsum(self.first[key + 1] - self.first[key]) if len(at) else at
+        low = 0
+        while low < len(at):
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + HITS, "right")))
+            own, many = key[low:high], np.diff(ends[low:high], prepend=before)
+            rows = np.repeat(self.first[own] - (ends[low:high] - many - before), many) + np.arange(many.sum())
+            yield np.repeat(at[low:high], many), self.passage[rows], self.place[rows]
+            low = high
 
 
 def align(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,23 +129,42 @@ def align(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return best, end_l, end_r
 
 
-def _windows(at: np.ndarray, passage: np.ndarray, place: np.ndarray, p: Passages, size: int) -> list[tuple[int, int, int]]:
-    """(passage, from, to) windows of a document around its hits; those that overlap for one passage are one, unless it gets too long."""
+def _windows(at: np.ndarray, passage: np.ndarray, place: np.ndarray, p: Passages, words: np.ndarray, need: np.ndarray, own: dict) -> list[tuple[int, int, int]]:
+    """(passage, from, to) windows of a document around its hits that hold as many words of the passage as the score needs matches.
+
+    Words of a passage are looked up once for all its hits, so that a phrase that many passages share costs a scan of the document for
+    each of them at most, not one for each meeting. Windows that overlap for one passage are one, unless it gets too long.
+    """
     length = p.sizes[passage]
     margin = length // 4 + 3
-    low, high = np.maximum(at - place - margin, 0), np.minimum(at - place + length + margin, size)
+    low, high = np.maximum(at - place - margin, 0), np.minimum(at - place + length + margin, len(words))
     order = np.lexsort((low, passage))
+    passage, low, high = passage[order], low[order], high[order]
+    cuts = np.flatnonzero(np.diff(passage)) + 1
     out: list[tuple[int, int, int]] = []
-    for k, a, b in zip(passage[order].tolist(), low[order].tolist(), high[order].tolist()):
-        if out and out[-1][0] == k and a <= out[-1][2] - p.sizes[k] and b - out[-1][1] <= 4 * PASSAGE:
-            out[-1] = (k, out[-1][1], max(b, out[-1][2]))
-        elif not out or out[-1] != (k, a, b):
-            out.append((k, a, b))
+    for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(passage)]):
+        k = int(passage[first])
+        if k not in own:
+            if len(own) >= KNOWN_PASSAGES:
+                own.clear()
+            own[k] = np.unique(p.words[p.starts[k]:p.starts[k] + p.sizes[k]])
+        a, b = low[first:last], high[first:last]
+        start, stop = int(a[0]), int(b.max())
+        part = words[start:stop]
+        spot = np.minimum(np.searchsorted(own[k], part), len(own[k]) - 1)
+        inside = np.concatenate(([0], np.cumsum(own[k][spot] == part)))
+        fit = inside[b - start] - inside[a - start] >= need[k]
+        begin = len(out)
+        for x, z in zip(a[fit].tolist(), b[fit].tolist()):
+            if len(out) > begin and x <= out[-1][2] - p.sizes[k] and z - out[-1][1] <= 4 * PASSAGE:
+                out[-1] = (k, out[-1][1], max(z, out[-1][2]))
+            elif len(out) == begin or out[-1] != (k, x, z):
+                out.append((k, x, z))
     return out
 
 
 def find_matches(texts: list[str | None], p: Passages, seeds: dict[int, Seeds], need: np.ndarray) -> dict[int, dict[int, tuple[float, int, int]]]:
-    """text number -> item -> (score, first word, word after the last) of the best passage; need: least alignment of each passage.
+    """text number -> row of an item -> (score, first word, word after the last) of the best passage; need: least alignment of each passage.
 
     Seeds are given by their number of words.
     """
@@ -145,13 +173,6 @@ def find_matches(texts: list[str | None], p: Passages, seeds: dict[int, Seeds],
     queue: list[tuple[int, int, int, np.ndarray]] = []
     own: dict[int, np.ndarray] = {}
 
-    def possible(k: int, window: np.ndarray) -> bool:
-        """Whether the window has as many words of the passage as the score needs matches."""
-        if k not in own:
-            own[k] = np.unique(p.words[p.starts[k]:p.starts[k] + p.sizes[k]])
-        at = np.minimum(np.searchsorted(own[k], window), len(own[k]) - 1)
-        return np.count_nonzero(own[k][at] == window) >= need[k]
-
     def flush() -> None:
         queue.sort(key=lambda q: (p.sizes[q[1]], len(q[3])))
         at = 0
@@ -175,7 +196,7 @@ def find_matches(texts: list[str | None], p: Passages, seeds: dict[int, Seeds],
                 _, _, size = align(back_l, back_r)
                 for g, s in zip(good.tolist(), size.tolist()):
                     text, k, low, _ = part[g]
-                    mine, item = found.setdefault(text, {}), int(p.items[k])
+                    mine, item = found.setdefault(text, {}), int(p.rows[k])
                     hit = (float(best[g] / p.sizes[k]), low + int(end_r[g]) - s, low + int(end_r[g]))
                     if item not in mine or (-hit[0], hit[1]) < (-mine[item][0], mine[item][1]):
                         mine[item] = hit
@@ -184,15 +205,14 @@ def find_matches(texts: list[str | None], p: Passages, seeds: dict[int, Seeds],
     cells = 0
     for t, text in enumerate(texts):
         words = words_of(text, known)
-        hits = tuple(np.concatenate(x) for x in zip(*(some.hits(gram_hashes(words, n)) for n, some in seeds.items())))
-        if len(hits[0]):
-            for k, a, b in _windows(*hits, p, len(words)):
-                if possible(k, words[a:b]):
+        for n, some in seeds.items():
+            for hits in some.hits(gram_hashes(words, n)):
+                for k, a, b in _windows(*hits, p, words, need, own):
                     queue.append((t, k, a, words[a:b]))
                     cells += b - a
-        if cells > 4 * CELLS:
-            flush()
-            cells = 0
+                if cells > 4 * CELLS:
+                    flush()
+                    cells = 0
     flush()
     return found
 
@@ -200,25 +220,26 @@ def find_matches(texts: list[str | None], p: Passages, seeds: dict[int, Seeds],
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Passages]:
     """Test items as passages, in blocks of about BLOCK_WORDS words; the driver holds one block."""
     known: dict[bytes, int] = {}
-    items, sizes, words, held = [], [], [], 0
+    rows, items, sizes, words, held = [], [], [], [], 0
 
     def block() -> Passages:
         size = np.array(sizes, dtype=np.int64)
-        return Passages(np.array(items, dtype=np.int64), np.cumsum(size) - size, size, np.concatenate(words))
+        return Passages(np.array(rows, dtype=np.int64), np.array(items, dtype=np.int64), np.cumsum(size) - size, size, np.concatenate(words))
 
-    for r in benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("item_id IS NOT NULL").toLocalIterator():
+    for row, r in enumerate(benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("item_id IS NOT NULL").toLocalIterator()):
         w = words_of(r.text, known)
         w[w == 0] = 1
         for at in range(0, max(1, len(w) - PASSAGE // 2), PASSAGE // 2):
             part = w[at:at + PASSAGE]
             if len(part):
+                rows.append(row)
                 items.append(r.item_id)
                 sizes.append(len(part))
                 words.append(part)
                 held += len(part)
         if held >= BLOCK_WORDS:
             yield block()
-            items, sizes, words, held = [], [], [], 0
+            rows, items, sizes, words, held = [], [], [], [], 0
     if items:
         yield block()
 
@@ -273,6 +294,7 @@ def find_leaks(
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             passages, seeds, need = sent.value
+            item_of = dict(zip(passages.rows.tolist(), passages.items.tolist()))
             for b in batches:
                 texts = b.column(3).to_pylist()
                 hits = find_matches(texts, passages, seeds, need)
@@ -281,8 +303,8 @@ def find_leaks(
                     data = plain_text(texts[t]).encode("utf-8", "surrogatepass")
                     spans = [m.span() for m in _PART.finditer(data.translate(_PLAIN))]
                     offset = lambda x: len(data[:x].decode("utf-8", "surrogatepass"))  # noqa: E731, B023
-                    for item, (score, a, z) in sorted(items.items()):
-                        found.append((*(b.column(c)[t].as_py() for c in range(3)), item, score, offset(spans[a][0]), offset(spans[z - 1][1])))
+                    for row, (score, a, z) in sorted(items.items()):
+                        found.append((*(b.column(c)[t].as_py() for c in range(3)), item_of[row], score, offset(spans[a][0]), offset(spans[z - 1][1])))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], ["doc_id", "k1", "k2", "item_id", "score", "start", "end"])
 

@@ -81,6 +81,8 @@ NONE = "none"
 #: How a family's short name and wordings vary: each notice also stands inside other text.
 FRAMES = ("{}", "Note: {} Thanks to everyone.", "{} See below for more.", "About this text. {}")
 _PLAIN = r"[^\p{L}\p{N}]+"
+#: A line end within a paragraph: after something else than the end of a sentence, before a line with a letter or digit.
+WRAP = r"(?<=[^.!?\s])[^\S\n]*\n(?=[^\n\p{L}\p{N}]*[\p{L}\p{N}])"
 
 
 def tokens_of(text: Column) -> Column:
@@ -114,11 +116,16 @@ class Classifier:
 
 
 def paragraphs(docs: DataFrame, pattern: str | None, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, paragraph, body): the lines of each text that `pattern` finds in, numbered from 0."""
+    """(doc_id, paragraph, body): the paragraphs of each text that `pattern` finds in, numbered from 0.
+
+    A line goes on with the next one unless it ends a sentence or either is blank, so that a wrapped notice is one paragraph; signs that
+    begin each line of a comment are no words.
+    """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     if pattern is not None:
         rows = rows.where(F.col("text").rlike(pattern))
-    rows = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
+    joined = F.regexp_replace("text", WRAP, " ")
+    rows = rows.select("doc_id", F.posexplode(F.split(joined, "\n")).alias("paragraph", "body"))
     return rows.where(F.col("body").rlike(pattern) if pattern is not None else F.trim("body") != "")
 
 

@@ -7,8 +7,8 @@ order of (doc_id, text key, line), is a repeat, and all lines that repeats cover
 Each task first settles the repeats among its own documents, in blocks of bounded size, so that a window reaches the global
 comparison at most once for each block, however often it occurs.
 
-Chance makes short windows meet. By the rule of op9's query a window needs eight words; with `runs` all windows are hashed, and the
-lines that overlapping repeats cover need eight words in all, so that lists, verse, code and texts of one word a line are compared too.
+Chance makes short windows meet, so the lines that overlapping repeats cover need eight words in all: all windows are hashed, and lists,
+verse, code and texts of one word a line are compared too.
 """
 
 from __future__ import annotations
@@ -36,11 +36,8 @@ def split_lines(text: str | None) -> list[str]:
     return [x for x in LINE.split(text) if x] if text else []
 
 
-def window_hashes(lines: list[str], size: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first and second hash) of the windows of lines that aren't blank, without case and outer white space.
-
-    Windows of fewer words, counted by their spaces, are left out: chance makes them meet.
-    """
+def window_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first and second hash) of the windows of lines that aren't blank, without case and outer white space."""
     plain = [x.strip().lower() for x in lines]
     at = np.array([k for k, x in enumerate(plain) if x], dtype=np.int32)
     n = len(at) - size + 1
@@ -54,9 +51,7 @@ def window_hashes(lines: list[str], size: int, least_words: int) -> tuple[np.nda
                 out[c] *= np.uint64(odd)
                 out[c] ^= out[c] >> np.uint64(31)
                 out[c] += h[k:k + n, c]
-    words = np.concatenate(([0], np.cumsum([plain[k].count(" ") + 1 for k in at])))
-    long = words[size:] - words[:n] >= least_words
-    return at[:n][long], out[0][long], (out[1][long] >> np.uint64(32)).astype(np.int64)
+    return at[:n], out[0], (out[1] >> np.uint64(32)).astype(np.int64)
 
 
 def long_runs(lines: list[str], starts: np.ndarray, size: int, least_words: int) -> np.ndarray:
@@ -67,7 +62,7 @@ def long_runs(lines: list[str], starts: np.ndarray, size: int, least_words: int)
     return starts[words[starts[last] + size] - words[starts[first]] >= least_words]
 
 
-def _windows(size: int, least_words: int):
+def _windows(size: int):
     names = ["h1", "h2", "o", "k1", "k2", "place", "later"]
 
     def settle(block: list[tuple]) -> pa.RecordBatch:
@@ -88,7 +83,7 @@ def _windows(size: int, least_words: int):
         for b in batches:
             o, k1, k2 = (b.column(c).to_numpy() for c in range(3))
             for k, text in enumerate(b.column(3).to_pylist()):
-                at, h1, h2 = window_hashes(split_lines(text), size, least_words)
+                at, h1, h2 = window_hashes(split_lines(text), size)
                 if len(h1):
                     block.append((o[k], k1[k], k2[k], at, h1, h2))
                     held += len(h1)
@@ -101,11 +96,11 @@ def _windows(size: int, least_words: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, size: int = 3, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, places): for each document with repeats, the lines at which a repeated window starts."""
     order = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
     rows = docs.select(order.alias("o"), *row_keys(id_col, text_col), F.col(text_col).alias("text"))
-    found = stored(rows.mapInArrow(_windows(size, least_words), "h1 bigint, h2 bigint, o bigint, k1 bigint, k2 bigint, place int, later boolean"))
+    found = stored(rows.mapInArrow(_windows(size), "h1 bigint, h2 bigint, o bigint, k1 bigint, k2 bigint, place int, later boolean"))
     # at most one row for each window and block
     firsts = found.where("NOT later").selectExpr(
         "h1", "k1", "k2", "place", "struct(o, k1, k2, place) > min(struct(o, k1, k2, place)) OVER (PARTITION BY h1, h2) AS later"
@@ -114,17 +109,19 @@ def repeated_windows(docs: DataFrame, size: int = 3, least_words: int = 8, id_co
     return repeats.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, size: int = 3, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """`docs` with the text free of repeats, and lines (int), removed (the numbers of the removed lines, in order).
+def remove_repeats(
+    docs: DataFrame, size: int = 3, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "lines", removed_col: str = "removed"
+) -> DataFrame:
+    """`docs` with the text free of repeats, and lines (int), removed (the numbers of the removed lines, in order), in place of columns of these names.
 
     The first occurrence of a window stays, in the order of (doc_id with null first, text key, line); windows that overlap
-    within one text count too; windows of fewer than `least_words` words don't, or with `runs` those whose run of overlapping
-    repeats has fewer. Rows that agree in id and text are one document and fare alike. Texts of fewer than `size`
+    within one text count too. Overlapping repeats that cover fewer than `least_words` words in all stay; words are counted by spaces, and in scripts without
+    them by two characters. Rows that agree in id and text are one document and fare alike. Texts of fewer than `size`
     lines never change; a null text stays null with 0 lines; a text whose lines are all repeats becomes empty.
     """
-    spans = stored(repeated_windows(docs, size, 0 if runs else least_words, id_col, text_col)).withColumnsRenamed({"k1": "__r1", "k2": "__r2", "places": "__places"})
+    spans = stored(repeated_windows(docs, size, id_col, text_col)).withColumnsRenamed({"k1": "__r1", "k2": "__r2", "places": "__places"})
     k1, k2 = row_keys(id_col, text_col)
-    wide = docs.drop("lines", "removed").withColumns({"__k1": k1, "__k2": k2})
+    wide = docs.drop(lines_col, removed_col).withColumns({"__k1": k1, "__k2": k2})
     wide = wide.join(spans, (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left").drop("__k1", "__k2", "__r1", "__r2")
     names = [c for c in wide.columns if c != "__places"]
     at = names.index(text_col)
@@ -138,7 +135,7 @@ def remove_repeats(docs: DataFrame, size: int = 3, least_words: int = 8, id_col:
                 if places:
                     real = np.array([k for k, x in enumerate(lines) if x.strip()], dtype=np.int64)
                     starts = np.searchsorted(real, np.array(sorted(places)))
-                    starts = long_runs([lines[k] for k in real], starts, size, least_words) if runs else starts
+                    starts = long_runs([lines[k] for k in real], starts, size, least_words)
                     for k in range(size):
                         gone[real[starts + k]] = True
                     text = "".join(x for x, g in zip(lines, gone.tolist()) if not g)
@@ -146,7 +143,7 @@ def remove_repeats(docs: DataFrame, size: int = 3, least_words: int = 8, id_col:
                 counts.append(len(lines))
                 removed.append(np.flatnonzero(gone).tolist())
             columns = [pa.array(texts, pa.string()) if k == at else b.column(c) for k, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))], [*names, "lines", "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))], [*names, lines_col, removed_col])
 
-    fields = wide.select(*names, F.lit(0).alias("lines"), F.array(F.lit(0)).alias("removed")).schema
+    fields = wide.select(*names, F.lit(0).alias(lines_col), F.array(F.lit(0)).alias(removed_col)).schema
     return wide.mapInArrow(cut, fields)

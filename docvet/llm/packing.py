@@ -11,6 +11,7 @@ Each task packs its own documents in blocks of bounded size, so that no text or
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,11 +20,15 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 #: Tokens that a task packs together.
 BLOCK_TOKENS = 16_000_000
 #: Tokens of a length class: the most padding that one piece can cause in a window made from classes.
 CLASS = 8
+#: White space of a length that the pattern's backtracking can't take is left to the tokenizer file.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 FIELDS = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -35,6 +40,14 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def whole_encoder(path: str) -> Tokenizer:
+    """The same vocabulary and merges from a tokenizer file; slower, but its stack doesn't grow with a run of white space."""
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
 @lru_cache(maxsize=4)
 def combinations(classes: int) -> np.ndarray:
     """Rows of one to three classes (1..classes) that sum to `classes`; zeros fill up."""
@@ -154,13 +167,13 @@ def pack_block(tokens: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
 
 
 def pack(
-    docs: DataFrame, vocabulary: str, pattern: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, vocabulary: str, pattern: str, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Pieces of all rows of `docs`: doc_id, start, length, ids (little-endian unsigned 32 bit), doc_tokens, sequence_id, offset.
 
     A document is its ids and then `end_id`; a null or empty text is that id alone. Each id lies in one piece, and the pieces of
     a sequence follow one another from offset 0. A sequence that isn't full and has no power of two of ids is to be padded.
-    `vocabulary` is a file of ranks that every worker can read. sequence_id holds the task's number in its upper bits; repeated
+    `vocabulary` is a file of ranks and `tokenizer` the tokenizer file with the same ids, for texts with very long runs of white space; every worker can read both. sequence_id holds the task's number in its upper bits; repeated
     rows are packed one by one; an empty table gives no rows; other columns are not read.
     """
     if window % CLASS or window & (window - 1):
@@ -181,7 +194,13 @@ def pack(
             yield batch.slice(k, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern).encode_ordinary
+        ordinary = encoder(vocabulary, pattern).encode_ordinary
+
+        def encode(text: str) -> list[int]:
+            if len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
+                return whole_encoder(tokenizer).encode(text, add_special_tokens=False).ids
+            return ordinary(text)
+
         last = np.array([end_id], dtype=np.uint32)
         base = TaskContext.get().partitionId() << 36
         ids, doc_ids, held = [], [], 0

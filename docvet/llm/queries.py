@@ -74,7 +74,7 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """The pieces with a digest of their ids; the vocabulary is that of byte_bpe_50k.json, whose ids a test compares."""
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -112,12 +112,17 @@ WITH pieces AS (
   SELECT doc_id, place, lower(trim(part, chr(32) || chr(9) || chr(10) || chr(13))) AS l, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS rn
   FROM line WHERE trim(part, chr(32) || chr(9) || chr(10) || chr(13)) <> ''
 ), three AS (
-  SELECT doc_id, rn, l || chr(10) || lead(l, 1) OVER w || chr(10) || lead(l, 2) OVER w AS win,
-    length(l || lead(l, 1) OVER w || lead(l, 2) OVER w) - length(replace(l || lead(l, 1) OVER w || lead(l, 2) OVER w, ' ', '')) + 3 AS words FROM real WINDOW w AS (PARTITION BY doc_id ORDER BY rn)
+  SELECT doc_id, rn, l || chr(10) || lead(l, 1) OVER w || chr(10) || lead(l, 2) OVER w AS win FROM real WINDOW w AS (PARTITION BY doc_id ORDER BY rn)
 ), ranked AS (
-  SELECT doc_id, rn, row_number() OVER (PARTITION BY win ORDER BY doc_id, rn) AS k FROM three WHERE win IS NOT NULL AND words >= 8
+  SELECT doc_id, rn, row_number() OVER (PARTITION BY win ORDER BY doc_id, rn) AS k FROM three WHERE win IS NOT NULL
+), later AS (
+  SELECT doc_id, rn, CASE WHEN rn - lag(rn) OVER (PARTITION BY doc_id ORDER BY rn) < 3 THEN 0 ELSE 1 END AS begins FROM ranked WHERE k > 1
+), run AS (
+  SELECT doc_id, min(rn) AS first, max(rn) + 2 AS last FROM (SELECT doc_id, rn, sum(begins) OVER (PARTITION BY doc_id ORDER BY rn) AS g FROM later) GROUP BY doc_id, g
 ), gone AS (
-  SELECT DISTINCT r.doc_id, x.place FROM ranked r JOIN real x ON x.doc_id = r.doc_id AND x.rn BETWEEN r.rn AND r.rn + 2 WHERE k > 1
+  SELECT doc_id, unnest(places) AS place FROM (
+    SELECT r.doc_id, list(x.place) AS places FROM run r JOIN real x ON x.doc_id = r.doc_id AND x.rn BETWEEN r.first AND r.last GROUP BY r.doc_id, r.first
+    HAVING sum(greatest(length(x.l) - length(replace(x.l, ' ', '')) + 1, len(regexp_extract_all(x.l, '[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]')) // 2)) >= 8)
 ), texts AS (
   SELECT l.doc_id, count(*) AS lines, coalesce(list(l.place ORDER BY l.place) FILTER (g.place IS NOT NULL), []) AS removed,
     coalesce(string_agg(l.part, '' ORDER BY l.place) FILTER (g.place IS NULL), '') AS text

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -71,11 +72,11 @@ def test_blocks_of_items(spark, make_docs, monkeypatch):
 def test_common_items_keep_seeds():
     """Every run of n + spread - 1 unchanged words has a seed, though all n-grams are counted as common."""
     words = np.random.default_rng(9).integers(1, 1 << 63, 60).astype(np.uint64)
-    p = C.Passages(np.array([1]), np.array([0]), np.array([60]), words)
+    p = C.Passages(np.array([0]), np.array([1]), np.array([0]), np.array([60]), words)
     grams = C.gram_hashes(words, 3)
     seeds = p.seeds(3, 4, {int(g): 10**9 for g in grams})
     for at in range(55):
-        assert len(seeds.hits(C.gram_hashes(words[at:at + 6], 3))[0])
+        assert any(len(x[0]) for x in seeds.hits(C.gram_hashes(words[at:at + 6], 3)))
 
 
 def test_evenly_spaced_edits(spark, make_docs):
@@ -116,3 +117,43 @@ def test_parts_of_long_items_and_short_items(spark, make_docs):
     assert {(r.doc_id, r.item_id) for r in leaks} == {(k, i) for k, (_, found) in inner.items() for i in found}
     texts = dict(rows)
     assert all(texts[r.doc_id][r.start:r.end].split() == inner[r.doc_id][0] for r in leaks if r.doc_id in (12, 13, 14, 15))
+
+
+def test_repeated_items_have_their_rows(spark, make_docs, monkeypatch):
+    rng = random.Random(12)
+    text = " ".join(f"r{rng.randrange(9999)}" for _ in range(30))
+    other = " ".join(f"s{rng.randrange(9999)}" for _ in range(30))
+    docs = make_docs([(1, f"a {text} b"), (2, f"a {other} b"), (2, f"a {other} b")])
+    benchmark = spark.createDataFrame([(7, text), (7, text), (7, other)], "item_id bigint, text string")
+    for words in (1_000_000, 10):
+        monkeypatch.setattr(C, "BLOCK_WORDS", words)
+        assert sorted((r.doc_id, r.item_id) for r in C.find_leaks(docs, benchmark).collect()) == [(1, 7), (1, 7), (2, 7), (2, 7)]
+
+
+def test_a_phrase_that_many_items_share(monkeypatch):
+    """4,000 passages share four words; a document full of them takes a scan for each passage, not one for each meeting."""
+    rng = np.random.default_rng(13)
+    known = {}
+    phrase = C.words_of("which of the following is", known)
+    passages = [np.concatenate([phrase, rng.integers(1, 1 << 63, 40).astype(np.uint64)]) for _ in range(4000)]
+    sizes = np.full(4000, 45)
+    p = C.Passages(np.arange(4000), np.arange(4000), np.arange(4000) * 45, sizes, np.concatenate(passages))
+    seeds, need = {3: p.seeds(3, 1, None)}, np.full(4000, 20)
+    text = " ".join(("which of the following is " + " ".join(f"w{k}x{j}" for j in range(75))) for k in range(75))
+    start = time.perf_counter()
+    assert C.find_matches([text], p, seeds, need) == {}
+    assert time.perf_counter() - start < 8
+    monkeypatch.setattr(C, "HITS", 700)
+    start = time.perf_counter()
+    assert C.find_matches([text[:2000]], p, seeds, need) == {}
+
+
+def test_parts_of_hits_give_the_same(monkeypatch):
+    rng = np.random.default_rng(14)
+    words = rng.integers(1, 40, 3000).astype(np.uint64)
+    p = C.Passages(np.arange(30), np.arange(30), np.arange(30) * 100, np.full(30, 100), words)
+    seeds = p.seeds(3, 1, None)
+    grams = C.gram_hashes(rng.integers(1, 40, 5000).astype(np.uint64), 3)
+    whole = [np.concatenate(x) for x in zip(*seeds.hits(grams))]
+    monkeypatch.setattr(C, "HITS", 7)
+    assert all((a == np.concatenate(b)).all() for a, b in zip(whole, zip(*seeds.hits(grams)))) and len(whole[0])

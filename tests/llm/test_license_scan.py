@@ -36,3 +36,33 @@ def test_scores_equal_plain_arithmetic(spark, make_docs, model):
 
 def test_every_feature_has_its_anchor(model):
     assert all(set(f.split(" ")) & set(model.anchors) for f in model.features)
+
+
+WRAPPED = {
+    "GPL": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction.",
+    "Apache-2.0": " * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.",
+    "BSD": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+    "LGPL": "Licensed under the GNU\r\nLesser General Public\r\nLicense.",
+}
+
+
+def test_wrapped_notices(spark, make_docs, model):
+    rows = [(k, f"Some prose before it.\n\n{t}\n\nProse after it.") for k, t in enumerate(WRAPPED.values())]
+    got = sorted((r.doc_id, r.family) for r in L.scan(make_docs(rows), model).collect())
+    assert got == [(k, f) for k, f in enumerate(WRAPPED)]
+
+
+def test_anchors_lose_nothing(spark, make_docs, model, monkeypatch):
+    rows = TEXTS[:8] + [(20 + k, f"Prose.\n{t}") for k, t in enumerate(WRAPPED.values())] + [(40 + k, f"The town {k} has a license office.\nIts copy shop is free.") for k in range(5)]
+    found = lambda: sorted((tuple(r) for r in L.scan(make_docs(rows), model).collect()), key=str)
+    want = found()
+    every = L.paragraphs
+    monkeypatch.setattr(L, "paragraphs", lambda docs, pattern, *names: every(docs, None, *names))
+    assert found() == want and want
+
+
+def test_empty_corpus(spark, make_docs):
+    own = L.fit(make_docs([]))
+    got = L.scan(make_docs(TEXTS), own).where("doc_id IN (1, 8)").collect()
+    assert sorted((r.doc_id, r.family) for r in got) == [(1, "MIT"), (8, "GPL")]

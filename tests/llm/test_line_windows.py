@@ -9,15 +9,17 @@ def brute(rows, size=3, least=8):
     for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         lines = W.split_lines(t)
         real = [k for k, x in enumerate(lines) if x.strip()]
-        gone = set()
+        covered = []  # runs of places among the lines that aren't blank
         for k in range(len(real) - size + 1):
             window = tuple(lines[real[k + j]].strip().lower() for j in range(size))
-            if sum(x.count(" ") + 1 for x in window) < least:
-                continue
             if window in seen:
-                gone |= {real[k + j] for j in range(size)}
+                if covered and k <= covered[-1][-1]:
+                    covered[-1] += range(covered[-1][-1] + 1, k + size)
+                else:
+                    covered.append(list(range(k, k + size)))
             seen.add(window)
-        out[i, t] = sorted(gone)
+        words = lambda x: max(x.strip().count(" ") + 1, sum("\u3400" <= c <= "\u9fff" for c in x) // 2)
+        out[i, t] = sorted(real[k] for run in covered if sum(words(lines[real[k]]) for k in run) >= least for k in run)
     return out
 
 
@@ -55,14 +57,12 @@ def test_runs_of_short_lines(spark, make_docs):
     rows = []
     for k, passage in enumerate((verse, shout, dense, "yes\nno\nmaybe\n")):
         rows += [(10 * k + j, f"own start {k} {j}\n{passage}own end {k} {j}") for j in (1, 2)]
-    got = {r.doc_id: r.text for r in W.remove_repeats(make_docs(rows), runs=True).collect()}
+    got = {r.doc_id: r.text for r in W.remove_repeats(make_docs(rows)).collect()}
     assert [got[10 * k + 2] for k in range(3)] == [f"own start {k} 2\nown end {k} 2" for k in range(3)]
     assert all(got[i] == t for i, t in rows if i % 10 == 1 or i > 30)
 
 
-def test_runs_hold_what_windows_remove(spark, make_docs, odd_rows):
-    rng = random.Random(4)
-    pool = [" ".join(f"p{rng.randrange(30)}" for _ in range(rng.randrange(1, 7))) for _ in range(25)]
-    rows = [r for r in odd_rows if r[0] not in (9, None)] + [(1000 + k, "\n".join(rng.choices(pool, k=rng.randrange(1, 40)))) for k in range(60)]
-    got = {(r.doc_id): set(r.removed) for r in W.remove_repeats(make_docs(rows), runs=True).collect()}
-    assert all(set(gone) <= got[i] for (i, _), gone in brute(rows).items())
+def test_own_names_for_the_new_columns(spark, make_docs):
+    docs = make_docs([(1, "a\nb\nc"), (2, "a\nb\nc")])
+    got = W.remove_repeats(docs, lines_col="n_lines", removed_col="gone")
+    assert got.columns == [*docs.columns, "n_lines", "gone"] and {r["lines"] for r in got.collect()} == {r["lines"] for r in docs.collect()}

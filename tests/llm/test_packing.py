@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 from docvet.llm import packing
 
-VOCABULARY = P.path("byte_bpe_50k.tiktoken")
+VOCABULARY, TOKENIZER = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
 
 def nnls(a, b, rounds=20_000):
@@ -58,18 +58,27 @@ def test_ids_are_those_of_the_tokenizer(spark, make_docs, odd_rows):
     t.encode_special_tokens = True
     docs = make_docs(rows)
     got = {}
-    for r in packing.pack(docs, VOCABULARY, P.PATTERN).orderBy("doc_id", "start").collect():
+    for r in packing.pack(docs, VOCABULARY, P.PATTERN, TOKENIZER).orderBy("doc_id", "start").collect():
         ids = np.frombuffer(r.ids, dtype="<u4").tolist()
         assert len(ids) == r.length and r.start == len(got.setdefault(r.doc_id, []))
         got[r.doc_id] += ids
     for k, text in rows:
         assert got[k] == t.encode(text or "", add_special_tokens=False).ids + [1]
-    assert packing.pack(docs.where("false"), VOCABULARY, P.PATTERN).count() == 0
+    assert packing.pack(docs.where("false"), VOCABULARY, P.PATTERN, TOKENIZER).count() == 0
+
+
+def test_very_long_runs(spark, make_docs):
+    rows = [(k, t) for k, t in enumerate((" " * 3_000_000, "x" + "\n" * 3_000_000 + "y", "a" * 3_000_000, " \t\n" * 400_000 + "end", "short"))]
+    t = Tokenizer.from_file(TOKENIZER)
+    got = {}
+    for r in packing.pack(make_docs(rows), VOCABULARY, P.PATTERN, TOKENIZER).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, dtype="<u4").tolist())
+    assert all(got[k] == t.encode(x, add_special_tokens=False).ids + [1] for k, x in rows)
 
 
 def test_blocks_in_a_task(spark, make_docs, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_TOKENS", 300)
-    got = packing.pack(make_docs([(k, "some words here " * (k % 9)) for k in range(200)]), VOCABULARY, P.PATTERN).collect()
+    got = packing.pack(make_docs([(k, "some words here " * (k % 9)) for k in range(200)]), VOCABULARY, P.PATTERN, TOKENIZER).collect()
     assert {r.doc_id for r in got} == set(range(200))
     by = {}
     for r in got:

@@ -9,13 +9,16 @@ costs partial rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvet.functions.ids import typed_id
 from docvet.functions.numbers import json_change_count, json_number
 from docvet.functions.text import contains_any, is_blank, map_text
-from docvet.session import reliable_checkpoint
+from docvet.session import ensure_checkpoint_dir, reliable_checkpoint, shared_table
 
 # Node and edge types, marker lists, thresholds.
 NODE_TYPES = (
@@ -53,6 +56,11 @@ def node_id(node_type: Column, raw_id: Column) -> Column:
     return typed_id(node_type, raw_id)
 
 
+def node_key(node_type: str, raw_id: str) -> str:
+    """The id of one node as a plain string, for filters that are to reach the storage."""
+    return f"{node_type}_{hashlib.sha256(f'{node_type}:{raw_id}'.encode()).hexdigest()[:16]}"
+
+
 def edge_id(edge_type: Column, source: Column, target: Column) -> Column:
     return typed_id(edge_type, source, target)
 
@@ -112,10 +120,14 @@ def source_nodes(nodes: DataFrame, edges: DataFrame, edge_type: str | None = Non
     ).withColumnRenamed("target_node_id", "to_node_id").drop("source_node_id")
 
 
-def neighbourhood(edges: DataFrame, node: str) -> DataFrame:
-    """One-hop neighbours of a node in either direction."""
+def neighbourhood(edges: DataFrame, node: str, in_edges: DataFrame | None = None) -> DataFrame:
+    """One-hop neighbours of a node in either direction.
+
+    ``in_edges`` are the same edges stored by target: then each side reads the one bucket of the node.
+    """
     out = edges.where(F.col("source_node_id") == node).select("edge_type", F.lit("out").alias("direction"), F.col("target_node_id").alias("node_id"))
-    incoming = edges.where(F.col("target_node_id") == node).select("edge_type", F.lit("in").alias("direction"), F.col("source_node_id").alias("node_id"))
+    by_target = edges if in_edges is None else in_edges
+    incoming = by_target.where(F.col("target_node_id") == node).select("edge_type", F.lit("in").alias("direction"), F.col("source_node_id").alias("node_id"))
     return out.unionByName(incoming)
 
 
@@ -156,18 +168,8 @@ def repos_with_instruction_like_tools(nodes: DataFrame, edges: DataFrame) -> Dat
     return _of_type(nodes, "source_repo").join(repos, "node_id", "left_semi")
 
 
-def capability_sets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tool_id, tool_name, capability_id) rows, with a null capability for tools that have none."""
-    tools = _of_type(nodes, "tool").select("node_id", F.col("raw_id").alias("tool_id"), F.col("name").alias("tool_name"))
-    caps = _of_type(nodes, "capability").select(F.col("node_id").alias("cap_node"), F.col("raw_id").alias("capability_id"))
-    pairs = _edges_of(edges, "requires").join(caps, F.col("target_node_id") == F.col("cap_node")).select(
-        F.col("source_node_id").alias("node_id"), "capability_id"
-    )
-    return tools.join(pairs, "node_id", "left").select("tool_id", "tool_name", "capability_id").distinct()
-
-
 def permission_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Capabilities added or removed per tool between two snapshots from ``capability_sets``.
+    """Capabilities added or removed per tool between two snapshots: (tool_id, tool_name, capability_id), a null capability for tools that have none.
 
     A set difference on (tool, capability) rows, so no per-tool set is collected to compare. Tools
     missing from the previous snapshot are not compared.
@@ -239,81 +241,84 @@ def span_counts_of_tools(edges: DataFrame) -> DataFrame:
     return defines.join(spans, "artifact").groupBy("node_id").agg(F.sum("spans").alias("span_count"))
 
 
-def _independent_findings(defines: DataFrame, artifact_findings: DataFrame) -> DataFrame:
-    """Distinct findings per tool without pairing tools with findings.
+def _artifact_findings(nodes: DataFrame, out_edges: DataFrame, in_edges: DataFrame) -> DataFrame:
+    """(artifact, finding_id or null, suspicious): every finding of an artifact once, and whether its spans or findings are suspicious.
 
-    A finding seen in one artifact only is counted there once and the counts are summed; just the
-    findings shared between artifacts are joined out and counted distinct.
-    """
-    homes = artifact_findings.groupBy("finding_id").agg(F.count("*").alias("artifacts"), F.min("artifact").alias("artifact"))
-    own = homes.where("artifacts = 1").groupBy("artifact").agg(F.count("*").alias("n"))
-    shared = artifact_findings.join(homes.where("artifacts > 1").select("finding_id"), "finding_id", "left_semi")
-    pairs = defines.distinct()
-    own_counts = pairs.join(own, "artifact").select("node_id", "n")
-    shared_counts = pairs.join(shared, "artifact").groupBy("node_id").agg(F.count_distinct("finding_id").alias("n"))
-    return own_counts.unionByName(shared_counts).groupBy("node_id").agg(F.sum("n").alias("independent_finding_count"))
-
-
-def _artifact_finding_facts(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per artifact: its distinct finding ids, and whether it holds a suspicious span.
-
-    Both are settled per artifact before tools come in, so spans are never multiplied by tools.
+    Settled per artifact before tools come in, so spans are never multiplied by tools. Findings meet their ``triggers`` and spans
+    their ``contains`` by the bucketed target; only span ids are shuffled to bring the two together.
     """
     findings = _of_type(nodes, "finding").select(
-        F.col("node_id").alias("finding_node"), F.col("raw_id").alias("finding_id"),
+        F.col("node_id").alias("target_node_id"), F.col("raw_id").alias("finding_id"),
         contains_any(F.concat_ws(" ", "finding_type", "severity", map_text(F.col("metadata"))), SUSPICIOUS_MARKERS).alias("finding_hit"),
     )
-    triggers = _edges_of(edges, "triggers").select(F.col("source_node_id").alias("span"), F.col("target_node_id").alias("finding_node"))
+    triggered = _edges_of(in_edges, "triggers").join(findings, "target_node_id").select(F.col("source_node_id").alias("span"), "finding_id", "finding_hit")
     spans = _of_type(nodes, "evidence_span").select(
-        F.col("node_id").alias("span"),
+        F.col("node_id").alias("target_node_id"),
         ((F.lower(F.col("metadata")["suspicious"]) == "true").eqNullSafe(True)
          | contains_any(F.concat_ws(" ", "span_type", "label", map_text(F.col("metadata"))), SUSPICIOUS_MARKERS)).alias("span_hit"),
     )
-    contains = _edges_of(edges, "contains").select(F.col("source_node_id").alias("artifact"), F.col("target_node_id").alias("span"))
-    linked = contains.join(spans, "span").join(triggers.join(findings, "finding_node"), "span", "left")
-    suspicious = linked.groupBy("artifact").agg(
-        F.bool_or(F.col("span_hit") | F.coalesce("finding_hit", F.lit(False))).alias("suspicious")
-    ).where("suspicious")
-    artifact_findings = linked.where(F.col("finding_id").isNotNull()).select("artifact", "finding_id").distinct()
-    return artifact_findings, suspicious
+    held = _edges_of(in_edges, "contains").join(spans, "target_node_id").select(F.col("source_node_id").alias("artifact"), F.col("target_node_id").alias("span"), "span_hit")
+    hit = F.col("span_hit") | F.coalesce("finding_hit", F.lit(False))
+    return held.join(triggered, "span", "left").groupBy("artifact", "finding_id").agg(F.bool_or(hit).alias("suspicious"))
 
 
-def tool_risk_features(nodes: DataFrame, edges: DataFrame, high_risk_dependency_score: float = 70.0) -> DataFrame:
-    """The seven risk features of every tool; tools without edges get zeros and a null distance."""
+def tool_risk_features(
+    nodes: DataFrame, edges: DataFrame, high_risk_dependency_score: float = 70.0, in_edges: DataFrame | None = None
+) -> DataFrame:
+    """The seven risk features of every tool; tools without edges get zeros and a null distance.
+
+    Every edge becomes a row (tool, feature, value, n), so that one aggregation counts distinct values and sums for all of them. A finding
+    that one artifact alone has is counted there, and its number is one row for each tool of the artifact; only
+    findings that artifacts share are paired with tools. ``in_edges`` are the same edges stored by target.
+    """
     c = F.col
+    in_edges = edges if in_edges is None else in_edges
     dependency_hit = (
         (F.lower(c("metadata")["high_risk"]) == "true").eqNullSafe(True)
         | F.coalesce(json_number(c("metadata")["risk_score"]) >= high_risk_dependency_score, F.lit(False))
         | contains_any(F.concat_ws(" ", "name", map_text(c("metadata"))), HIGH_RISK_DEPENDENCY_MARKERS)
     )
-    targets = nodes.where(c("node_type").isin("external_domain", "env_var", "capability", "dependency")).select(
-        c("node_id").alias("target_node_id"),
-        F.when(c("node_type") == "external_domain", c("domain")).alias("domain"),
-        F.when(c("node_type") == "capability", c("raw_id")).alias("capability_id"),
-        ((c("node_type") == "env_var") & F.coalesce("sensitive", F.lit(False))).alias("sensitive_env"),
-        ((c("node_type") == "dependency") & dependency_hit).alias("risky_dependency"),
-    )
-    wanted = edges.where(c("edge_type").isin("calls", "mentions", "requires", "depends_on")).select("source_node_id", "target_node_id")
-    direct = wanted.join(targets, "target_node_id").groupBy(c("source_node_id").alias("node_id")).agg(
-        F.count_distinct("domain").alias("external_communication_degree"),
-        F.count_if("sensitive_env").alias("sensitive_env_var_count"),
-        F.count_distinct("capability_id").alias("permission_count"),
-        F.count_if("risky_dependency").alias("high_risk_dependency_count"),
+    kind = c("node_type")
+    value = (
+        F.when(kind == "external_domain", c("domain")).when(kind == "capability", c("raw_id"))
+        .when((kind == "env_var") & F.coalesce("sensitive", F.lit(False)), F.lit("")).when((kind == "dependency") & dependency_hit, F.lit(""))
     )
-    artifact_findings, suspicious = _artifact_finding_facts(nodes, edges)
+    targets = nodes.where(kind.isin("external_domain", "env_var", "capability", "dependency")).select(c("node_id").alias("target_node_id"), kind.alias("feature"), value.alias("value"))
+    targets = targets.where("value IS NOT NULL")
+    wanted = in_edges.where(c("edge_type").isin("calls", "mentions", "requires", "depends_on")).select("source_node_id", "target_node_id")
+    direct = wanted.join(targets, "target_node_id").select(c("source_node_id").alias("node_id"), "feature", "value", F.lit(1).cast("bigint").alias("n"))
+
+    found = shared_table(_artifact_findings(nodes, edges, in_edges))  # three aggregates read it
+    homes = found.where("finding_id IS NOT NULL").groupBy("finding_id").agg(F.count("*").alias("artifacts"), F.min("artifact").alias("artifact"))
+    facts = homes.where("artifacts = 1").select("artifact", F.lit(1).alias("own"), F.lit(False).alias("suspicious")).unionByName(
+        found.select("artifact", F.lit(0).alias("own"), "suspicious")
+    ).groupBy("artifact").agg(F.sum("own").alias("own"), F.bool_or("suspicious").alias("suspicious"))
+    shared = found.join(homes.where("artifacts > 1").select("finding_id"), "finding_id", "left_semi").select("artifact", "finding_id")
     defines = _edges_of(edges, "defines").select(c("source_node_id").alias("artifact"), c("target_node_id").alias("node_id"))
     # A span and a tool of the same artifact are two steps apart and no edge type joins them directly.
-    distance = defines.join(suspicious.select("artifact"), "artifact", "left_semi").groupBy("node_id").agg(F.lit(2).alias("distance"))
-    findings = _independent_findings(defines, artifact_findings)
+    row = lambda feature, value, n: F.struct(F.lit(feature).alias("feature"), value.alias("value"), n.cast("bigint").alias("n"))
+    tagged = F.array(row("own", c("artifact"), c("own")), row("near", F.lit(""), c("suspicious").cast("int")))
+    through = defines.join(facts, "artifact").select("node_id", F.inline(tagged))
+    paired = defines.join(shared, "artifact").select("node_id", F.lit("finding").alias("feature"), c("finding_id").alias("value"), F.lit(1).cast("bigint").alias("n"))
+
+    values = direct.union(through).union(paired).groupBy("node_id", "feature", "value").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    is_ = lambda name: c("feature") == name
+    total = lambda name, column: F.coalesce(F.sum(F.when(is_(name), c(column))), F.lit(0).cast("bigint"))
+    counted = values.groupBy("node_id").agg(
+        F.count_if(is_("external_domain")).alias("external_communication_degree"), total("env_var", "n").alias("sensitive_env_var_count"),
+        F.count_if(is_("capability")).alias("permission_count"), total("dependency", "n").alias("high_risk_dependency_count"),
+        F.max(F.when(is_("near") & (c("most") > 0), F.lit(2))).alias("distance"),
+        (total("own", "most") + F.count_if(is_("finding"))).alias("independent_finding_count"),
+    )
     metadata = c("metadata")
     change_value = F.lit(None).cast("string")
     for key in reversed(CHANGE_KEYS):
         change_value = F.when(F.map_contains_key(metadata, key), metadata[key]).otherwise(change_value)
     tools = _of_type(nodes, "tool").select(
-        "node_id", c("raw_id").alias("tool_id"), c("name").alias("tool_name"), "label",
+        "node_id", c("raw_id").alias("tool_id"), c("name").alias("tool_name"),
         F.coalesce(json_change_count(change_value), F.lit(0)).alias("recent_metadata_change_count"),
     )
-    joined = tools.join(direct, "node_id", "left").join(distance, "node_id", "left").join(findings, "node_id", "left")
+    joined = tools.join(counted, "node_id", "left")
     zero = F.lit(0)
     return joined.select(
         c("node_id").alias("tool_node_id"), "tool_id", "tool_name",
@@ -325,6 +330,42 @@ def tool_risk_features(nodes: DataFrame, edges: DataFrame, high_risk_dependency_
     )
 
 
+def _rounds(spark, start: DataFrame, step) -> DataFrame:
+    """Breadth-first search: (node_id, distance) of all that ``step`` reaches from ``start``, until a round finds nothing new.
+
+    Each round is written as a folder of its own beside the others, so that the settled nodes are always one table,
+    the plan doesn't grow with the depth, and a lost executor restarts no search.
+    """
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/search_{uuid.uuid4().hex}"
+    schema = "node_id string, distance int"
+    depth = 0
+    frontier = start.select("node_id").where("node_id IS NOT NULL").distinct()
+    while True:
+        frontier.write.parquet(f"{folder}/distance={depth}")
+        settled = spark.read.schema(schema).option("basePath", folder).parquet(folder)
+        last = settled.where(F.col("distance") == depth)
+        if last.isEmpty():
+            return settled
+        frontier = step(last.select("node_id")).distinct().join(settled.select("node_id"), "node_id", "left_anti")
+        depth += 1
+
+
+def nearest_distances(edges: DataFrame, starts: DataFrame, in_edges: DataFrame | None = None) -> DataFrame:
+    """(node_id, distance): undirected steps from each reachable node to the nearest of ``starts``, of any depth.
+
+    Edges stored by source and by target meet the frontier without being shuffled.
+    """
+    by_target = edges if in_edges is None else in_edges
+
+    def step(frontier: DataFrame) -> DataFrame:
+        ahead = edges.join(frontier, F.col("source_node_id") == F.col("node_id"), "left_semi").select(F.col("target_node_id").alias("node_id"))
+        back = by_target.join(frontier, F.col("target_node_id") == F.col("node_id"), "left_semi").select(F.col("source_node_id").alias("node_id"))
+        return ahead.unionByName(back)
+
+    return _rounds(edges.sparkSession, starts, step)
+
+
 def undirected_distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Shortest undirected distance from each start node to every reachable node (breadth first).
 
@@ -345,29 +386,17 @@ def undirected_distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
-def upstream_of_findings(nodes: DataFrame, edges: DataFrame, severity: str) -> tuple[DataFrame, DataFrame]:
-    """Findings of a severity, everything upstream of them, and the edges in between.
+def upstream_of_findings(nodes: DataFrame, edges: DataFrame, severity: str, in_edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings of a severity, everything upstream of them, and the edges in between."""
+    by_target = edges if in_edges is None else in_edges
 
-    Only the new frontier is joined each round; the visited set is an append of checkpointed parts.
-    """
-    links = edges.select("source_node_id", "target_node_id")
-    frontier = reliable_checkpoint(_of_type(nodes, "finding").where(F.col("severity") == severity).select("node_id").distinct())
-    visited = frontier
-    while not frontier.isEmpty():
-        sources = links.join(frontier, links["target_node_id"] == frontier["node_id"], "left_semi").select(
-            F.col("source_node_id").alias("node_id")
-        ).distinct()
-        frontier = reliable_checkpoint(sources.join(visited, "node_id", "left_anti"))
-        visited = visited.unionByName(frontier)
+    def step(frontier: DataFrame) -> DataFrame:
+        return by_target.join(frontier, F.col("target_node_id") == F.col("node_id"), "left_semi").select(F.col("source_node_id").alias("node_id"))
+
+    visited = _rounds(nodes.sparkSession, _of_type(nodes, "finding").where(F.col("severity") == severity), step).select("node_id")
     kept_nodes = nodes.join(visited, "node_id", "left_semi")
     ends = visited.withColumnRenamed("node_id", "end")
     kept_edges = edges.join(ends, F.col("source_node_id") == F.col("end"), "left_semi").join(
         ends, F.col("target_node_id") == F.col("end"), "left_semi"
     )
     return kept_nodes, kept_edges
-
-
-def edge_spec_table(spark: SparkSession) -> DataFrame:
-    """The 13 allowed edge types as a table."""
-    rows = [(name, source, target) for name, (source, target) in EDGE_SPECS.items()]
-    return spark.createDataFrame(rows, "edge_type string, source_node_type string, target_node_type string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docvet.operators import graph as G
 from docvet.plans.inputs import table
-from docvet.session import reliable_checkpoint
+from docvet.sources.graph_store import StoredGraph, write_graph
 
 ATTRIBUTES = {
     "name": "string", "description": "string", "domain": "string", "sensitive": "boolean", "risk_weight": "int",
@@ -162,11 +162,19 @@ def edges(spark: SparkSession, d: str, *types: str) -> DataFrame:
     return _chosen(edge_list, types)
 
 
+_STORED: dict[tuple, StoredGraph] = {}
+
+
+def stored_graph(spark: SparkSession, d: str) -> StoredGraph:
+    """The whole graph, written once per application and folder, like the stored tables it stands for."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = write_graph(nodes(spark, d), edges(spark, d))
+    return _STORED[key]
+
+
 def graph(spark: SparkSession, d: str, node_types: tuple[str, ...] = (), edge_types: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges. A stored graph is partitioned by type and prunes to the types a query filters
-    on; here the same pruning is done by naming them. The whole graph is written to the checkpoint
-    folder first, like the stored table it stands for."""
-    n, e = nodes(spark, d, *node_types), edges(spark, d, *edge_types)
-    if node_types and edge_types:
-        return n, e
-    return reliable_checkpoint(n), reliable_checkpoint(e)
+    """Nodes and edges by source of the stored graph; types prune to their folders."""
+    g = stored_graph(spark, d)
+    n = g.nodes.where(F.col("node_type").isin(*node_types)) if node_types else g.nodes
+    return n, g.out_edges.where(F.col("edge_type").isin(*edge_types)) if edge_types else g.out_edges

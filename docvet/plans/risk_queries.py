@@ -17,7 +17,7 @@ from docvet.operators import policy as P
 from docvet.operators import quality as Q
 from docvet.operators.risk import severity_rank
 from docvet.plans import inputs as I
-from docvet.plans.graph_inputs import edges, graph, nodes, parts, size_capability
+from docvet.plans.graph_inputs import graph, nodes, parts, size_capability, stored_graph
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES
 from docvet.plans.scan_queries import artifact_keys, findings
 from docvet.session import reliable_checkpoint
@@ -55,14 +55,14 @@ def integrity_query(spark, d):
         F.concat(F.lit("x_"), "edge_id").alias("edge_id"), "edge_type", "source_node_id", "source_node_type",
         F.lit("artifact_missing").alias("target_node_id"), "target_node_type",
     )
-    return G.integrity_violations(n.unionByName(copies), e.unionByName(dangling)).groupBy("problem").agg(F.count("*").alias("n"))
+    return G.integrity_violations(n.unionByName(copies), e.unionByName(dangling))
 
 
 def edge_spec_query(spark, d):
-    e = edges(spark, d)
+    e = graph(spark, d)[1]
     swapped = F.col("edge_type").isin("mentions", "violates")
     bad = e.withColumn("target_node_type", F.when(swapped, F.lit("parameter")).otherwise(F.col("target_node_type")))
-    return G.edge_type_violations(bad).groupBy("edge_type", "found", "expected").agg(F.count("*").alias("n"))
+    return G.edge_type_violations(bad)
 
 
 def adjacency_query(spark, d):
@@ -74,15 +74,21 @@ def adjacency_query(spark, d):
 
 def degree_query(spark, d):
     n, e = graph(spark, d)
-    return G.degrees(e).join(n.select("node_id", "node_type"), "node_id").groupBy("node_type").agg(
-        F.sum("in_degree").alias("in_total"), F.sum("out_degree").alias("out_total"), F.max("in_degree").alias("in_max"), F.max("out_degree").alias("out_max")
-    )
+    return G.degrees(e).join(n.select("node_id", "node_type", "raw_id"), "node_id").select("node_type", "raw_id", "in_degree", "out_degree")
 
 
 def neighbourhood_query(spark, d):
-    n, e = graph(spark, d)
-    around = G.neighbourhood(e, n.where("node_type = 'tool'").agg(F.min_by("node_id", F.substring("raw_id", 2, 12).cast("bigint"))).first()[0])
-    return around.join(n.select("node_id", "raw_id"), "node_id").select("edge_type", "direction", "raw_id")
+    """Around one tool: the filter on its id reads one bucket of each edge table."""
+    g = stored_graph(spark, d)
+    around = G.neighbourhood(g.out_edges, G.node_key("tool", "t1"), g.in_edges)
+    return around.join(g.nodes.select("node_id", "raw_id"), "node_id").select("edge_type", "direction", "raw_id")
+
+
+def distance_query(spark, d):
+    """Steps from every node to the nearest span that is marked as suspicious."""
+    g = stored_graph(spark, d)
+    marked = g.nodes.where("node_type = 'evidence_span'").where((F.col("metadata")["suspicious"] == "true") | (F.col("span_type") == "suspicious_formatting"))
+    return G.nearest_distances(g.out_edges, marked, g.in_edges).join(g.nodes.select("node_id", "node_type", "raw_id"), "node_id").select("node_type", "raw_id", "distance")
 
 
 def blob_query(spark, d):
@@ -98,12 +104,9 @@ def change_query(spark, d):
     return tools.select("raw_id", F.coalesce(json_change_count(value), F.lit(0)).alias("changes"))
 
 
-FEATURE_NODES = ("tool", "external_domain", "env_var", "capability", "dependency", "finding", "evidence_span")
-FEATURE_EDGES = ("calls", "mentions", "requires", "depends_on", "defines", "contains", "triggers")
-
-
 def features(spark, d):
-    return G.tool_risk_features(*graph(spark, d, FEATURE_NODES, FEATURE_EDGES))
+    g = stored_graph(spark, d)
+    return G.tool_risk_features(g.nodes, g.out_edges, in_edges=g.in_edges)
 
 
 def feature_query(spark, d):
@@ -119,10 +122,9 @@ def span_count_query(spark, d):
 
 
 def upstream_query(spark, d):
-    n, e = graph(spark, d)
-    kept_nodes, kept_edges = G.upstream_of_findings(n, e, "critical")
-    by_node = kept_nodes.groupBy(F.col("node_type").alias("kind")).agg(F.count("*").alias("n"))
-    return by_node.unionByName(kept_edges.groupBy(F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")))
+    g = stored_graph(spark, d)
+    kept_nodes, kept_edges = G.upstream_of_findings(g.nodes, g.out_edges, "critical", g.in_edges)
+    return kept_nodes.select(F.col("node_type").alias("kind"), F.col("node_id").alias("id")).unionByName(kept_edges.select(F.col("edge_type").alias("kind"), F.col("edge_id").alias("id")))
 
 
 # Policy --------------------------------------------------------------------------------------
@@ -497,32 +499,32 @@ _ERR = f"""log AS ({I.REQUEST_LOG}), er AS (SELECT CAST(request_id AS VARCHAR) A
 dflt AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v[0]}, {str(v[1]).lower()}, {str(v[2]).lower()}, '{v[3]}')" for k, v in Q.ERROR_DEFAULTS.items())}) AS v(category, s, recoverable, retryable, user_message)),
 e2 AS (SELECT *, CASE WHEN c0 IN ({', '.join(f"'{k}'" for k in Q.ERROR_DEFAULTS)}) THEN c0 WHEN sc = 429 THEN 'rate_limit_error' ELSE 'report_error' END AS category FROM er),
 e3 AS (SELECT request_id, category, error_code, coalesce(sc, s) AS status_code, recoverable, retryable, user_message FROM e2 JOIN dflt USING (category))"""
+# All edges of the graph by raw ids, and ids as the graph makes them.
+_GE = """gsp AS (SELECT DISTINCT l_suppkey AS k, l_returnflag AS rf, 'sp_' || l_suppkey || '_' || l_returnflag || '_' || l_linestatus AS span, l_linestatus AS ls,
+ CASE WHEN l_suppkey % 10 = 3 THEN 'fd_shared_' || l_returnflag ELSE 'fd_' || l_suppkey || '_' || l_returnflag || '_' || l_linestatus END AS finding FROM lineitem),
+ge AS (SELECT 'source_repo' AS st, 'repo_' || s_nationkey AS s, 'artifact' AS tt, 'a' || s_suppkey AS t, 'has_artifact' AS kind FROM supplier
+ UNION SELECT 'artifact', 'a' || l_suppkey, 'tool', 't' || l_partkey, 'defines' FROM lineitem
+ UNION SELECT 'tool', 't' || p_partkey, 'parameter', 'par_' || p_partkey, 'has_parameter' FROM part
+ UNION SELECT 'tool', 't' || p_partkey, 'capability', unnest(['cap_' || lower(p_type), ['filesystem_write', 'shell_execution', 'email_send', 'read_only'][p_size % 4 + 1]]), 'requires' FROM part
+ UNION SELECT 'tool', 't' || p_partkey, 'env_var', p_brand, 'mentions' FROM part UNION SELECT 'tool', 't' || p_partkey, 'dependency', p_name, 'depends_on' FROM part
+ UNION SELECT 'tool', 't' || l_partkey, 'external_domain', 'dom_' || s_nationkey, 'calls' FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+ UNION SELECT 'artifact', 'a' || k, 'evidence_span', span, 'contains' FROM gsp UNION SELECT 'evidence_span', span, 'finding', finding, 'triggers' FROM gsp
+ UNION SELECT 'finding', finding, 'policy_rule', 'rule_' || rf, 'violates' FROM gsp WHERE ls = 'O'
+ UNION SELECT 'scan_run', 'run_' || s_nationkey, 'finding', finding, 'observed' FROM gsp JOIN supplier ON s_suppkey = k
+ UNION SELECT 'sandbox_task', 'task_' || l_orderkey, 'tool', 't' || l_partkey, 'used' FROM lineitem
+ UNION SELECT 'sandbox_task', 'task_' || o_orderkey, 'unsafe_action', 'ua_' || o_orderkey, 'produced' FROM orders WHERE o_orderstatus <> 'O')"""
+_NODE_ID = "{0} || '_' || substr(sha256({0} || ':' || {1}), 1, 16)"
+_EDGE_ID = f"kind || '_' || substr(sha256(kind || ':' || {_NODE_ID.format('st', 's')} || ':' || {_NODE_ID.format('tt', 't')}), 1, 16)"
 _TN = "SELECT 't' || p_partkey AS raw_id, p_name AS label FROM p WHERE"
 
 QUERIES = {
-    "b31_edge_spec_violations": (edge_spec_query, """SELECT 'mentions' AS edge_type, 'tool>parameter' AS found, 'tool>env_var' AS expected, count(*) AS n FROM part
-UNION ALL SELECT 'violates', 'finding>parameter', 'finding>policy_rule', count(DISTINCT (CASE WHEN l_suppkey % 10 = 3 THEN 'fd_shared_' || l_returnflag ELSE l_suppkey || l_returnflag END)) FROM lineitem WHERE l_linestatus = 'O'"""),
+    "b31_edge_spec_violations": (edge_spec_query, f"""WITH {_GE} SELECT {_EDGE_ID} AS edge_id, kind AS edge_type, st || '>parameter' AS found, st || '>' || tt AS expected FROM ge WHERE kind IN ('mentions', 'violates')"""),
     "b35_dependency_markers": (blob_query, f"""SELECT DISTINCT p_name AS raw_id, length(p_name || CASE length(p_name) % 6 WHEN 0 THEN ' status Deprecated' WHEN 1 THEN ' risk_score 75' WHEN 5 THEN ' risk_score 12' WHEN 2 THEN ' high_risk true' WHEN 3 THEN ' abandoned false' ELSE ' ' END) AS blob_length,
  length(p_name) % 6 IN (0, 3) AS high_risk_text, CASE length(p_name) % 6 WHEN 1 THEN 75 WHEN 5 THEN 12 ELSE -1 END AS risk_score FROM part"""),
     "b36_change_counts": (change_query, f"SELECT 't' || p_partkey AS raw_id, {_CH} AS changes FROM part"),
     "c3_adjacency": (adjacency_query, f"""WITH {_P} SELECT cap AS raw_id, count(*) AS n, 'out' AS direction FROM (SELECT unnest([type_cap, size_cap]) AS cap FROM p) GROUP BY 1
 UNION ALL SELECT 'repo_' || s_nationkey, count(*), 'in' FROM supplier GROUP BY 1"""),
-    "c3_degrees": (degree_query, """WITH sp AS (SELECT DISTINCT l_suppkey AS k, l_returnflag AS rf, l_linestatus AS ls, l_suppkey || ':' || l_returnflag || ':' || l_linestatus AS span,
- CASE WHEN l_suppkey % 10 = 3 THEN 'shared:' || l_returnflag ELSE l_suppkey || ':' || l_returnflag || ':' || l_linestatus END AS finding FROM lineitem),
-e AS (SELECT 'source_repo' AS st, s_nationkey::VARCHAR AS s, 'artifact' AS tt, s_suppkey::VARCHAR AS t, 'has_artifact' AS kind FROM supplier
- UNION SELECT 'artifact', l_suppkey::VARCHAR, 'tool', l_partkey::VARCHAR, 'defines' FROM lineitem
- UNION SELECT 'tool', p_partkey::VARCHAR, 'parameter', p_partkey::VARCHAR, 'has_parameter' FROM part
- UNION SELECT 'tool', p_partkey::VARCHAR, 'capability', unnest(['cap_' || lower(p_type), ['filesystem_write', 'shell_execution', 'email_send', 'read_only'][p_size % 4 + 1]]), 'requires' FROM part
- UNION SELECT 'tool', p_partkey::VARCHAR, 'env_var', p_brand, 'mentions' FROM part
- UNION SELECT 'tool', l_partkey::VARCHAR, 'external_domain', s_nationkey::VARCHAR, 'calls' FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
- UNION SELECT 'tool', p_partkey::VARCHAR, 'dependency', p_name, 'depends_on' FROM part
- UNION SELECT 'artifact', k::VARCHAR, 'evidence_span', span, 'contains' FROM sp UNION SELECT 'evidence_span', span, 'finding', finding, 'triggers' FROM sp
- UNION SELECT 'finding', finding, 'policy_rule', rf, 'violates' FROM sp WHERE ls = 'O'
- UNION SELECT 'scan_run', s_nationkey::VARCHAR, 'finding', finding, 'observed' FROM sp JOIN supplier ON s_suppkey = k
- UNION SELECT 'sandbox_task', l_orderkey::VARCHAR, 'tool', l_partkey::VARCHAR, 'used' FROM lineitem
- UNION SELECT 'sandbox_task', o_orderkey::VARCHAR, 'unsafe_action', o_orderkey::VARCHAR, 'produced' FROM orders WHERE o_orderstatus <> 'O'),
-d AS (SELECT node_type, node, sum(o) AS o, sum(i) AS i FROM (SELECT st AS node_type, s AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT tt, t, 0, 1 FROM e) AS ends GROUP BY ALL)
-SELECT node_type, sum(i) AS in_total, sum(o) AS out_total, max(i) AS in_max, max(o) AS out_max FROM d GROUP BY 1"""),
+    "c3_degrees": (degree_query, f"""WITH {_GE} SELECT node_type, raw_id, sum(i) AS in_degree, sum(o) AS out_degree FROM (SELECT st AS node_type, s AS raw_id, 1 AS o, 0 AS i FROM ge UNION ALL SELECT tt, t, 0, 1 FROM ge) AS ends GROUP BY ALL"""),
     "c4_network_and_credentials": (_named(G.network_tools_with_credentials, ("tool", "capability", "env_var"), ("requires", "mentions")), f"WITH {_P} {_TN} p_type IN ('ECONOMY', 'PROMO') AND (bn % 4 = 0 OR bn % 5 = 0 OR bn % 7 = 0)"),
     "c5_instruction_like_repos": (_named(G.repos_with_instruction_like_tools, ("tool", "source_repo"), ("defines", "has_artifact")), """SELECT DISTINCT 'repo_' || n_nationkey AS raw_id, n_name AS label FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_size % 17 = 0"""),
     "c6_permission_changes": (lambda s, d: G.permission_changes(_capabilities(s, d, True), _capabilities(s, d, False)), f"""WITH {_P}, old AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN ['filesystem_write', 'shell_execution', 'email_send', 'read_only'][(p_size + 1) % 4 + 1] ELSE size_cap END AS old_cap FROM p WHERE p_partkey % 7 <> 0)
@@ -530,15 +532,20 @@ SELECT tool AS tool_id, p_name AS tool_name, type_cap AS capability_id, 'added'
     "c7_abandoned_dependencies": (_named(G.high_risk_tools_with_abandoned_dependencies, ("tool", "capability", "dependency"), ("requires", "depends_on")), f"WITH {_P} {_TN} (length(p_type) % 5 >= 3 OR p_size % 4 IN (0, 1)) AND length(p_name) % 6 IN (0, 3)"),
     "c8_low_static_high_sandbox": (_named(G.low_static_high_sandbox_tools, ("tool", "unsafe_action"), ("produced", "used")), f"WITH {_P} {_TN} p_partkey % 4 <> 1 AND p_size * 2 <= 40 AND p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'O' AND (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'))"),
     "c9_quarantine_evidence": (_named(G.evidence_for_quarantine, ("finding", "policy_rule", "evidence_span"), ("violates", "triggers")), f"WITH {_SP} SELECT DISTINCT span AS raw_id, span AS label FROM sp WHERE (s % 10 <> 3 AND s % 13 = 0) OR fd IN (SELECT fd FROM sp WHERE rf = 'R' AND ls = 'O')"),
-    "c10_graph_integrity": (integrity_query, "SELECT 'duplicate_node' AS problem, count(*) AS n FROM part WHERE p_partkey % 6 = 0 UNION ALL SELECT 'missing_target', count(*) FROM supplier"),
+    "c10_graph_integrity": (integrity_query, f"""WITH {_GE} SELECT {_NODE_ID.format("'tool'", "'t' || p_partkey")} AS item_id, 'duplicate_node' AS problem FROM part WHERE p_partkey % 6 = 0
+UNION ALL SELECT 'x_' || {_EDGE_ID}, 'missing_target' FROM ge WHERE kind = 'has_artifact'"""),
     "c19_span_counts": (span_count_query, f"WITH {_SP}, c AS (SELECT s, count(*) AS n FROM sp GROUP BY 1) SELECT 't' || k AS raw_id, sum(n) AS span_count FROM df JOIN c USING (s) GROUP BY 1"),
     "d14_tool_risk_features": (feature_query, f"""WITH {_FEAT} SELECT tool AS tool_id, p_name AS tool_name, external_communication_degree, sensitive_env_var_count, permission_count, high_risk_dependency_count,
  distance AS suspicious_span_to_tool_description_distance, changes AS recent_metadata_change_count, independent_finding_count FROM feat"""),
-    "h2_upstream_closure": (upstream_query, f"""WITH {_SP}, f AS (SELECT DISTINCT fd FROM sp WHERE rf = 'R'), x AS (SELECT DISTINCT sp.* FROM sp JOIN f USING (fd)), r AS (SELECT DISTINCT s, s_nationkey AS n FROM x JOIN supplier ON s = s_suppkey)
-SELECT 'finding' AS kind, count(*) AS n FROM f UNION ALL SELECT 'evidence_span', count(*) FROM x UNION ALL SELECT 'artifact', count(DISTINCT s) FROM x UNION ALL SELECT 'source_repo', count(DISTINCT n) FROM r
- UNION ALL SELECT 'scan_run', count(DISTINCT n) FROM r UNION ALL SELECT 'triggers', count(*) FROM x UNION ALL SELECT 'contains', count(*) FROM x UNION ALL SELECT 'has_artifact', count(DISTINCT s) FROM r
- UNION ALL SELECT 'observed', count(DISTINCT (n, fd)) FROM x JOIN r USING (s)"""),
-    "h3_neighbourhood": (neighbourhood_query, f"""WITH {_P}, t AS (SELECT * FROM p ORDER BY p_partkey LIMIT 1) SELECT 'requires' AS edge_type, 'out' AS direction, unnest([type_cap, size_cap]) AS raw_id FROM t
+    "h1_nearest_distances": (distance_query, f"""WITH RECURSIVE {_GE}, both_ways AS (SELECT st, s, tt, t FROM ge UNION SELECT tt, t, st, s FROM ge),
+near(node_type, raw_id, distance) USING KEY (node_type, raw_id) AS (
+ SELECT DISTINCT 'evidence_span', span, 0 FROM gsp WHERE (k % 11 = 0 AND rf = 'N') OR (k % 7 = 0 AND rf = 'A')
+ UNION SELECT b.tt, b.t, min(n.distance) + 1 FROM near n JOIN both_ways b ON b.st = n.node_type AND b.s = n.raw_id
+  LEFT JOIN recurring.near old ON old.node_type = b.tt AND old.raw_id = b.t WHERE old.raw_id IS NULL GROUP BY ALL)
+SELECT node_type, raw_id, distance FROM near"""),
+    "h2_upstream_closure": (upstream_query, f"""WITH RECURSIVE {_GE}, up AS (SELECT DISTINCT 'finding' AS node_type, finding AS raw_id FROM gsp WHERE rf = 'R' UNION SELECT ge.st, ge.s FROM up JOIN ge ON ge.tt = up.node_type AND ge.t = up.raw_id)
+SELECT node_type AS kind, {_NODE_ID.format('node_type', 'raw_id')} AS id FROM up UNION ALL SELECT kind, {_EDGE_ID} FROM ge JOIN up a ON a.node_type = st AND a.raw_id = s JOIN up b ON b.node_type = tt AND b.raw_id = t"""),
+    "h3_neighbourhood": (neighbourhood_query, f"""WITH {_P}, t AS (SELECT * FROM p WHERE p_partkey = 1) SELECT 'requires' AS edge_type, 'out' AS direction, unnest([type_cap, size_cap]) AS raw_id FROM t
  UNION ALL SELECT 'mentions', 'out', p_brand FROM t UNION ALL SELECT 'depends_on', 'out', p_name FROM t UNION ALL SELECT 'has_parameter', 'out', 'par_' || p_partkey FROM t
  UNION ALL SELECT DISTINCT 'defines', 'in', 'a' || l_suppkey FROM lineitem JOIN t ON l_partkey = p_partkey UNION ALL SELECT DISTINCT 'used', 'in', 'task_' || l_orderkey FROM lineitem JOIN t ON l_partkey = p_partkey
  UNION ALL SELECT DISTINCT 'calls', 'out', 'dom_' || s_nationkey FROM lineitem JOIN t ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey"""),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,7 +21,8 @@ from docvet.plans import inputs as I
 from docvet.plans.graph_inputs import graph, nodes, parts, size_capability, stored_graph
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES
 from docvet.plans.scan_queries import artifact_keys, findings
-from docvet.session import reliable_checkpoint
+from docvet.session import ensure_checkpoint_dir, reliable_checkpoint, shared_table
+from docvet.sources.keyed_store import KeyedStore
 from docvet.streaming import jobs
 
 # Graph ---------------------------------------------------------------------------------------
@@ -389,9 +391,34 @@ def latency_query(spark, d):
 
 
 def rollup_query(spark, d):
-    rows = jobs.request_rollup(I.derived(spark, d, I.REQUEST_LOG))
+    return _rounded(jobs.request_rollup(I.derived(spark, d, I.REQUEST_LOG), with_p95=True))
+
+
+def _rounded(rows):
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "service", "request_count", "error_count",
-                       F.round("error_rate", 6).alias("error_rate"), F.round("mean_latency_ms", 6).alias("mean_latency_ms"))
+                       *[F.round(c, 6).alias(c) for c in ("error_rate", "mean_latency_ms", "p95_latency_ms")])
+
+
+def daily_query(spark, d):
+    """Days from the sketches of their hours; the request log is read once, for the hours."""
+    hours = jobs.latency_sketches(I.derived(spark, d, I.REQUEST_LOG))
+    return _rounded(jobs.merged_rollup(hours, "1 day"))
+
+
+def upsert_query(spark, d):
+    """Each finding in three states, merged as three batches that hold them out of order, the last one twice."""
+    seen = findings(spark, d).select("finding_id", "rule_id", "start_line", F.explode(F.array(*map(F.lit, range(3)))).alias("turn")).distinct()
+    states = F.array(*map(F.lit, ("open", "confirmed", "closed")))
+    rows = shared_table(seen.select(
+        "finding_id", "rule_id", F.element_at(states, ((F.col("start_line") + F.col("turn")) % 3 + 1).cast("int")).alias("state"), F.col("turn").cast("bigint").alias("seen_at"),
+        ((F.col("start_line") + 2 * F.col("turn")) % 3).alias("batch"),
+    ))
+    ensure_checkpoint_dir(spark)
+    store = KeyedStore(f"{spark.sparkContext.getCheckpointDir()}/findings_{uuid.uuid4().hex}", "finding_id string, rule_id string, state string, seen_at bigint", "finding_id", "seen_at")
+    store.create(spark)
+    for version in (0, 1, 2, 2):
+        store.merge(rows.where(F.col("batch") == version), version)
+    return store.current(spark)
 
 
 def firewall_query(spark, d):
@@ -515,6 +542,11 @@ ge AS (SELECT 'source_repo' AS st, 'repo_' || s_nationkey AS s, 'artifact' AS tt
  UNION SELECT 'sandbox_task', 'task_' || o_orderkey, 'unsafe_action', 'ua_' || o_orderkey, 'produced' FROM orders WHERE o_orderstatus <> 'O')"""
 _NODE_ID = "{0} || '_' || substr(sha256({0} || ':' || {1}), 1, 16)"
 _EDGE_ID = f"kind || '_' || substr(sha256(kind || ':' || {_NODE_ID.format('st', 's')} || ':' || {_NODE_ID.format('tt', 't')}), 1, 16)"
+_ROLLUP = f"""WITH log AS ({I.REQUEST_LOG}), b AS (SELECT strftime(date_trunc({{0}}, ts), '%Y-%m-%d %H:%M:%S') AS window_start, service, status, latency_ms, ceil(ln(latency_ms) / ln(1.01 / 0.99))::INT AS bucket FROM log),
+g AS (SELECT window_start, service, bucket, count(*) AS n FROM b GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY window_start, service ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY window_start, service) AS total FROM g),
+p AS (SELECT window_start, service, min(bucket) AS bucket FROM r WHERE seen >= ceil(0.95 * total) GROUP BY ALL)
+SELECT window_start, service, count(*) AS request_count, count(*) FILTER (status = 'error') AS error_count, round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate, round(sum(latency_ms) / count(*), 6) AS mean_latency_ms,
+ round(any_value(pow(1.01 / 0.99, p.bucket) * 2 / (1.01 / 0.99 + 1)), 6) AS p95_latency_ms FROM b JOIN p USING (window_start, service) GROUP BY 1, 2"""
 _TN = "SELECT 't' || p_partkey AS raw_id, p_name AS label FROM p WHERE"
 
 QUERIES = {
@@ -589,8 +621,9 @@ SELECT 'tag' AS kind, category AS name, count(*) AS n FROM f JOIN r ON record_id
     "b48_error_records": (error_query, f"WITH {_ERR} SELECT * FROM e3"),
     "b49_public_errors": (public_error_query, f"WITH {_ERR} SELECT category, error_code, recoverable, retryable, user_message AS message, request_id, 'trace_' || request_id AS trace_id FROM e3"),
     "d26_latency_histogram": (latency_query, f"WITH log AS ({I.REQUEST_LOG}) SELECT service, CASE WHEN latency_ms < 250 THEN '0-250' WHEN latency_ms < 500 THEN '250-500' WHEN latency_ms < 1000 THEN '500-1000' ELSE '1000+' END AS bucket, count(*) AS n FROM log GROUP BY ALL"),
-    "i1_request_rollup": (rollup_query, f"""WITH log AS ({I.REQUEST_LOG}) SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, service, count(*) AS request_count, count(*) FILTER (status = 'error') AS error_count,
- round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate, round(sum(latency_ms) / count(*), 6) AS mean_latency_ms FROM log GROUP BY 1, 2"""),
+    "i1_request_rollup": (rollup_query, _ROLLUP.format("'hour'")),
+    "i1_daily_rollup": (daily_query, _ROLLUP.format("'day'")),
+    "i3_upserted_findings": (upsert_query, f"WITH {_F} SELECT DISTINCT finding_id, rule_id, ['open', 'confirmed', 'closed'][(start_line + 2) % 3 + 1] AS state, 2 AS seen_at FROM findings"),
     "i2_tool_call_firewall": (firewall_query, f"""WITH {_ACT}, g AS (SELECT unsafe AS blocked, NOT unsafe AND risk_level IN ('high', 'critical') AS requires_approval FROM dec)
 SELECT NOT blocked AND NOT requires_approval AS allowed, blocked, requires_approval, CASE WHEN blocked THEN '{A.REASONS['blocked']}' WHEN requires_approval THEN '{A.REASONS['approval']}' ELSE '{A.REASONS['allowed']}' END AS reason, count(*) AS n FROM g GROUP BY ALL"""),
     "i3_first_findings": (first_query, f"WITH {_F} SELECT rule_id, count(DISTINCT finding_id) AS n FROM findings GROUP BY 1"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from docvet.functions.ids import canonical_hash, canonical_json, multiset_digest
 from docvet.functions.text import is_blank
+from docvet.operators.graph import EDGE_SPECS, NODE_TYPES
+from docvet.operators.policy import ACTION_PRIORITY
 
 # Enums, error categories with their defaults, log states, latency buckets.
 ENUMS = {
@@ -21,6 +23,7 @@ ENUMS = {
     "log_status": ("started", "ok", "error", "blocked", "skipped"),
     "source_trust": ("trusted", "semi_trusted", "unknown", "untrusted", "hostile"),
     "risk_level": ("low", "medium", "high", "critical"),
+    "policy_action": tuple(ACTION_PRIORITY),
 }
 ERROR_DEFAULTS = {
     "crawl_error": (502, True, True, "The source could not be crawled safely. Please retry later or use a local artifact."),
@@ -66,10 +69,6 @@ def ordered(low: str, high: str) -> Column:
     return F.col(low).isNull() | F.col(high).isNull() | (F.col(high) >= F.col(low))
 
 
-def same_length(left: str, right: str) -> Column:
-    return F.size(left) == F.size(right)
-
-
 def subset(inner: str, outer: str) -> Column:
     return F.size(F.array_except(inner, outer)) == 0
 
@@ -80,6 +79,32 @@ def violations(records: DataFrame, key: str, checks: dict[str, Column]) -> DataF
     return records.select(F.col(key).cast("string").alias("record_key"), F.explode(failed).alias("failed_check"))
 
 
+def _present(*names: str) -> dict:
+    return {f"{n}_present": (lambda n=n: F.col(n).isNotNull()) for n in names}
+
+
+def _filled(*names: str) -> dict:
+    return {f"{n}_not_blank": (lambda n=n: not_blank(n)) for n in names}
+
+
+def _known(**enums: str) -> dict:
+    return {f"{n}_known": (lambda n=n, e=e: one_of(n, e)) for n, e in enums.items()}
+
+
+def _between(name: str, low: float | None = None, high: float | None = None, nullable: bool = False) -> dict:
+    return {f"{name}_range": lambda: in_range(name, low, high, nullable)}
+
+
+def _no_blank_in(*names: str) -> dict:
+    return {f"{n}_free_of_blanks": (lambda n=n: blank_free_list(n)) for n in names}
+
+
+def edge_spec() -> Column:
+    """Whether the edge's ends are of the types that its own type joins."""
+    actual = F.concat_ws(">", "edge_type", "source_node_type", "target_node_type")
+    return actual.isin(*[f"{kind}>{source}>{target}" for kind, (source, target) in EDGE_SPECS.items()])
+
+
 FINDING_CHECKS = {
     "finding_id_not_blank": lambda: not_blank("finding_id"),
     "severity_known": lambda: one_of("severity", "severity"),
@@ -87,12 +112,40 @@ FINDING_CHECKS = {
     "line_order": lambda: ordered("start_line", "end_line"),
     "start_line_positive": lambda: in_range("start_line", 1),
 }
+#: kind of record: (key column, checks by name); a check reads the columns that its record kind must have.
+RECORD_CHECKS: dict[str, tuple[str, dict]] = {
+    "source": ("source_id", {**_present("source_id", "source_url"), **_known(source_type="source_type", crawl_status="crawl_status")}),
+    "artifact": ("artifact_id", {**_present("artifact_id", "source_id", "path", "content_hash"), **_known(artifact_type="artifact_type")}),
+    "capability": ("capability_id", {**_present("capability_id", "name"), **_between("risk_weight", 0)}),
+    "tool": ("tool_id", _present("tool_id", "source_id", "name")),
+    "evidence_span": ("span_id", {**_present("span_id", "artifact_id", "preview", "span_type", "content_hash"), **_between("start_line", 1), **_between("end_line", 1)}),
+    "finding": ("finding_id", {n: c for n, c in FINDING_CHECKS.items() if n in ("severity_known", "confidence_range")} | _present("finding_id", "source_id", "finding_type", "rationale", "recommendation")
+                | {"policy_decision_known": lambda: F.col("policy_decision").isNull() | one_of("policy_decision", "policy_decision")}),
+    "scan_run": ("run_id", {**_present("run_id", "source_id"), **_known(status="scan_status"), **_between("risk_score", 0, 100, nullable=True)}),
+    "experiment_log": ("experiment_id", _present("experiment_id")),
+    "graph_node": ("node_id", {**_filled("node_id", "label"), "node_type_known": lambda: F.col("node_type").isin(*NODE_TYPES)}),
+    "graph_edge": ("edge_id", {**_filled("edge_id", "source_node_id", "target_node_id"), **_between("weight", 0), **_no_blank_in("evidence_span_ids"), "ends_fit_type": edge_spec}),
+    "tool_call": ("call_id", {**_filled("action_type", "tool_name"), **_known(risk_level="risk_level"), **_no_blank_in("source_context_ids")}),
+    "sandbox_output": ("task_id", {
+        **_filled("task_id", "tool_id", "model_id", "policy_mode", "final_report"), **_between("latency", 0), **_no_blank_in("agent_steps"),
+        "attack_id_not_blank": lambda: F.col("attack_id").isNull() | not_blank("attack_id"),
+        "blocked_were_attempted": lambda: subset("blocked_actions", "attempted_actions"),
+    }),
+    "evidence_citation": ("evidence_span_id", {**_filled("evidence_span_id"), "line_order": lambda: ordered("start_line", "end_line")}),
+    "policy_explanation": ("policy_id", {**_present("policy_id"), **_known(decision="policy_action"), **_between("confidence", 0.0, 1.0)}),
+}
 
 
 def finding_violations(findings: DataFrame) -> DataFrame:
     return violations(findings, "finding_id", {n: c() for n, c in FINDING_CHECKS.items()})
 
 
+def record_violations(records: DataFrame, kind: str) -> DataFrame:
+    """(kind, record_key, failed_check): every check of its kind that a record fails. Narrow; records are not dropped."""
+    key, checks = RECORD_CHECKS[kind]
+    return violations(records, key, {n: c() for n, c in checks.items()}).select(F.lit(kind).alias("kind"), "record_key", "failed_check")
+
+
 # Errors and logs.
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from pyspark.sql import functions as F
 
 from docvet.functions.numbers import json_change_count, json_number
-from docvet.functions.text import contains_any, map_text
+from docvet.functions.text import compute_once, contains_any, map_text
 from docvet.operators import actions as A
 from docvet.operators import graph as G
 from docvet.operators import metrics as M
@@ -157,6 +157,37 @@ def contexts(spark, d):
     )
 
 
+NESTED_SIGNALS = ("approval.status", "tool.id", "tool.limits.calls", "tool.limits", "tool.sizes", "tool.missing.part", "flags.network", "score", "notes", "tool.id.part")
+NESTED_PACK = P.PolicyPack((
+    P.Policy("N1", "approved_by_path", "Dotted path.", "warn", all_of=(P.Condition("approval.status", "equals", "approved"), P.Condition("tool.limits.calls", "gte", 2))),
+    P.Policy("N2", "sizes", "List below an object.", "quarantine", any_of=(P.Condition("tool.sizes", "contains_any", values=("7", "8.5")), P.Condition("tool.missing.part", "exists"))),
+    P.Policy("N3", "network_flag", "Flag below an object.", "block", all_of=(P.Condition("flags.network", "changed"), P.Condition("tool.id", "not_allowlisted", "notes.allowed"))),
+))
+
+
+def nested_contexts(spark, d):
+    """One nested JSON context per tool, read as a VARIANT; some have a whole key that looks like a path, nulls or other shapes."""
+    key = "CAST(p_partkey AS STRING)"
+    approval = "CASE p_partkey % 5 WHEN 0 THEN '\"approval\":{\"status\":\" Approved\"},' WHEN 1 THEN '\"approval\":{\"status\":\"no\"},\"approval.status\":\"approved\",' WHEN 2 THEN '\"approval\":{\"status\":\"approved\"},\"approval.status\":null,' WHEN 3 THEN '\"approval\":[\"status\"],' ELSE '' END"
+    text = (
+        f"'{{' || {approval} || '\"tool\":{{\"id\":\"t' || {key} || '\",\"sizes\":[' || CAST(p_size AS STRING) || ',8.5,[\"x\",null],true],\"limits\":{{\"calls\":' || CAST(p_partkey % 4 AS STRING) || '.0}}}},'"
+        f" || '\"flags\":{{\"network\":' || CASE WHEN p_partkey % 3 = 0 THEN 'true' ELSE 'false' END || '}},\"score\":1.50,\"notes\":' || CASE WHEN p_partkey % 2 = 0 THEN '{{\"allowed\":[\"t' || {key} || '\"]}}' ELSE '\"none\"' END || '}}'"
+    )
+    rows = I.table(spark, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("context_id"), F.parse_json(F.expr(text)).alias("context"))
+    return compute_once(rows, signals=P.variant_signals(F.col("context"), (*NESTED_SIGNALS, *P.pack_signals(NESTED_PACK))))
+
+
+def nested_query(spark, d):
+    rows = nested_contexts(spark, d).select("context_id", F.explode("signals").alias("signal", "value"))
+    return rows.select("context_id", "signal", F.col("value.kind").alias("kind"), F.array_join("value.items", "|").alias("items"))
+
+
+def nested_match_query(spark, d):
+    none = {"mode": F.lit("warn_mode"), "risk_level": F.lit("low"), "evidence_span_ids": F.array().cast("array<string>"), "confidence": F.lit(1.0)}
+    rows = P.policy_matches(P.evaluate_pack(nested_contexts(spark, d).withColumns(none), NESTED_PACK))
+    return rows.select("context_id", "policy_id", F.array_join("triggered_by", "; ").alias("triggered_by"))
+
+
 def evaluated(spark, d):
     return P.evaluate_pack(contexts(spark, d))
 
@@ -550,6 +581,17 @@ SELECT window_start, service, count(*) AS request_count, count(*) FILTER (status
 _TN = "SELECT 't' || p_partkey AS raw_id, p_name AS label FROM p WHERE"
 
 QUERIES = {
+    "b38_nested_signals": (nested_query, """WITH k AS (SELECT p_partkey AS p, p_size, 't' || p_partkey AS context_id FROM part)
+SELECT context_id, 'approval.status' AS signal, 'text' AS kind, CASE p % 5 WHEN 0 THEN ' Approved' ELSE 'approved' END AS items FROM k WHERE p % 5 IN (0, 1)
+UNION ALL SELECT context_id, 'tool.id', 'text', context_id FROM k UNION ALL SELECT context_id, 'tool.limits.calls', 'number', (p % 4) || '.0' FROM k
+UNION ALL SELECT context_id, 'tool.limits', 'object', 'calls' FROM k UNION ALL SELECT context_id, 'tool.sizes', 'list', p_size || '|8.5|x|none|true' FROM k
+UNION ALL SELECT context_id, 'flags.network', 'flag', CASE WHEN p % 3 = 0 THEN 'true' ELSE 'false' END FROM k UNION ALL SELECT context_id, 'score', 'number', '1.5' FROM k
+UNION ALL SELECT context_id, 'notes', CASE WHEN p % 2 = 0 THEN 'object' ELSE 'text' END, CASE WHEN p % 2 = 0 THEN 'allowed' ELSE 'none' END FROM k
+UNION ALL SELECT context_id, 'notes.allowed', 'list', context_id FROM k WHERE p % 2 = 0"""),
+    "b38_nested_matches": (nested_match_query, """WITH k AS (SELECT p_partkey AS p, p_size, 't' || p_partkey AS context_id FROM part)
+SELECT context_id, 'N1' AS policy_id, 'approval.status equals approved; tool.limits.calls gte 2' AS triggered_by FROM k WHERE p % 5 IN (0, 1) AND p % 4 >= 2
+UNION ALL SELECT context_id, 'N2', 'tool.sizes contains_any [''7'', ''8.5'']' FROM k
+UNION ALL SELECT context_id, 'N3', 'flags.network changed; tool.id not_allowlisted notes.allowed' FROM k WHERE p % 3 = 0 AND p % 2 = 1"""),
     "b31_edge_spec_violations": (edge_spec_query, f"""WITH {_GE} SELECT {_EDGE_ID} AS edge_id, kind AS edge_type, st || '>parameter' AS found, st || '>' || tt AS expected FROM ge WHERE kind IN ('mentions', 'violates')"""),
     "b35_dependency_markers": (blob_query, f"""SELECT DISTINCT p_name AS raw_id, length(p_name || CASE length(p_name) % 6 WHEN 0 THEN ' status Deprecated' WHEN 1 THEN ' risk_score 75' WHEN 5 THEN ' risk_score 12' WHEN 2 THEN ' high_risk true' WHEN 3 THEN ' abandoned false' ELSE ' ' END) AS blob_length,
  length(p_name) % 6 IN (0, 3) AS high_risk_text, CASE length(p_name) % 6 WHEN 1 THEN 75 WHEN 5 THEN 12 ELSE -1 END AS risk_score FROM part"""),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,6 +206,42 @@ def violations_query(spark, d):
     return Q.finding_violations(spoiled).groupBy("failed_check").agg(F.count("*").alias("n"))
 
 
+#: Records of every kind made from a document's number n, with a fault where n has a certain divisor; Spark and DuckDB read the same text.
+FAULTY_RECORDS = {
+    "source": "'s' || n AS source_id, CASE WHEN n % 19 > 0 THEN 'u' END AS source_url, CASE WHEN n % 13 = 0 THEN 'ftp' ELSE 'url' END AS source_type, CASE WHEN n % 17 = 0 THEN 'lost' ELSE 'crawled' END AS crawl_status",
+    "artifact": "'a' || n AS artifact_id, 's' AS source_id, CASE WHEN n % 19 <> 1 THEN 'p' END AS path, 'h' AS content_hash, CASE WHEN n % 13 = 1 THEN 'zip' ELSE 'json' END AS artifact_type",
+    "capability": "'c' || n AS capability_id, 'c' AS name, n % 23 - 1 AS risk_weight",
+    "tool": "'t' || n AS tool_id, 's' AS source_id, CASE WHEN n % 11 > 0 THEN 't' END AS name",
+    "evidence_span": "'e' || n AS span_id, 'a' AS artifact_id, 'p' AS preview, 't' AS span_type, 'h' AS content_hash, n % 29 AS start_line, n % 29 + n % 31 AS end_line",
+    "finding": "'f' || n AS finding_id, 's' AS source_id, 't' AS finding_type, CASE WHEN n % 7 = 0 THEN 'odd' ELSE 'low' END AS severity, (n % 37) / 36.0 + CASE WHEN n % 41 = 0 THEN 2 ELSE 0 END AS confidence, 'r' AS rationale, CASE WHEN n % 43 > 0 THEN 'r' END AS recommendation, CASE n % 3 WHEN 0 THEN 'allow' WHEN 1 THEN 'maybe' END AS policy_decision",
+    "scan_run": "'r' || n AS run_id, 's' AS source_id, CASE WHEN n % 37 = 0 THEN 'odd' ELSE 'running' END AS status, CASE n % 31 WHEN 0 THEN 101 WHEN 1 THEN NULL ELSE n % 100 END AS risk_score",
+    "experiment_log": "CASE WHEN n % 5 > 0 THEN 'x' || n END AS experiment_id",
+    "graph_node": "'n' || n AS node_id, CASE WHEN n % 41 = 0 THEN ' ' ELSE 'l' END AS label, CASE WHEN n % 43 = 0 THEN 'robot' ELSE 'tool' END AS node_type",
+    "graph_edge": "'g' || n AS edge_id, 'a' AS source_node_id, CASE WHEN n % 61 = 0 THEN '' ELSE 'b' END AS target_node_id, CASE WHEN n % 47 = 0 THEN -0.5 ELSE 1.0 END AS weight, CASE WHEN n % 53 = 0 THEN array('x', ' ') END AS evidence_span_ids, 'mentions' AS edge_type, 'tool' AS source_node_type, CASE WHEN n % 59 = 0 THEN 'parameter' ELSE 'env_var' END AS target_node_type",
+    "tool_call": "'k' || n AS call_id, 'read' AS action_type, CASE WHEN n % 61 = 0 THEN ' ' ELSE 't' END AS tool_name, CASE WHEN n % 71 = 0 THEN 'odd' ELSE 'low' END AS risk_level, CASE WHEN n % 67 = 0 THEN array('') ELSE array('c') END AS source_context_ids",
+    "sandbox_output": "'b' || n AS task_id, 't' AS tool_id, 'm' AS model_id, 'p' AS policy_mode, 'r' AS final_report, CASE WHEN n % 79 = 0 THEN -1.0 ELSE 0.5 END AS latency, CASE WHEN n % 89 = 0 THEN array('s', '') ELSE array('s') END AS agent_steps, CASE n % 83 WHEN 0 THEN ' ' WHEN 1 THEN 'x' END AS attack_id, array('x', 'y') AS attempted_actions, CASE WHEN n % 73 = 0 THEN array('y', 'z') ELSE array('y') END AS blocked_actions",
+    "evidence_citation": "'v' || n AS evidence_span_id, CASE WHEN n % 2 = 0 THEN 5 END AS start_line, CASE WHEN n % 101 = 0 THEN 4 ELSE 6 END AS end_line",
+    "policy_explanation": "'y' || n AS policy_id, CASE WHEN n % 10 = 0 THEN 'odd' ELSE 'warn' END AS decision, CASE WHEN n % 97 = 0 THEN 1.5 ELSE 0.25 END AS confidence",
+}
+#: (kind, letter of its key, failed check, when): what the checks must find.
+FAULTS = (
+    ("source", "s", "source_url_present", "n % 19 = 0"), ("source", "s", "source_type_known", "n % 13 = 0"), ("source", "s", "crawl_status_known", "n % 17 = 0"),
+    ("artifact", "a", "path_present", "n % 19 = 1"), ("artifact", "a", "artifact_type_known", "n % 13 = 1"), ("capability", "c", "risk_weight_range", "n % 23 = 0"), ("tool", "t", "name_present", "n % 11 = 0"),
+    ("evidence_span", "e", "start_line_range", "n % 29 = 0"), ("evidence_span", "e", "end_line_range", "n % 29 = 0 AND n % 31 = 0"),
+    ("finding", "f", "severity_known", "n % 7 = 0"), ("finding", "f", "confidence_range", "n % 41 = 0"), ("finding", "f", "recommendation_present", "n % 43 = 0"), ("finding", "f", "policy_decision_known", "n % 3 = 1"),
+    ("scan_run", "r", "status_known", "n % 37 = 0"), ("scan_run", "r", "risk_score_range", "n % 31 = 0"), ("graph_node", "n", "label_not_blank", "n % 41 = 0"), ("graph_node", "n", "node_type_known", "n % 43 = 0"),
+    ("graph_edge", "g", "target_node_id_not_blank", "n % 61 = 0"), ("graph_edge", "g", "weight_range", "n % 47 = 0"), ("graph_edge", "g", "evidence_span_ids_free_of_blanks", "n % 53 = 0"), ("graph_edge", "g", "ends_fit_type", "n % 59 = 0"),
+    ("tool_call", "k", "tool_name_not_blank", "n % 61 = 0"), ("tool_call", "k", "risk_level_known", "n % 71 = 0"), ("tool_call", "k", "source_context_ids_free_of_blanks", "n % 67 = 0"),
+    ("sandbox_output", "b", "latency_range", "n % 79 = 0"), ("sandbox_output", "b", "agent_steps_free_of_blanks", "n % 89 = 0"), ("sandbox_output", "b", "attack_id_not_blank", "n % 83 = 0"), ("sandbox_output", "b", "blocked_were_attempted", "n % 73 = 0"),
+    ("evidence_citation", "v", "line_order", "n % 202 = 0"), ("policy_explanation", "y", "decision_known", "n % 10 = 0"), ("policy_explanation", "y", "confidence_range", "n % 97 = 0"),
+)
+
+
+def all_kinds_query(spark, d):
+    numbers = I.table(spark, d, "documents").select(F.col("doc_id").alias("n"))
+    return reduce(DataFrame.union, [Q.record_violations(spark.sql(f"SELECT {text} FROM {{numbers}}", numbers=numbers), kind) for kind, text in FAULTY_RECORDS.items()])
+
+
 _F = f"WITH {ART}, {CHECKED}, {LINES}, {FINDINGS}"
 _R = f"{_F}, {RISK}"
 _COLS = ", ".join(FINDING_COLUMNS)
@@ -274,6 +312,8 @@ FROM (SELECT *, sha256(path || ':' || sha256(raw_text)) AS h FROM checked WHERE
 f AS (SELECT 'finding_id_not_blank' AS failed_check FROM bad WHERE trim(finding_id) = '' UNION ALL SELECT 'severity_known' FROM bad WHERE severity NOT IN ('low','medium','high','critical')
  UNION ALL SELECT 'confidence_range' FROM bad WHERE confidence > 1 OR confidence < 0 UNION ALL SELECT 'line_order' FROM bad WHERE end_line < start_line)
 SELECT failed_check, count(*) AS n FROM f GROUP BY 1"""),
+    "b30_all_record_kinds": (all_kinds_query, "WITH d AS (SELECT doc_id AS n FROM documents) SELECT 'experiment_log' AS kind, NULL AS record_key, 'experiment_id_present' AS failed_check FROM d WHERE n % 5 = 0"
+        + "".join(f" UNION ALL SELECT '{kind}', '{letter}' || n, '{check}' FROM d WHERE {when}" for kind, letter, check, when in FAULTS)),
     "b32_finding_points": (lambda s, d: contributions(findings(s, d), "run_id"), f"""{_F} SELECT run_id, finding_id, severity, confidence, points FROM findings"""),
     "b46_core_findings": (core_query, f"""{_R} SELECT f.finding_id, f.source_id, f.category AS finding_type, f.severity, f.confidence, f.span_id AS evidence_span_ids,
  f.rationale, f.recommendation, r.policy_decision FROM findings f JOIN risk r USING (run_id)"""),

@@ -20,12 +20,12 @@ def _with_order(findings: DataFrame) -> DataFrame:
     return findings.withColumn("detector_rank", F.when(F.col("detector") == "prompt_injection", 0).otherwise(1))
 
 
-def report_findings(findings: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Findings with their citation; a finding of an unknown artifact cites the artifact id."""
-    paths = artifacts.select("artifact_id", F.col("path").alias("known_path"))
-    base = findings.drop("path")
-    joined = base.join(paths, "artifact_id", "left")
-    return _with_order(joined.withColumn("path", F.coalesce("known_path", "artifact_id"))).select(
+def report_findings(findings: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
+    """Findings with their citation: the path they carry or, with ``artifacts``, the path there; without any, the artifact id."""
+    known = findings
+    if artifacts is not None:
+        known = findings.drop("path").join(artifacts.select("artifact_id", "path"), "artifact_id", "left")
+    return _with_order(known.withColumn("path", F.coalesce("path", "artifact_id"))).select(
         "run_id", "finding_id", F.col("category").alias("finding_type"), "severity", "confidence", "rule_id",
         F.col("span_id").alias("evidence_id"), "artifact_id", F.col("path").alias("file_path"), "path",
         "start_line", "end_line", "preview", "content_hash",
@@ -69,14 +69,18 @@ def core_findings(findings: DataFrame, assessment: DataFrame) -> DataFrame:
     )
 
 
-def _lines(df: DataFrame, section: int, lines: list[Column]) -> DataFrame:
+def _line(section: int | Column, position: int | Column, line: Column, when: Column | None = None) -> Column:
+    number = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("int")
+    entry = F.struct(number(section).alias("section"), number(position).alias("line_pos"), line.alias("line"))
+    return entry if when is None else F.when(when, entry)
+
+
+def _lines(df: DataFrame, lines: list[Column]) -> DataFrame:
+    """All lines of a row at once: one pass over ``df``, whatever sections they belong to."""
     order = [F.col(c) if c in df.columns else F.lit(None) for c in ORDER]
     types = ("string", "string", "int", "int", "int")
-    return df.select(
-        "run_id", F.lit(section).alias("section"),
-        *[o.cast(t).alias(n) for o, t, n in zip(order, types, ORDER)],
-        F.posexplode(F.array(*lines)).alias("line_pos", "line"),
-    )
+    keys = [o.cast(t).alias(n) for o, t, n in zip(order, types, ORDER)]
+    return df.select("run_id", *keys, F.inline(F.array_compact(F.array(*lines)))).select("run_id", "section", *ORDER, "line_pos", "line")
 
 
 def _text(*parts) -> Column:
@@ -86,18 +90,25 @@ def _text(*parts) -> Column:
 def markdown_lines(headers: DataFrame, report: DataFrame, recommendations: DataFrame, title: str = "Scan Report") -> DataFrame:
     """The Markdown document of every run as ordered line rows."""
     c = F.col
-    head = _lines(headers, 0, [
-        _text(f"# {title}: ", c("run_id")), _text(""), _text("## Summary"), _text(""),
-        _text("- Source: `", c("source_path"), "`"),
-        _text("- Risk score: ", c("risk_score").cast("string")),
-        _text("- Risk level: ", c("risk_level")),
-        _text("- Policy decision: ", c("policy_decision")),
-        _text("- Finding count: ", c("finding_count").cast("string")),
-        _text(""), _text("## Findings"), _text(""),
+    in_order = lambda section, *lines, when=None: [_line(section, k, x, when) for k, x in enumerate(lines)]
+    none = c("finding_count") == 0
+    frame = _lines(headers, [
+        *in_order(
+            0, _text(f"# {title}: ", c("run_id")), _text(""), _text("## Summary"), _text(""),
+            _text("- Source: `", c("source_path"), "`"),
+            _text("- Risk score: ", c("risk_score").cast("string")),
+            _text("- Risk level: ", c("risk_level")),
+            _text("- Policy decision: ", c("policy_decision")),
+            _text("- Finding count: ", c("finding_count").cast("string")),
+            _text(""), _text("## Findings"), _text(""),
+        ),
+        *in_order(1, _text("No findings detected."), _text(""), when=none),
+        *in_order(2, _text("## Recommendations"), _text("")),
+        *in_order(3, _text("- No action required."), when=none),
+        *in_order(4, _text("")),
     ])
-    nothing = _lines(headers.where(c("finding_count") == 0), 1, [_text("No findings detected."), _text("")])
-    body = _lines(report, 1, [
-        _text("### ", c("finding_type")), _text(""),
+    body = _lines(report, in_order(
+        1, _text("### ", c("finding_type")), _text(""),
         _text("- Finding ID: `", c("finding_id"), "`"),
         _text("- Severity: ", c("severity")),
         _text("- Confidence: ", markdown_number(c("confidence"))),
@@ -107,18 +118,9 @@ def markdown_lines(headers: DataFrame, report: DataFrame, recommendations: DataF
         _text("  - `", c("evidence_id"), "` at `", c("file_path"), ":", c("start_line").cast("string"), "-",
               c("end_line").cast("string"), "`: ", c("preview")),
         _text(""),
-    ])
-    advice_head = _lines(headers, 2, [_text("## Recommendations"), _text("")])
-    no_advice = _lines(headers.where(c("finding_count") == 0), 3, [_text("- No action required.")])
-    advice = _lines(
-        recommendations.withColumn("rule_rank", c("pos")), 3, [_text("- ", c("recommendation"))]
-    )
-    tail = _lines(headers, 4, [_text("")])
-    parts = [head, nothing, body, advice_head, no_advice, advice, tail]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    ))
+    advice = _lines(recommendations.withColumn("rule_rank", c("pos")), in_order(3, _text("- ", c("recommendation"))))
+    return frame.unionByName(body).unionByName(advice)
 
 
 LINE_ORDER = ("run_id", "section", *ORDER, "line_pos")

@@ -21,7 +21,7 @@ from docvet.plans import inputs as I
 from docvet.plans.graph_inputs import graph, nodes, parts, size_capability, stored_graph
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES
 from docvet.plans.scan_queries import artifact_keys, findings
-from docvet.session import ensure_checkpoint_dir, reliable_checkpoint, shared_table
+from docvet.session import ensure_checkpoint_dir, shared_table
 from docvet.sources.keyed_store import KeyedStore
 from docvet.streaming import jobs
 
@@ -307,7 +307,7 @@ VARIANT_RULES = (("A1", 1), ("A2", 2), ("A3", 3), ("A4", 4))
 
 def scanned(spark, d):
     """What the metrics need of the findings, written once: the rule scan is the dear part and runs a single time."""
-    return reliable_checkpoint(findings(spark, d).select("artifact_id", "severity", "span_id", "start_line", "rule_rank"))
+    return findings(spark, d).select("artifact_id", "severity", "span_id", "start_line", "rule_rank")
 
 
 def predictions(spark, d, scan):

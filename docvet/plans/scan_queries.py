@@ -18,18 +18,29 @@ from docvet.operators.risk import assess_risk, contributions
 from docvet.operators.schemas import artifact_type
 from docvet.plans import inputs as I
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES, RISK, preview_sql
+from docvet.session import shared_table
 from docvet.sources import files as S
 from docvet.sources import stores as ST
+from docvet.sources.bucketed import bucketed_table, buckets_for, text_bytes
+
+_ARTIFACTS: dict[tuple, DataFrame] = {}
+_FINDINGS: dict[tuple, DataFrame] = {}
+#: Bytes of text in a bucket, about.
+BUCKET_BYTES = 128 << 20
+
 
 def artifacts(spark: SparkSession, d: str) -> DataFrame:
-    """Artifact rows; the derived text is built once and not inlined into every later expression."""
-    rows = I.derived(spark, d, I.ARTIFACTS)
-    return X.compute_once(rows.withColumnRenamed("raw_text", "built_text"), raw_text=F.col("built_text")).drop("built_text")
+    """Artifact rows, derived and written once per application and folder, like the stored table they stand for; bucketed by artifact."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ARTIFACTS:
+        rows = I.derived(spark, d, I.ARTIFACTS)
+        _ARTIFACTS[key] = bucketed_table(rows, "artifact_id", buckets_for(text_bytes(rows, "raw_text"), BUCKET_BYTES))
+    return _ARTIFACTS[key]
 
 
 def artifact_keys(spark: SparkSession, d: str) -> DataFrame:
     """Artifact rows without the text, which then is not read."""
-    return I.derived(spark, d, I.ARTIFACTS).drop("raw_text")
+    return artifacts(spark, d).drop("raw_text")
 
 
 def checked(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +57,11 @@ def scan_inputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    return scan_rules(scan_inputs(spark, d))
+    """What all rules find, written once per application and folder; the queries of single rule sets scan the texts themselves."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FINDINGS:
+        _FINDINGS[key] = shared_table(scan_rules(scan_inputs(spark, d)))
+    return _FINDINGS[key]
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +77,7 @@ FINDING_COLUMNS = ("finding_id", "artifact_id", "rule_id", "category", "severity
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
-    return P.report_findings(findings(spark, d), artifact_keys(spark, d).select("artifact_id", "path"))
+    return P.report_findings(findings(spark, d))
 
 
 def _headers(spark: SparkSession, d: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docvet.sources.folder_source import FolderSource
+
 # Admitted extensions, ignored path parts and the size limit.
 ALLOWED_EXTENSIONS = (".md", ".markdown", ".json", ".yaml", ".yml", ".txt", ".toml")
 IGNORED_NAMES = (
@@ -47,48 +50,45 @@ def admission(
     return listing.select("*", extension.alias("extension"), reason.alias("skip_reason"))
 
 
-def list_folder(spark: SparkSession, root: str) -> DataFrame:
-    """Path and size of every file below a folder; file contents are not read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = root.rstrip("/") + "/"
-    absolute = F.regexp_replace("path", "^file:/+", "/")
-    return listing.select(
-        F.lit(root.rstrip("/")).alias("root_path"), absolute.alias("absolute_path"),
-        F.substring(absolute, F.instr(absolute, prefix) + len(prefix), F.length(absolute)).alias("relative_path"),
-        F.col("length").alias("size_bytes"), "content",
-    )
+def list_folder(spark: SparkSession, root: str, contents: bool = False, **options: object) -> DataFrame:
+    """Every file and folder below a folder, hidden names included; ``contents`` opens the files that the options of the source allow."""
+    if "://" in root:
+        raise ValueError("Only local folder paths are supported.")
+    spark.dataSource.register(FolderSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("folder").option("contents", str(contents).lower())
+    for name, value in options.items():
+        reader = reader.option(name, json.dumps(value))
+    return reader.load(root)
 
 
-def scan_folder(spark: SparkSession, root: str, **limits) -> tuple[DataFrame, DataFrame]:
+def scan_folder(
+    spark: SparkSession, root: str, allowed_extensions: Iterable[str] = ALLOWED_EXTENSIONS, ignored_names: Iterable[str] = IGNORED_NAMES, max_file_size_bytes: int = MAX_FILE_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """(admitted files with hash and content, skipped paths with a reason).
 
-    Files under an ignored folder are dropped; the folder itself is what gets reported.
+    Files under an ignored folder are dropped; every folder at or below one is reported. Files that aren't admitted aren't opened.
     """
-    ignored_names = tuple(limits.get("ignored_names", IGNORED_NAMES))
-    checked = admission(list_folder(spark, root), **limits)
+    limits = dict(allowed_extensions=tuple(allowed_extensions), ignored_names=tuple(ignored_names), max_file_size_bytes=max_file_size_bytes)
+    options = dict(extensions=sorted({e.lower() for e in limits["allowed_extensions"]}), ignoredNames=sorted(set(limits["ignored_names"])), maxFileBytes=max_file_size_bytes)
+    checked = admission(list_folder(spark, root, contents=True, **options).where("NOT is_folder"), **limits)
     files = checked.where(F.col("skip_reason").isNull()).select(
-        "root_path", "relative_path", "absolute_path", "extension", "size_bytes",
+        "root_path", "relative_path", F.concat_ws("/", "root_path", "relative_path").alias("absolute_path"), "extension", "size_bytes",
         F.sha2("content", 256).alias("content_hash"), "content",
     )
-    skipped = checked.where(F.col("skip_reason").isNotNull() & (F.col("skip_reason") != "ignored_path")).select(
-        "root_path", "relative_path", F.col("skip_reason").alias("reason")
-    )
-    return files, skipped.unionByName(_ignored_folders(checked, ignored_names))
-
-
-def _ignored_folders(checked: DataFrame, ignored_names: tuple[str, ...]) -> DataFrame:
-    """Every folder at or below an ignored name, once."""
-    ignored = F.array(*[F.lit(n) for n in ignored_names])
-    under = checked.where(F.col("skip_reason") == "ignored_path")
-    parts = F.split("relative_path", "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.slice(parts, F.lit(1), n))
-    hit = F.filter(folders, lambda f: F.arrays_overlap(f, ignored))
-    return (
-        under.where(F.size(parts) > 1)
-        .select("root_path", F.explode(F.transform(hit, lambda f: F.array_join(f, "/"))).alias("relative_path"))
-        .distinct()
-        .withColumn("reason", F.lit("ignored_path"))
-    )
+    listed = list_folder(spark, root)
+    named = admission(listed, **limits).where(F.when(F.col("is_folder"), F.col("skip_reason") == "ignored_path").otherwise(F.col("skip_reason") != "ignored_path"))
+    return files, named.select("root_path", "relative_path", F.col("skip_reason").alias("reason"))
+
+
+#: A repository tree: one JSON line for each path.
+TREE_SCHEMA = "repo STRING, path STRING, type STRING, size BIGINT"
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    """Tree listings as JSON lines; items without a path or of another type than blob or tree are left out, and sizes below 0 are errors of the listing."""
+    rows = spark.read.schema(TREE_SCHEMA).json(path)
+    return rows.where(F.col("path").isNotNull() & F.col("type").isin("blob", "tree") & F.coalesce(F.col("size") >= 0, F.lit(True)))
 
 
 def decode_text(content: Column) -> Column:

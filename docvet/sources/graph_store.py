@@ -7,16 +7,14 @@ are streamed by one task, while everything else is spread.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from docvet.session import ensure_checkpoint_dir
+from docvet.sources.bucketed import bucketed_table, buckets_for
 
-#: Edges of a bucket, about; the number of buckets is a power of two and at least LEAST_BUCKETS.
+#: Edges of a bucket, about.
 BUCKET_EDGES = 2_000_000
-LEAST_BUCKETS = 8
 
 
 @dataclass(frozen=True)
@@ -29,19 +27,8 @@ class StoredGraph:
     buckets: int
 
 
-def _bucketed(df: DataFrame, kind: str, key: str, buckets: int) -> DataFrame:
-    """One file for each type and bucket: rows are dealt by the bucket's own hash before they are written."""
-    spark = df.sparkSession
-    name = f"docvet_{key}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, key).write.format("parquet").partitionBy(kind).bucketBy(buckets, key).sortBy(key)
-    writer.option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
 def write_graph(nodes: DataFrame, edges: DataFrame, buckets: int | None = None) -> StoredGraph:
     """Write a graph into the shared folder; ``buckets`` follows the number of edges unless given."""
-    ensure_checkpoint_dir(nodes.sparkSession)
-    if buckets is None:
-        buckets = max(LEAST_BUCKETS, 1 << max(0, (edges.count() - 1) // BUCKET_EDGES).bit_length())
-    stored = _bucketed(edges, "edge_type", "source_node_id", buckets)
-    return StoredGraph(_bucketed(nodes, "node_type", "node_id", buckets), stored, _bucketed(stored, "edge_type", "target_node_id", buckets), buckets)
+    buckets = buckets or buckets_for(edges.count(), BUCKET_EDGES)
+    stored = bucketed_table(edges, "source_node_id", buckets, "edge_type")
+    return StoredGraph(bucketed_table(nodes, "node_id", buckets, "node_type"), stored, bucketed_table(stored, "target_node_id", buckets, "edge_type"), buckets)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docvet.functions.ids import canonical_json
 from docvet.operators.report import LINE_ORDER
+from docvet.sources.bucketed import text_bytes
 
 # The names of the reproducibility artifacts, in order.
 BUNDLE_NAMES = (
@@ -17,15 +18,23 @@ BUNDLE_NAMES = (
 )
 
 
-def write_artifact_store(artifacts: DataFrame, parsed: DataFrame, path: str, mode: str = "append") -> None:
+def write_artifact_store(artifacts: DataFrame, parsed: DataFrame, path: str, mode: str = "append", file_bytes: int = 256 << 20) -> None:
     """Raw text and parsed records go to separate tables under the same ids.
 
-    Rows spread over files by artifact, not by source, so one huge source does not end up in a
-    single writer task.
+    Rows are dealt by ranges of (source, artifact) that hold about ``file_bytes`` of text each, so that a huge source spreads
+    over many files, small ones share a task, and there are at most as many files as ranges and sources. Text moves once.
     """
     raw = artifacts.select("source_id", "artifact_id", "path", "content_hash", "raw_text")
-    raw.repartition("artifact_id").write.mode(mode).partitionBy("source_id").parquet(f"{path}/artifacts_raw")
-    parsed.write.mode(mode).partitionBy("source_id").parquet(f"{path}/artifacts_parsed")
+    _write_clustered(raw, max(1, -(-text_bytes(raw, "raw_text") // file_bytes)), f"{path}/artifacts_raw", mode)
+    _write_clustered(parsed, max(1, -(-parsed.count() // PARSED_ROWS)), f"{path}/artifacts_parsed", mode)
+
+
+#: Parsed records of a file, about.
+PARSED_ROWS = 1_000_000
+
+
+def _write_clustered(rows: DataFrame, ranges: int, path: str, mode: str) -> None:
+    rows.repartitionByRange(ranges, "source_id", "artifact_id").write.mode(mode).partitionBy("source_id").parquet(path)
 
 
 def latest_per_key(records: DataFrame, keys: Sequence[str], written_at: str) -> DataFrame:

@@ -148,6 +148,16 @@ def _tools_with(nodes: DataFrame, edges: DataFrame, edge_type: str, node_type: s
     )
 
 
+def in_label_order(nodes: DataFrame) -> DataFrame:
+    """Result nodes as they are listed: by label, then id; a range-partitioned sort."""
+    return nodes.orderBy("label", "node_id")
+
+
+def in_tool_order(changes: DataFrame) -> DataFrame:
+    """Permission changes as they are listed: by tool name and id, added ones first."""
+    return changes.orderBy("tool_name", "tool_id", "change", "capability_id")
+
+
 def network_tools_with_credentials(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     network = F.lower(F.concat_ws(" ", "raw_id", "name")).contains("network")
     credential = F.coalesce("sensitive", F.lit(False)) | contains_any(

@@ -334,6 +334,12 @@ def ablation_study(snapshots: DataFrame, baseline: str = "A1") -> DataFrame:
     )
 
 
+def in_variant_order(study: DataFrame) -> DataFrame:
+    """Rows of a study as they are listed: variants in their fixed order, metrics in theirs."""
+    known = F.array(*[F.lit(v[0]) for v in ABLATION_VARIANTS])
+    return study.orderBy(F.array_position(known, F.col("variant_id")), "metric_pos")
+
+
 def tag_distribution(records: DataFrame) -> DataFrame:
     """How often each annotation tag and each label is set."""
     tags = records.select(F.explode("annotation_tags").alias("name"), F.lit("tag").alias("kind"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,9 @@ from docvet.operators import schemas as H
 from docvet.plans import inputs as I
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES, RISK
 from docvet.plans.scan_queries import admitted, artifacts, assessment, checked
+from docvet.session import shared_folder, shared_table
+from docvet.sources import files as S
+from docvet.sources import stores as ST
 from docvet.sources.files import suffix
 
 
@@ -65,6 +67,23 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     return I.derived(spark, d, I.TREE)
 
 
+def tree_file_query(spark, d):
+    """The listing written as JSON lines, with items that are no part of a tree, and read by the tree reader."""
+    rows = tree(spark, d).select("repo", "path", F.when(F.col("doc_id") % 97 == 0, "commit").otherwise(F.col("type")).alias("type"), F.when(F.col("doc_id") % 89 == 0, -1).otherwise(F.col("size")).alias("size"))
+    folder = f"{shared_folder(spark)}/tree"
+    ST.write_jsonl(rows, folder)
+    return S.read_tree(spark, folder)
+
+
+def manifest_file_query(spark, d):
+    """Crawl manifests written and read back: all files of all crawls, and no text."""
+    selected, fetched, skipped = crawl_tables(spark, d)
+    folder = shared_folder(spark)
+    ST.write_crawl_manifests(K.crawl_summary(selected, fetched, skipped), {"selected": selected, "fetched": fetched, "skipped": skipped}, folder)
+    parts = [spark.read.schema("repo string, path string").json(f"{folder}/{part}").select(F.lit(part).alias("part"), "repo", "path") for part in ST.MANIFEST_PARTS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def selection(spark: SparkSession, d: str, max_selected_files: int = 100) -> DataFrame:
     return K.select_relevant_files(tree(spark, d), max_file_size_bytes=1_000_000, max_selected_files=max_selected_files)
 
@@ -97,7 +116,7 @@ def responses_query(spark, d):
 
 def crawl_tables(spark, d):
     """Selected, fetched and skipped rows with seeded faults. The selection is used many times."""
-    chosen = selection(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    chosen = shared_table(selection(spark, d))
     selected = chosen.where("skip_reason IS NULL").select("repo", "doc_id", "path", "artifact_type", "priority", "size_bytes")
     dup = F.when(F.col("doc_id") % 50 == 1, 2).otherwise(1)
     urls = K.raw_file_urls(selected.select(
@@ -118,10 +137,9 @@ def crawl_tables(spark, d):
 def manifests(selected, fetched, skipped):
     """Recorded manifests; repositories with short names carry a wrong byte total."""
     off = (F.length("repo") == 5).cast("bigint")
-    return (
+    return shared_table(
         K.recorded_manifests(selected, fetched, skipped).withColumn("total_fetched_bytes", F.col("total_fetched_bytes") + off)
         .withColumn("owner", F.lit("acme")).withColumn("repo_name", F.col("repo")).withColumn("ref", F.lit("main"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
 
@@ -312,6 +330,8 @@ _URL = r"'^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
 _MAN_SQL = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::HUGEINT)::VARCHAR" for i in range(4))
 
 QUERIES = {
+    "a3_tree_file": (tree_file_query, f"WITH tree AS ({I.TREE}) SELECT repo, path, type, CASE WHEN doc_id % 89 = 0 THEN -1 ELSE size END AS size FROM tree WHERE doc_id % 97 <> 0 AND doc_id % 89 <> 0"),
+    "a13_crawl_manifests": (manifest_file_query, f"WITH {_CRAWL} SELECT 'selected' AS part, repo, path FROM selected UNION ALL SELECT 'fetched', repo, path FROM fetched UNION ALL SELECT 'skipped', repo, path FROM skipped"),
     "a4_response_admission": (responses_query, """WITH r AS (SELECT page_id, page_id AS p, strlen(html) AS hl, html,
  CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 17 = 1 THEN 503 ELSE 200 END AS status,
  strlen(html) + CASE page_id % 13 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 3 ELSE 0 END AS size_bytes FROM pages),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -21,7 +20,9 @@ from docvet.plans import inputs as I
 from docvet.plans.graph_inputs import graph, nodes, parts, size_capability, stored_graph
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES
 from docvet.plans.scan_queries import artifact_keys, findings
-from docvet.session import ensure_checkpoint_dir, shared_table
+from docvet.session import shared_folder, shared_table
+from docvet.sources import files as S
+from docvet.sources import stores as ST
 from docvet.sources.keyed_store import KeyedStore
 from docvet.streaming import jobs
 
@@ -322,6 +323,25 @@ def variant_truth(spark, d):
     return truth(spark, d).withColumn("variant_id", F.explode(F.array(*[F.lit(v) for v, _ in VARIANT_RULES])))
 
 
+def label_file_query(spark, d):
+    """Label records written as JSON lines, some with a field of another type or none at all, and read with the fixed schema."""
+    labels = I.table(spark, d, "labels")
+    flags = F.struct((F.col("toxic") == 1).alias("has_prompt_injection"), F.when(F.col("quality") == 1, True).alias("has_credential_risk"),
+                     F.when(F.col("toxic") == 1, "block").otherwise("allow").alias("expected_policy_decision"))
+    rows = labels.select(F.concat(F.lit("r"), "doc_id").alias("record_id"), F.when(F.col("doc_id") % 7 > 0, flags).alias("labels"), F.array(F.lit("t"), F.col("doc_id").cast("string")).alias("annotation_tags"), F.lit("x").alias("other"))
+    folder = f"{shared_folder(spark)}/labels"
+    ST.write_jsonl(rows, folder)
+    read = S.read_label_records(spark, folder)
+    return read.select("record_id", "labels.has_prompt_injection", "labels.has_credential_risk", "labels.has_tool_poisoning", "labels.expected_policy_decision", F.array_join("annotation_tags", ",").alias("tags"))
+
+
+def label_spec_query(spark, d):
+    """Which label has no document and which document no label, or several."""
+    once = lambda name: I.table(spark, d, name).select(F.col("doc_id").cast("string").alias("record_id"))
+    more = once("labels").where("record_id LIKE '%7'")
+    return M.record_mismatches(once("documents"), once("labels").union(more).union(more.select(F.concat(F.lit("x"), "record_id"))))
+
+
 def truth_query(spark, d):
     return truth(spark, d)
 
@@ -444,8 +464,7 @@ def upsert_query(spark, d):
         "finding_id", "rule_id", F.element_at(states, ((F.col("start_line") + F.col("turn")) % 3 + 1).cast("int")).alias("state"), F.col("turn").cast("bigint").alias("seen_at"),
         ((F.col("start_line") + 2 * F.col("turn")) % 3).alias("batch"),
     ))
-    ensure_checkpoint_dir(spark)
-    store = KeyedStore(f"{spark.sparkContext.getCheckpointDir()}/findings_{uuid.uuid4().hex}", "finding_id string, rule_id string, state string, seen_at bigint", "finding_id", "seen_at")
+    store = KeyedStore(shared_folder(spark), "finding_id string, rule_id string, state string, seen_at bigint", "finding_id", "seen_at")
     store.create(spark)
     for version in (0, 1, 2, 2):
         store.merge(rows.where(F.col("batch") == version), version)
@@ -581,6 +600,12 @@ SELECT window_start, service, count(*) AS request_count, count(*) FILTER (status
 _TN = "SELECT 't' || p_partkey AS raw_id, p_name AS label FROM p WHERE"
 
 QUERIES = {
+    "a5_label_records": (label_file_query, """SELECT 'r' || doc_id AS record_id, CASE WHEN doc_id % 7 > 0 THEN toxic = 1 END AS has_prompt_injection, CASE WHEN doc_id % 7 > 0 AND quality = 1 THEN true END AS has_credential_risk,
+ NULL::BOOLEAN AS has_tool_poisoning, CASE WHEN doc_id % 7 > 0 THEN CASE WHEN toxic = 1 THEN 'block' ELSE 'allow' END END AS expected_policy_decision, 't,' || doc_id AS tags FROM labels"""),
+    "c18_labels_and_specs": (label_spec_query, """WITH l AS (SELECT doc_id::VARCHAR AS id FROM labels), p AS (SELECT id FROM l UNION ALL SELECT id FROM l WHERE id LIKE '%7' UNION ALL SELECT 'x' || id FROM l WHERE id LIKE '%7'),
+a AS (SELECT doc_id::VARCHAR AS id, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT id, count(*) AS n FROM p GROUP BY 1)
+SELECT id AS record_id, CASE WHEN b.n IS NULL THEN 'missing_prediction' WHEN a.n IS NULL THEN 'missing_truth' WHEN a.n > 1 THEN 'duplicate_truth' ELSE 'duplicate_prediction' END AS problem
+FROM a FULL JOIN b USING (id) WHERE a.n IS NULL OR b.n IS NULL OR a.n > 1 OR b.n > 1"""),
     "b38_nested_signals": (nested_query, """WITH k AS (SELECT p_partkey AS p, p_size, 't' || p_partkey AS context_id FROM part)
 SELECT context_id, 'approval.status' AS signal, 'text' AS kind, CASE p % 5 WHEN 0 THEN ' Approved' ELSE 'approved' END AS items FROM k WHERE p % 5 IN (0, 1)
 UNION ALL SELECT context_id, 'tool.id', 'text', context_id FROM k UNION ALL SELECT context_id, 'tool.limits.calls', 'number', (p % 4) || '.0' FROM k

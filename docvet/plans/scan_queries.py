@@ -18,7 +18,7 @@ from docvet.operators.risk import assess_risk, contributions
 from docvet.operators.schemas import artifact_type
 from docvet.plans import inputs as I
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES, RISK, preview_sql
-from docvet.session import shared_table
+from docvet.session import shared_folder, shared_table
 from docvet.sources import files as S
 from docvet.sources import stores as ST
 from docvet.sources.bucketed import bucketed_table, buckets_for, text_bytes
@@ -162,6 +162,15 @@ def markdown_query(spark, d):
     ], "line_pos", "line")
 
 
+def report_file_query(spark, d):
+    """Report records written as JSON lines and read back: every finding under its run."""
+    folder = shared_folder(spark)
+    ST.write_report_json(_headers(spark, d), _report(spark, d), folder)
+    heads = spark.read.schema("report_id string, run_id string, risk_score int, finding_count bigint").json(f"{folder}/reports")
+    found = spark.read.schema("run_id string, finding_id string, severity string, file_path string, start_line int, evidence_id string").json(f"{folder}/findings")
+    return heads.join(found, "run_id")
+
+
 def jsonl_query(spark, d):
     found = findings(spark, d).select("finding_id", "rule_id", "severity", "confidence", "start_line")
     return found.select("finding_id", canonical_json(*found.columns).alias("json_line"))
@@ -278,6 +287,8 @@ FROM (SELECT page_id, html || CASE WHEN page_id % 5 = 0 THEN chr(65533) ELSE ''
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1"""),
     "a8_run_finding_index": (index_query, f"""{_F} SELECT run_id, finding_id, min(start_line * 100 + rule_rank) AS pos, min(severity) AS severity
 FROM findings WHERE severity <> 'low' GROUP BY run_id, finding_id"""),
+    "a9_report_json": (report_file_query, f"""{_R} SELECT 'report_' || run_id AS report_id, run_id, risk_score, finding_count, finding_id, f.severity, path AS file_path, start_line, span_id AS evidence_id
+FROM findings f JOIN risk USING (run_id)"""),
     "a10_markdown_report_lines": (markdown_query, f"""{_R},
 heads AS (SELECT run_id, 0 AS section, '' AS path, '' AS start_line, '' AS rule_rank, unnest(['# Scan Report: ' || run_id, '', '## Summary', '',
  '- Source: `/data/' || run_id || '`', '- Risk score: ' || risk_score, '- Risk level: ' || risk_level, '- Policy decision: ' || policy_decision,

@@ -79,6 +79,16 @@ def test_features_and_distance_agree_with_search(graph):
     assert G.spans_of_tools(e, n.where("raw_id = 'calendar'")).count() == 1
 
 
+def test_listed_order(spark, graph):
+    n, _ = graph
+    rows = [(r.label, r.node_id) for r in G.in_label_order(n.repartition(5)).collect()]
+    assert rows == sorted(rows) and len(rows) > 10
+    changes = spark.createDataFrame([("t2", "B", "x", "added"), ("t1", "B", "x", "removed"), ("t1", "B", "a", "added"), ("t9", "A", "z", "added")], "tool_id string, tool_name string, capability_id string, change string")
+    assert [(r.tool_id, r.change) for r in G.in_tool_order(changes.repartition(3)).collect()] == [("t9", "added"), ("t1", "added"), ("t1", "removed"), ("t2", "added")]
+    study = spark.createDataFrame([(v, p) for v in ("A10", "A2", "A8", "A1") for p in (2, 1)], "variant_id string, metric_pos int").where("variant_id <> 'A10'")
+    assert [tuple(r) for r in M.in_variant_order(study.repartition(4)).collect()] == [(v, p) for v in ("A1", "A2", "A8") for p in (1, 2)]
+
+
 def test_upstream_closure(graph):
     n, e = graph
     kept, kept_edges = G.upstream_of_findings(n, e, "high")

@@ -9,7 +9,7 @@ from docvet.llm import line_windows
 from docvet.llm.queries import QUERIES
 from tests.llm.test_contamination import smith_waterman
 from tests.llm.test_line_windows import brute as lines_brute
-from tests.llm.test_simhash import brute as fingerprint, classes
+from tests.llm.test_near_copies import brute as copies_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,8 +43,11 @@ def test_lines(stages):
 
 
 def test_near_duplicates(stages):
-    rows = [(r.doc_id, fingerprint(r.text)) for r in stages[2].collect()]
-    assert Counter(r.doc_id for r in stages[3].collect()) == Counter({c for c, _ in classes(rows, 3)})
+    """One document of each class of texts whose five-word shingles are alike by 0.8."""
+    rows = [(r.doc_id, r.text) for r in stages[2].collect()]
+    want = copies_brute(rows)
+    assert Counter(r.doc_id for r in stages[3].collect()) == Counter(want)
+    assert len(want) < len(rows)
 
 
 def test_decontamination(spark, stages):
@@ -67,5 +70,40 @@ def test_packing(spark, stages):
     assert {r.doc_id for r in stages[5].select("doc_id").distinct().collect()} == {r.doc_id for r in stages[4].collect()}
 
 
+ODD = "doc_id bigint, text string, lang string, source string, n_chars int, lines string, removed int, k1 string, h1 bigint, score double"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(i, t, "en", None, len(t or ""), f"mine {k}", k, "k", 5, 0.5) for k, (i, t) in enumerate(rows)], ODD)
+
+
+def test_odd_rows_through_all_stages(spark, odd_rows):
+    """Nulls, empty and long texts, repeated rows and columns that the operators use themselves: their values stay, their types too."""
+    tests = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    prose = [(7000 + k, f"Document number {k} speaks of matters {k * k} and of {k % 7} rivers. " * 5) for k in range(30)]
+    rows = [*odd_rows, *prose, (8000, f"Before it stands this. {tests[0]} After it stands that.")]
+    docs = odd(spark, rows)
+    given = {(r.doc_id, r["lines"], r.removed, r.k1, r.h1, r.score) for r in docs.collect()}
+    for name, stage in C.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.schema == docs.schema or [(f.name, f.dataType) for f in after.schema] == [(f.name, f.dataType) for f in docs.schema]
+        kept = after.collect()
+        assert {(r.doc_id, r["lines"], r.removed, r.k1, r.h1, r.score) for r in kept} <= given and len(kept) <= docs.count()
+        assert all(r.n_chars == len(r.text or "") for r in kept) or name != "lines"
+        docs = spark.createDataFrame(kept, docs.schema)
+    ids = {r.doc_id for r in docs.collect()}
+    assert 8000 not in ids
+    pieces = C.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in pieces} == ids
+
+
+def test_empty_tables_through_all_stages(spark):
+    docs = odd(spark, [])
+    for name, stage in C.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.collect() == []
+        docs = docs if name == "packing" else spark.createDataFrame([], docs.schema)
+
+
 def test_all_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

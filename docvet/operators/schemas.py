@@ -55,10 +55,11 @@ def urls_in(value: Column) -> Column:
         F.regexp_extract_all(F.to_json(value), F.lit(JSON_STRING), F.lit(1)), lambda s: s.endswith('"')
     )
 
-    def clean(text: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(text, r'\\[ntrbf]', " "), r'\\(["\\/])', "$1")
+    def read(literal: Column) -> Column:
+        """The string that a literal stands for, with all its escapes read."""
+        return F.coalesce(F.try_variant_get(F.try_parse_json(literal), "$", "string"), F.lit(""))
 
-    found = F.flatten(F.transform(strings, lambda s: F.regexp_extract_all(clean(s), F.lit(URL), F.lit(1))))
+    found = F.flatten(F.transform(strings, lambda s: F.regexp_extract_all(read(s), F.lit(URL), F.lit(1))))
     return F.array_sort(F.array_distinct(F.transform(found, lambda u: F.rtrim(u, F.lit(".,;:")))))
 
 

@@ -110,6 +110,12 @@ def test_yaml_and_json_schemas(spark):
     assert params == {"city": True, "units": False}
 
 
+def test_urls_of_escaped_strings(spark):
+    text = r'''{"a": "https:\u002f\u002fa.b\u002fc\u0007d", "b": ["see\nhttps://x.y/\u00e9t\u00e9.", {"https://key.only/": "q \"https://q.r/s\", t"}], "c": "https://p.q\\w"}'''
+    row = H.parse_schema_texts(spark.createDataFrame([("j", "json", text)], "id string, schema_format string, schema_text string"), "id").first()
+    assert row.parse_error is None and row.urls == sorted(["https://a.b/c\x07d", "https://x.y/été", "https://q.r/s", "https://p.q\\w"])
+
+
 def test_folder_scan_reasons(spark, tmp_path):
     for path, content in {"README.md": b"# Hi\n\xff", "src/a.py": b"x", "big.txt": b"y" * 50, "node_modules/lib/x.md": b"z"}.items():
         target = tmp_path / path

@@ -83,7 +83,24 @@ def detection_metrics(truth: DataFrame, predictions: DataFrame, *by: str) -> Dat
     """Confusion counts and rates, optionally per group (for instance per variant)."""
     t = truth.select(*by, "record_id", "tool_id", F.col("is_positive").alias("t"), F.col("severity").alias("t_severity"))
     p = predictions.select(*by, "record_id", F.col("is_positive").alias("p"), F.col("severity").alias("p_severity"))
-    joined = t.join(p, [*by, "record_id"])
+    return _detection_rates(t.join(p, [*by, "record_id"]), *by)
+
+
+def detection_by_threshold(truth: DataFrame, findings: DataFrame, thresholds: dict[str, int], by: str = "variant_id") -> DataFrame:
+    """Detection metrics of variants that count findings from a severity rank on: all of them from one row per record.
+
+    ``findings(record_id, severity)`` are folded to the worst of each record, which meets its truth once; a variant predicts
+    that severity where it reaches the variant's rank, and nothing else.
+    """
+    worst = findings.groupBy("record_id").agg(F.max(F.struct(severity_rank(F.col("severity")).alias("rank"), "severity")).alias("worst"))
+    records = truth.join(worst, "record_id", "left")
+    variants = F.array(*[F.struct(F.lit(v).alias(by), F.lit(lowest).alias("lowest")) for v, lowest in thresholds.items()])
+    rows = records.select("record_id", "tool_id", F.col("is_positive").alias("t"), F.col("severity").alias("t_severity"), "worst", F.inline(variants))
+    p = F.coalesce(F.col("worst.rank") >= F.col("lowest"), F.lit(False))
+    return _detection_rates(rows.select(by, "tool_id", "t", "t_severity", p.alias("p"), F.when(p, F.col("worst.severity")).alias("p_severity")), by)
+
+
+def _detection_rates(joined: DataFrame, *by: str) -> DataFrame:
     per_tool = joined.groupBy(*by, "tool_id").agg(
         F.count_if(F.col("t") & F.col("p")).alias("tp"), F.count_if(~F.col("t") & F.col("p")).alias("fp"),
         F.count_if(~F.col("t") & ~F.col("p")).alias("tn"), F.count_if(F.col("t") & ~F.col("p")).alias("fn"),

@@ -16,7 +16,6 @@ from docvet.operators import graph as G
 from docvet.operators import metrics as M
 from docvet.operators import policy as P
 from docvet.operators import quality as Q
-from docvet.operators.risk import severity_rank
 from docvet.plans import inputs as I
 from docvet.plans.graph_inputs import graph, nodes, parts, size_capability, stored_graph
 from docvet.plans.oracle import ART, CHECKED, FINDINGS, LINES
@@ -312,18 +311,6 @@ def scanned(spark, d):
     return findings(spark, d).select("artifact_id", "severity", "span_id", "start_line", "rule_rank")
 
 
-def predictions(spark, d, scan):
-    """One prediction set per variant: findings at or above a severity."""
-    found = scan.select(F.col("artifact_id").alias("record_id"), "severity")
-    base = truth(spark, d).select("record_id")
-    sets = [M.predictions_from_findings(base, found.where(severity_rank(F.col("severity")) >= rank)).withColumn("variant_id", F.lit(v)) for v, rank in VARIANT_RULES]
-    return reduce(DataFrame.unionByName, sets)
-
-
-def variant_truth(spark, d):
-    return truth(spark, d).withColumn("variant_id", F.explode(F.array(*[F.lit(v) for v, _ in VARIANT_RULES])))
-
-
 def label_file_query(spark, d):
     """Label records written as JSON lines, some with a field of another type or none at all, and read with the fixed schema."""
     labels = I.table(spark, d, "labels")
@@ -348,7 +335,8 @@ def truth_query(spark, d):
 
 
 def detection(spark, d, scan=None):
-    return M.detection_metrics(variant_truth(spark, d), predictions(spark, d, scanned(spark, d) if scan is None else scan), "variant_id")
+    found = (scanned(spark, d) if scan is None else scan).select(F.col("artifact_id").alias("record_id"), "severity")
+    return M.detection_by_threshold(truth(spark, d), found, dict(VARIANT_RULES))
 
 
 def mismatch_query(spark, d):

@@ -79,6 +79,21 @@ def test_features_and_distance_agree_with_search(graph):
     assert G.spans_of_tools(e, n.where("raw_id = 'calendar'")).count() == 1
 
 
+def test_thresholds_equal_separate_predictions(spark):
+    """Variants from the worst finding of each record are those of predictions made for each variant alone."""
+    import random
+
+    rng = random.Random(9)
+    levels = ["low", "medium", "high", "critical"]
+    truth = spark.createDataFrame([(f"r{k}", f"t{k % 7}", rng.random() < 0.4, rng.choice([*levels, None])) for k in range(120)], "record_id string, tool_id string, is_positive boolean, severity string")
+    found = spark.createDataFrame([(f"r{rng.randrange(140)}", rng.choice(levels)) for _ in range(90)], "record_id string, severity string")
+    got = {r.variant_id: r for r in M.detection_by_threshold(truth, found, {"A1": 1, "A3": 3}).collect()}
+    for v, lowest in (("A1", 1), ("A3", 3)):
+        alone = M.predictions_from_findings(truth.select("record_id"), found.where(F.col("severity").isin(levels[lowest - 1:])))
+        want = M.detection_metrics(truth, alone).first().asDict()
+        assert {k: x for k, x in got[v].asDict().items() if k != "variant_id"} == want
+
+
 def test_listed_order(spark, graph):
     n, _ = graph
     rows = [(r.label, r.node_id) for r in G.in_label_order(n.repartition(5)).collect()]

@@ -44,11 +44,6 @@ def latest_per_key(records: DataFrame, keys: Sequence[str], written_at: str) ->
     return newest.select(*keys, "row.*", written_at)
 
 
-def append_records(records: DataFrame, path: str) -> None:
-    """Upsert log: each batch appends with its write time; readers take latest_per_key."""
-    records.write.mode("append").parquet(path)
-
-
 def run_finding_index(entries: DataFrame) -> DataFrame:
     """First position of each finding in a run; ``entries(run_id, pos, finding_id)``."""
     return entries.groupBy("run_id", "finding_id").agg(F.min("pos").alias("pos"))

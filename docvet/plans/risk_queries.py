@@ -70,8 +70,8 @@ def edge_spec_query(spark, d):
 
 def adjacency_query(spark, d):
     n, e = graph(spark, d, ("capability", "source_repo"), ("requires", "has_artifact"))
-    out = G.target_nodes(n, e, "requires").groupBy("raw_id").agg(F.count("*").alias("n")).withColumn("direction", F.lit("out"))
-    back = G.source_nodes(n, e, "has_artifact").groupBy("raw_id").agg(F.count("*").alias("n")).withColumn("direction", F.lit("in"))
+    out = G.target_nodes(n, e, "requires").select(F.col("from_node_id").alias("of"), "raw_id", F.lit("out").alias("direction"))
+    back = G.source_nodes(n, e, "has_artifact").select(F.col("to_node_id").alias("of"), "raw_id", F.lit("in").alias("direction"))
     return out.unionByName(back)
 
 
@@ -624,8 +624,8 @@ UNION ALL SELECT context_id, 'N3', 'flags.network changed; tool.id not_allowlist
     "b35_dependency_markers": (blob_query, f"""SELECT DISTINCT p_name AS raw_id, length(p_name || CASE length(p_name) % 6 WHEN 0 THEN ' status Deprecated' WHEN 1 THEN ' risk_score 75' WHEN 5 THEN ' risk_score 12' WHEN 2 THEN ' high_risk true' WHEN 3 THEN ' abandoned false' ELSE ' ' END) AS blob_length,
  length(p_name) % 6 IN (0, 3) AS high_risk_text, CASE length(p_name) % 6 WHEN 1 THEN 75 WHEN 5 THEN 12 ELSE -1 END AS risk_score FROM part"""),
     "b36_change_counts": (change_query, f"SELECT 't' || p_partkey AS raw_id, {_CH} AS changes FROM part"),
-    "c3_adjacency": (adjacency_query, f"""WITH {_P} SELECT cap AS raw_id, count(*) AS n, 'out' AS direction FROM (SELECT unnest([type_cap, size_cap]) AS cap FROM p) GROUP BY 1
-UNION ALL SELECT 'repo_' || s_nationkey, count(*), 'in' FROM supplier GROUP BY 1"""),
+    "c3_adjacency": (adjacency_query, f"""WITH {_GE} SELECT {_NODE_ID.format('st', 's')} AS of, t AS raw_id, 'out' AS direction FROM ge WHERE kind = 'requires'
+UNION ALL SELECT {_NODE_ID.format('tt', 't')}, s, 'in' FROM ge WHERE kind = 'has_artifact'"""),
     "c3_degrees": (degree_query, f"""WITH {_GE} SELECT node_type, raw_id, sum(i) AS in_degree, sum(o) AS out_degree FROM (SELECT st AS node_type, s AS raw_id, 1 AS o, 0 AS i FROM ge UNION ALL SELECT tt, t, 0, 1 FROM ge) AS ends GROUP BY ALL"""),
     "c4_network_and_credentials": (_named(G.network_tools_with_credentials, ("tool", "capability", "env_var"), ("requires", "mentions")), f"WITH {_P} {_TN} p_type IN ('ECONOMY', 'PROMO') AND (bn % 4 = 0 OR bn % 5 = 0 OR bn % 7 = 0)"),
     "c5_instruction_like_repos": (_named(G.repos_with_instruction_like_tools, ("tool", "source_repo"), ("defines", "has_artifact")), """SELECT DISTINCT 'repo_' || n_nationkey AS raw_id, n_name AS label FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_size % 17 = 0"""),

@@ -162,6 +162,17 @@ def markdown_query(spark, d):
     ], "line_pos", "line")
 
 
+def store_query(spark, d):
+    """Admitted files written to the artifact store, raw text and parsed records apart, and read back under their ids."""
+    rows = admitted(spark, d).select("source_id", "artifact_id", "path", F.sha2("raw_text", 256).alias("content_hash"), "raw_text", "extension")
+    folder = shared_folder(spark)
+    ST.write_artifact_store(rows, rows.select("source_id", "artifact_id", "extension"), folder)
+    raw = spark.read.schema("artifact_id string, path string, content_hash string, raw_text string, source_id string").parquet(f"{folder}/artifacts_raw")
+    parsed = spark.read.schema("artifact_id string, extension string, source_id string").parquet(f"{folder}/artifacts_parsed")
+    texts = raw.select("source_id", "artifact_id", "path", "content_hash", (F.sha2("raw_text", 256) == F.col("content_hash")).alias("whole"))
+    return texts.join(parsed, ["source_id", "artifact_id"])
+
+
 def report_file_query(spark, d):
     """Report records written as JSON lines and read back: every finding under its run."""
     folder = shared_folder(spark)
@@ -283,6 +294,7 @@ SELECT artifact_id, path, extension, coalesce(skip_reason, '') AS skip_reason,
  CASE WHEN skip_reason IS NULL THEN sha256(raw_text) ELSE '' END AS content_hash FROM checked"""),
     "a2_lossy_decode": (decode_query, """SELECT page_id, length(t) AS n_chars, sha256(t) AS text_hash
 FROM (SELECT page_id, html || CASE WHEN page_id % 5 = 0 THEN chr(65533) ELSE '' END AS t FROM pages)"""),
+    "a6_artifact_store": (store_query, f"""WITH {ART}, {CHECKED} SELECT source_id, artifact_id, path, sha256(raw_text) AS content_hash, true AS whole, extension FROM checked WHERE skip_reason IS NULL"""),
     "a7_latest_per_key": (latest_query, """SELECT user_id, event_type, event_id, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1"""),
     "a8_run_finding_index": (index_query, f"""{_F} SELECT run_id, finding_id, min(start_line * 100 + rule_rank) AS pos, min(severity) AS severity

@@ -189,7 +189,7 @@ def raw_url_query(spark, d):
 
 
 def skips_query(spark, d):
-    return crawl_tables(spark, d)[2].groupBy("stage", "reason").agg(F.count("*").alias("n"))
+    return crawl_tables(spark, d)[2].select("repo", "path", "stage", "reason")
 
 
 def chunk_query(spark, d):
@@ -205,11 +205,6 @@ def section_query(spark, d):
     )
 
 
-def metadata_query(spark, d):
-    rows = C.chunk_metadata(chunks(spark, d))
-    return rows.select("artifact_id", "chunk_index", "line_count", "heading_depth", "has_heading_context", "char_count", "word_count")
-
-
 def tools_query(spark, d):
     rows = H.tools(candidates(spark, d), "doc_id")
     return rows.select("doc_id", "tool_pos", "name", F.coalesce("description", F.lit("")).alias("description"),
@@ -385,7 +380,7 @@ SELECT page_id, error, CASE WHEN error = '' THEN 'https://github.com/' || o || '
 e AS (SELECT *, CASE WHEN bad THEN 'GitHub ref must be a simple branch, tag, or commit identifier.' WHEN p = '' OR p LIKE '/%' OR contains(p, chr(92)) OR list_has_any(string_split(p, '/'), ['', '.', '..']) THEN 'GitHub file path is unsafe.' ELSE '' END AS url_error FROM a)
 SELECT doc_id, url_error, CASE WHEN url_error = '' THEN 'https://raw.githubusercontent.com/acme/' || repo || '/v1.0/' || {_ENC.format('p')} ELSE '' END AS raw_url FROM e"""),
     "f1_file_selection": (selection_query, f"""WITH {_TREE.replace("rn > 100", "rn > 7").replace("rn <= 100", "rn <= 7")} SELECT repo, doc_id, path, coalesce(skip_reason, '') AS skip_reason, coalesce(artifact_type, '') AS artifact_type FROM sel"""),
-    "g6_staged_skips": (skips_query, f"WITH {_CRAWL} SELECT stage, reason, count(*) AS n FROM skipped GROUP BY 1, 2"),
+    "g6_staged_skips": (skips_query, f"WITH {_CRAWL} SELECT repo, path, stage, reason FROM skipped"),
     "d5_crawl_summary": (summary_query, f"WITH {_CRAWL} SELECT repo, ns AS selected_file_count, nf AS fetched_file_count, nx AS skipped_path_count, nb AS total_fetched_bytes FROM facts"),
     "d5_fetched_type_counts": (lambda s, d: K.fetched_type_counts(crawl_tables(s, d)[1]), f"WITH {_CRAWL} SELECT repo, artifact_type, count(*) AS file_count FROM fetched GROUP BY 1, 2"),
     "d6_manifest_hash": (manifest_query, f"""WITH {_CRAWL}, rows AS (SELECT repo, sha256('{{"artifact_type":"' || artifact_type || '","content_hash":"' || CASE WHEN doc_id % 20 = 5 THEN 'ABC' ELSE sha256(plain) END || '","part":"fetched","path":"' || path
@@ -398,6 +393,4 @@ SELECT repo, sha256('{K.MANIFEST_VERSION}:' || repo || ':' || sha256(concat_ws('
 SELECT r.repo, CASE WHEN coalesce(e, 0) > 0 THEN 'fail' WHEN coalesce(w, 0) > 0 THEN 'warn' ELSE 'pass' END AS status, coalesce(e, 0) AS error_count, coalesce(w, 0) AS warning_count FROM repos r LEFT JOIN c USING (repo)"""),
     "e1_sections": (section_query, f"{_SECTIONS} SELECT artifact_id, start_line, end_line, chunk_type, heading_path FROM sections"),
     "e4_chunks": (chunk_query, f"{CHUNKS_SQL} SELECT artifact_id, chunk_index, start_line, end_line, chunk_type, heading_path, content_hash, chunk_id FROM chunks"),
-    "b23_chunk_metadata": (metadata_query, rf"""{CHUNKS_SQL} SELECT artifact_id, chunk_index, end_line - start_line + 1 AS line_count, CASE WHEN heading_path = '' THEN 0 ELSE len(string_split(heading_path, ' > ')) END AS heading_depth,
- heading_path <> '' AS has_heading_context, length(text) AS char_count, len(regexp_extract_all(text, '[\pL\pN\pM_]+(?:[-''][\pL\pN\pM_]+)*')) AS word_count FROM chunks"""),
 }

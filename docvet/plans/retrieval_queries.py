@@ -12,7 +12,7 @@ from docvet.functions import vectors as V
 from docvet.operators import embeddings as E
 from docvet.operators import quality as Q
 from docvet.operators import retrieval as R
-from docvet.operators.chunking import with_metadata
+from docvet.operators.chunking import chunk_metadata, with_metadata
 from docvet.plans import inputs as I
 from docvet.plans.parse_queries import CHUNKS_SQL, chunks
 
@@ -56,6 +56,11 @@ def input_query(spark, d):
     return chunks(spark, d).select("artifact_id", "chunk_index", F.sha2(E.embedding_input(E.EmbeddingProvider()), 256).alias("input_hash"))
 
 
+def metadata_query(spark, d):
+    rows = chunk_metadata(chunks(spark, d))
+    return rows.select("artifact_id", "chunk_index", "line_count", "heading_depth", "has_heading_context", "char_count", "word_count", "metadata_hash")
+
+
 def cosine_query(spark, d):
     vectors = I.table(spark, d, "embeddings")
     other = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
@@ -157,6 +162,8 @@ cut AS (SELECT *, CASE WHEN length(f) <= 60 THEN f ELSE CASE WHEN s > 0 THEN '..
 _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 QUERIES = {
+    "b23_chunk_metadata": (metadata_query, f"""{CHUNKS_SQL}, docs AS (SELECT c.*, a.path FROM chunks c JOIN artifacts a USING (artifact_id)), {_META} SELECT artifact_id, chunk_index, end_line - start_line + 1 AS line_count,
+ CASE WHEN heading_path = '' THEN 0 ELSE len(string_split(heading_path, ' > ')) END AS heading_depth, heading_path <> '' AS has_heading_context, length(text) AS char_count, {_WORDS} AS word_count, metadata_hash FROM docs JOIN meta USING (chunk_id)"""),
     "b24_stemmed_terms": (term_query, f"SELECT t AS term, count(*) AS n FROM (SELECT unnest({_STEMS.format('text')}) AS t FROM documents) GROUP BY 1"),
     "b25_plain_tokens": (token_query, f"SELECT doc_id, len({_TOK.format('text')}) AS n_tokens, sha256(array_to_string({_TOK.format('text')}, ' ')) AS token_hash FROM documents"),
     "b27_hash_embeddings": (embedding_query, f"WITH {_EMB.format('e', 'doc_id', _TOK.format('text'), 'documents')} SELECT doc_id, bucket AS dim, v AS value FROM e WHERE v <> 0"),

@@ -230,7 +230,7 @@ OPERATOR_PACK = P.PolicyPack(tuple(
 
 def operator_query(spark, d):
     rows = P.policy_matches(P.evaluate_pack(contexts(spark, d), OPERATOR_PACK))
-    return rows.select(F.explode("triggered_by").alias("condition_label")).groupBy("condition_label").agg(F.count("*").alias("n"))
+    return rows.select("context_id", F.explode("triggered_by").alias("condition_label"))
 
 
 # Actions and metrics -------------------------------------------------------------------------
@@ -470,12 +470,12 @@ def upsert_query(spark, d):
 
 def firewall_query(spark, d):
     rows = jobs.tool_call_firewall(calls(spark, d))
-    return rows.groupBy("allowed", "blocked", "requires_approval", "reason").agg(F.count("*").alias("n"))
+    return rows.select("event_id", "allowed", "blocked", "requires_approval", "reason")
 
 
 def first_query(spark, d):
     again = findings(spark, d).select("finding_id", "rule_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("scan"))
-    return jobs.first_findings(again).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return jobs.first_findings(again).select("finding_id", "rule_id")
 
 
 _P = """p AS (SELECT *, CAST(substr(p_brand, 7) AS INT) AS bn, 't' || p_partkey AS tool, 'cap_' || lower(p_type) AS type_cap,
@@ -651,11 +651,11 @@ SELECT node_type AS kind, {_NODE_ID.format('node_type', 'raw_id')} AS id FROM up
  UNION ALL SELECT 'mentions', 'out', p_brand FROM t UNION ALL SELECT 'depends_on', 'out', p_name FROM t UNION ALL SELECT 'has_parameter', 'out', 'par_' || p_partkey FROM t
  UNION ALL SELECT DISTINCT 'defines', 'in', 'a' || l_suppkey FROM lineitem JOIN t ON l_partkey = p_partkey UNION ALL SELECT DISTINCT 'used', 'in', 'task_' || l_orderkey FROM lineitem JOIN t ON l_partkey = p_partkey
  UNION ALL SELECT DISTINCT 'calls', 'out', 'dom_' || s_nationkey FROM lineitem JOIN t ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey"""),
-    "b37_policy_operators": (operator_query, f"""WITH {_FEAT}, c AS (SELECT unnest([CASE WHEN p_partkey % 4 = 0 THEN 'approval_status equals approved' END, CASE WHEN p_partkey % 4 <> 0 THEN 'approval_status not_equals approved' END,
+    "b37_policy_operators": (operator_query, f"""WITH {_FEAT}, c AS (SELECT tool AS context_id, unnest([CASE WHEN p_partkey % 4 = 0 THEN 'approval_status equals approved' END, CASE WHEN p_partkey % 4 <> 0 THEN 'approval_status not_equals approved' END,
  CASE WHEN p_partkey % 23 = 0 THEN 'tool_output_text contains system' END, CASE WHEN p_partkey % 9 <> 0 AND p_partkey % 31 = 0 THEN 'finding_type contains_any [''tool_poisoning'', ''x'']' END, CASE WHEN p_partkey IN (1, 2) THEN 'tool_id in [''t1'', ''T2 '']' END,
  CASE WHEN external_communication_degree >= 3 THEN 'external_communication_degree gte 3' END, CASE WHEN external_communication_degree <= 3 THEN 'external_communication_degree lte 3' END,
  CASE WHEN p_partkey % 9 = 0 OR p_partkey % 31 = 0 THEN 'finding_type exists' END, 'recent_metadata_change_count changed', CASE WHEN p_partkey % 5 <> 0 THEN 'tool_id not_allowlisted shell_execution_allowlist' END]) AS condition_label FROM feat)
-SELECT condition_label, count(*) AS n FROM c WHERE condition_label IS NOT NULL GROUP BY 1"""),
+SELECT context_id, condition_label FROM c WHERE condition_label IS NOT NULL"""),
     "b40_policy_modes": (mode_query, f"""WITH {_P}, m AS (SELECT tool, p_partkey, [{_MODES}][p_partkey % 5 + 1] AS mode, ['low', 'medium', 'high', 'critical'][p_size % 4 + 1] AS risk_level,
  ['allow', 'warn', 'sandbox_only', 'human_approval', 'quarantine', 'block'][p_partkey % 6 + 1] AS action, p_partkey % 10 = 3 AS ap FROM p), e AS (SELECT *, {_EFF} FROM m) SELECT tool AS context_id, effective_action, mode_reason AS reason FROM e"""),
     "b41_policy_explanations": (explanation_query, f"""WITH {_POL}, {_NAMES}, z AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 1.0 WHEN p_partkey % 7 = 0 THEN 0.25 ELSE 1.0 END AS confidence, CASE WHEN p_partkey % 3 = 0 THEN 'span_' || tool ELSE '' END AS ids FROM m JOIN pn USING (policy_id))
@@ -694,7 +694,7 @@ SELECT 'tag' AS kind, category AS name, count(*) AS n FROM f JOIN r ON record_id
     "i1_request_rollup": (rollup_query, _ROLLUP.format("'hour'")),
     "i1_daily_rollup": (daily_query, _ROLLUP.format("'day'")),
     "i3_upserted_findings": (upsert_query, f"WITH {_F} SELECT DISTINCT finding_id, rule_id, ['open', 'confirmed', 'closed'][(start_line + 2) % 3 + 1] AS state, 2 AS seen_at FROM findings"),
-    "i2_tool_call_firewall": (firewall_query, f"""WITH {_ACT}, g AS (SELECT unsafe AS blocked, NOT unsafe AND risk_level IN ('high', 'critical') AS requires_approval FROM dec)
-SELECT NOT blocked AND NOT requires_approval AS allowed, blocked, requires_approval, CASE WHEN blocked THEN '{A.REASONS['blocked']}' WHEN requires_approval THEN '{A.REASONS['approval']}' ELSE '{A.REASONS['allowed']}' END AS reason, count(*) AS n FROM g GROUP BY ALL"""),
-    "i3_first_findings": (first_query, f"WITH {_F} SELECT rule_id, count(DISTINCT finding_id) AS n FROM findings GROUP BY 1"),
+    "i2_tool_call_firewall": (firewall_query, f"""WITH {_ACT}, g AS (SELECT event_id, unsafe AS blocked, NOT unsafe AND risk_level IN ('high', 'critical') AS requires_approval FROM dec)
+SELECT event_id, NOT blocked AND NOT requires_approval AS allowed, blocked, requires_approval, CASE WHEN blocked THEN '{A.REASONS['blocked']}' WHEN requires_approval THEN '{A.REASONS['approval']}' ELSE '{A.REASONS['allowed']}' END AS reason FROM g"""),
+    "i3_first_findings": (first_query, f"WITH {_F} SELECT DISTINCT finding_id, rule_id FROM findings"),
 }

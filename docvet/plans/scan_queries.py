@@ -201,8 +201,7 @@ def core_query(spark, d):
 
 
 def snapshot_query(spark, d):
-    fields = [c for c in Q.SPAN_FIELDS if c != "preview"]
-    spans = findings(spark, d).select(*fields, F.lit("").alias("preview")).dropDuplicates(["span_id"])
+    spans = findings(spark, d).select(*Q.SPAN_FIELDS).dropDuplicates(["span_id"])
     return Q.span_snapshot_hashes(spans)
 
 
@@ -366,7 +365,7 @@ FROM risk JOIN (SELECT DISTINCT run_id, source_id FROM artifacts) USING (run_id)
     "d3_recommendations": (lambda s, d: P.unique_recommendations(_report(s, d)), f"""{_F}, firsts AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY run_id, recommendation ORDER BY {_REPORT_ORDER}) = 1)
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY {_REPORT_ORDER}) AS pos, recommendation FROM firsts"""),
     "d23_span_snapshot_hashes": (snapshot_query, f"""{_F} SELECT DISTINCT span_id, sha256('{{"artifact_id":"' || artifact_id || '","content_hash":"' || content_hash || '","end_line":' || end_line
- || ',"preview":"","span_id":"' || span_id || '","span_type":"' || category || '","start_line":' || start_line || '}}') AS snapshot_hash FROM findings"""),
+ || ',"preview":' || to_json(preview) || ',"span_id":"' || span_id || '","span_type":"' || category || '","start_line":' || start_line || '}}') AS snapshot_hash FROM findings"""),
     "d26_facet_values": (facets_query, f"""{_F}, u AS (SELECT 'category' AS facet, category AS value FROM findings UNION ALL SELECT 'severity', severity FROM findings UNION ALL SELECT 'detector', detector FROM findings)
 SELECT facet, value, count(*) AS n FROM u GROUP BY 1, 2"""),
     "d26_inventory_totals": (inventory_query, f"""{_R} SELECT count(*) AS tool_count, sum(finding_count) AS finding_total, floor(avg(risk_score) + 0.5) AS mean_risk FROM risk"""),

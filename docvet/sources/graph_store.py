@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from docvet.session import shared_table
 from docvet.sources.bucketed import bucketed_table, buckets_for
 
 #: Edges of a bucket, about.
@@ -29,6 +30,7 @@ class StoredGraph:
 
 def write_graph(nodes: DataFrame, edges: DataFrame, buckets: int | None = None) -> StoredGraph:
     """Write a graph into the shared folder; ``buckets`` follows the number of edges unless given."""
+    edges = shared_table(edges)  # counted and dealt twice
     buckets = buckets or buckets_for(edges.count(), BUCKET_EDGES)
-    stored = bucketed_table(edges, "source_node_id", buckets, "edge_type")
-    return StoredGraph(bucketed_table(nodes, "node_id", buckets, "node_type"), stored, bucketed_table(stored, "target_node_id", buckets, "edge_type"), buckets)
+    by_source, by_target = (bucketed_table(edges, key, buckets, "edge_type") for key in ("source_node_id", "target_node_id"))
+    return StoredGraph(bucketed_table(nodes, "node_id", buckets, "node_type"), by_source, by_target, buckets)

@@ -1,7 +1,7 @@
 """A training corpus from documents: five stages, each written as Parquet and read again by the next.
 
 quality (6) drops what importance resampling rejects, lines (9) removes repeated passages, near_duplicates (2) leaves one
-document of each class, decontamination (4) drops documents that hold test items, packing (5) gives the pieces of windows.
+document of each class by fingerprints and then by shingle sets, decontamination (4) drops documents that hold test items, packing (5) gives the pieces of windows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docvet.llm import contamination, importance, line_windows, near_copies
+from docvet.llm import contamination, importance, line_windows, near_copies, simhash
 from docvet.llm.common import stored
 from docvet.llm.queries import packed
 
@@ -32,7 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(docs).select(*docs.columns)
+    """One document of each class that the fingerprints' trie links, and of those one of each class of near copies, which differ in more bits."""
+    return near_copies.keep_one(simhash.keep_one(docs)).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

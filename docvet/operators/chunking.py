@@ -60,39 +60,31 @@ def _enclosing(levels: pd.Series) -> pd.Series:
 
 
 def _heading_paths() -> Column:
-    chains = _enclosing(F.transform("marks", lambda m: m["level"]))
-    return F.transform(chains, lambda chain: F.transform(chain, lambda k: F.get("marks", k)["text"]))
+    return F.transform("chains", lambda chain: F.transform(chain, lambda k: F.get("marks", k)["text"]))
 
 
-def _section(start: Column, end: Column, kind: str, path: Column) -> Column:
+def _bound(start: Column, end: Column, kind: str, mark: Column) -> Column:
     return F.struct(
         start.cast("int").alias("start"), end.cast("int").alias("end"),
-        F.lit(kind).alias("chunk_type"), path.alias("heading_path"),
+        F.lit(kind).alias("chunk_type"), mark.cast("int").alias("mark"),
     )
 
 
-def _no_path() -> Column:
-    return F.array().cast("array<string>")
-
-
-def _heading_sections() -> Column:
-    sections = F.transform(
+def _heading_bounds() -> Column:
+    bounds = F.transform(
         "marks",
-        lambda m, i: _section(
-            m["line_no"], F.coalesce(F.get("marks", i + 1)["line_no"] - 1, F.size("lines")),
-            "markdown_section", F.get("paths", i),
-        ),
+        lambda m, i: _bound(m["line_no"], F.coalesce(F.get("marks", i + 1)["line_no"] - 1, F.size("lines")), "markdown_section", i),
     )
     first = F.get("marks", F.lit(0))["line_no"]
     preamble = F.slice("lines", F.lit(1), F.greatest(first - 1, F.lit(0)))
     has_preamble = F.exists(preamble, lambda line: ~is_blank(line))
-    none = F.array().cast(f"array<struct<start:int,end:int,chunk_type:string,heading_path:array<string>>>")
+    none = F.array().cast("array<struct<start:int,end:int,chunk_type:string,mark:int>>")
     return F.concat(
-        F.when(has_preamble, F.array(_section(F.lit(1), first - 1, "text_window", _no_path()))).otherwise(none), sections
+        F.when(has_preamble, F.array(_bound(F.lit(1), first - 1, "text_window", F.lit(None)))).otherwise(none), bounds
     )
 
 
-def _paragraph_sections() -> Column:
+def _paragraph_bounds() -> Column:
     def edges(step: int) -> Column:
         return F.filter(
             F.transform("filled", lambda here, i: F.when(here & ~F.coalesce(F.get("filled", i + step), F.lit(False)), i + 1)),
@@ -101,17 +93,29 @@ def _paragraph_sections() -> Column:
 
     return F.transform(
         F.arrays_zip(edges(-1).alias("s"), edges(1).alias("e")),
-        lambda p: _section(p["s"], p["e"], "paragraph", _no_path()),
+        lambda p: _bound(p["s"], p["e"], "paragraph", F.lit(None)),
     )
 
 
-def sections(artifacts: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Add ``lines`` and ``sections`` (heading sections, else paragraphs) to each artifact."""
+def _section(bound: Column) -> Column:
+    return F.struct(
+        bound["start"].alias("start"), bound["end"].alias("end"), bound["chunk_type"].alias("chunk_type"),
+        F.coalesce(F.get("paths", bound["mark"]), F.array().cast("array<string>")).alias("heading_path"),
+    )
+
+
+def sections(artifacts: DataFrame, text: str = "raw_text", **more: Column) -> DataFrame:
+    """Add ``lines`` and ``sections`` (heading sections, else paragraphs) to each artifact.
+
+    ``more`` columns may read ``lines`` and ``bounds`` (start, end of each section); Arrow functions among them share the task's one
+    worker for the headings.
+    """
     lined = compute_once(artifacts, lines=split_lines(F.col(text))).drop(text)
     marked = compute_once(lined, marks=_heading_marks(), filled=F.transform("lines", lambda x: ~is_blank(x)))
-    pathed = compute_once(marked, paths=_heading_paths())
-    chosen = F.when(F.size("marks") > 0, _heading_sections()).otherwise(_paragraph_sections())
-    return compute_once(pathed, sections=chosen).drop("marks", "filled", "paths")
+    bounded = compute_once(marked, bounds=F.when(F.size("marks") > 0, _heading_bounds()).otherwise(_paragraph_bounds()))
+    chained = compute_once(bounded, chains=_enclosing(F.transform("marks", lambda m: m["level"])), **more)
+    pathed = compute_once(chained, paths=_heading_paths())
+    return compute_once(pathed, sections=F.transform("bounds", _section)).drop("marks", "filled", "bounds", "chains", "paths")
 
 
 def _split_points(max_chars: int, max_lines: int):
@@ -148,12 +152,11 @@ def chunk_artifacts(
     """Chunks of ``artifacts(artifact_id, path, raw_text)``."""
     if max_chunk_chars < 1 or max_chunk_lines < 1:
         raise ValueError("chunk limits must be at least 1.")
-    base = sections(artifacts.select("artifact_id", "path", "raw_text"))
     starts = _split_points(max_chunk_chars, max_chunk_lines)(
-        F.transform("lines", lambda line: F.length(line)), F.transform("sections", lambda s: s["start"]), F.transform("sections", lambda s: s["end"])
+        F.transform("lines", lambda line: F.length(line)), F.transform("bounds", lambda b: b["start"]), F.transform("bounds", lambda b: b["end"])
     )
     points = compute_once(
-        compute_once(base, starts=starts),
+        sections(artifacts.select("artifact_id", "path", "raw_text"), starts=starts),
         split_sections=F.transform("sections", lambda s, i: F.struct(s.alias("s"), F.get("starts", i).alias("starts"))),
     )
 

@@ -8,10 +8,13 @@ of a group of queries and a group of chunks. No query passes through the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +35,8 @@ CONTEXT_PHRASE_BONUS = 0.4
 BLOCK_BITS = 10
 GROUP_BITS = 12
 QUERY_GROUP = 128
+# Tokens that the index build sorts at once in a task.
+SLICE_TOKENS = 500_000
 # Slack of the threshold test: sums of doubles in another order.
 SLACK = 1e-6
 
@@ -54,6 +59,57 @@ class Index:
     provider: EmbeddingProvider | None = None
 
 
+_PLACES = "term string, doc bigint, text_length int, text_at array<int>, context_at array<int>"
+
+
+def _term_places(slice_tokens: int):
+    """(doc, text_length, tokens) -> places of each term in each row, by term within a slice of the rows.
+
+    A row is a whole chunk, so nothing has to meet elsewhere: a slice's tokens are sorted by (term, row), places stay ascending.
+    A slice has about ``slice_tokens`` tokens, at least one row.
+    """
+
+    def slices(sizes: np.ndarray) -> Iterator[slice]:
+        ends, first = np.cumsum(sizes), 0
+        while first < len(sizes):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + slice_tokens, "right")))
+            yield slice(first, last)
+            first = last
+
+    def sort(tokens: pa.ListArray, docs: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        sizes, coded = tokens.value_lengths().to_numpy(), tokens.flatten().dictionary_encode()
+        alphabetic = pc.sort_indices(coded.dictionary)
+        place_of = np.empty(len(alphabetic), dtype=np.int64)
+        place_of[alphabetic.to_numpy()] = np.arange(len(alphabetic))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = place_of[coded.indices.to_numpy()] * len(sizes) + row
+        order = np.argsort(key, kind="stable")
+        key, pos, length = key[order], pos[order], lengths[row[order]]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        in_text = pos < length
+
+        def places(here: np.ndarray, values: np.ndarray) -> pa.ListArray:
+            ends = np.cumsum(np.add.reduceat(here, starts, dtype=np.int64))
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[here], pa.int32()))
+
+        first = key[starts]
+        return pa.RecordBatch.from_arrays([
+            coded.dictionary.take(alphabetic).take(pa.array(first // len(sizes))), pa.array(docs[first % len(sizes)], pa.int64()),
+            pa.array(length[starts], pa.int32()), places(in_text, pos), places(~in_text, pos - length),
+        ], names=["term", "doc", "text_length", "text_at", "context_at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch["tokens"]), 0), 0))
+            tokens, docs, lengths = rows["tokens"], rows["doc"].to_numpy(), rows["text_length"].to_numpy()
+            for part in slices(tokens.value_lengths().to_numpy()):
+                yield sort(tokens.slice(part.start, part.stop - part.start), docs[part], lengths[part])
+
+    return run
+
+
 def build_index(chunks: DataFrame, provider: EmbeddingProvider | None = None) -> Index:
     """Index of ``chunks``; a provider adds the vectors that hybrid retrieval needs. Four tables are written, text once."""
     context = F.concat_ws(" ", F.coalesce("path", F.lit("")), F.array_join("heading_path", " "))
@@ -63,20 +119,14 @@ def build_index(chunks: DataFrame, provider: EmbeddingProvider | None = None) ->
     counted = documents.agg(F.count("*").alias("n"), F.avg("text_length").alias("mean")).first()
     average = max(counted.mean or 1.0, 1.0)
 
-    place = documents.select("doc", "text_length", F.posexplode(F.concat("text_tokens", "context_tokens")).alias("pos", "term"))
-    in_text = F.col("pos") < F.col("text_length")
-    grouped = place.groupBy("term", "doc").agg(
-        F.first("text_length").alias("text_length"),
-        F.array_sort(F.collect_list(F.when(in_text, F.col("pos")))).alias("text_at"),
-        F.array_sort(F.collect_list(F.when(~in_text, F.col("pos") - F.col("text_length")))).alias("context_at"),
-    )
+    tokens = documents.select("doc", "text_length", F.concat("text_tokens", "context_tokens").alias("tokens"))
     length_part = K1 * (F.lit(1 - B) + B * F.greatest("text_length", F.lit(1)) / F.lit(average))
     count = F.size("text_at")
     postings = shared_table(
-        grouped.select(
+        tokens.mapInArrow(_term_places(SLICE_TOKENS), _PLACES).select(
             "term", F.shiftright("doc", BLOCK_BITS).alias("block"), "doc", (count * (K1 + 1) / (count + length_part)).alias("saturation"),
             F.size("context_at").alias("context_count"), "text_at", "context_at",
-        ).repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
+        )
     )
     most = F.max(F.col("saturation") + CONTEXT_WEIGHT * F.col("context_count"))
     blocks = shared_table(postings.groupBy("term", "block").agg(F.count("*").alias("postings"), most.alias("most")))

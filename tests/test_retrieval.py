@@ -188,3 +188,30 @@ def test_outputs_carry_no_query_text_or_vectors(spark, index):
     columns = set(R.retrieve_hybrid(index, queries(spark, "api key")).columns)
     assert not columns & {"query", "vector", "text", "raw_text"}
     assert "query" not in query_embeddings(queries(spark, "api key")).columns
+
+
+def test_postings_are_built_in_the_chunk_without_a_shuffle_of_tokens(spark, monkeypatch):
+    """Slices of a few tokens, long and empty rows, nulls: the postings are those of plain Python."""
+    monkeypatch.setattr(R, "SLICE_TOKENS", 5)
+    texts = ["keys key b", "", "z " * 40, None, "b keys", "--", "a b c d e f g"]
+    rows = [(f"c{i}", i, "a", 1, 1, "paragraph", "p.md", ["Key b"], t, "h") for i, t in enumerate(texts)]
+    fields = "chunk_id string, chunk_index int, artifact_id string, start_line int, end_line int, chunk_type string, path string, heading_path array<string>, text string, content_hash string"
+    index = R.build_index(spark.createDataFrame(rows, fields))
+    want = set()
+    stem = lambda t: t[:-1] if len(t) > 3 and t.endswith("s") else t
+    for i, text in enumerate(texts):
+        if text is not None:
+            words = [stem(t) for t in re.findall("[a-z0-9]+", text)]
+            context = ["p", "md", "key", "b"]
+            want |= {(f"c{i}", t, tuple(k for k, w in enumerate(words) if w == t), tuple(k for k, w in enumerate(context) if w == t)) for t in {*words, *context}}
+    got = index.postings.join(index.documents.select("doc", "chunk_id"), "doc").collect()
+    assert {(r.chunk_id, r.term, tuple(r.text_at), tuple(r.context_at)) for r in got} == want and len(got) == len(want)
+    plan = index.documents.select("doc", "text_length", F.concat("text_tokens", "context_tokens").alias("tokens")).mapInArrow(R._term_places(5), R._PLACES)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_queries_do_not_shuffle_the_postings(spark, index):
+    scores = R.term_scores(index, R.query_terms(queries(spark, "api key", "onke")))
+    assert "SortMergeJoin" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -15,6 +15,8 @@ class Rule:
     confidence: float
     rationale: str
     recommendation: str
+    #: Lower-case text that every match holds: one of each group. Empty: not known, the pattern alone decides.
+    words: tuple[tuple[str, ...], ...] = ()
 
 
 # The six prompt-injection rules (patterns, weights and wording must match).
@@ -28,6 +30,7 @@ PROMPT_INJECTION_RULES = (
         0.9,
         "Text appears to ask the model to override higher-priority instructions.",
         "Quarantine or review this source before exposing it to an agent context.",
+        (("ignore", "disregard", "override", "bypass"), ("previous", "prior", "above", "system", "developer", "safety"), ("instruction", "rule", "message")),
     ),
     Rule(
         "pi_secret_exfiltration_001",
@@ -38,6 +41,7 @@ PROMPT_INJECTION_RULES = (
         0.92,
         "Text appears to request disclosure or transfer of secrets or credentials.",
         "Block the source from agent context and inspect the surrounding artifact.",
+        (("reveal", "print", "dump", "send", "exfiltrate", "upload"), ("secret", "token", "key", "credential", "password")),
     ),
     Rule(
         "pi_tool_misuse_001",
@@ -48,6 +52,7 @@ PROMPT_INJECTION_RULES = (
         0.86,
         "Text appears to steer the agent toward risky tool use unrelated to normal documentation.",
         "Require human review before allowing tool execution based on this content.",
+        (("shell", "exec", "terminal", "curl", "wget", "delete", "rm -rf", "filesystem write"), ("call", "invoke", "use", "run", "execute")),
     ),
     Rule(
         "pi_authority_impersonation_001",
@@ -58,6 +63,7 @@ PROMPT_INJECTION_RULES = (
         0.84,
         "Text appears to impersonate a higher-priority authority channel.",
         "Treat this content as untrusted data and do not follow its claimed authority.",
+        (("system", "developer", "admin", "root"), ("says", "message", "instruction", "requires", "orders")),
     ),
     Rule(
         "pi_persistence_manipulation_001",
@@ -68,6 +74,7 @@ PROMPT_INJECTION_RULES = (
         0.82,
         "Text appears to ask the model to retain or prioritize attacker-controlled behavior.",
         "Strip or isolate this content from any long-lived agent memory.",
+        (("this instruction", "these instructions", "this rule", "future request"), ("remember", "store", "persist", "always follow", "from now on")),
     ),
     Rule(
         "pi_suspicious_formatting_001",
@@ -78,6 +85,7 @@ PROMPT_INJECTION_RULES = (
         0.8,
         "Text contains hidden or obfuscated formatting often used to conceal instructions.",
         "Render and review the raw source before trusting this artifact.",
+        (("<!--", "\u200b", "\u200c", "\u200d", "\ufeff"),),
     ),
 )
 
@@ -93,6 +101,7 @@ CREDENTIAL_PERMISSION_RULES = (
         0.85,
         "Text appears to contain a secret or token value.",
         "Remove the value, rotate the credential and review who could read it.",
+        (("key", "secret", "token", "password", "credential"), (":", "=")),
     ),
     Rule(
         "cr_env_var_001",
@@ -103,6 +112,7 @@ CREDENTIAL_PERMISSION_RULES = (
         0.7,
         "Text refers to a credential-bearing environment variable.",
         "Check that the tool needs this credential and that its scope is minimal.",
+        (("_key", "_token", "_secret", "_password"),),
     ),
     Rule(
         "ps_filesystem_write_001",
@@ -113,6 +123,7 @@ CREDENTIAL_PERMISSION_RULES = (
         0.75,
         "Text describes filesystem write access.",
         "Confirm that write access is part of the stated purpose of the tool.",
+        (("write", "delete", "modify"), ("file", "director", "disk", "logs")),
     ),
     Rule(
         "ps_message_send_001",
@@ -123,6 +134,7 @@ CREDENTIAL_PERMISSION_RULES = (
         0.7,
         "Text describes sending messages outside the agent.",
         "Confirm that outbound messages are part of the stated purpose of the tool.",
+        (("send", "post"), ("email", "message", "webhook", "callback")),
     ),
     Rule(
         "ps_network_access_001",
@@ -133,6 +145,7 @@ CREDENTIAL_PERMISSION_RULES = (
         0.6,
         "Text describes network access.",
         "Check the destinations the tool may contact.",
+        (("network", "internet", "outbound"), ("access", "request", "connection")),
     ),
 )
 

@@ -7,13 +7,15 @@ stage: split, test, keep matching lines. Nothing is shuffled and no rule table i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvet.functions.ids import stable_id
 from docvet.functions.rules import DEFAULT_RULES, Rule
-from docvet.functions.text import compute_once
+from docvet.functions.text import compute_once, lowered_contains_any
 from docvet.operators.lines import explode_lines, span_columns
 
 # Unicode case folding and word boundaries match the rule semantics but are slow; on ASCII text the
@@ -23,15 +25,25 @@ ASCII_FLAGS = "(?i)"
 _ANCHORS = ("^", "$", r"\A", r"\Z", r"\z", r"\G", "(?")
 
 
-def _may_match(text: Column, rules: Sequence[Rule]) -> Column:
-    """Cheap whole-text test that never misses a line match; rules with anchors are not tested."""
-    if not rules or any(mark in rule.pattern for rule in rules for mark in _ANCHORS):
+# Characters other than a-z and A-Z that a case-insensitive pattern takes for one of a-z.
+_FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def _fold(text: Column) -> Column:
+    """Lower case as patterns see it."""
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, *_FOLDED)))
+
+
+def _holds_words(folded: Column, rule: Rule) -> Column:
+    return reduce(and_, (lowered_contains_any(folded, group) for group in rule.words))
+
+
+def _may_match(text: Column, folded: Column, rules: Sequence[Rule]) -> Column:
+    """Cheap whole-text test that never misses a line match; rules with anchors are not tested, unless their words are known."""
+    if not rules or any(mark in rule.pattern for rule in rules if not rule.words for mark in _ANCHORS):
         return F.lit(True)
     # One expression after another beats one big alternation, which loses the literal search.
-    found = F.lit(False)
-    for rule in rules:
-        found = found | _matches(text, rule.pattern)
-    return found
+    return reduce(or_, (_holds_words(folded, rule) if rule.words else _matches(text, rule.pattern) for rule in rules))
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -51,11 +63,17 @@ def scan_rules(
 ) -> DataFrame:
     """At most one finding per (line, rule). Extra artifact columns are carried along."""
     keep = [c for c in artifacts.columns if c != text]
-    candidates = artifacts.where(_may_match(F.col(text), rules))
-    tests = [F.when(_matches(F.col("line"), r.pattern), F.lit(i)) for i, r in enumerate(rules)]
+    folded = compute_once(artifacts, folded=_fold(F.col(text)))
+    candidates = folded.where(_may_match(F.col(text), F.col("folded"), rules)).drop("folded")
+
+    def test(rule: Rule) -> Column:
+        matches = _matches(F.col("line"), rule.pattern)
+        return _holds_words(F.col("folded"), rule) & matches if rule.words else matches
+
+    tests = [F.when(test(r), F.lit(i)) for i, r in enumerate(rules)]
     hits = (
-        explode_lines(candidates, text)
-        .select("*", F.explode(F.array_compact(F.array(*tests))).alias("rule_rank"))
+        compute_once(explode_lines(candidates, text), folded=_fold(F.col("line")))
+        .select("*", F.explode(F.array_compact(F.array(*tests))).alias("rule_rank")).drop("folded")
     )
     fields = ("rule_id", "detector", "category", "severity", "confidence", "rationale", "recommendation")
     named = hits.select("*", *[_rule_value(rules, f).alias(f) for f in fields])

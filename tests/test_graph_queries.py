@@ -51,3 +51,15 @@ def test_missing_ends_of_null_and_repeated_ids(spark):
 def test_upstream_types_follow_the_specs():
     assert G.upstream_edge_types("finding") == ("contains", "has_artifact", "observed", "triggers")
     assert G.upstream_edge_types("source_repo") == ()
+
+
+def test_upstream_search_reads_derived_edges(spark, monkeypatch):
+    seen, search = [], G.upstream_of_findings
+
+    def watch(nodes, edges, *more):
+        seen.append(edges._jdf.queryExecution().executedPlan().toString())
+        return search(nodes, edges, *more)
+
+    monkeypatch.setattr(G, "upstream_of_findings", watch)
+    assert R.upstream_query(spark, SF).count() > 0
+    assert len(seen) == 1 and "Exchange" not in seen[0] and "edge_id" in seen[0]  # no round derives the edges again

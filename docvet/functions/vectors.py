@@ -41,6 +41,12 @@ def cosine(left: Column, right: Column) -> Column:
     )
 
 
+def non_zero(vector: str) -> Column:
+    """(dim, value) of a vector's numbers other than 0, chosen before they become rows."""
+    places = F.transform(vector, lambda v, i: F.struct(i.alias("dim"), v.alias("value")))
+    return F.filter(places, lambda p: p["value"] != 0)
+
+
 def hash_embedding(
     text: Column, model_name: str = MODEL_NAME, dimensions: int = DIMENSIONS, normalize: bool = True
 ) -> Column:

@@ -82,10 +82,12 @@ def provider_query(spark, d):
 
 
 def record_query(spark, d):
-    """Every record's vector as rows of its non-zero numbers, beside its configuration."""
+    """Every record's vector as rows of its non-zero numbers, beside its configuration.
+
+    A generator over the bare column would have Spark test its size below the Arrow function, which would then run twice.
+    """
     rows = E.chunk_embeddings(with_metadata(chunks(spark, d)))
-    return rows.select("chunk_id", "provider", "model_name", "dimensions", "normalize", "strategy_version", "embedding_hash",
-                       F.posexplode("vector").alias("dim", "value")).where("value <> 0")
+    return rows.select("chunk_id", "provider", "model_name", "dimensions", "normalize", "strategy_version", "embedding_hash", F.inline(V.non_zero("vector")))
 
 
 def statistics_query(spark, d):

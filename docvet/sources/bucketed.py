@@ -17,15 +17,16 @@ def buckets_for(amount: int, each: int) -> int:
     return max(LEAST_BUCKETS, 1 << max(0, (amount - 1) // each).bit_length())
 
 
-def bucketed_table(df: DataFrame, key: str, buckets: int, partition_by: str | None = None) -> DataFrame:
+def bucketed_table(df: DataFrame, key: str | tuple[str, ...], buckets: int, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder as a table, one file for each bucket (and value of ``partition_by``), sorted by key; rows move once.
 
-    A filter on one key reads its bucket only. All rows of one key lie in one bucket.
+    A key is a column or several. A filter on one key reads its bucket only. All rows of one key lie in one bucket.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    name = f"docvet_{key}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    key = (key,) if isinstance(key, str) else key
+    name = f"docvet_{key[-1]}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *key).write.format("parquet").bucketBy(buckets, *key).sortBy(*key)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)

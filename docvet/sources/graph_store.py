@@ -20,7 +20,7 @@ BUCKET_EDGES = 2_000_000
 
 @dataclass(frozen=True)
 class StoredGraph:
-    """``nodes`` by node_id, ``out_edges`` by source_node_id, ``in_edges`` by target_node_id: the same edges twice."""
+    """``nodes`` by their key, ``out_edges`` by that of the source, ``in_edges`` by that of the target: the same edges twice."""
 
     nodes: DataFrame
     out_edges: DataFrame
@@ -28,9 +28,15 @@ class StoredGraph:
     buckets: int
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, buckets: int | None = None) -> StoredGraph:
-    """Write a graph into the shared folder; ``buckets`` follows the number of edges unless given."""
-    edges = shared_table(edges)  # counted and dealt twice
-    buckets = buckets or buckets_for(edges.count(), BUCKET_EDGES)
-    by_source, by_target = (bucketed_table(edges, key, buckets, "edge_type") for key in ("source_node_id", "target_node_id"))
-    return StoredGraph(bucketed_table(nodes, "node_id", buckets, "node_type"), by_source, by_target, buckets)
+def write_graph(nodes: DataFrame, edges: DataFrame, buckets: int | None = None, key: tuple[str, ...] = ("node_id",)) -> StoredGraph:
+    """Write a graph into the shared folder; ``buckets`` follows the number of edges unless given, which takes one more writing of them.
+
+    ``key`` names a node's columns; an edge has them as ``source_`` and ``target_``. The edges by target are read off those by source.
+    """
+    if buckets is None:
+        edges = shared_table(edges)
+        buckets = buckets_for(edges.count(), BUCKET_EDGES)
+    kind = lambda df, name: name if name in df.columns else None
+    by_source = bucketed_table(edges, tuple(f"source_{k}" for k in key), buckets, kind(edges, "edge_type"))
+    by_target = bucketed_table(by_source, tuple(f"target_{k}" for k in key), buckets, kind(edges, "edge_type"))
+    return StoredGraph(bucketed_table(nodes, key, buckets, "node_type"), by_source, by_target, buckets)

@@ -6,7 +6,10 @@ from collections import deque
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from docvet.operators import graph as G
+from docvet.plans import graph_inputs
 from docvet.plans.graph_inputs import edges, nodes
 from docvet.sources.graph_store import write_graph
 
@@ -91,3 +94,22 @@ def test_nearest_distances_equal_a_plain_search(spark):
 
 def test_empty_starts(spark, plain):
     assert G.nearest_distances(plain[1], plain[0].where("false")).collect() == []
+
+
+def test_search_graph_is_keyed_by_numbers_one_to_one_with_ids(spark, plain):
+    g = graph_inputs.stored_graph(spark, SF)
+    assert {t for _, t in g.out_edges.dtypes + g.in_edges.dtypes} == {"tinyint", "bigint"}  # no id of 16 digits is moved or stored
+    keyed = plain[0].select("node_id", *graph_inputs._numbers(F.col("node_type"), F.col("raw_id"))).distinct()
+    assert keyed.count() == keyed.select("node_id").distinct().count() == keyed.select(*graph_inputs.NUMBERS).distinct().count()
+    end = lambda side: keyed.select(F.col("node_id").alias(f"{side}_node_id"), *[F.col(n).alias(f"{side}_{n}") for n in graph_inputs.NUMBERS])
+    names = [f"{side}_{n}" for side in ("source", "target") for n in graph_inputs.NUMBERS]
+    want = plain[1].join(end("source"), "source_node_id").join(end("target"), "target_node_id").select(*names)
+    assert same(g.out_edges.select(*names), want) and same(g.in_edges.select(*names), want)
+
+
+def test_search_by_two_key_columns_equals_that_by_ids(spark):
+    pairs = [("tool", 1, "task", 1), ("task", 1, "tool", 2), ("tool", 2, "artifact", 9), ("artifact", 1, "tool", 7)]
+    two = spark.createDataFrame(pairs, "source_kind string, source_no bigint, target_kind string, target_no bigint")
+    starts = spark.createDataFrame([("tool", 1), ("tool", 1), ("tool", None)], "kind string, no bigint")
+    found = G.nearest_distances(two, starts, key=("kind", "no")).collect()
+    assert sorted(map(tuple, found)) == [("artifact", 9, 3), ("task", 1, 1), ("tool", 1, 0), ("tool", 2, 2)]

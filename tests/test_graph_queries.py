@@ -63,3 +63,10 @@ def test_upstream_search_reads_derived_edges(spark, monkeypatch):
     monkeypatch.setattr(G, "upstream_of_findings", watch)
     assert R.upstream_query(spark, SF).count() > 0
     assert len(seen) == 1 and "Exchange" not in seen[0] and "edge_id" in seen[0]  # no round derives the edges again
+
+
+def test_features_move_short_ids_and_equal_those_of_hashed_ids(spark):
+    rows = R.features(spark, SF)
+    assert "sha2" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = G.tool_risk_features(*graph_inputs.graph(spark, SF, R.FEATURE_NODES, R.FEATURE_EDGES)).drop("tool_node_id")
+    assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect()))

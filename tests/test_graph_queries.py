@@ -70,3 +70,8 @@ def test_features_move_short_ids_and_equal_those_of_hashed_ids(spark):
     assert "sha2" not in rows._jdf.queryExecution().executedPlan().toString()
     want = G.tool_risk_features(*graph_inputs.graph(spark, SF, R.FEATURE_NODES, R.FEATURE_EDGES)).drop("tool_node_id")
     assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect()))
+
+
+def test_feature_rows_are_dealt_before_they_are_summed(spark):
+    plan = R.features(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [node_id" in plan

@@ -6,13 +6,14 @@ so does every merge. Read from a positive's own slot downwards, the slots' lists
 what follows are the best under its limit; those under its lower limit go.
 
 Rows and anchors are written as matrices of bounded size, and every block of anchors meets every block of rows in a row
-of its own, twice: for the positives, then for the slots.
+of its own, twice: for the positives, then for the slots. A task reads some files of either table, so that no matrix is shuffled or
+sent to the driver, and keeps the best of an anchor over all its blocks of rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from docvet.llm.common import stored
 
 #: Rows and anchors of a block, and the most numbers in its matrix.
 ROWS, ANCHORS, NUMBERS = 8192, 1024, 1 << 20
+#: Lines of scores that are searched at once, and scores of a line of which the greatest is looked at first.
+LINES, RUN = 64, 64
 #: Integers below are exact in a product of float32, and of float64.
 SINGLE, DOUBLE = 1 << 24, 1 << 53
 #: Scores beyond 64 bits count as these.
@@ -32,12 +35,11 @@ _FOUND = "place int, block int, line int, slot int, id bigint, score bigint"
 _KEY = ["place", "block", "line"]
 
 
-def whole(vectors: list[np.ndarray], scale: int) -> np.ndarray:
-    """floor(scale * x) of each vector as a line, short ones filled with zeros; the narrowest kind of number, Python's where float64 is too short."""
-    width = max(map(len, vectors), default=0)
-    out = np.zeros((len(vectors), width))
-    for k, v in enumerate(vectors):
-        out[k, : len(v)] = v
+def whole(numbers: np.ndarray, lengths: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of vectors of these lengths, each as a line, short ones filled with zeros; the narrowest kind of number, Python's where float64 is too short."""
+    width = int(lengths.max(initial=0))
+    out = np.zeros((len(lengths), width))
+    out[np.arange(width) < lengths[:, None]] = numbers
     with np.errstate(over="ignore"):
         up = np.floor(scale * out)
     most = np.abs(up).max(initial=0)
@@ -71,10 +73,12 @@ def scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def best(score: np.ndarray, able: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(line, column) of the k greatest able scores of each line, ties by the smaller column."""
-    if score.dtype != object and able.shape[1] > k and np.count_nonzero(able) > able.size // 16:
+    if score.dtype != object and able.shape[1] > k and np.count_nonzero(able) > able.size // 256:
         masked = np.where(able, score, -np.inf)
-        able = able & (masked >= np.partition(masked, -k, axis=1)[:, -k][:, None])
-    line, column = np.nonzero(able)
+        runs = able.shape[1] // RUN
+        tops = masked[:, : runs * RUN].reshape(len(masked), runs, RUN).max(axis=2) if runs >= k else masked  # k runs have a score of at least their k-th top
+        able = able & (masked >= np.partition(tops, -k, axis=1)[:, -k][:, None])
+    line, column = np.divmod(np.flatnonzero(able), able.shape[1])
     order = np.lexsort((column, -score[line, column], line)) if score.dtype != object else sorted(range(len(line)), key=lambda n: (line[n], -score[line[n], column[n]], column[n]))
     line, column = line[order], column[order]
     keep = np.arange(len(line)) - np.searchsorted(line, line, "left") < k
@@ -89,12 +93,13 @@ def in_slot(score: np.ndarray, low: np.ndarray, high: np.ndarray, slot: int) ->
     return able & (score > column(high, slot + 1)) if slot + 1 < high.shape[1] else able
 
 
-def _blocks(rows: DataFrame, size: int, scale: int) -> tuple[DataFrame, int]:
+def _blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
     """Matrices of `rows` (id, label, vector), which are dealt evenly to the places; a block's lines are in the order of their ids, nulls last."""
     places = max(1, math.ceil(rows.count() / size))
 
     def line(place: int, block: int, table: pa.Table) -> pa.RecordBatch:
-        m = whole([np.asarray(v, dtype=np.float64) for v in table.column(2).to_pylist()], scale)
+        vectors = table.column(2).combine_chunks()
+        m = whole(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), vectors.value_lengths().to_numpy(zero_copy_only=False), scale)
         kind, data = as_bytes(m)
         values = [place, block, table.column(0).to_pylist(), table.column(1).to_pylist(), m.shape[1], kind, data]
         kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.string(), pa.binary()]
@@ -115,15 +120,37 @@ def _blocks(rows: DataFrame, size: int, scale: int) -> tuple[DataFrame, int]:
         if lines:
             yield line(place, block, pa.Table.from_batches(held))
 
-    return stored(rows.repartition(places).sortWithinPartitions(F.asc_nulls_last("id")).mapInArrow(pack, _BLOCK)), places
+    return stored(rows.repartition(places).sortWithinPartitions(F.asc_nulls_last("id")).mapInArrow(pack, _BLOCK))
 
 
-def _found(row: dict, slot: int, line: np.ndarray, column: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    n = len(line)
-    ids = pa.array(row["r_ids"], pa.int64()).take(pa.array(column, pa.int64()))
-    places = [pa.array(np.full(n, v, dtype=np.int32)) for v in (row["a_place"], row["a_block"])]
-    values = pa.array([int(x) for x in score[line, column].tolist()], pa.int64())
-    return pa.RecordBatch.from_arrays([*places, pa.array(line.astype(np.int32)), pa.array(np.full(n, slot, dtype=np.int32)), ids, values], ["place", "block", "line", "slot", "id", "score"])
+class _Kept:
+    """The k best of each line and slot of one block of anchors over the blocks of rows that a task reads, ties by the smaller id, nulls last."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size = k, [], 0
+
+    def add(self, line: np.ndarray, slot: int, ids: pa.Array, score: np.ndarray) -> None:
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        self.parts.append((line.astype(np.int64), np.full(len(line), slot, dtype=np.int64), null, ids.fill_null(0).to_numpy(), score.astype(np.int64)))
+        self.size += len(line)
+        if self.size > 1 << 18:
+            self._cut()
+
+    def _cut(self) -> None:
+        line, slot, null, ids, score = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, null, ~score, slot, line))
+        line, slot = line[order], slot[order]
+        new = np.append(True, (line[1:] != line[:-1]) | (slot[1:] != slot[:-1]))[: len(line)]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(line)), 0))
+        keep = np.arange(len(line)) - start < self.k
+        self.parts = [(line[keep], slot[keep], *(x[order][keep] for x in (null, ids, score)))]
+        self.size = int(keep.sum())
+
+    def batch(self, place: int, block: int) -> pa.RecordBatch:
+        self._cut()
+        ((line, slot, null, ids, score),) = self.parts
+        values = [np.full(len(line), place), np.full(len(line), block), line, slot]
+        return pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int32)) for v in values), pa.array(ids, pa.int64(), mask=null), pa.array(score, pa.int64())], ["place", "block", "line", "slot", "id", "score"])
 
 
 def _floor(a: Column, b: int) -> Column:
@@ -147,38 +174,59 @@ def mine(
     64 bits. Columns not named here aren't read, and may have any name; an empty table gives no rows.
     """
     label = F.col(label_col) if isinstance(label_col, str) else label_col
-    own = rows.select(F.col(id_col).cast("bigint").alias("id"), label.cast("bigint").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
+    vector = F.col(vector_col) if rows.select(vector_col).schema[0].dataType.simpleString() == "array<float>" else F.col(vector_col).cast("array<double>")
+    own = rows.select(F.col(id_col).cast("bigint").alias("id"), label.cast("bigint").alias("label"), vector.alias("vector"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     own = own.where(F.col("label").isNotNull() & F.col("vector").isNotNull() & finite)
-    all_rows, row_places = _blocks(own.select("id", "label", "vector"), ROWS, scale)
-    anchors, anchor_places = _blocks(own.where("anchor").select("id", "label", "vector"), ANCHORS, scale)
-    right = all_rows.select(*(F.col(c).alias(f"r_{c}") for c in all_rows.columns), F.explode(F.sequence(F.lit(0), F.lit(anchor_places - 1))).alias("a_place"))
+    all_rows = _blocks(own.select("id", "label", "vector"), ROWS, scale)
+    anchors = _blocks(own.where("anchor").select("id", "label", "vector"), ANCHORS, scale)
+    right = all_rows.select(*(F.col(c).alias(f"r_{c}") for c in all_rows.columns)).hint("shuffle_replicate_nl")
 
     def cells(left: DataFrame) -> DataFrame:
-        """A row for each block of anchors and block of rows; both are dealt by the pair of their places."""
-        over = F.explode(F.sequence(F.lit(0), F.lit(row_places - 1))).alias("r_place")
-        return left.select(*(F.col(c).alias(f"a_{c}") for c in left.columns), over).join(right, ["a_place", "r_place"])
+        """A row for each block of anchors and block of rows; a task has some files of both, by blocks of anchors."""
+        return left.select(*(F.col(c).alias(f"a_{c}") for c in left.columns)).crossJoin(right)
+
+    def side(b: pa.RecordBatch, k: int, name: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        ids, labels, kind, matrix = (b[f"{name}_{c}"][k] for c in ("ids", "labels", "kind", "matrix"))
+        return ids.values, labels.values.to_numpy(), from_bytes(kind.as_py(), matrix.as_py(), len(ids.values))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    def searched(batches: Iterator[pa.RecordBatch], k: int, find: Callable, limits: Callable) -> Iterator[pa.RecordBatch]:
+        at, kept, left, bounds = None, None, None, None
         for b in batches:
-            for k in range(b.num_rows):
-                (row,) = b.slice(k, 1).to_pylist()
-                a, r = (from_bytes(row[f"{s}_kind"], row[f"{s}_matrix"], len(row[f"{s}_ids"])) for s in "ar")
-                yield row, np.equal.outer(np.array(row["a_labels"]), np.array(row["r_labels"])), scores(a, r)
+            for n in range(b.num_rows):
+                here = (b["a_place"][n].as_py(), b["a_block"][n].as_py())
+                if here != at:
+                    if at:
+                        yield kept.batch(*at)
+                    at, kept, left = here, _Kept(k), side(b, n, "a")
+                    bounds = limits(b, n, len(left[1]))
+                ids, labels, matrix = side(b, n, "r")
+                score = scores(left[2], matrix)
+                for first in range(0, len(score), LINES):
+                    part = slice(first, first + LINES)
+                    for slot, line, column in find(score[part], np.equal.outer(left[1][part], labels), part, bounds):
+                        kept.add(line + first, slot, ids.take(pa.array(column, pa.int64())), score[line + first, column])
+        if at:
+            yield kept.batch(*at)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, same, score in scored(batches):
-            yield _found(row, 0, *best(score, same, positives + 1), score)
+        yield from searched(batches, positives + 1, lambda score, same, part, _: [(0, *best(score, same, positives + 1))], lambda b, n, lines: None)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, same, score in scored(batches):
-            lows, highs = (np.full((len(row["a_ids"]), positives), v, dtype=object) for v in (MOST + 1, LEAST - 1))
-            for x in row["a_limits"]:
-                n = len(x["positives"])
-                lows[x["line"], :n] = [p["low"] for p in x["positives"]]
-                highs[x["line"], :n] = [p["high"] for p in x["positives"]]
+        def limits(b: pa.RecordBatch, n: int, lines: int) -> tuple[np.ndarray, np.ndarray]:
+            lows, highs = (np.full((lines, positives), v, dtype=object) for v in (MOST + 1, LEAST - 1))
+            for x in b["a_limits"][n].as_py():
+                m = len(x["positives"])
+                lows[x["line"], :m] = [p["low"] for p in x["positives"]]
+                highs[x["line"], :m] = [p["high"] for p in x["positives"]]
+            return lows, highs
+
+        def find(score: np.ndarray, same: np.ndarray, part: slice, bounds: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple]:
+            other = ~same
             for slot in range(positives):
-                yield _found(row, slot, *best(score, ~same & in_slot(score, lows, highs, slot), negatives), score)
+                yield slot, *best(score, other & in_slot(score, bounds[0][part], bounds[1][part], slot), negatives)
+
+        yield from searched(batches, negatives, find, limits)
 
     def themselves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +250,7 @@ def mine(
     asked = stored(near.withColumn("own_place", own_place).select(*_KEY, "anchor_id", limits.alias("positives")).where(F.size("positives") > 0))
 
     by_block = asked.groupBy("place", "block").agg(F.collect_list(F.struct("line", "positives")).alias("limits"))
-    kept = first(cells(anchors.join(by_block, ["place", "block"])).mapInArrow(slots, _FOUND), negatives, "slot")
+    kept = first(cells(stored(anchors.join(by_block, ["place", "block"]))).mapInArrow(slots, _FOUND), negatives, "slot")
     lists = kept.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("slot", "rank", "id", "score"))).alias("kept"))
     answers = asked.join(lists, _KEY).select("anchor_id", "kept", F.posexplode("positives").alias("own_slot", "positive"))
     below = F.slice(F.filter("kept", lambda x: x["slot"] >= F.col("own_slot")), 1, negatives)

@@ -84,3 +84,27 @@ def test_slots_are_disjoint():
     low, high = np.array([[2, 1, 0]], dtype=object), np.array([[9, 5, 5]], dtype=object)
     held = [negatives.in_slot(score, low, high, s)[0] for s in range(3)]
     assert [np.flatnonzero(h).tolist() for h in held] == [[6, 7, 8, 9], [], [0, 1, 2, 3, 4, 5]]
+
+
+def test_matrices_are_neither_shuffled_nor_sent_to_the_driver(spark, monkeypatch):
+    """The anchors are a small table, but not once for each block of rows."""
+    for name, value in zip(("ROWS", "ANCHORS"), (40, 3)):
+        monkeypatch.setattr(negatives, name, value)
+    df = spark.createDataFrame([(k, [float(k % 7), 1.0], k % 3) for k in range(400)], "vec_id bigint, embedding array<double>, label int")
+    lines = negatives.mine(df, F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    assert any("CartesianProduct" in line for line in lines)
+    for n, line in enumerate(lines):
+        if "Exchange" in line:
+            below = next((m for m in range(n + 1, len(lines)) if depth[m] <= depth[n]), len(lines))
+            made = next(m for m in range(n + 1, below) if "MapInArrow" in lines[m] or "Scan" in lines[m])
+            assert "matrix" not in lines[made].split("MapInArrow")[0] and not any("matrix" in x for x in lines[n + 1:made])
+
+
+@pytest.mark.parametrize("lines", [1, 5, 300])
+def test_best_looks_at_the_greatest_of_each_run_first(lines):
+    rng = np.random.default_rng(8)
+    score, able = rng.integers(-9, 9, size=(lines, 1000)).astype(np.float32), rng.random((lines, 1000)) < 0.4
+    able[0] = False
+    want = [(n, c) for n in range(lines) for c in sorted(np.flatnonzero(able[n]), key=lambda c: (-score[n, c], c))[:3]]  # noqa: B023
+    assert [tuple(x) for x in np.transpose(negatives.best(score, able, 3)).tolist()] == want

@@ -19,8 +19,8 @@ PROVIDER = "deterministic_hash"
 STRATEGY_VERSION = "chunk-embedding-strategy/v0.1"
 
 _TOKEN = re.compile("[a-z0-9]+")
-#: Tokens whose features a task remembers at once.
-_KNOWN_TOKENS = 500_000
+#: Tokens whose features a task remembers at once, and tokens that it adds up at once.
+_KNOWN_TOKENS, _TOKENS_AT_ONCE = 100_000, 100_000
 
 
 def norm(vector: Column) -> Column:
@@ -47,6 +47,15 @@ def non_zero(vector: str) -> Column:
     return F.filter(places, lambda p: p["value"] != 0)
 
 
+def _rounded(numbers: np.ndarray) -> np.ndarray:
+    """Each number rounded as Python's round(x, 6) does it."""
+    scaled = numbers * 1e6
+    out = np.rint(scaled) / 1e6
+    for at in zip(*np.nonzero((np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4) | ~(np.abs(scaled) < 1e9))):
+        out[at] = round(float(numbers[at]), 6)
+    return out
+
+
 def hash_embedding(
     text: Column, model_name: str = MODEL_NAME, dimensions: int = DIMENSIONS, normalize: bool = True
 ) -> Column:
@@ -58,23 +67,43 @@ def hash_embedding(
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, float]] = {}
+        buckets, weights, out = [], [], []
+        numbers, counts = [], []
 
-        def feature(token: str) -> tuple[int, float]:
-            if token not in known:
-                if len(known) >= _KNOWN_TOKENS:
-                    known.clear()
+        class Known(dict):
+            def __missing__(self, token: str) -> int:
                 digest = hashlib.sha256(f"{model_name}:{token}".encode()).digest()
                 weight = 1.0 + digest[5] / 255
-                known[token] = int.from_bytes(digest[:4], "big") % dimensions, weight if digest[4] % 2 == 0 else -weight
-            return known[token]
-
-        def vector(value: str | None) -> list[float]:
-            buckets, weights = zip(*map(feature, _TOKEN.findall((value or "").lower()) or ["empty"]))
-            sums = np.bincount(buckets, weights, dimensions).tolist()
-            size = math.sqrt(sum(v * v for v in sums)) if normalize else 0.0
-            return [round(v / size if size else v, 6) for v in sums]
-
-        return texts.map(vector, na_action=None)
+                buckets.append(int.from_bytes(digest[:4], "big") % dimensions)
+                weights.append(weight if digest[4] % 2 == 0 else -weight)
+                self[token] = len(weights) - 1
+                return self[token]
+
+        known = Known()
+
+        def add_up() -> None:
+            at = np.array(numbers, dtype=np.int64)
+            cells = np.repeat(np.arange(len(counts)), counts) * dimensions + np.array(buckets, dtype=np.int64)[at]
+            sums = np.bincount(cells, np.array(weights)[at], len(counts) * dimensions).reshape(len(counts), dimensions)
+            if normalize:
+                sizes = np.array([math.sqrt(sum(v * v for v in line)) or 1.0 for line in sums.tolist()])
+                sums = sums / sizes[:, None]
+            out.extend(_rounded(sums))
+            numbers.clear()
+            counts.clear()
+
+        for value in texts:
+            tokens = _TOKEN.findall((value or "").lower()) or ["empty"]
+            if len(numbers) >= _TOKENS_AT_ONCE or len(known) >= _KNOWN_TOKENS:
+                if counts:
+                    add_up()
+                if len(known) >= _KNOWN_TOKENS:
+                    for held in (known, buckets, weights):
+                        held.clear()
+            numbers.extend([known[t] for t in tokens])
+            counts.append(len(tokens))
+        if counts:
+            add_up()
+        return pd.Series(out, dtype=object)
 
     return embed(text)

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from docvet.functions.text import compute_once, prefix_snippet, snippet, stemmed_tokens
 from docvet.operators.chunking import with_metadata
 from docvet.operators.embeddings import EmbeddingProvider, embedding_input, record_hash
-from docvet.session import shared_table
+from docvet.session import COMPACT, shared_table
 
 # BM25 constants, context weight and phrase bonuses.
 K1 = 1.2
@@ -37,6 +37,8 @@ GROUP_BITS = 12
 QUERY_GROUP = 128
 # Tokens that the index build sorts at once in a task.
 SLICE_TOKENS = 500_000
+# Rows at most of a table that is sent to every task which reads postings; a row is a queried term or a term that a phrase needs.
+FEW_ROWS = 500_000
 # Slack of the threshold test: sums of doubles in another order.
 SLACK = 1e-6
 
@@ -45,9 +47,10 @@ SLACK = 1e-6
 class Index:
     """A chunk table as stored tables.
 
-    ``documents``: doc (a number), the chunk's columns, text_length and, with a provider, vector. ``postings``: term, block, doc,
-    saturation (the BM25 factor beside idf), context_count and positions in text and context. ``blocks``: term,
-    block, number of postings and the most that one of them can give for an idf of 1. ``terms``: term, document_frequency.
+    ``documents``: doc (a number), the chunk's columns and, with a provider, vector; its tokens and their number are made of the text where they are
+    read. ``postings``: term, doc, positions in text and context and context_count; made of the text's length and the number of places in it: block and
+    saturation (the BM25 factor beside idf). ``blocks``: term, block, number of postings and the most that one of them can give for an idf of 1; a block of a
+    term may come in parts, each with postings of its own. ``terms``: term, document_frequency.
     """
 
     documents: DataFrame
@@ -59,6 +62,53 @@ class Index:
     provider: EmbeddingProvider | None = None
 
 
+_WORD_BYTES = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8))
+
+
+def _stem(token: str) -> str:
+    """``stem`` of functions/text.py, for one token."""
+    if len(token) > 4 and token.endswith("ies"):
+        return token[:-3] + "y"
+    return token[:-1] if len(token) > 3 and token.endswith("s") and not token.endswith(("ss", "us", "is")) else token
+
+
+def _words(slice_bytes: int):
+    """(doc, words, text_bytes) -> (doc, text_length, tokens): the tokens that ``stemmed_tokens`` gives of lower-case text, and how many of them begin in its first ``text_bytes``.
+
+    The bytes of about ``slice_bytes``, at least one row, are looked at together; a row of them is one text.
+    """
+
+    def cut(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        inside = _WORD_BYTES[data]
+        before = np.append(False, inside[:-1])[: len(inside)]
+        before[offsets[:-1][offsets[:-1] < len(inside)]] = False
+        starts = np.flatnonzero(inside & ~before)
+        after = np.append(inside[1:], False)[: len(inside)]
+        after[offsets[1:][offsets[1:] > 0] - 1] = False
+        ends = np.cumsum(np.flatnonzero(inside & ~after) + 1 - starts)
+        tokens = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[inside]))
+        coded = tokens.dictionary_encode()
+        tokens = pa.array([_stem(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+        first = np.searchsorted(starts, offsets)
+        length = np.searchsorted(starts, offsets[:-1] + rows["text_bytes"].to_numpy()) - first[:-1]
+        return pa.RecordBatch.from_arrays([rows["doc"], pa.array(length, pa.int32()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), tokens)], names=["doc", "text_length", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(pc.is_valid(batch["words"]))
+            words = rows["words"].cast(pa.large_string())
+            _, places, held = words.buffers()
+            offsets = np.frombuffer(places, dtype=np.int64)[words.offset: words.offset + len(words) + 1]
+            data = np.frombuffer(held, dtype=np.uint8) if held else np.empty(0, dtype=np.uint8)
+            at = 0
+            while at < len(rows):
+                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + slice_bytes, "right")) - 1)
+                yield cut(rows.slice(at, end - at), offsets[at: end + 1] - offsets[at], data[offsets[at]: offsets[end]])
+                at = end
+
+    return run
+
+
 _PLACES = "term string, doc bigint, text_length int, text_at array<int>, context_at array<int>"
 
 
@@ -110,30 +160,50 @@ def _term_places(slice_tokens: int):
     return run
 
 
+def _block_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number and greatest ``most`` of the postings of each (term, block) of a batch."""
+    for batch in batches:
+        found = pa.Table.from_batches([batch]).group_by(["term", "block"], use_threads=False).aggregate([("most", "count"), ("most", "max")])
+        yield from found.select(["term", "block", "most_count", "most_max"]).rename_columns(["term", "block", "postings", "most"]).to_batches()
+
+
 def build_index(chunks: DataFrame, provider: EmbeddingProvider | None = None) -> Index:
-    """Index of ``chunks``; a provider adds the vectors that hybrid retrieval needs. Four tables are written, text once."""
+    """Index of ``chunks``; a provider adds the vectors that hybrid retrieval needs. Four tables are written, text once.
+
+    Neither tokens nor postings are shuffled, only the terms of each task, and what follows from a stored column isn't stored.
+    """
     context = F.concat_ws(" ", F.coalesce("path", F.lit("")), F.array_join("heading_path", " "))
     vector = {"vector": provider.vector(embedding_input(provider))} if provider else {}
-    tokens = compute_once(chunks, text_tokens=stemmed_tokens(F.col("text")), context_tokens=stemmed_tokens(context), **vector)
-    documents = shared_table(tokens.withColumn("text_length", F.size("text_tokens")).withColumn("doc", F.monotonically_increasing_id()))
-    counted = documents.agg(F.count("*").alias("n"), F.avg("text_length").alias("mean")).first()
-    average = max(counted.mean or 1.0, 1.0)
+    rows = compute_once(chunks, **vector) if vector else chunks
+    stored = shared_table(rows.withColumn("doc", F.monotonically_increasing_id()), **COMPACT)
+    made = {"text_tokens": stemmed_tokens(F.col("text")), "context_tokens": stemmed_tokens(context)}
+
+    text = F.lower("text")
+    words = stored.where("text IS NOT NULL").select("doc", F.concat(text, F.lit(" "), F.lower(context)).alias("words"), F.octet_length(text).alias("text_bytes"))
+    of_words, of_tokens = _words(8 * SLICE_TOKENS), _term_places(SLICE_TOKENS)
+    places = shared_table(words.mapInArrow(lambda batches: of_tokens(of_words(batches)), _PLACES).withColumns({"text_count": F.size("text_at"), "context_count": F.size("context_at")}), **COMPACT)
+    counted = stored.agg(F.count("*").alias("n"), F.count("text").alias("texts")).first()
+    total = places.agg(F.sum("text_count").alias("n")).first().n or 0
+    average = max(total / max(counted.texts, 1), 1.0)
 
-    tokens = documents.select("doc", "text_length", F.concat("text_tokens", "context_tokens").alias("tokens"))
     length_part = K1 * (F.lit(1 - B) + B * F.greatest("text_length", F.lit(1)) / F.lit(average))
-    count = F.size("text_at")
-    postings = shared_table(
-        tokens.mapInArrow(_term_places(SLICE_TOKENS), _PLACES).select(
-            "term", F.shiftright("doc", BLOCK_BITS).alias("block"), "doc", (count * (K1 + 1) / (count + length_part)).alias("saturation"),
-            F.size("context_at").alias("context_count"), "text_at", "context_at",
-        )
+    postings = places.select(
+        "term", F.shiftright("doc", BLOCK_BITS).alias("block"), "doc", (F.col("text_count") * (K1 + 1) / (F.col("text_count") + length_part)).alias("saturation"),
+        "context_count", "text_at", "context_at",
     )
-    most = F.max(F.col("saturation") + CONTEXT_WEIGHT * F.col("context_count"))
-    blocks = shared_table(postings.groupBy("term", "block").agg(F.count("*").alias("postings"), most.alias("most")))
-    terms = shared_table(blocks.groupBy("term").agg(F.sum("postings").alias("document_frequency")))
+    most = (F.col("saturation") + CONTEXT_WEIGHT * F.col("context_count")).alias("most")
+    blocks = shared_table(postings.select("term", "block", most).mapInArrow(_block_parts, "term string, block bigint, postings bigint, most double"), **COMPACT)
+    terms = shared_table(blocks.groupBy("term").agg(F.sum("postings").alias("document_frequency")), **COMPACT)
+    documents = stored.withColumns(made).withColumn("text_length", F.size("text_tokens"))
     return Index(documents, postings, blocks, terms, counted.n, average, provider)
 
 
+def _kept_small(df: DataFrame) -> DataFrame:
+    """``df``, stored; of up to ``FEW_ROWS`` rows, it goes to the tasks that read what it is joined with, which then isn't shuffled."""
+    df = shared_table(df)
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct stemmed terms of each query in first-seen order; queries without terms drop out.
 
@@ -168,7 +238,7 @@ def _surviving_blocks(index: Index, weighted: DataFrame, best: int) -> DataFrame
     Each block of a term has a chunk that reaches the block's maximum by this term alone. So ``best`` chunks score at least the
     maximum of the term's block number ``best``, and the greatest such value among a query's terms is a threshold.
     """
-    reach = weighted.join(index.blocks, "term").select("query_id", "term_pos", "block", (F.col("idf") * F.col("most")).alias("reach"))
+    reach = weighted.join(index.blocks, "term").groupBy("query_id", "term_pos", "block").agg(F.max(F.col("idf") * F.col("most")).alias("reach"))
     order = Window.partitionBy("query_id", "term_pos").orderBy(F.desc("reach"))
     threshold = (
         reach.withColumn("n", F.row_number().over(order)).where(F.col("n") <= best).where(F.col("n") == best)
@@ -214,7 +284,7 @@ def _phrase_slots(index: Index, prepared: DataFrame) -> DataFrame:
 
 def phrase_bonuses(index: Index, prepared: DataFrame) -> DataFrame:
     """(query_id, doc, bonuses): chunks whose text or context holds the query's joined terms. Positions decide; no text is read."""
-    met = _phrase_slots(index, prepared).join(index.postings, "term")
+    met = index.postings.join(_kept_small(_phrase_slots(index, prepared)), "term")
 
     def starts(places: str, in_text: bool) -> Column:
         own = F.when(F.col("size") == 1, F.slice(places, 1, 1)).otherwise(F.col(places))
@@ -237,14 +307,14 @@ def term_scores(index: Index, prepared: DataFrame, best: int | None = None) -> D
 
     A chunk of a block that is left out may come with its phrase bonus alone, which is less than its score and than the threshold.
     """
-    weighted = _weighted(index, prepared)
-    if best is None:
-        met = weighted.join(index.postings, "term")
-    else:
-        met = weighted.join(_surviving_blocks(index, weighted, best), "query_id").join(index.postings, ["term", "block"])
-    text_points = F.when(F.size("text_at") > 0, F.col("idf") * F.col("saturation")).otherwise(0.0)
+    weighted = _kept_small(_weighted(index, prepared))
+    text_points = F.col("idf") * F.col("saturation")  # 0 without a place in the text
     context_points = F.col("context_count") * F.col("idf") * CONTEXT_WEIGHT
-    points = met.select("query_id", "doc", F.struct("term_pos", "term", F.array(text_points, context_points).alias("points")).alias("part"))
+    met = index.postings.join(weighted, "term")
+    points = met.select("query_id", "block", "doc", F.struct("term_pos", "term", F.array(text_points, context_points).alias("points")).alias("part"))
+    if best is not None:
+        points = points.join(shared_table(_surviving_blocks(index, weighted, best)), ["query_id", "block"], "left_semi")
+    points = points.drop("block")
     bonus = phrase_bonuses(index, prepared).select(
         "query_id", "doc",
         F.struct(F.lit(_PHRASE_POS).alias("term_pos"), F.lit(None).cast("string").alias("term"), F.col("bonuses").alias("points")).alias("part"),
@@ -280,7 +350,7 @@ def retrieve_lexical(index: Index, queries: DataFrame, max_results: int = 5, sni
         raise ValueError("max_results and snippet_chars must be at least 1.")
     scores = lexical_scores(index, queries, max_results)
     top = top_per_query(scores, max_results, F.desc("score"), *map(F.asc, _TIES)).drop(*_TIES)
-    joined = with_metadata(index.documents.drop("text_tokens", "context_tokens", "vector").join(top, "doc"))
+    joined = with_metadata(index.documents.drop("text_tokens", "context_tokens", "text_length", "vector").join(shared_table(top), "doc"))
     return joined.select(
         "query_id", "rank", "chunk_id", "artifact_id", "path", "chunk_index", "start_line", "end_line", "heading_path",
         F.round("score", 6).alias("score"), "matched_terms",
@@ -301,8 +371,43 @@ _HYBRID = (
 )
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    matrix = np.array(vectors.tolist(), dtype=float)
+_CELL = "doc_group bigint, doc array<bigint>, chunk_index array<int>, chunk_id array<string>, kind string, matrix binary"
+
+
+def _packed(matrix: np.ndarray) -> tuple[str, bytes]:
+    """The numbers' kind and bytes, compressed: as whole millionths where these give back the same numbers, else as they are."""
+    with np.errstate(all="ignore"):
+        whole = np.rint(matrix * 1e6)
+        if np.abs(whole).max(initial=0) < 1 << 31 and (whole / 1e6 == matrix).all():
+            matrix = whole.astype(np.int32)
+    shuffled = matrix.reshape(-1, 1).view(np.uint8).T.tobytes()
+    return matrix.dtype.str, pa.compress(shuffled, codec="zstd", asbytes=True) if shuffled else b""
+
+
+def _unpacked(kind: str, data: bytes, lines: int, width: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    plain = pa.decompress(data, lines * width * size, codec="zstd", asbytes=True) if lines * width else b""
+    matrix = np.frombuffer(plain, dtype=np.uint8).reshape(size, -1).T.copy().view(kind).reshape(lines, width)
+    return matrix / 1e6 if matrix.dtype.kind == "i" else matrix
+
+
+def _chunk_cells(bits: int):
+    """(doc, chunk_index, chunk_id, vector) -> matrices of the chunks of a group; a group may come in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = batch["doc"].to_numpy() >> bits
+            starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+            for first, last in zip(starts, starts[1:] + [len(group)]):
+                part = batch.slice(first, last - first)
+                kind, data = _packed(part["vector"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(last - first, -1))
+                lists = [pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), part[c].slice(0)) for c in ("doc", "chunk_index", "chunk_id")]
+                yield pa.RecordBatch.from_arrays([pa.array([group[first]], pa.int64()), *lists, pa.array([kind]), pa.array([data], pa.binary())], names=[f.split()[0] for f in _CELL.split(", ")])
+
+    return run
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
     size = np.sqrt((matrix * matrix).sum(axis=1))[:, None]
     return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
@@ -314,8 +419,11 @@ def _best_of_cell(max_results: int, lexical_weight: float, embedding_weight: flo
         queries, hits = asked[asked["doc"].isna()].reset_index(drop=True), asked[asked["doc"].notna()]
         if not len(chunks) or not len(queries):
             return pd.DataFrame(columns=[f.split()[0] for f in _HYBRID.split(", ")])
-        chunks = chunks.sort_values(["chunk_index", "chunk_id"], kind="stable").reset_index(drop=True)
-        cosine = np.maximum(0.0, _unit(queries["vector"]) @ _unit(chunks["vector"]).T)
+        asked_for = np.array(queries["vector"].tolist(), dtype=float)
+        vectors = np.concatenate([_unpacked(k, m, len(d), asked_for.shape[1]) for k, m, d in zip(chunks["kind"], chunks["matrix"], chunks["doc"])])
+        chunks = pd.DataFrame({c: np.concatenate(chunks[c].tolist()) for c in ("doc", "chunk_index", "chunk_id")}).sort_values(["chunk_index", "chunk_id"], kind="stable")
+        vectors, chunks = vectors[chunks.index], chunks.reset_index(drop=True)
+        cosine = np.maximum(0.0, _unit(asked_for) @ _unit(vectors).T)
         lexical = np.zeros_like(cosine)
         line = hits["query_id"].map({q: k for k, q in enumerate(queries["query_id"])}).to_numpy(dtype=int)
         column = hits["doc"].astype("int64").map({c: k for k, c in enumerate(chunks["doc"])}).to_numpy(dtype=int)
@@ -345,7 +453,7 @@ def hybrid_scores(
     """The best rows of each group of chunks for any number of queries; queries without terms give none.
 
     A group of at most 2^GROUP_BITS chunks and one of about QUERY_GROUP queries meet in one task with their lexical scores, so that
-    the score of each pair is known there and only the best leave it.
+    the score of each pair is known there and only the best leave it. Vectors move as compressed matrices.
     """
     if index.provider is None:
         raise ValueError("the index has no vectors; build it with a provider.")
@@ -359,7 +467,7 @@ def hybrid_scores(
     top = lexical.groupBy("query_id").agg(F.max("lexical_score").alias("max_score"))
     asked = prepared.join(top, "query_id", "left").select("query_id", of_query, "vector", "max_score")
     every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("query_group")
-    chunks = index.documents.select(of_doc, "doc", "chunk_index", "chunk_id", "vector", every)
+    chunks = index.documents.select("doc", "chunk_index", "chunk_id", "vector").mapInArrow(_chunk_cells(GROUP_BITS), _CELL).select("*", every)
     cells = index.documents.select(of_doc).distinct().select("doc_group", every)
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rows = cells.join(asked, "query_group").select(
@@ -388,7 +496,7 @@ def retrieve_hybrid(
         scores, max_results, F.desc("hybrid_score"), F.desc("normalized_lexical_score"), F.desc("embedding_score"), *map(F.asc, _TIES),
     ).drop(*_TIES)
     terms = F.when(F.col("matched_terms") == "", F.array().cast("array<string>")).otherwise(F.split("matched_terms", " "))
-    joined = with_metadata(index.documents.drop("text_tokens", "context_tokens").join(top.withColumn("matched_terms", terms), "doc"))
+    joined = with_metadata(index.documents.drop("text_tokens", "context_tokens", "text_length").join(shared_table(top.withColumn("matched_terms", terms)), "doc"))
     lexical_cut = snippet(F.col("text"), F.col("matched_terms"), snippet_chars)
     cut = F.when(F.col("lexical_score") > 0, lexical_cut).otherwise(prefix_snippet(F.col("text"), snippet_chars))
     return joined.select(

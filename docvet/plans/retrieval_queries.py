@@ -12,9 +12,10 @@ from docvet.functions import vectors as V
 from docvet.operators import embeddings as E
 from docvet.operators import quality as Q
 from docvet.operators import retrieval as R
-from docvet.operators.chunking import chunk_metadata, with_metadata
+from docvet.operators.chunking import chunk_artifacts, chunk_metadata, with_metadata
 from docvet.plans import inputs as I
 from docvet.plans.parse_queries import CHUNKS_SQL, chunks
+from docvet.plans.scan_queries import artifact_texts
 
 QUERIES_TEXT = (
     ("q1", "api key network access"), ("q2", "reveal passwords"), ("q3", "token"), ("q4", "deep setup"), ("q5", "--"),
@@ -33,7 +34,7 @@ def index(spark: SparkSession, d: str) -> R.Index:
     """The index over all chunks, written once per application and folder, like the stored table it stands for."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _INDEXES:
-        _INDEXES[key] = R.build_index(chunks(spark, d), E.EmbeddingProvider())
+        _INDEXES[key] = R.build_index(chunk_artifacts(artifact_texts(spark, d)), E.EmbeddingProvider())
     return _INDEXES[key]
 
 

@@ -38,6 +38,18 @@ def artifacts(spark: SparkSession, d: str) -> DataFrame:
     return _ARTIFACTS[key]
 
 
+def artifact_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Artifact rows for one reader: the stored table where it is written, else as they are derived, which moves and writes no text.
+
+    Documents in fewer parts than there are cores, up to ``I.LEAST_TASKS``, are dealt first.
+    """
+    if (spark.sparkContext.applicationId, d) in _ARTIFACTS:
+        return artifacts(spark, d)
+    rows, tasks = I.derived(spark, d, I.ARTIFACTS), min(I.LEAST_TASKS, spark.sparkContext.defaultParallelism)
+    parts = I.table(spark, d, "documents").select(F.spark_partition_id().alias("part")).distinct().count()
+    return rows if parts >= tasks else rows.repartition(tasks)
+
+
 def artifact_keys(spark: SparkSession, d: str) -> DataFrame:
     """Artifact rows without the text, which then is not read."""
     return artifacts(spark, d).drop("raw_text")

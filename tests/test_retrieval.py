@@ -215,3 +215,66 @@ def test_few_queries_do_not_shuffle_the_postings(spark, index):
     assert "SortMergeJoin" not in scores._jdf.queryExecution().optimizedPlan().toString()
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def stored_columns(df):
+    import pyarrow.parquet as pq
+
+    return {c.path_in_schema.split(".")[0]: c.compression for f in df.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in range(m.num_row_groups) for c in map(m.row_group(g).column, range(m.num_columns))}
+
+
+def exchanged(df):
+    """The lines of the plan that make what an exchange moves."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [next(x for x in lines[n + 1:] if "Exchange" not in x) for n, line in enumerate(lines) if "Exchange" in line]
+
+
+def test_the_index_stores_nothing_that_follows_from_what_it_stores(index):
+    documents, postings = stored_columns(index.documents), stored_columns(index.postings)
+    assert {"text", "vector", "doc"} <= documents.keys() and not {"text_tokens", "context_tokens"} & documents.keys()
+    assert {"term", "doc", "text_at", "context_at"} <= postings.keys() and not {"saturation", "block"} & postings.keys()
+    assert {*documents.values(), *postings.values(), *stored_columns(index.blocks).values()} == {"ZSTD"}
+
+
+def test_parts_of_blocks_add_up(index):
+    want = {(r.term, r.block): (r.n, r.most) for r in index.postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(F.col("saturation") + 0.35 * F.col("context_count")).alias("most")).collect()}
+    got = {(r.term, r.block): (r.n, r.most) for r in index.blocks.groupBy("term", "block").agg(F.sum("postings").alias("n"), F.max("most").alias("most")).collect()}
+    assert got == want and sum(r.document_frequency for r in index.terms.collect()) == index.postings.count()
+
+
+def test_texts_postings_and_vectors_are_not_shuffled(spark, index, monkeypatch):
+    lexical, hybrid = (f(index, queries(spark, "api key", "onke")) for f in (R.retrieve_lexical, R.retrieve_hybrid))
+    assert not any("text#" in x or "text_at#" in x or "vector#" in x for x in exchanged(lexical) + exchanged(hybrid))
+    want = [sorted(map(str, df.collect())) for df in (lexical, hybrid)]
+    monkeypatch.setattr(R, "FEW_ROWS", 0)
+    assert [sorted(map(str, f(index, queries(spark, "api key", "onke")).collect())) for f in (R.retrieve_lexical, R.retrieve_hybrid)] == want
+
+
+def test_words_of_bytes_are_the_stemmed_tokens(spark, monkeypatch):
+    monkeypatch.setattr(R, "SLICE_TOKENS", 2)
+    texts = ["Keys_and-LADIES bus class", "", None, "é1ies漢bees", "--", "ab", "s ss ies ties \x00pies", "x" * 50 + " \n9s", "Kİs ÀS"]
+    rows = [(f"c{i}", i, "a", 1, 1, "paragraph", p, h, t, "h") for i, (t, p, h) in enumerate(zip(texts, ["é.md", None, "a", "", "Bs", "b", "c", "d", "e"], [["Dogs"], [], None, ["", "x"], [], [], [], [], ["ß tags"]]))]
+    fields = "chunk_id string, chunk_index int, artifact_id string, start_line int, end_line int, chunk_type string, path string, heading_path array<string>, text string, content_hash string"
+    index = R.build_index(spark.createDataFrame(rows, fields).repartition(1))
+    want = {(r.doc, t, tuple(k for k, w in enumerate(r.text_tokens) if w == t), tuple(k for k, w in enumerate(r.context_tokens) if w == t))
+            for r in index.documents.where("text IS NOT NULL").collect() for t in {*r.text_tokens, *r.context_tokens}}
+    assert {(r.doc, r.term, tuple(r.text_at), tuple(r.context_at)) for r in index.postings.collect()} == want
+    assert index.average_length == index.documents.agg(F.avg("text_length")).first()[0]
+
+
+def test_matrices_come_back_as_they_were():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for m in (np.round(rng.normal(size=(7, 5)), 6), rng.normal(size=(7, 5)), np.array([[1e300, np.nan, np.inf]]), np.empty((0, 5)), np.empty((3, 0))):
+        kind, data = R._packed(m)
+        assert np.array_equal(R._unpacked(kind, data, *m.shape), m, equal_nan=True)
+    assert R._packed(np.array([[0.123456]]))[0] == "<i4" and R._packed(np.array([[0.1234567]]))[0] == "<f8"
+
+
+def test_embeddings_do_not_depend_on_how_many_tokens_are_remembered(spark, monkeypatch):
+    texts = [f"alpha {k} beta {k % 3} " + "gamma " * k for k in range(40)] + ["", None]
+    monkeypatch.setattr(V, "_KNOWN_TOKENS", 5)
+    monkeypatch.setattr(V, "_TOKENS_AT_ONCE", 3)
+    got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(V.hash_embedding(F.col("t")).alias("v")).collect()
+    assert [r.v for r in got] == [plain_embedding(t or "") for t in texts]

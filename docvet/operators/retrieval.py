@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from docvet.functions.text import compute_once, prefix_snippet, snippet, stemmed_tokens
 from docvet.operators.chunking import with_metadata
 from docvet.operators.embeddings import EmbeddingProvider, embedding_input, record_hash
-from docvet.session import COMPACT, shared_table
+from docvet.session import COMPACT, shared_table, small_batches
 
 # BM25 constants, context weight and phrase bonuses.
 K1 = 1.2
@@ -73,7 +73,7 @@ def _stem(token: str) -> str:
 
 
 def _words(slice_bytes: int):
-    """(doc, words, text_bytes) -> (doc, text_length, tokens): the tokens that ``stemmed_tokens`` gives of lower-case text, and how many of them begin in its first ``text_bytes``.
+    """(doc, words, text_bytes), no nulls -> (doc, text_length, tokens): the tokens that ``stemmed_tokens`` gives of lower-case text, and how many of them begin in its first ``text_bytes``.
 
     The bytes of about ``slice_bytes``, at least one row, are looked at together; a row of them is one text.
     """
@@ -94,11 +94,10 @@ def _words(slice_bytes: int):
         return pa.RecordBatch.from_arrays([rows["doc"], pa.array(length, pa.int32()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), tokens)], names=["doc", "text_length", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.filter(pc.is_valid(batch["words"]))
-            words = rows["words"].cast(pa.large_string())
+        for rows in batches:
+            words = rows["words"]
             _, places, held = words.buffers()
-            offsets = np.frombuffer(places, dtype=np.int64)[words.offset: words.offset + len(words) + 1]
+            offsets = np.frombuffer(places, dtype=np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset: words.offset + len(words) + 1].astype(np.int64)
             data = np.frombuffer(held, dtype=np.uint8) if held else np.empty(0, dtype=np.uint8)
             at = 0
             while at < len(rows):
@@ -172,6 +171,11 @@ def build_index(chunks: DataFrame, provider: EmbeddingProvider | None = None) ->
 
     Neither tokens nor postings are shuffled, only the terms of each task, and what follows from a stored column isn't stored.
     """
+    with small_batches(chunks.sparkSession):
+        return _built(chunks, provider)
+
+
+def _built(chunks: DataFrame, provider: EmbeddingProvider | None) -> Index:
     context = F.concat_ws(" ", F.coalesce("path", F.lit("")), F.array_join("heading_path", " "))
     vector = {"vector": provider.vector(embedding_input(provider))} if provider else {}
     rows = compute_once(chunks, **vector) if vector else chunks
